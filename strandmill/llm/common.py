@@ -13,6 +13,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def arrow_batches(batches, rows: int = 256, text: str | None = None, limit: int
         while at < batch.num_rows:
             n = min(rows, batch.num_rows - at)
             if text:
-                sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text).slice(at, n)), 0).to_pylist()
+                sizes = pc.fill_null(pc.binary_length(batch.column(text).slice(at, n)), 0).to_pylist()
                 total = 0
                 for i, size in enumerate(sizes):
                     total += size

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .orc_tokens import op2_orc_tokens
 from .simhash import op10_simhash
 
 QUERIES = {
+    "op2_orc_tokens": op2_orc_tokens,
     "op10_simhash": op10_simhash,
 }
 
