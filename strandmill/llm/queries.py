@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .orc_tokens import op2_orc_tokens
+from .packing import op8_packing
 from .simhash import op10_simhash
 
 QUERIES = {
+    "op8_packing": op8_packing,
     "op2_orc_tokens": op2_orc_tokens,
     "op10_simhash": op10_simhash,
 }
