@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .mixing import op5_mixing
 from .orc_tokens import op2_orc_tokens
 from .packing import op8_packing
 from .simhash import op10_simhash
 
 QUERIES = {
+    "op5_mixing": op5_mixing,
     "op8_packing": op8_packing,
     "op2_orc_tokens": op2_orc_tokens,
     "op10_simhash": op10_simhash,
