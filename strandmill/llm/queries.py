@@ -6,8 +6,10 @@ from .mixing import op5_mixing
 from .orc_tokens import op2_orc_tokens
 from .packing import op8_packing
 from .simhash import op10_simhash
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op5_mixing": op5_mixing,
     "op8_packing": op8_packing,
     "op2_orc_tokens": op2_orc_tokens,
