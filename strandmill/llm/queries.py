@@ -5,10 +5,12 @@ from __future__ import annotations
 from .mixing import op5_mixing
 from .orc_tokens import op2_orc_tokens
 from .packing import op8_packing
+from .quality import op3_quality
 from .simhash import op10_simhash
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op3_quality": op3_quality,
     "op1_toxicity": op1_toxicity,
     "op5_mixing": op5_mixing,
     "op8_packing": op8_packing,
