@@ -7,9 +7,11 @@ from .orc_tokens import op2_orc_tokens
 from .packing import op8_packing
 from .quality import op3_quality
 from .simhash import op10_simhash
+from .substring import op6_substring
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op6_substring": op6_substring,
     "op3_quality": op3_quality,
     "op1_toxicity": op1_toxicity,
     "op5_mixing": op5_mixing,
