@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_rules import op7_line_rules
 from .mixing import op5_mixing
 from .orc_tokens import op2_orc_tokens
 from .packing import op8_packing
@@ -11,6 +12,7 @@ from .substring import op6_substring
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op7_line_rules": op7_line_rules,
     "op6_substring": op6_substring,
     "op3_quality": op3_quality,
     "op1_toxicity": op1_toxicity,
