@@ -1,23 +1,29 @@
 """Whole-text token ids with the tokenizers library, remembering the ids of words.
 
-A byte-level BPE file cuts text before it merges bytes: a space between two
-non-space characters always starts a new cut, and a line feed between two such
-characters is a cut of its own. So a text's ids are the ids of its pieces in order,
-and a piece seen before need not be encoded again. Texts, or parts, with runs of
-white space go to the library in longer pieces. Files of any other kind, with a
-normalizer or without the byte-level cut, get every text whole.
+A byte-level BPE file cuts text by a fixed pattern before it merges bytes, and each
+cut is merged alone. Here one regular expression makes those cuts for texts of
+Latin letters, the library's BPE model merges each distinct cut once, and a bounded
+memory holds the results. Other texts are split at single spaces between
+non-space characters (always a cut), and the parts with other characters or with
+special tokens go to the library whole. Files of any other kind get every
+text whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 _ENCODERS: dict = {}
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-_DOUBLE = re.compile(r"\s\s")
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_NUMBERS = "0-9²³¹¼½¾"
+_CUTS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+").findall
+#: Characters whose class the pattern above doesn't know, and those that are white space to Python only.
+_OTHER = re.compile("[\x1c-\x1fɐ-\U0010ffff]").search
+_SAFE = re.compile(r"(?<=\S) (?=\S)").split
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -27,17 +33,15 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class _Memory(dict):
-    """A dict of bounded size: two generations, the older one dropped when the younger is full."""
+    """Results of ``make`` by key, of bounded size: two generations, the older dropped when the younger is full."""
 
     def __init__(self, make, size: int):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
-        found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(key) <= 48:
+        found = self.old.get(key) or self.make(key)
+        if len(key) <= 64:
             if len(self) >= self.size:
                 self.old = dict(self)
                 self.clear()
@@ -48,52 +52,52 @@ class _Memory(dict):
 class Encoder:
     """``ids(text)``: the ids of one text as a uint32 array."""
 
-    def __init__(self, path: str, entries: int = 200_000):
-        from tokenizers import Tokenizer, pre_tokenizers
+    def __init__(self, path: str, entries: int = 300_000):
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         cut = self.tokenizer.pre_tokenizer
-        self.pieces = isinstance(cut, pre_tokenizers.ByteLevel) and not cut.add_prefix_space and self.tokenizer.normalizer is None
-        if self.pieces:
-            cuts = lambda s: [p for p, _ in cut.pre_tokenize_str(s)]
-            self.pieces = cuts("a b\nc, d") == ["a", "Ġb", "Ċ", "c", ",", "Ġd"]
-        self.stems = {pre: _Memory(lambda w, pre=pre: self._stem(pre + w), entries) for pre in ("", " ")}
-        self.words = {pre: _Memory(lambda w, pre=pre: self._word(pre, w), entries // 2) for pre in ("", " ")}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = isinstance(self.model, models.BPE) and isinstance(cut, pre_tokenizers.ByteLevel) and not cut.add_prefix_space and self.tokenizer.normalizer is None
+        if self.pieces:  # byte-level files may also be told not to cut
+            self.pieces = [p for p, _ in cut.pre_tokenize_str("a b's\nc, 12")] == ["a", "Ġb", "'s", "Ċ", "c", ",", "Ġ12"]
+        self.merged = _Memory(self._merge, entries)
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in letters]
         self.shown = {b: chr(b) for b in letters} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.feed = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _stem(self, text: str) -> bytes:
-        """Ids of letters that form one cut: straight from the library's BPE model."""
-        return np.array([t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.shown))], "<u4").tobytes()
-
-    def _word(self, pre: str, word: str) -> bytes:
-        if word.isalpha() and max(word) < "ɐ":
-            return self.stems[pre][word]
-        if word[-1:] in tuple(".,;:!?") and word[:-1].isalpha() and max(word) < "ɐ":
-            return self.stems[pre][word[:-1]] + self.stems[""][word[-1]]
-        return self._whole(pre + word)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _merge(self, cut: str) -> bytes:
+        """Ids of one cut: its bytes, as the characters that byte-level files show them by, merged by the library's model."""
+        shown = cut.replace(" ", "Ġ") if cut.isascii() and cut.isprintable() else cut.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _known(self, text: str) -> bool:
+        if any(s in text for s in self.special):
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _OTHER(text) is None
+        return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
 
     def raw(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
         if not self.pieces:
             return self._whole(text)
-        first, rest = self.words[""], self.words[" "]
-        if _DOUBLE.search(text):
-            p = _SAFE.split(text)
-            return first[p[0]] + b"".join(map(rest.__getitem__, p[1:]))
-        lines = []
-        for line in text.split("\n"):
-            p = line.split(" ")
-            lines.append((first[p[0]] if p[0] else b"") + b"".join(map(rest.__getitem__, p[1:])))
-        return self.feed.join(lines)
+        merged = self.merged.__getitem__
+        if self._known(text):
+            return b"".join(map(merged, _CUTS(text)))
+        out, pre = [], ""
+        for part in _SAFE(text):
+            part = pre + part
+            pre = " "
+            out.append(b"".join(map(merged, _CUTS(part))) if self._known(part) else self._whole(part))
+        return b"".join(out)
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.raw(text), "<u4")

@@ -24,7 +24,7 @@ def plain(library, text):
 def test_pieces_give_the_librarys_ids(library):
     enc = Encoder(default_path(), entries=50)
     rng = random.Random(5)
-    texts = ["", " ", "\n", "a  b", "a \n b", " lead", "trail ", "x\n\ny", "a\t b c", "foo \n \n bar", "a<|endoftext|> b <|endoftext|>", "don't we'll 's  it's", "  \n a", "é  b, ç. Ünï!", "a\x1c b", "a\r\nb c", " \na b\n c", "1st 2,5 a1b", "日本 語。 ok", "ǅ ⁇ ", "a b   c", "x?! y.. z,"]
+    texts = ["", " ", "\n", "a  b", "a \n b", " lead", "trail ", "x\n\ny", "a\t b c", "foo \n \n bar", "a<|endoftext|> b <|endoftext|>", "don't we'll 's  it's", "  \n a", "é  b, ç. Ünï!", "a\x1c b", "a\r\nb c", " \na b\n c", "1st 2,5 a1b", "日本 語。 ok", "ǅ ⁇ ", "a b   c", "x?! y.. z,", "½ 2² a²", "a—b c", "×÷ a", "I'll we're 's", "a\x85b\xa0c d"]
     letters = ["a", "B", "é", " ", " ", " ", "\n", "\t", ".", ",", "'s", "1", " ", "<|endoftext|>", "中", " ", "'"]
     texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(2000)]
     for t in texts:
