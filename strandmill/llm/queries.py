@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .line_rules import op7_line_rules
 from .mixing import op5_mixing
+from .mpeg import op9_mpeg
 from .orc_tokens import op2_orc_tokens
 from .packing import op8_packing
 from .quality import op3_quality
@@ -12,6 +13,7 @@ from .substring import op6_substring
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op9_mpeg": op9_mpeg,
     "op7_line_rules": op7_line_rules,
     "op6_substring": op6_substring,
     "op3_quality": op3_quality,
