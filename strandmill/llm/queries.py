@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op4_chat
 from .line_rules import op7_line_rules
 from .mixing import op5_mixing
 from .mpeg import op9_mpeg
@@ -13,6 +14,7 @@ from .substring import op6_substring
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op4_chat": op4_chat,
     "op9_mpeg": op9_mpeg,
     "op7_line_rules": op7_line_rules,
     "op6_substring": op6_substring,
