@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields as fn
+from ..functions import packed
 
 #: Bits of a stream's header: mark, number of fields, entries, number of separators; then 3 a separator.
 HEADER_BITS = 32 + 8 + 24 + 8
@@ -85,7 +86,7 @@ def schema(reads: DataFrame, rule: int = 100) -> DataFrame:
         F.min(numeric).alias("numeric"),
         F.min(number).alias("low"),
         F.max(number).alias("high"),
-        F.max(F.length("value")).alias("longest"),
+        F.max(F.octet_length("value")).alias("longest"),
         F.min("value").alias("constant"),
         (F.min("a") == F.max("z")).alias("counts"),
     )
@@ -114,14 +115,14 @@ def dictionary_rule(values: DataFrame, columns: list[str], rule: int = 100) -> D
 def codes(reads: DataFrame) -> DataFrame:
     """(read_id, field, type, width, bits, low, constant): each field's code as a string of binary digits.
 
-    Constant and counting fields take no bits; text without a dictionary is spelled in 8 bits a byte
-    (ASCII), padded with zeros.
+    Constant and counting fields take no bits; text without a dictionary is spelled in UTF-8, 8 bits
+    a byte, padded with zeros.
     """
     kinds = schema(reads)
     coded = token_table(reads).join(F.broadcast(kinds.withColumnRenamed("field", "f")), F.col("field") == F.col("f"))  # one row a field
     words = dictionary(reads, kinds).select(F.col("field").alias("df"), F.col("value").alias("dv"), "code")
     joined = coded.join(words, (F.col("field") == F.col("df")) & (F.col("value") == F.col("dv")) & F.col("mapped"), "left")
-    spelled = F.rpad(F.array_join(F.transform(F.split("value", ""), lambda c: F.when(F.length(c) > 0, F.lpad(F.bin(F.ascii(c)), 8, "0")).otherwise("")), ""), F.col("width").cast("int"), "0")
+    spelled = F.rpad(packed.unpack(F.encode("value", "UTF-8")), F.col("width").cast("int"), "0")
     bits = (
         F.when(F.col("type").isin("CONST", "AUTOINC"), F.lit(""))
         .when(F.col("type") == "NUMERIC", fn.bits(F.expr("try_cast(value as bigint)"), F.col("width").cast("int")))
@@ -145,8 +146,7 @@ def decoded(reads: DataFrame) -> DataFrame:
     number = fn.from_bits(F.col("bits"))
     c = c.withColumn("number", number).join(words, (F.col("field") == F.col("df")) & (F.col("number") == F.col("dc")) & F.col("mapped"), "left")
     first = reads.agg(F.min("read_id").alias("least"))
-    letters = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length("bits"), F.lit(1)), F.lit(8)), lambda i: F.chr(F.conv(F.substr(F.col("bits"), i, F.lit(8)), 2, 10).cast("int"))), "")
-    plain = F.replace(letters, F.chr(F.lit(0)), F.lit(""))
+    plain = F.replace(F.decode(packed.pack(F.col("bits")), "UTF-8"), F.chr(F.lit(0)), F.lit(""))
     counted = (F.col("low") + F.col("read_id") - F.col("least")).cast("string")
     value = F.when(F.col("type") == "CONST", F.col("constant")).when(F.col("type") == "AUTOINC", counted).when(F.col("type") == "NUMERIC", F.col("number").cast("string")).when(F.col("mapped"), F.col("dv")).otherwise(plain)
     parts = c.join(F.broadcast(first)).select("read_id", "field", value.alias("value")).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("p"))
@@ -183,7 +183,7 @@ def violations(reads: DataFrame, kinds: DataFrame, words: DataFrame) -> DataFram
         .when((F.col("type") == "NUMERIC") & ~numeric, "not a number")
         .when((F.col("type") == "NUMERIC") & (fn.digits(number, 2) > F.col("width")), "overflow")
         .when((F.col("type") == "ALPHA") & F.col("mapped") & F.col("dv").isNull(), "not in dictionary")
-        .when((F.col("type") == "ALPHA") & ~F.col("mapped") & (F.length("value") * 8 > F.col("width")), "overflow")
+        .when((F.col("type") == "ALPHA") & ~F.col("mapped") & (F.octet_length("value") * 8 > F.col("width")), "overflow")
     )
     return t.select("field", reason.alias("reason")).where("reason is not null").groupBy("field", "reason").agg(F.count(F.lit(1)).alias("n"))
 

@@ -503,3 +503,56 @@ def stream_batches(spark, sf_dir) -> DataFrame:
     from ..streaming.batches import totals_by_type
 
     return totals_by_type(spark, sf_dir)
+
+
+# -- packed streams ------------------------------------------------------
+
+
+@query(with_tables("ref oreads", "select read_id, meta from oreads"))
+def meta_stream_roundtrip(spark, sf_dir) -> DataFrame:
+    from ..operators import streams
+
+    return streams.metadata_read(streams.metadata_stream(D.order_reads(spark, sf_dir)))
+
+
+@query(with_tables("quals", "select read_id, qual from quals where length(qual) > 0"))
+def qual_stream_roundtrip(spark, sf_dir) -> DataFrame:
+    from ..operators import streams
+
+    return streams.quality_read(streams.quality_stream(D.order_quals(spark, sf_dir)))
+
+
+@query(_CODES + ", rowbits as (select read_id, string_agg(bits, '' order by field) as bits from c group by read_id), p as (select read_id, rpad(bits, cast((length(bits) + 7) // 8 * 8 as integer), '0') as bits from rowbits) select read_id, array_to_string([substr('0123456789ABCDEF', 8 * cast(substr(bits, 4 * i - 3, 1) as integer) + 4 * cast(substr(bits, 4 * i - 2, 1) as integer) + 2 * cast(substr(bits, 4 * i - 1, 1) as integer) + cast(substr(bits, 4 * i, 1) as integer) + 1, 1) for i in range(1, length(bits) // 4 + 1)], '') as packed, length(bits) // 8 as bytes, bits from p")
+def bit_packing(spark, sf_dir) -> DataFrame:
+    from ..functions import packed
+
+    rows = metadata.row_codes(D.order_reads(spark, sf_dir)).select("read_id", packed.pack(F.col("bits")).alias("b"), packed.size(F.length("bits")).alias("bytes"))
+    return rows.select("read_id", F.hex("b").alias("packed"), "bytes", packed.unpack(F.col("b")).alias("bits"))
+
+
+@query("with m as (" + _PAGES + ") select read_id, regexp_split_to_array(meta, '[@. :#/]')[2] as first_field, cast(len(regexp_split_to_array(meta, '[@. :#/]')) - 1 as integer) as n_fields from m")
+def meta_tokens_prototype(spark, sf_dir) -> DataFrame:
+    """The older set of separators, which has the slash and no dash."""
+    parts = F.split("meta", "[@. :#/]", -1)
+    return _pages(spark, sf_dir).select("read_id", parts.alias("p")).select("read_id", F.element_at("p", 2).alias("first_field"), (F.size("p") - 1).alias("n_fields"))
+
+
+@query(
+    with_tables(
+        "quals",
+        "+h(ch, b) as (values " + ", ".join("('" + c.replace("'", "''") + f"', {len(b)})" for c, b in legacy.HUFFMAN.items()) + "), " + _RUNS + ", s as (select sum(length(qual)) as plain from quals where length(qual) > 0), x as ("
+        "select 'naive runs' as codec, cast(sum(2 * ((n + 126) // 127)) as bigint) as bytes from runs union all select 'bit runs', cast(sum(b) as bigint) from (select (10 * sum((n + 14) // 15) + 6 + 7) // 8 as b from runs group by read_id) "
+        "union all select 'flagged runs', cast(sum(b) as bigint) from (select (sum(n // 129 * 14 + case n % 129 when 0 then 0 when 1 then 7 else 14 end) + 7) // 8 as b from runs group by read_id) "
+        "union all select 'huffman', cast(sum(b) as bigint) from (select (sum(coalesce(b, 22)) + 7) // 8 as b from c left join h using (ch) group by read_id)) select codec, bytes, round(100.0 * bytes / plain, 4) as percent from x, s",
+    )
+)
+def codec_sizes(spark, sf_dir) -> DataFrame:
+    q = D.order_quals(spark, sf_dir)
+    plain = q.agg(F.sum(F.length("qual")).alias("plain"))
+    up = lambda c: F.ceil(F.col(c) / 8)
+    sized = {"naive runs": legacy.naive_run_size(q), "bit runs": legacy.bit_run_size(q).select(up("bits").alias("bytes")), "flagged runs": legacy.flagged_run_size(q).select(up("bits").alias("bytes")), "huffman": legacy.huffman_size(q)}
+    whole = None
+    for name, rows in sized.items():
+        one = rows.agg(F.sum("bytes").cast("long").alias("bytes")).select(F.lit(name).alias("codec"), "bytes")
+        whole = one if whole is None else whole.unionByName(one)
+    return whole.join(F.broadcast(plain)).select("codec", "bytes", F.round(F.lit(100.0) * F.col("bytes") / F.col("plain"), 4).alias("percent"))
