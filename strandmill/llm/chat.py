@@ -171,4 +171,5 @@ def op4_chat(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return digests(materialize(format_chats(rows.unionByName(more)), "chats"))
+    found = digests(materialize(format_chats(rows.unionByName(more)), "chats"))
+    return found.drop("n_tokens", "n_loss_tokens")

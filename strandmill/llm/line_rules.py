@@ -142,4 +142,4 @@ def clean(docs: DataFrame, least: float = 0.6) -> DataFrame:
 
 def op7_line_rules(spark, sf_dir: str) -> DataFrame:
     found = clean(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left", "failed_lines")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left", F.aggregate(F.map_values("failed_lines"), F.lit(0).cast("long"), lambda a, n: a + n).alias("n_failed_lines"))
