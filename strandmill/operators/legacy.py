@@ -19,6 +19,13 @@ HUFFMAN = {
     "D": "11110", "E": "1110", "F": "110", "G": "100", "H": "0", "I": "101110100101",
 }
 
+#: Bits of each symbol of the delta code, 0 to 110; its 45th stands for no step and ends a read.
+DELTA_BITS = (
+    23, 23, 23, 23, 23, 23, 23, 23, 16, 16, 15, 13, 13, 13, 13, 12, 12, 11, 13, 13, 12, 12, 12, 11, 11, 11, 11, 10, 10, 10, 10, 9, 9, 9, 9, 8, 8,
+    7, 7, 6, 6, 5, 4, 3, 3, 6, 3, 3, 4, 5, 6, 6, 7, 7, 8, 8, 9, 9, 9, 9, 10, 10, 10, 11, 11, 11, 12, 12, 12, 12, 13, 13, 14, 14,
+    15, 17, 16, 18, 23, 23, 22, 22, 22, 22, 22, 22, 22, 22, 22, 22, 22, 4, 5, 6, 7, 7, 8, 8, 8, 9, 9, 9, 10, 10, 10, 10, 10, 10, 10, 11, 7,
+)
+
 #: Letters of the older codecs: ! to I, 41 of them.
 LETTERS = "".join(map(chr, range(33, 74)))
 
@@ -69,6 +76,13 @@ def delta_runs(quals: DataFrame, start: str = "H", middle: int = 45, base: int =
     return quals.select("read_id", r.alias("r")).select("read_id", F.posexplode(F.flatten(F.transform("r", of))).alias("ord", "symbol"))
 
 
+def delta_run_size(quals: DataFrame) -> DataFrame:
+    """(read_id, bits) under the fixed code, the end of the read included."""
+    bits = F.array(*map(F.lit, DELTA_BITS))
+    sized = delta_runs(quals).groupBy("read_id").agg(F.sum(F.element_at(bits, F.col("symbol") + 1)).alias("b"))
+    return sized.select("read_id", (F.col("b") + DELTA_BITS[45]).cast("long").alias("bits"))
+
+
 def lzw_encode(text: str, letters: str = LETTERS) -> tuple[list[int], int]:
     """(codes, bits): code 0 stops; codes take as many bits as the table's size needs when they are written."""
     table = {c: i + 1 for i, c in enumerate(letters)}

@@ -472,17 +472,23 @@ def huffman_size(spark, sf_dir) -> DataFrame:
     return legacy.huffman_size(D.order_quals(spark, sf_dir))
 
 
-@query(
-    with_tables(
-        "quals",
-        "+" + _RUNS + ", r as (select *, ascii(ch) - coalesce(lag(ascii(ch)) over (partition by read_id order by run), 72) as step from runs), s as (select read_id, run, step, n - case when step = 0 then 0 else 1 end as rep from r), "
-        "parts as (select read_id, run, 0 as k, 45 + step as symbol from s where step <> 0 union all select read_id, run, unnest(range(1, rep // 20 + 1)), 110 from s union all select read_id, run, 1000, 90 + rep % 20 from s where rep % 20 > 0) select read_id, cast(row_number() over (partition by read_id order by run, k) - 1 as integer) as ord, cast(symbol as integer) as symbol from parts",
-    )
-)
+_DELTA = _RUNS + (
+    ", r as (select *, ascii(ch) - coalesce(lag(ascii(ch)) over (partition by read_id order by run), 72) as step from runs), s as (select read_id, run, step, n - case when step = 0 then 0 else 1 end as rep from r), "
+    "parts as (select read_id, run, 0 as k, 45 + step as symbol from s where step <> 0 union all select read_id, run, unnest(range(1, rep // 20 + 1)), 110 from s union all select read_id, run, 1000, 90 + rep % 20 from s where rep % 20 > 0), "
+    "deltas as (select read_id, cast(row_number() over (partition by read_id order by run, k) - 1 as integer) as ord, cast(symbol as integer) as symbol from parts)"
+)
+
+
+@query(with_tables("quals", "+" + _DELTA + " select * from deltas"))
 def delta_run_symbols(spark, sf_dir) -> DataFrame:
     return legacy.delta_runs(D.order_quals(spark, sf_dir))
 
 
+@query(with_tables("quals", "+" + _DELTA + f" select read_id, cast(sum({list(legacy.DELTA_BITS)}[symbol + 1]) + {legacy.DELTA_BITS[45]} as bigint) as bits from deltas group by read_id"))
+def delta_run_size(spark, sf_dir) -> DataFrame:
+    return legacy.delta_run_size(D.order_quals(spark, sf_dir))
+
+
 @query(with_tables("quals", "select read_id, qual from quals where length(qual) > 0"))
 def arith_roundtrip(spark, sf_dir) -> DataFrame:
     quals = D.order_quals(spark, sf_dir)
