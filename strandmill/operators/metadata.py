@@ -73,27 +73,35 @@ def schema(reads: DataFrame, rule: int = 100) -> DataFrame:
 
     Counting fields are those whose value is the smallest one plus the row's number, checked
     row by row. ``mapped`` says that a dictionary pays: fewer than one distinct value
-    in ``rule`` rows. Widths are bits a row.
+    in ``rule`` rows. Widths are bits a row. Constants are told by comparison with the first
+    read, so one small aggregate decides all types; only text fields have their
+    distinct values counted (``ndv`` is null for numeric fields).
     """
     tokens = token_table(reads)
+    head = reads.agg(F.min_by("meta", "read_id").alias("meta")).where("meta is not null").select(F.posexplode(fn.tokens(F.col("meta"))).alias("f", "v0"))
     numeric = fn.is_numeric(F.col("value"))
     number = F.when(numeric, F.expr("try_cast(value as bigint)"))
     apart = number - F.col("read_id")  # the same for all rows of a counting field
-    rows = tokens.groupBy("field", "value").agg(F.count(F.lit(1)).alias("c"), F.min(apart).alias("a"), F.max(apart).alias("z"))
+    rows = tokens.join(F.broadcast(head), F.col("field") == F.col("f"), "left")  # a row a field
     whole = rows.groupBy("field").agg(
-        F.count(F.lit(1)).alias("ndv"),
-        F.sum("c").cast("long").alias("n"),
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.coalesce(F.col("value") == F.col("v0"), F.lit(False))).alias("same"),
         F.min(numeric).alias("numeric"),
         F.min(number).alias("low"),
         F.max(number).alias("high"),
         F.max(F.octet_length("value")).alias("longest"),
-        F.min("value").alias("constant"),
-        (F.min("a") == F.max("z")).alias("counts"),
+        (F.min(apart) == F.max(apart)).alias("counts"),
     )
-    kind = F.when(F.col("ndv") == 1, "CONST").when(F.col("numeric") & F.col("counts"), "AUTOINC").when(F.col("numeric"), "NUMERIC").otherwise("ALPHA")
+    kind = F.when(F.col("same"), "CONST").when(F.col("numeric") & F.col("counts"), "AUTOINC").when(F.col("numeric"), "NUMERIC").otherwise("ALPHA")
+    typed = whole.withColumn("type", kind).join(F.broadcast(head), F.col("field") == F.col("f"), "left")
+    texts = typed.where("type = 'ALPHA'").select(F.col("field").alias("t"))
+    distinct = tokens.join(F.broadcast(texts), F.col("field") == F.col("t")).groupBy("field", "value").agg(F.count(F.lit(1)).alias("c"))
+    counted = distinct.groupBy(F.col("field").alias("d")).agg(F.count(F.lit(1)).alias("distinct"))
+    full = typed.join(F.broadcast(counted), F.col("field") == F.col("d"), "left")
+    ndv = F.when(F.col("type") == "CONST", F.lit(1).cast("long")).when(F.col("type") == "AUTOINC", F.col("n")).when(F.col("type") == "ALPHA", F.col("distinct"))
     mapped = (F.col("type") == "ALPHA") & (F.col("ndv") * rule < F.col("n"))
     width = F.when(F.col("type").isin("CONST", "AUTOINC"), F.lit(0)).when(F.col("type") == "NUMERIC", fn.digits(F.col("high") + 1, 2)).when(F.col("mapped"), fn.digits(F.col("ndv"), 2)).otherwise(F.col("longest") * 8)
-    return whole.withColumn("type", kind).withColumn("mapped", mapped).withColumn("width", width.cast("long")).select("field", "type", "ndv", "n", "low", "high", "longest", "width", "mapped", F.when(F.col("type") == "CONST", F.col("constant")).alias("constant"))
+    return full.withColumn("ndv", ndv).withColumn("mapped", F.coalesce(mapped, F.lit(False))).withColumn("width", width.cast("long")).select("field", "type", "ndv", "n", "low", "high", "longest", "width", "mapped", F.when(F.col("type") == "CONST", F.col("v0")).alias("constant"))
 
 
 def dictionary(reads: DataFrame, kinds: DataFrame | None = None) -> DataFrame:

@@ -113,7 +113,7 @@ _SCHEMA = (
     "f as (select cast(field as integer) as field, count(distinct value) as ndv, count(*) as n, bool_and(num) as numeric, min(case when num then try_cast(value as bigint) end) as low, max(case when num then try_cast(value as bigint) end) as high, cast(max(length(value)) as integer) as longest, min(value) as c, "
     "min(case when num then try_cast(value as bigint) - rn end) = max(case when num then try_cast(value as bigint) - rn end) as counts from r group by field), "
     "g as (select *, case when ndv = 1 then 'CONST' when numeric and counts then 'AUTOINC' when numeric then 'NUMERIC' else 'ALPHA' end as type from f), "
-    "kinds as (select field, type, ndv, n, low, high, longest, cast(case when type in ('CONST', 'AUTOINC') then 0 when type = 'NUMERIC' then length(bin(high + 1)) when ndv * 100 < n then length(bin(ndv)) else longest * 8 end as bigint) as width, type = 'ALPHA' and ndv * 100 < n as mapped, case when type = 'CONST' then c end as constant from g)"
+    "kinds as (select field, type, case when type <> 'NUMERIC' then ndv end as ndv, n, low, high, longest, cast(case when type in ('CONST', 'AUTOINC') then 0 when type = 'NUMERIC' then length(bin(high + 1)) when g.ndv * 100 < n then length(bin(g.ndv)) else longest * 8 end as bigint) as width, type = 'ALPHA' and g.ndv * 100 < n as mapped, case when type = 'CONST' then c end as constant from g)"
 )
 _KINDS = with_tables("ref oreads", "+" + _SCHEMA.format(src="oreads") + " ")
 
