@@ -104,6 +104,11 @@ def schema(reads: DataFrame, rule: int = 100) -> DataFrame:
     return full.withColumn("ndv", ndv).withColumn("mapped", F.coalesce(mapped, F.lit(False))).withColumn("width", width.cast("long")).select("field", "type", "ndv", "n", "low", "high", "longest", "width", "mapped", F.when(F.col("type") == "CONST", F.col("v0")).alias("constant"))
 
 
+def frozen(kinds: DataFrame) -> DataFrame:
+    """A schema as literal rows, one a field, so that what uses it several times doesn't infer it again."""
+    return kinds.sparkSession.createDataFrame(kinds.collect(), kinds.schema)
+
+
 def dictionary(reads: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """(field, value, code): codes of text fields in byte order of their values."""
     kinds = schema(reads) if kinds is None else kinds
@@ -120,13 +125,13 @@ def dictionary_rule(values: DataFrame, columns: list[str], rule: int = 100) -> D
     return whole.select("column", "ndv", "n", (F.col("ndv") * rule < F.col("n")).alias("mapped"))
 
 
-def codes(reads: DataFrame) -> DataFrame:
+def codes(reads: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """(read_id, field, type, width, bits, low, constant): each field's code as a string of binary digits.
 
     Constant and counting fields take no bits; text without a dictionary is spelled in UTF-8, 8 bits
     a byte, padded with zeros.
     """
-    kinds = schema(reads)
+    kinds = frozen(schema(reads)) if kinds is None else kinds
     coded = token_table(reads).join(F.broadcast(kinds.withColumnRenamed("field", "f")), F.col("field") == F.col("f"))  # one row a field
     words = dictionary(reads, kinds).select(F.col("field").alias("df"), F.col("value").alias("dv"), "code")
     joined = coded.join(words, (F.col("field") == F.col("df")) & (F.col("value") == F.col("dv")) & F.col("mapped"), "left")
@@ -140,17 +145,17 @@ def codes(reads: DataFrame) -> DataFrame:
     return joined.select("read_id", "field", "type", "mapped", "width", bits.alias("bits"), "low", "constant")
 
 
-def row_codes(reads: DataFrame) -> DataFrame:
+def row_codes(reads: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """(read_id, bits): a header's fields in order."""
     parts = F.array_sort(F.collect_list(F.struct("field", "bits")))
-    return codes(reads).groupBy("read_id").agg(F.array_join(F.transform(parts, lambda p: p["bits"]), "").alias("bits"))
+    return codes(reads, kinds).groupBy("read_id").agg(F.array_join(F.transform(parts, lambda p: p["bits"]), "").alias("bits"))
 
 
 def decoded(reads: DataFrame) -> DataFrame:
     """(read_id, meta): headers put together again from their codes and separators."""
-    kinds = schema(reads)
+    kinds = frozen(schema(reads))
     words = dictionary(reads, kinds).select(F.col("field").alias("df"), F.col("code").alias("dc"), F.col("value").alias("dv"))
-    c = codes(reads)
+    c = codes(reads, kinds)
     number = fn.from_bits(F.col("bits"))
     c = c.withColumn("number", number).join(words, (F.col("field") == F.col("df")) & (F.col("number") == F.col("dc")) & F.col("mapped"), "left")
     first = reads.agg(F.min("read_id").alias("least"))
@@ -165,7 +170,7 @@ def decoded(reads: DataFrame) -> DataFrame:
 
 def stream_size(reads: DataFrame) -> DataFrame:
     """(n_fields, header_bits, descriptor_bits, body_bits, bytes) of the packed stream."""
-    kinds = schema(reads)
+    kinds = frozen(schema(reads))
     words = dictionary(reads, kinds).groupBy(F.col("field").alias("f")).agg(F.sum(F.length("value") + 1).alias("chars"))
     descriptor = (
         F.when(F.col("type") == "CONST", 4 + 12 + 8 * F.length("constant"))

@@ -68,14 +68,15 @@ def metadata_stream(reads: DataFrame, chunks: int = 16) -> DataFrame:
     seps = metadata.separator_counts(reads).limit(2).collect()
     if len(seps) > 1:
         raise ValueError("headers of one batch must share their separators")
-    kinds = metadata.schema(reads).orderBy("field").collect()
+    table = metadata.frozen(metadata.schema(reads))
+    kinds = table.orderBy("field").collect()
     mapped = [k.field for k in kinds if k.mapped]
     words: dict[int, list[str]] = {}
-    for r in metadata.dictionary(reads).where(F.col("field").isin(mapped)).orderBy("field", "code").collect() if mapped else []:
+    for r in metadata.dictionary(reads, table).where(F.col("field").isin(mapped)).orderBy("field", "code").collect() if mapped else []:
         words.setdefault(r.field, []).append(r.value)
     entries = reads.count()
     head = spark.createDataFrame([(0, 0, entries, bytearray(_describe(kinds, words, seps[0].separators if seps else "", entries)))], "part int, first long, entries long, data binary")
-    rows = metadata.row_codes(reads).select("read_id", "bits", (fn.chunk_of(F.col("read_id"), F.lit(max(1, entries)), chunks) + 1).alias("part"))
+    rows = metadata.row_codes(reads, table).select("read_id", "bits", (fn.chunk_of(F.col("read_id"), F.lit(max(1, entries)), chunks) + 1).alias("part"))
     dealt = rows.repartition("part").sortWithinPartitions("part", "read_id")
 
     def run(batches):

@@ -171,7 +171,7 @@ def schema_violations(spark, sf_dir) -> DataFrame:
     known = reads.where("read_id < 500")
     m = F.col("meta")
     later = reads.where("read_id >= 500").withColumn("meta", F.when(F.col("read_id") % 97 == 0, F.replace(m, F.lit("#1"), F.lit("#2"))).when(F.col("read_id") % 89 == 0, F.replace(m, F.lit(" O"), F.lit(" Q"))).otherwise(m))
-    kinds = metadata.schema(known)
+    kinds = metadata.frozen(metadata.schema(known))
     return metadata.violations(later, kinds, metadata.dictionary(known, kinds))
 
 

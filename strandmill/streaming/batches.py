@@ -49,8 +49,7 @@ class ReadBatches:
 
     def _learn_schema(self, reads: DataFrame) -> None:
         spark = reads.sparkSession
-        kinds = metadata.schema(reads)
-        self.kinds = spark.createDataFrame(kinds.collect(), kinds.schema)  # a row a field
+        self.kinds = metadata.frozen(metadata.schema(reads))
         words = metadata.dictionary(reads, self.kinds)
         mapped = self.kinds.where("mapped").select(F.col("field").alias("f"))
         small = words.join(mapped, F.col("field") == F.col("f")).drop("f")  # under a hundredth of the batch's rows
