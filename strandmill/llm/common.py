@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Java regular expression of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one key that one window numbers.
+PART_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,18 +114,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     return [rows[k] for k in sorted(rows)]
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], rows_per_part: int = 2048, total: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[Column], parts: Column) -> DataFrame:
     """Add ``rank``: 0, 1, ... within ``keys``, without bringing one key's rows together.
 
-    Rows of a key are dealt into parts by a hash of ``order``; a window numbers
-    the rows of each part, and prefix sums over the parts' counts give the
-    offset of each. The number of parts follows the number of rows, so a
-    key holding a third of all rows still leaves about ``rows_per_part`` rows
-    of it in one window. Null keys form one group.
+    Rows of a key are dealt into ``parts`` (a number that follows the key's rows) by a hash of
+    ``order``; a window numbers the rows of each part, and prefix sums over the parts' counts
+    give the offset of each. So a key holding a third of all rows still leaves few
+    rows of it in one window. Null keys form one group.
     """
-    n = df.count() if total is None else total
-    parts = max(1, -(-n // rows_per_part))
-    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.greatest(parts, F.lit(1)).cast("long")))
     within = Window.partitionBy(*keys, "_part")
     local = dealt.withColumn("_local", F.row_number().over(within.orderBy(*order)) - 1)
     counts = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, drop_table, materialize, ranked
+from .common import PART_ROWS, WORD, drop_table, materialize, ranked
 
 EXACT = "decimal(38,6)"
 
@@ -139,8 +139,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     whole = copies(cells, dual, most)
     per_source = dual.select(F.col("source").alias("_s"), "source_size", "target")
     table = materialize(whole.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_source"), F.col("size").alias("_size"), "n", "total", "source_size", "target"), "mix")
-    placed = ranked(narrow, ["source", "size"], [F.xxhash64("doc_id", "text_key"), F.col("doc_id"), F.col("text_key")])
-    joined = placed.join(table, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+    joined = narrow.join(table, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+    parts = F.ceil(F.col("n") / PART_ROWS)
+    joined = ranked(joined, ["source", "size"], [F.xxhash64("doc_id", "text_key"), F.col("doc_id"), F.col("text_key")], parts)
     each = F.expr("total div n") + F.when(F.col("rank") < F.expr("total % n"), 1).otherwise(0)
     return joined.select("doc_id", "source", "text_key", "size", "source_size", "target", each.cast("long").alias("copies"))
 

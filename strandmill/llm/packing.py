@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize, ranked
+from .common import PART_ROWS, arrow_batches, materialize, ranked
 from .tokens import default_path, encoder
 
 
@@ -172,16 +172,18 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int
 
     length = F.col("n_tokens") % window
     tails = narrow.where(length > 0).select("key", "doc_id", "n_tokens", length.alias("length"), F.element_at("crcs", -1).alias("crc"), F.expr(f"((n_tokens % {window}) + {width - 1}) div {width}").cast("int").alias("class"))
-    counted = narrow.agg(F.coalesce(F.sum(F.expr(f"n_tokens div {window}")), F.lit(0)), F.count(F.lit(1))).first()
+    spark = docs.sparkSession
+    wholes = narrow.agg(F.coalesce(F.sum(F.expr(f"n_tokens div {window}")), F.lit(0))).first()[0]
     histogram = {r[0]: r[1] for r in tails.groupBy("class").count().collect()}  # at most `classes` rows
     slots, sequences, taken = plan(histogram, classes)
-    placed = materialize(ranked(tails, ["class"], [F.xxhash64("key"), F.col("key")], total=counted[1]), "ranks")
+    table = spark.createDataFrame([(c, -(-n // PART_ROWS)) for c, n in histogram.items()], "of int, parts long")
+    dealt = tails.join(F.broadcast(table), F.col("class") == F.col("of")).drop("of")  # at most `classes` rows
+    placed = materialize(ranked(dealt, ["class"], [F.xxhash64("key"), F.col("key")], F.col("parts")).drop("parts"), "ranks")
 
-    spark = docs.sparkSession
     table = spark.createDataFrame(slots, "slot_class int, low long, high long, first long, each int, slot int")
     used = spark.createDataFrame(sorted(taken.items()) or [(0, 0)], "taken_class int, taken long")
     fits = placed.join(F.broadcast(table), (F.col("class") == F.col("slot_class")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))  # slots: bounded by the number of classes
-    fits = fits.withColumn("sequence_id", F.lit(counted[0]) + F.col("first") + F.expr("(rank - low) div each")).withColumn("place", F.expr("slot + (rank - low) % each"))
+    fits = fits.withColumn("sequence_id", F.lit(wholes) + F.col("first") + F.expr("(rank - low) div each")).withColumn("place", F.expr("slot + (rank - low) % each"))
     ahead = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     fits = fits.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)).cast("long"))
     start = (F.col("n_tokens") - F.col("length")).alias("start")
@@ -189,7 +191,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int
 
     rest = placed.join(F.broadcast(used), F.col("class") == F.col("taken_class"), "left").where("rank >= coalesce(taken, 0)")
     rest = materialize(stream(rest, window), "stream")
-    first = counted[0] + sequences
+    first = wholes + sequences
     at = F.expr(f"position % {window}")
     room = F.lit(window) - at
     uncut = rest.where(F.col("length") <= room).select("key", "doc_id", start, "length", F.col("crc").alias("ids_crc32"), F.col("n_tokens").alias("doc_tokens"), (F.lit(first) + F.expr(f"position div {window}")).cast("long").alias("sequence_id"), at.cast("long").alias("offset"))
@@ -209,7 +211,7 @@ def encoder_is_wide(path: str, end_id: int) -> bool:
     return max(encoder(path).tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
 
 
-def stream(rest: DataFrame, window: int, rows_per_part: int = 2048) -> DataFrame:
+def stream(rest: DataFrame, window: int, rows_per_part: int = PART_ROWS) -> DataFrame:
     """Adds ``position``: ids of all pieces before this one, longest class first, by rank; sums over parts of a class."""
     dealt = rest.withColumn("_part", F.expr(f"rank div {rows_per_part}"))
     sums = dealt.groupBy("class", "_part").agg(F.sum("length").alias("n"))
