@@ -54,3 +54,23 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and left_words >= cast(0.6 as double) * n as kept,
   cast(left_words as bigint) as n_words_left, failed_lines as n_failed_lines
 from b join v on b.k = v.k"""
+
+
+#: Sentences by marking their ends; runs of three as lists of words; the smallest doc_id that holds a run keeps it.
+OP6_SUBSTRING = r"""
+with d as (select row_number() over () as k, doc_id, text from documents),
+p0 as (select k, unnest(range(len(s))) as i, unnest(s) as piece from (select k, string_split(regexp_replace(text, '([.!?][^\S\n]+|\n+)', '\1' || chr(1), 'g'), chr(1)) as s from d where text <> '')),
+p1 as (select * from p0 where piece <> ''),
+own as (select *, sum(case when regexp_matches(piece, '\S') then 1 else 0 end) over (partition by k order by i) as g from p1),
+p2 as (select k, g, string_agg(piece, '' order by i) as piece, any_value(piece) filter (regexp_matches(piece, '\S')) as main from own group by k, g),
+p3 as (select k, g, j, part from (select k, g, case when len(regexp_extract_all(coalesce(main, ''), '\S+')) <= 24 then [piece] else regexp_extract_all(piece, '^\s*(?:\S+\s*){1,24}|(?:\S+\s*){1,24}') end as parts, unnest(range(len(parts))) as j, unnest(parts) as part from p2)),
+s as (select k, row_number() over (partition by k order by g, j) as i, part, regexp_extract_all(part, '\S+') as w from p3),
+r as (select k, i, array_to_string(w, ' ') || chr(1) || array_to_string(lead(w, 1) over o, ' ') || chr(1) || array_to_string(lead(w, 2) over o, ' ') as run, len(w) + len(lead(w, 1) over o) + len(lead(w, 2) over o) as n, count(*) over (partition by k) as total from s window o as (partition by k order by i)),
+u as (select r.k, r.i, run, doc_id from r join d on d.k = r.k where i <= total - 2 and n >= 10),
+m as (select run, min(doc_id) as first from u group by run),
+x as (select u.k, u.i from u join m on m.run = u.run where u.doc_id > first or first is not null and u.doc_id is null union select k, i from u qualify row_number() over (partition by k, run order by i) > 1),
+gone as (select distinct k, i + t as i from x, range(3) y(t)),
+t as (select s.k, s.i, part, gone.i is not null as out, gone.i is not null and not coalesce(lag(gone.i is not null) over (partition by s.k order by s.i), false) as opens from s left join gone on gone.k = s.k and gone.i = s.i)
+select doc_id, case when any_value(text) is null then null else coalesce(string_agg(part, '' order by i) filter (not out), '') end as text, count(i) as n_sentences,
+  coalesce(cast(sum(case when out then 1 else 0 end) as bigint), 0) as n_removed, coalesce(cast(sum(case when opens then 1 else 0 end) as bigint), 0) as n_removed_ranges
+from d left join t on t.k = d.k group by d.k, doc_id"""

@@ -6,7 +6,7 @@ from .chat import op4_chat
 from .line_rules import op7_line_rules
 from .mixing import op5_mixing
 from .mpeg import op9_mpeg
-from .oracles import OP4_CHAT, OP7_LINE_RULES
+from .oracles import OP4_CHAT, OP6_SUBSTRING, OP7_LINE_RULES
 from .orc_tokens import op2_orc_tokens
 from .packing import op8_packing
 from .quality import op3_quality
@@ -29,5 +29,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op4_chat": OP4_CHAT,
+    "op6_substring": OP6_SUBSTRING,
     "op7_line_rules": OP7_LINE_RULES,
 }

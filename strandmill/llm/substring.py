@@ -64,7 +64,7 @@ def runs(pieces: list[tuple[int, int, int, bytes]], run: int, least: int) -> lis
 
 
 def _spans(docs: DataFrame, run: int, least: int) -> DataFrame:
-    """(doc_id, h1, h2): the distinct runs of each row."""
+    """(doc_id, text_key, h1, h2): the distinct runs of each row; text_key tells rows of one doc_id apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make(batches):
@@ -76,17 +76,17 @@ def _spans(docs: DataFrame, run: int, least: int) -> DataFrame:
                     hashes += mine
                     row += [i] * len(mine)
             h = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-            ids = batch.column("doc_id").take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["doc_id", "h1", "h2"])
+            ids, keys = (batch.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "text_key"))
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["doc_id", "text_key", "h1", "h2"])
 
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(make, f"doc_id {kind}, h1 long, h2 long")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
+    return texts.mapInArrow(make, f"doc_id {kind}, text_key long, h1 long, h2 long")
 
 
-def cleaned(text: str | None, later: set[int], run: int, least: int) -> tuple[str | None, int, list[tuple[int, int]]]:
-    """(text without the sentences of repeated runs, sentences, removed ranges). ``later``: first hash halves of runs to remove."""
+def cleaned(text: str | None, later: set[int], run: int, least: int) -> tuple[str | None, int, int, list[tuple[int, int]]]:
+    """(text without the sentences of repeated runs, sentences, removed ones, their ranges). ``later``: first hash halves of runs to remove."""
     if not text:
-        return text, 0, []
+        return text, 0, 0, []
     pieces = sentences(text)
     seen, gone = set(), np.zeros(len(pieces), bool)
     for i, h in runs(pieces, run, least):
@@ -94,7 +94,7 @@ def cleaned(text: str | None, later: set[int], run: int, least: int) -> tuple[st
             gone[i : i + run] = True
         seen.add(h)
     if not gone.any():
-        return text, len(pieces), []
+        return text, len(pieces), 0, []
     ranges: list[tuple[int, int]] = []
     for i in np.flatnonzero(gone):
         a, b = pieces[i][:2]
@@ -102,11 +102,11 @@ def cleaned(text: str | None, later: set[int], run: int, least: int) -> tuple[st
             ranges[-1] = (ranges[-1][0], b)
         else:
             ranges.append((a, b))
-    return "".join(text[p[0] : p[1]] for p, g in zip(pieces, gone) if not g), len(pieces), ranges
+    return "".join(text[p[0] : p[1]] for p, g in zip(pieces, gone) if not g), len(pieces), int(gone.sum()), ranges
 
 
 def dedup(docs: DataFrame, run: int = 3, least: int = 10) -> DataFrame:
-    """Every row of ``docs`` with its cleaned text, and _sentences, _removed (character ranges of the old text).
+    """Every row of ``docs`` with its cleaned text, and _sentences, _n_removed of them, _removed (character ranges of the old text).
 
     Rows with one doc_id count as one document and keep what they share. Rows without an id
     are the last document. Null texts stay null, and texts that are repeats from start to
@@ -117,26 +117,27 @@ def dedup(docs: DataFrame, run: int = 3, least: int = 10) -> DataFrame:
     first = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("top"), F.max(last).alias("none"))
     first = first.where("first is not null and (top > first or none)").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "first")
     later = spans.join(first, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).where(last | (F.col("doc_id") > F.col("first")))
-    lists = materialize(later.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h1").alias("_later")), "repeats")  # a document's own runs
-    joined = docs.join(lists, docs["doc_id"].eqNullSafe(F.col("_id")), "left").drop("_id")
+    lists = materialize(later.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("h1").alias("_later")), "repeats")  # a text's own runs
+    joined = docs.join(lists, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left").drop("_id", "_key")
     names = [f.name for f in docs.schema.fields]
     place = names.index("text")
     ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def make(batches):
         for batch in arrow_batches(batches, 256, "text"):
-            texts, counts, gone = [], [], []
+            texts, counts, lost, gone = [], [], [], []
             for text, later in zip(batch.column("text").to_pylist(), batch.column("_later").to_pylist()):
-                new, n, removed = cleaned(text, set(later or ()), run, least)
+                new, n, out, removed = cleaned(text, set(later or ()), run, least)
                 texts.append(new)
                 counts.append(n)
+                lost.append(out)
                 gone.append([{"start": a, "end": b} for a, b in removed])
             columns = list(batch.columns[: len(names)])
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, ranges)], names=[*names, "_sentences", "_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(gone, ranges)], names=[*names, "_sentences", "_n_removed", "_removed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.select(*(F.col(f"`{n}`") for n in names), "_later").mapInArrow(make, schema + ", `_sentences` long, `_removed` array<struct<start: long, end: long>>")
+    return joined.select(*(F.col(f"`{n}`") for n in names), "_later").mapInArrow(make, schema + ", `_sentences` long, `_n_removed` long, `_removed` array<struct<start: long, end: long>>")
 
 
 def clean_documents(docs: DataFrame, run: int = 3, least: int = 10) -> DataFrame:
@@ -151,4 +152,4 @@ def clean_documents(docs: DataFrame, run: int = 3, least: int = 10) -> DataFrame
 
 def op6_substring(spark, sf_dir: str) -> DataFrame:
     found = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "text", F.col("_sentences").alias("n_sentences"), F.size("_removed").cast("long").alias("n_removed_ranges"), F.col("_removed").alias("removed"))
+    return found.select("doc_id", "text", F.col("_sentences").alias("n_sentences"), F.col("_n_removed").alias("n_removed"), F.size("_removed").cast("long").alias("n_removed_ranges"))
