@@ -11,6 +11,7 @@ import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -70,6 +71,18 @@ def crc_of_ids(ids) -> int:
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
 
 
+def enclosed(docs: DataFrame, *known: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` as its ``known`` columns and one struct of all others, and a function that takes a result back to the
+    old columns in their order. So no name of an extra column can clash with an operator's own.
+    """
+    columns = docs.columns
+    own = [c for c in known if c in columns]
+    others = [c for c in columns if c not in own]
+    extra = F.struct(*(docs[f"`{c}`"] for c in others)) if others else F.lit(None).cast("string")
+    back = lambda df: df.select(*(F.col(c) if c in own else F.col("_extra").getField(c).alias(c) for c in columns))
+    return docs.select(*own, extra.alias("_extra")), back
+
+
 def arrow_batches(batches, rows: int = 256, text: str | None = None, limit: int = 8 << 20):
     """Slices of at most ``rows`` rows and, unless one row is longer, ``limit`` bytes of column ``text``."""
     for batch in batches:

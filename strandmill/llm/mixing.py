@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PART_ROWS, WORD, drop_table, materialize, ranked
+from .common import PART_ROWS, WORD, drop_table, enclosed, materialize, ranked
 
 EXACT = "decimal(38,6)"
 
@@ -148,18 +148,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it."""
-    plan = mix(docs, weights, share, most)
+    inner, back = enclosed(docs, "doc_id", "text", "source")
+    plan = mix(inner, weights, share, most)
     taken = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key")).agg(F.sum("copies").alias("_n"), F.count(F.lit(1)).alias("_rows")).where("_n > 0")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].cast("string").eqNullSafe(F.col("_source")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    joined = docs.join(taken, same)
+    same = inner["doc_id"].eqNullSafe(F.col("_id")) & inner["source"].cast("string").eqNullSafe(F.col("_source")) & (F.xxhash64(inner["text"]) == F.col("_key"))
+    joined = inner.join(taken, same)
     # Equal rows share their copies: each carries the whole part, and the first of them the remainder.
     one = joined.where("_rows = 1").withColumn("_each", F.col("_n"))
     several = joined.where("_rows > 1")
     if several.limit(1).count():
         number = F.row_number().over(Window.partitionBy("_id", "_source", "_key").orderBy(F.lit(0)))
         several = several.withColumn("_at", number).withColumn("_each", F.expr("_n div _rows") + F.when(F.col("_at") <= F.expr("_n % _rows"), 1).otherwise(0)).drop("_at")
-        one = one.unionByName(several)
-    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))).where("_each > 0").select(*docs.columns)
+        one = one.unionByName(several.where("_each > 0"))
+    return back(one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

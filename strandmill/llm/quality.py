@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_batches, held_out, training_sample
+from .common import arrow_batches, enclosed, held_out, training_sample
 
 BITS = 16
 RUNS = (3, 5)
@@ -120,7 +121,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """(row of ``docs``, score): every input column and the probability of label 1; null and empty texts get the bias."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 3 * 2**BITS numbers
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", `_score` double"
+    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
 
     def run(batches):
         weights, bias = shared.value
@@ -139,8 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 4000, longest: int =
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """``docs`` without the rows that score below ``least``."""
-    found = score(docs, train(docs, labels))
-    return found.where(F.col("_score") >= least).drop("_score")
+    inner, back = enclosed(docs, "doc_id", "text")
+    return back(score(inner, train(docs, labels)).where(F.col("_score") >= least))
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

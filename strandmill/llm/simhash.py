@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize
+from .common import arrow_batches, enclosed, materialize
 from .components import components
 
 LOW = 0x5555555555555555
@@ -146,13 +146,14 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     Where several rows of a component carry that id, the one with the smallest text
     hash stays; of equal rows, one. A component without any id keeps one row.
     """
-    found = near_duplicates(docs, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    inner, back = enclosed(docs, "doc_id", "text")
+    found = near_duplicates(inner, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     best = found.groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("k"), F.count(F.lit(1)).alias("n"))
     keep = best.groupBy(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key")).agg(F.max("n").alias("_n"))
-    joined = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")))
-    single = joined.where("_n = 1").drop("_id", "_key", "_n")
-    several = joined.where("_n > 1").dropDuplicates(["_id", "_key"]).drop("_id", "_key", "_n")
-    return single.unionByName(several)
+    joined = inner.join(keep, inner["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(inner["text"]) == F.col("_key")))
+    single = joined.where("_n = 1")
+    several = joined.where("_n > 1").dropDuplicates(["_id", "_key"])
+    return back(single.unionByName(several))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_batches, materialize
+from .common import arrow_batches, enclosed, materialize
 
 #: A sentence ends after . ! or ? and the white space behind it, or after a line feed.
 ENDS = re.compile(r"[.!?][^\S\n]+|\n+")
@@ -110,7 +111,7 @@ def dedup(docs: DataFrame, run: int = 3, least: int = 10) -> DataFrame:
 
     Rows with one doc_id count as one document and keep what they share. Rows without an id
     are the last document. Null texts stay null, and texts that are repeats from start to
-    end become empty. Extra columns pass through.
+    end become empty. Extra columns pass through; ``clean_documents`` takes them with any names.
     """
     spans = materialize(_spans(docs, run, least), "runs")
     last = F.col("doc_id").isNull()
@@ -136,18 +137,20 @@ def dedup(docs: DataFrame, run: int = 3, least: int = 10) -> DataFrame:
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(gone, ranges)], names=[*names, "_sentences", "_n_removed", "_removed"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.select(*(F.col(f"`{n}`") for n in names), "_later").mapInArrow(make, schema + ", `_sentences` long, `_n_removed` long, `_removed` array<struct<start: long, end: long>>")
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    more = [T.StructField("_sentences", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_removed", T.ArrayType(span))]
+    return joined.select(*(F.col(f"`{n}`") for n in names), "_later").mapInArrow(make, T.StructType([*docs.schema.fields, *more]))
 
 
 def clean_documents(docs: DataFrame, run: int = 3, least: int = 10) -> DataFrame:
     """``docs`` with cleaned texts and their n_chars; a document of which nothing is left goes."""
-    found = dedup(docs, run, least)
+    inner, back = enclosed(docs, "doc_id", "text", "n_chars")
+    found = dedup(inner, run, least)
     found = found.where((F.size("_removed") == 0) | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
         changed = F.when(F.size("_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
         found = found.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    return back(found)
 
 
 def op6_substring(spark, sf_dir: str) -> DataFrame:
