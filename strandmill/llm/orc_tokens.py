@@ -49,8 +49,9 @@ def write(docs: DataFrame, out: str, path: str, end_id: int | None = 0, stride:
     Null ids come first; rows of one id follow the hash of their text. Extra columns
     are not written. Writing is a normal committed Spark job: lost executors repeat tasks.
     """
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    dealt = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_key"), F.col("_row")]
+    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_key"), F.monotonically_increasing_id().alias("_row"))
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)  # _row splits any number of equal rows
     options = {
         "compression": "zstd",
         "orc.create.index": "true",
