@@ -8,7 +8,7 @@ same index in numpy arrays for lookups inside a task.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases as fn
@@ -31,13 +31,15 @@ def positions(ref: DataFrame) -> DataFrame:
     return ref.select(F.posexplode(F.split(text, "")).alias("pos", "base")).where(F.length("base") == 1).select(F.col("pos").cast("long").alias("pos"), "base")
 
 
-def _ordered(rows: DataFrame, keys: list[str], into: str, parts: int = 64) -> DataFrame:
-    """Dense ranks of ``keys`` from 0: ranges are ranked apart, then shifted by the groups in the ranges before."""
-    dealt = rows.repartitionByRange(parts, *keys).withColumn("_p", F.spark_partition_id())
+def _ordered(rows: DataFrame, keys: list[str], into: str, part: Column) -> DataFrame:
+    """Dense ranks of ``keys`` from 0. ``part`` rises with the keys: its groups are ranked apart, then shifted by the groups
+    before. It is a function of the row alone, so a repeated task ranks alike.
+    """
+    dealt = rows.withColumn("_p", part)
     local = dealt.withColumn("_r", F.dense_rank().over(Window.partitionBy("_p").orderBy(*keys)))
     groups = local.groupBy("_p").agg(F.max("_r").alias("_n"))
-    before = groups.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a range
-    return local.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn(into, (F.col("_b") + F.col("_r") - 1).cast("long")).drop("_p", "_r", "_q", "_b")
+    before = groups.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a part
+    return local.join(before, F.col("_p") == F.col("_q")).withColumn(into, (F.col("_b") + F.col("_r") - 1).cast("long")).drop("_p", "_r", "_q", "_b")
 
 
 def suffix_array(ref: DataFrame, start: int = 16, checkpoint: bool = True) -> DataFrame:
@@ -47,7 +49,7 @@ def suffix_array(ref: DataFrame, start: int = 16, checkpoint: bool = True) -> Da
         checkpoint = False
     text = F.concat("ref", F.lit("$"))
     grams = ref.select(F.posexplode(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(start)))).alias("pos", "gram"))
-    ranks = _ordered(grams, ["gram"], "rank").select(F.col("pos").cast("long").alias("pos"), "rank")
+    ranks = _ordered(grams, ["gram"], "rank", F.substr("gram", F.lit(1), F.lit(5))).select(F.col("pos").cast("long").alias("pos"), "rank")
     k = start
     while True:
         ranks = ranks.checkpoint() if checkpoint else ranks.cache()
@@ -56,7 +58,7 @@ def suffix_array(ref: DataFrame, start: int = 16, checkpoint: bool = True) -> Da
             return ranks.select(F.col("rank").alias("row"), "pos")
         ahead = ranks.select((F.col("pos") - k).alias("at"), F.col("rank").alias("then"))
         pairs = ranks.join(ahead, F.col("pos") == F.col("at"), "left").select("pos", "rank", F.coalesce("then", F.lit(-1)).alias("then"))
-        ranks = _ordered(pairs, ["rank", "then"], "next").select("pos", F.col("next").alias("rank"))
+        ranks = _ordered(pairs, ["rank", "then"], "next", F.floor(F.col("rank") / 4096)).select("pos", F.col("next").alias("rank"))
         k *= 2
 
 

@@ -49,13 +49,18 @@ def write(reads: DataFrame, path: str, parts: int | None = None) -> None:
     dealt.sortWithinPartitions("read_id").select("record").write.text(path)
 
 
-def numbered(reads: DataFrame) -> DataFrame:
-    """``reads`` of the source below with read_id, contiguous in order of file and offset; sums over ranges, no single task."""
-    dealt = reads.repartitionByRange("file", "offset").withColumn("_p", F.spark_partition_id())
-    local = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("file", "offset")) - 1)
-    counts = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a range
-    return local.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn("read_id", F.col("_r") + F.col("_b")).drop("_p", "_r", "_q", "_b")
+def numbered(reads: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """``reads`` of the source below with read_id, contiguous in order of file and offset.
+
+    Reads are numbered inside blocks of bytes, which depend on the offsets alone; the counts
+    of the blocks before are added.
+    """
+    dealt = reads.withColumn("_p", F.floor(F.col("offset") / block))
+    local = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("file", "_p").orderBy("offset")) - 1)
+    counts = reads.groupBy(F.col("file").alias("_f"), F.floor(F.col("offset") / block).alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_f", "_q", F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a block
+    joined = local.join(before, (F.col("file") == F.col("_f")) & (F.col("_p") == F.col("_q")))
+    return joined.withColumn("read_id", F.col("_r") + F.col("_b")).drop("_p", "_r", "_f", "_q", "_b")
 
 
 class Split(InputPartition):

@@ -134,6 +134,15 @@ def test_suffix_array_of_repetitive_text(spark):
         assert [p for _, p in rows] == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffix_array_of_a_longer_text(spark):
+    """Over several parts and rounds."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("ACGT") for _ in range(9000)) + "ACGTTGCA" * 60
+    rows = sorted(map(tuple, index.suffix_array(spark.createDataFrame([(text,)], "ref string"), start=8).collect()))
+    s = text + "$"
+    assert [p for _, p in rows] == sorted(range(len(s)), key=lambda i: s[i:]) and [r for r, _ in rows] == list(range(len(s)))
+
+
 def plain_greedy(text, seq):
     """The rule on strings: reads from right to left, the greatest suffix among several."""
     suffixes = sorted(range(len(text) + 1), key=lambda i: text[i:] + "$")

@@ -33,7 +33,7 @@ def test_source_and_writer(spark, tmp_path):
     path = tmp_path / "reads.fastq"
     path.write_text(body)
     spark.dataSource.register(FastqSource)
-    reads = numbered(spark.read.format("fastq").option("splitBytes", 4096).load(str(path)))
+    reads = numbered(spark.read.format("fastq").option("splitBytes", 4096).load(str(path)), block=1000)
     got = reads.orderBy("read_id").collect()
     assert [r.read_id for r in got] == list(range(500))
     assert [(r.meta, r.seq, r.strand, r.repeated, r.qual) for r in got] == rows
