@@ -11,7 +11,7 @@ from .orc_tokens import op2_orc_tokens
 from .packing import op8_packing
 from .quality import op3_quality
 from .simhash import op10_simhash
-from .substring import op6_substring
+from .substring import op6_substring, op6_substring_whole
 from .toxicity import op1_toxicity
 
 QUERIES = {
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op2_orc_tokens": op2_orc_tokens,
     "op10_simhash": op10_simhash,
+    "op6_substring_whole": op6_substring_whole,
 }
 
 ORACLES: dict[str, str] = {

@@ -10,11 +10,16 @@ Each document sends a run once. Hashes are counted with map-side aggregation, so
 run that a third of all documents share is one row a task; the join back to
 documents has one row a hash on the other side, and Spark can split its large
 partitions.
+
+With ``whole``, documents also send runs of ``GRAM`` words that the words themselves choose: of
+each ``WINDOW`` runs in a row the one with the smallest hash. Equal passages of ``GRAM + WINDOW - 1``
+words choose a common run wherever they stand in their sentences, and what such runs cover goes too.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,10 @@ from .common import arrow_batches, enclosed, materialize
 ENDS = re.compile(r"[.!?][^\S\n]+|\n+")
 WORDS = re.compile(r"\S+\s*")
 LONGEST = 24
+GRAM, WINDOW = 32, 16
+#: Factor of the rolling hash (odd, so that it has an inverse), and what mixes its bits.
+BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xFF51AFD7ED558CCD)
+TOKENS = re.compile(r"\S+")
 
 
 def sentences(text: str) -> list[tuple[int, int, int, bytes]]:
@@ -64,7 +73,27 @@ def runs(pieces: list[tuple[int, int, int, bytes]], run: int, least: int) -> lis
     return [(i, digest(b"".join([p[3] for p in pieces[i : i + run]]))) for i in range(len(pieces) - run + 1) if sum(p[2] for p in pieces[i : i + run]) >= least]
 
 
-def _spans(docs: DataFrame, run: int, least: int) -> DataFrame:
+def grams(words: list[str]) -> list[tuple[int, bytes]]:
+    """(first word, hash) of the chosen runs of ``GRAM`` words, in order; a run is chosen by no more than the ``WINDOW - 1`` runs on each side."""
+    n = len(words) - GRAM + 1
+    if n < 1:
+        return []
+    digest = xxhash.xxh3_128_digest
+    w = np.frombuffer(b"".join([digest(x) for x in words]), "<u8").reshape(-1, 2)
+    power = np.cumprod(np.full(len(words), BASE, np.uint64))[:, None]
+    back = np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), np.uint64))[:, None]
+    sums = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(w * power, axis=0)])
+    h = (sums[GRAM:] - sums[:-GRAM]) * back
+    h = (h ^ h >> np.uint64(32)) * MIX
+    h ^= h >> np.uint64(29)
+    size = min(WINDOW, n)
+    near = np.lib.stride_tricks.sliding_window_view(h[:, 0], size)
+    at = np.unique(np.arange(len(near)) + size - 1 - near[:, ::-1].argmin(axis=1))  # the last of equal ones
+    raw = h[at].astype("<u8").tobytes()
+    return [(i, raw[16 * j : 16 * j + 16]) for j, i in enumerate(at.tolist())]
+
+
+def _spans(docs: DataFrame, run: int, least: int, whole: bool) -> DataFrame:
     """(doc_id, text_key, h1, h2): the distinct runs of each row; text_key tells rows of one doc_id apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -74,6 +103,8 @@ def _spans(docs: DataFrame, run: int, least: int) -> DataFrame:
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if text:
                     mine = {h for _, h in runs(sentences(text), run, least)}
+                    if whole:
+                        mine.update(h for _, h in grams(TOKENS.findall(text)))
                     hashes += mine
                     row += [i] * len(mine)
             h = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
@@ -84,8 +115,20 @@ def _spans(docs: DataFrame, run: int, least: int) -> DataFrame:
     return texts.mapInArrow(make, f"doc_id {kind}, text_key long, h1 long, h2 long")
 
 
-def cleaned(text: str | None, later: set[int], run: int, least: int) -> tuple[str | None, int, int, list[tuple[int, int]]]:
-    """(text without the sentences of repeated runs, sentences, removed ones, their ranges). ``later``: first hash halves of runs to remove."""
+def _repeated_grams(text: str, later: set[int]) -> list[tuple[int, int]]:
+    """Ranges of chosen word runs that are in ``later`` or stand, not overlapping, earlier in the text."""
+    seen: dict[bytes, int] = {}
+    gone = [i for i, h in grams(TOKENS.findall(text)) if i >= seen.setdefault(h, i) + GRAM or int.from_bytes(h[:8], "little", signed=True) in later]
+    if not gone:
+        return []
+    starts = [m.start() for m in TOKENS.finditer(text)] + [len(text)]
+    return [(starts[i], starts[i + GRAM]) for i in gone]
+
+
+def cleaned(text: str | None, later: set[int], run: int, least: int, whole: bool = False) -> tuple[str | None, int, int, list[tuple[int, int]]]:
+    """(text without the sentences of repeated runs, sentences, removed ones, their ranges). ``later``: first hash halves of runs to remove.
+    With ``whole``, sentences of which a part goes count as removed.
+    """
     if not text:
         return text, 0, 0, []
     pieces = sentences(text)
@@ -94,26 +137,31 @@ def cleaned(text: str | None, later: set[int], run: int, least: int) -> tuple[st
         if h in seen or int.from_bytes(h[:8], "little", signed=True) in later:
             gone[i : i + run] = True
         seen.add(h)
-    if not gone.any():
+    parts = [pieces[i][:2] for i in np.flatnonzero(gone)]
+    if whole:
+        parts = sorted(parts + _repeated_grams(text, later))
+    if not parts:
         return text, len(pieces), 0, []
     ranges: list[tuple[int, int]] = []
-    for i in np.flatnonzero(gone):
-        a, b = pieces[i][:2]
-        if ranges and ranges[-1][1] == a:
-            ranges[-1] = (ranges[-1][0], b)
+    for a, b in parts:
+        if ranges and ranges[-1][1] >= a:
+            ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
         else:
             ranges.append((a, b))
-    return "".join(text[p[0] : p[1]] for p, g in zip(pieces, gone) if not g), len(pieces), int(gone.sum()), ranges
+    kept = "".join(text[a:b] for a, b in zip([0, *(b for _, b in ranges)], [*(a for a, _ in ranges), len(text)]))
+    ends = [b for _, b in ranges]
+    hit = sum((k := bisect_right(ends, p[0])) < len(ends) and ranges[k][0] < p[1] for p in pieces)
+    return kept, len(pieces), hit, ranges
 
 
-def dedup(docs: DataFrame, run: int = 3, least: int = 10) -> DataFrame:
+def dedup(docs: DataFrame, run: int = 3, least: int = 10, whole: bool = False) -> DataFrame:
     """Every row of ``docs`` with its cleaned text, and _sentences, _n_removed of them, _removed (character ranges of the old text).
 
     Rows with one doc_id count as one document and keep what they share. Rows without an id
     are the last document. Null texts stay null, and texts that are repeats from start to
     end become empty. Extra columns pass through; ``clean_documents`` takes them with any names.
     """
-    spans = materialize(_spans(docs, run, least), "runs")
+    spans = materialize(_spans(docs, run, least, whole), "runs")
     last = F.col("doc_id").isNull()
     first = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("top"), F.max(last).alias("none"))
     first = first.where("first is not null and (top > first or none)").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "first")
@@ -128,7 +176,7 @@ def dedup(docs: DataFrame, run: int = 3, least: int = 10) -> DataFrame:
         for batch in arrow_batches(batches, 256, "text"):
             texts, counts, lost, gone = [], [], [], []
             for text, later in zip(batch.column("text").to_pylist(), batch.column("_later").to_pylist()):
-                new, n, out, removed = cleaned(text, set(later or ()), run, least)
+                new, n, out, removed = cleaned(text, set(later or ()), run, least, whole)
                 texts.append(new)
                 counts.append(n)
                 lost.append(out)
@@ -142,10 +190,10 @@ def dedup(docs: DataFrame, run: int = 3, least: int = 10) -> DataFrame:
     return joined.select(*(F.col(f"`{n}`") for n in names), "_later").mapInArrow(make, T.StructType([*docs.schema.fields, *more]))
 
 
-def clean_documents(docs: DataFrame, run: int = 3, least: int = 10) -> DataFrame:
+def clean_documents(docs: DataFrame, run: int = 3, least: int = 10, whole: bool = False) -> DataFrame:
     """``docs`` with cleaned texts and their n_chars; a document of which nothing is left goes."""
     inner, back = enclosed(docs, "doc_id", "text", "n_chars")
-    found = dedup(inner, run, least)
+    found = dedup(inner, run, least, whole)
     found = found.where((F.size("_removed") == 0) | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
         changed = F.when(F.size("_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
@@ -153,6 +201,14 @@ def clean_documents(docs: DataFrame, run: int = 3, least: int = 10) -> DataFrame
     return back(found)
 
 
-def op6_substring(spark, sf_dir: str) -> DataFrame:
-    found = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def _counted(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "text", F.col("_sentences").alias("n_sentences"), F.col("_n_removed").alias("n_removed"), F.size("_removed").cast("long").alias("n_removed_ranges"))
+
+
+def op6_substring(spark, sf_dir: str) -> DataFrame:
+    return _counted(dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def op6_substring_whole(spark, sf_dir: str) -> DataFrame:
+    """As op6_substring, whose SQL fixes its cuts, and repeated passages at any offset in their sentences."""
+    return _counted(dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=True))

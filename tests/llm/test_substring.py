@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from strandmill.llm.substring import clean_documents, dedup, op6_substring, sentences
+from strandmill.llm.substring import GRAM, WINDOW, clean_documents, dedup, grams, op6_substring, op6_substring_whole, sentences
 
 SCHEMA = "doc_id long, text string, lang string, first string, h1 int, n_chars long"
 
@@ -97,3 +97,40 @@ def test_query_on_the_small_tables(spark):
     rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet'").fetchall()
     found = op6_substring(spark, "/root/testdata/sf0.001").collect()
     assert sorted(((r.doc_id, r.text) for r in found), key=str) == brute(rows)
+
+
+def test_passages_in_the_middle_of_a_sentence_go(spark):
+    rng = random.Random(11)
+    passage = words(rng, 50)
+    rows = [(d, f"{words(rng, 3 * d + 1)} {passage} {words(rng, 40 - d)}") for d in range(24)]
+    docs = spark.createDataFrame([(d, t, "en", "x", 1, 0) for d, t in rows], SCHEMA)
+    found = {r.doc_id: r for r in dedup(docs, whole=True).collect()}
+    assert found[0].text == rows[0][1]
+    for d, t in rows[1:]:
+        (gone,) = found[d]._removed
+        at = t.index(passage)
+        assert at <= gone.start and gone.end <= at + len(passage) + 1, d  # nothing else goes
+        assert len(t[gone.start : gone.end].split()) >= GRAM and found[d]._n_removed > 0
+
+
+def test_equal_words_choose_equal_runs():
+    rng = random.Random(12)
+    passage = words(rng, 120).split()
+    inside = []
+    for before in range(30):
+        text = words(rng, before).split() + passage + words(rng, 30 - before).split()
+        first, last = before + WINDOW - 1, before + len(passage) - GRAM - WINDOW + 1
+        chosen = [(i - before, h) for i, h in grams(text) if first <= i <= last]
+        steps = [i for i, _ in chosen]
+        assert all(b - a <= WINDOW for a, b in zip(steps, steps[1:]))
+        inside.append(chosen)
+    assert inside[0] and all(x == inside[0] for x in inside)
+    assert grams(passage[: GRAM - 1]) == [] and len(grams(["la"] * 200)) and len({h for _, h in grams(["la"] * 200)}) == 1
+
+
+def test_whole_query_removes_all_that_the_other_does(spark):
+    less = {r.doc_id: r for r in op6_substring(spark, "/root/testdata/sf0.001").collect()}
+    more = {r.doc_id: r for r in op6_substring_whole(spark, "/root/testdata/sf0.001").collect()}
+    assert less.keys() == more.keys()
+    assert all(more[d].n_sentences == r.n_sentences and more[d].n_removed >= r.n_removed and len(more[d].text or "") <= len(r.text or "") for d, r in less.items())
+    assert sum(r.n_removed for r in more.values()) > sum(r.n_removed for r in less.values())
