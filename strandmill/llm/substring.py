@@ -14,12 +14,15 @@ partitions.
 With ``whole``, documents also send runs of ``GRAM`` words that the words themselves choose: of
 each ``WINDOW`` runs in a row the one with the smallest hash. Equal passages of ``GRAM + WINDOW - 1``
 words choose a common run wherever they stand in their sentences, and what such runs cover goes too.
+Runs of sentences with fewer than ``least`` words go on until they have as many, a letter
+of a script without spaces counts as a word, and that script's marks end sentences.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +40,22 @@ LONGEST = 24
 GRAM, WINDOW = 32, 16
 #: Factor of the rolling hash (odd, so that it has an inverse), and what mixes its bits.
 BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xFF51AFD7ED558CCD)
-TOKENS = re.compile(r"\S+")
+#: Letters of Chinese, Japanese, Thai, Lao, Khmer and Burmese, which put no spaces between words.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+TOKENS = re.compile(f"[{UNSPACED}]?[^\\s{UNSPACED}]+|[{UNSPACED}]")
+LETTER = re.compile(f"[{UNSPACED}]")
+WIDE_ENDS = re.compile(r"[.!?][^\S\n]+|\n+|[。！？｡][」』”’）]*[^\S\n]*")
 
 
-def sentences(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, hash) of pieces that tile the text; white space doesn't count in a hash."""
+def sentences(text: str, whole: bool = False) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, words, hash) of pieces that tile the text; white space doesn't count in a hash.
+
+    With ``whole``, marks of unspaced scripts end sentences as well, and their letters count as words.
+    """
+    whole = whole and unspaced(text)
     found = []
     at, n = 0, len(text)
-    ends = [m.end() for m in ENDS.finditer(text)]
+    ends = [m.end() for m in (WIDE_ENDS if whole else ENDS).finditer(text)]
     if not ends or ends[-1] < n:
         ends.append(n)
     for end in ends:
@@ -52,7 +63,7 @@ def sentences(text: str) -> list[tuple[int, int, int, bytes]]:
         words = part.split()
         if len(words) <= LONGEST:
             if words:
-                found.append((at, end, len(words), xxhash.xxh3_128_digest(" ".join(words))))
+                found.append((at, end, len(TOKENS.findall(part)) if whole else len(words), xxhash.xxh3_128_digest(" ".join(words))))
             elif found:  # blank: belongs to the sentence before it
                 found[-1] = (found[-1][0], end, *found[-1][2:])
             else:
@@ -62,15 +73,46 @@ def sentences(text: str) -> list[tuple[int, int, int, bytes]]:
             starts[0] = at
             for i, (a, b) in enumerate(zip(starts, [*starts[1:], end])):
                 some = words[i * LONGEST : (i + 1) * LONGEST]
-                found.append((a, b, len(some), xxhash.xxh3_128_digest(" ".join(some))))
+                found.append((a, b, len(TOKENS.findall(text, a, b)) if whole else len(some), xxhash.xxh3_128_digest(" ".join(some))))
         at = end
     return found
 
 
-def runs(pieces: list[tuple[int, int, int, bytes]], run: int, least: int) -> list[tuple[int, bytes]]:
-    """(first sentence, hash) of every run of ``run`` sentences with at least ``least`` words."""
+def runs(pieces: list[tuple[int, int, int, bytes]], run: int, least: int, whole: bool = False) -> list[tuple[int, int, bytes]]:
+    """(first sentence, the one behind the last, hash) of every run of ``run`` sentences with at least ``least`` words.
+
+    With ``whole``, a run of fewer words goes on to the sentence that reaches them.
+    """
     digest = xxhash.xxh3_128_digest
-    return [(i, digest(b"".join([p[3] for p in pieces[i : i + run]]))) for i in range(len(pieces) - run + 1) if sum(p[2] for p in pieces[i : i + run]) >= least]
+    hashes, sizes = [p[3] for p in pieces], [p[2] for p in pieces]
+    found = []
+    for i in range(len(pieces) - run + 1):
+        j = i + run
+        n = sum(sizes[i:j])
+        while whole and n < least and j < len(pieces):
+            n += sizes[j]
+            j += 1
+        if n >= least:
+            found.append((i, j, digest(b"".join(hashes[i:j]))))
+    return found
+
+
+class _Hashes(dict):
+    """128-bit hash of each word seen; forgotten as a whole when it grows too large."""
+
+    def __missing__(self, word):
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_128_digest(word)
+        return h
+
+
+_HASHES = _Hashes()
+
+
+@lru_cache(maxsize=4)
+def _powers(n: int, base: int) -> np.ndarray:
+    return np.cumprod(np.full(n, base, np.uint64))[:, None]
 
 
 def grams(words: list[str]) -> list[tuple[int, bytes]]:
@@ -78,21 +120,35 @@ def grams(words: list[str]) -> list[tuple[int, bytes]]:
     n = len(words) - GRAM + 1
     if n < 1:
         return []
-    digest = xxhash.xxh3_128_digest
-    w = np.frombuffer(b"".join([digest(x) for x in words]), "<u8").reshape(-1, 2)
-    power = np.cumprod(np.full(len(words), BASE, np.uint64))[:, None]
-    back = np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), np.uint64))[:, None]
-    sums = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(w * power, axis=0)])
-    h = (sums[GRAM:] - sums[:-GRAM]) * back
+    w = np.frombuffer(b"".join(map(_HASHES.__getitem__, words)), "<u8").reshape(-1, 2)
+    size = max(4096, 1 << len(words).bit_length())
+    sums = np.zeros((len(words) + 1, 2), np.uint64)
+    np.cumsum(w * _powers(size, BASE)[: len(words)], axis=0, out=sums[1:])
+    h = (sums[GRAM:] - sums[:-GRAM]) * _powers(size, pow(BASE, -1, 1 << 64))[:n]
     h = (h ^ h >> np.uint64(32)) * MIX
     h ^= h >> np.uint64(29)
-    size = min(WINDOW, n)
-    near = np.lib.stride_tricks.sliding_window_view(h[:, 0], size)
-    at = np.unique(np.arange(len(near)) + size - 1 - near[:, ::-1].argmin(axis=1))  # the last of equal ones
+    low = np.uint64(0xFFFFFFFF)
+    least = h[:, 0] & ~low | low - np.arange(n, dtype=np.uint64)  # the last of equal ones
+    left = min(WINDOW, n) - 1
+    k = 1
+    while left:
+        step = min(k, left)
+        least = np.minimum(least[:-step], least[step:])
+        left, k = left - step, k + step
+    at = (low - (least & low)).astype(np.int64)
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     raw = h[at].astype("<u8").tobytes()
     return [(i, raw[16 * j : 16 * j + 16]) for j, i in enumerate(at.tolist())]
 
 
+def unspaced(text: str) -> bool:
+    return not text.isascii() and LETTER.search(text) is not None
+
+
+def tokens(text: str) -> list[str]:
+    return TOKENS.findall(text) if unspaced(text) else text.split()
+
+
 def _spans(docs: DataFrame, run: int, least: int, whole: bool) -> DataFrame:
     """(doc_id, text_key, h1, h2): the distinct runs of each row; text_key tells rows of one doc_id apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -102,9 +158,9 @@ def _spans(docs: DataFrame, run: int, least: int, whole: bool) -> DataFrame:
             row, hashes = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if text:
-                    mine = {h for _, h in runs(sentences(text), run, least)}
+                    mine = {h for *_, h in runs(sentences(text, whole), run, least, whole)}
                     if whole:
-                        mine.update(h for _, h in grams(TOKENS.findall(text)))
+                        mine.update(h for _, h in grams(tokens(text)))
                     hashes += mine
                     row += [i] * len(mine)
             h = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
@@ -118,10 +174,10 @@ def _spans(docs: DataFrame, run: int, least: int, whole: bool) -> DataFrame:
 def _repeated_grams(text: str, later: set[int]) -> list[tuple[int, int]]:
     """Ranges of chosen word runs that are in ``later`` or stand, not overlapping, earlier in the text."""
     seen: dict[bytes, int] = {}
-    gone = [i for i, h in grams(TOKENS.findall(text)) if i >= seen.setdefault(h, i) + GRAM or int.from_bytes(h[:8], "little", signed=True) in later]
+    gone = [i for i, h in grams(tokens(text)) if i >= seen.setdefault(h, i) + GRAM or int.from_bytes(h[:8], "little", signed=True) in later]
     if not gone:
         return []
-    starts = [m.start() for m in TOKENS.finditer(text)] + [len(text)]
+    starts = [m.start() for m in (TOKENS if unspaced(text) else WORDS).finditer(text)] + [len(text)]
     return [(starts[i], starts[i + GRAM]) for i in gone]
 
 
@@ -131,11 +187,11 @@ def cleaned(text: str | None, later: set[int], run: int, least: int, whole: bool
     """
     if not text:
         return text, 0, 0, []
-    pieces = sentences(text)
+    pieces = sentences(text, whole)
     seen, gone = set(), np.zeros(len(pieces), bool)
-    for i, h in runs(pieces, run, least):
+    for i, j, h in runs(pieces, run, least, whole):
         if h in seen or int.from_bytes(h[:8], "little", signed=True) in later:
-            gone[i : i + run] = True
+            gone[i:j] = True
         seen.add(h)
     parts = [pieces[i][:2] for i in np.flatnonzero(gone)]
     if whole:
@@ -210,5 +266,5 @@ def op6_substring(spark, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_whole(spark, sf_dir: str) -> DataFrame:
-    """As op6_substring, whose SQL fixes its cuts, and repeated passages at any offset in their sentences."""
+    """As op6_substring, whose SQL fixes its cuts, and repeated passages at any offset in their sentences, of short lines, and without spaces."""
     return _counted(dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=True))

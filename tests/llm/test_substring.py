@@ -134,3 +134,27 @@ def test_whole_query_removes_all_that_the_other_does(spark):
     assert less.keys() == more.keys()
     assert all(more[d].n_sentences == r.n_sentences and more[d].n_removed >= r.n_removed and len(more[d].text or "") <= len(r.text or "") for d, r in less.items())
     assert sum(r.n_removed for r in more.values()) > sum(r.n_removed for r in less.values())
+
+
+def test_passages_of_short_lines_and_without_spaces_go(spark):
+    rng = random.Random(13)
+    lines = "".join(words(rng, 3) + "\n" for _ in range(20))
+    single = "".join(words(rng, 1) + "\n" for _ in range(12))
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n))
+    marked = "".join(han(12) + "。" for _ in range(5))
+    unmarked = han(60)
+    for passage, whole in ((lines, True), (single, True), (marked, True), (unmarked, False)):
+        rows = [(d, prose(rng, 4) + "\n" + (han(d + 1) + ("。" if whole else "") if passage in (marked, unmarked) else "") + passage + han(9) + "。\n" + prose(rng, 3)) for d in range(6)]
+        found = {r.doc_id: r.text for r in dedup(spark.createDataFrame([(d, t, "en", "x", 1, 0) for d, t in rows], SCHEMA), whole=True).collect()}
+        assert found[0] == rows[0][1]
+        for d, t in rows[1:]:
+            if whole:
+                assert found[d] == t.replace(passage, "")
+            else:
+                assert 32 <= len(t) - len(found[d]) <= len(passage) and passage not in found[d]
+
+
+def test_too_few_words_stay(spark):
+    text = "one two. three. four five. six seven eight."
+    rows = [(d, text, "en", "x", 1, 0) for d in (1, 2)]
+    assert [r.text for r in dedup(spark.createDataFrame(rows, SCHEMA), whole=True).collect()] == [text, text]
