@@ -256,6 +256,16 @@ def occ_lookup(spark, sf_dir) -> DataFrame:
     return index.occurrences(codes, codes.where("row % 5 = 0").select("row", ((F.col("row") * 7) % 64).cast("int").alias("code")))
 
 
+@query(
+    _BWT + ', q as (select "row", cast(("row" * 7) % 64 as integer) as code from b), u as (select "row", code, 1 as seen from b where code < 64 union all select "row", code, 0 from q), '
+    'w as (select "row", code, seen, sum(seen) over (partition by code order by "row" range between unbounded preceding and 1 preceding) as n from u) select "row", code, cast(coalesce(n, 0) as bigint) as occ from w where seen = 0'
+)
+def occ_lookup_all(spark, sf_dir) -> DataFrame:
+    """As occ_lookup, whose SQL fixes its rows, for every row of the index."""
+    codes = _bwt(spark, sf_dir)
+    return index.occurrences(codes, codes.select("row", ((F.col("row") * 7) % 64).cast("int").alias("code")))
+
+
 @query(with_tables("ref creads", "+t as (select read_id, substr(seq, 1, 3) as triple from creads) select read_id, triple, cast(case when triple not like '%N%' then 16 * (instr('ACGT', substr(triple, 1, 1)) - 1) + 4 * (instr('ACGT', substr(triple, 2, 1)) - 1) + instr('ACGT', substr(triple, 3, 1)) - 1 end as integer) as code from t"))
 def kmer_codes(spark, sf_dir) -> DataFrame:
     t = F.substr("seq", F.lit(1), F.lit(3))

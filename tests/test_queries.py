@@ -32,3 +32,22 @@ def test_query(name, spark, duck):
     assert sorted(map(tuple, found.select(*(f"`{c}`" for c in columns)).collect()), key=str) == wanted
     kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
     assert [kinds[dict(found.dtypes)[c]] for c in columns] == [str(asked.types[i]) for i in at]
+
+
+def test_every_row_of_the_index_is_asked(spark):
+    from strandmill.operators import index
+    from strandmill.sources import derived as D
+
+    ref = D.reference(spark, SF)
+    codes = [r.code for r in index.bwt(ref, index.suffix_array(ref)).orderBy("row").collect()]
+    got = {r.row: (r.code, r.occ) for r in QUERIES["occ_lookup_all"](spark, SF).collect()}
+    assert got == {i: (7 * i % 64, codes[:i].count(7 * i % 64)) for i in range(len(codes))}
+
+
+def test_reads_that_a_schema_comes_from_keep_it(spark):
+    from strandmill.operators import metadata
+    from strandmill.sources import derived as D
+
+    known = D.order_reads(spark, SF).select("read_id", "meta").where("read_id < 500")
+    kinds = metadata.frozen(metadata.schema(known))
+    assert known.count() and metadata.violations(known, kinds, metadata.dictionary(known, kinds)).count() == 0
