@@ -272,6 +272,15 @@ def kmer_codes(spark, sf_dir) -> DataFrame:
     return D.customer_reads(spark, sf_dir).select("read_id", t.alias("triple"), bases.triple_code(t).alias("code"))
 
 
+@query(with_tables("ref creads", "+p as (select read_id, seq, unnest(range(1, length(seq) - 1)) as position from creads), t as (select read_id, cast(position as integer) as position, substr(seq, position, 3) as triple from p) select read_id, position, triple, cast(case when triple not like '%N%' then 16 * (instr('ACGT', substr(triple, 1, 1)) - 1) + 4 * (instr('ACGT', substr(triple, 2, 1)) - 1) + instr('ACGT', substr(triple, 3, 1)) - 1 end as integer) as code from t"))
+def kmer_codes_all(spark, sf_dir) -> DataFrame:
+    """As kmer_codes, whose SQL fixes the first triple, for the triples at every position (from 1) of each read."""
+    reads = D.customer_reads(spark, sf_dir).where(F.length("seq") >= 3)
+    t = reads.select("read_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - 2)).alias("position"))
+    t = t.select("read_id", "position", F.substr("seq", F.col("position"), F.lit(3)).alias("triple"))
+    return t.select("read_id", "position", "triple", bases.triple_code(F.col("triple")).alias("code"))
+
+
 @query("select i as code, substr('ACGT', cast(i // 16 + 1 as integer), 1) || substr('ACGT', cast(i // 4 % 4 + 1 as integer), 1) || substr('ACGT', cast(i % 4 + 1 as integer), 1) as triple from range(64) t(i)")
 def kmer_decode(spark, sf_dir) -> DataFrame:
     return spark.range(64).select(F.col("id").alias("code"), bases.triple_of(F.col("id")).alias("triple"))

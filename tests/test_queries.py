@@ -51,3 +51,12 @@ def test_reads_that_a_schema_comes_from_keep_it(spark):
     known = D.order_reads(spark, SF).select("read_id", "meta").where("read_id < 500")
     kinds = metadata.frozen(metadata.schema(known))
     assert known.count() and metadata.violations(known, kinds, metadata.dictionary(known, kinds)).count() == 0
+
+
+def test_every_triple_of_a_read_is_coded(spark):
+    from strandmill.sources import derived as D
+
+    seqs = {r.read_id: r.seq for r in D.customer_reads(spark, SF).collect()}
+    got = sorted(map(tuple, QUERIES["kmer_codes_all"](spark, SF).select("read_id", "position", "triple", "code").collect()))
+    code = lambda t: None if "N" in t else sum("ACGT".index(b) << 4 - 2 * k for k, b in enumerate(t))
+    assert got == sorted((d, i + 1, s[i : i + 3], code(s[i : i + 3])) for d, s in seqs.items() for i in range(len(s) - 2))
