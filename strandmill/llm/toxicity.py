@@ -142,11 +142,11 @@ def fit(texts: list[str], labels: list[int], least_documents: int = 4, common: f
     return Model(float(bias), {k: float(w[i]) for k, i in known.items() if abs(w[i]) > 0.05})
 
 
-def score(docs: DataFrame, model: Model, offensive: float = 0.25, keep: int = 20) -> DataFrame:
+def score(docs: DataFrame, model: Model, offensive: float = 0.25) -> DataFrame:
     """(doc_id, score, sentences, offending, spans) for every row.
 
     ``offending`` counts the sentences that score at least ``offensive``; ``spans`` are the
-    character ranges and scores of the ``keep`` highest of them, in order of position.
+    character ranges and scores of all of them, in order of position.
     Null and empty texts score 0.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: Model, offensive: float = 0.25, keep: int = 20
                 scores.append(p)
                 counts.append(n)
                 bad.append(len(found))
-                spans.append([dict(zip(("start", "end", "score"), f)) for f in sorted(sorted(found, key=lambda f: -f[2])[:keep])])
+                spans.append([dict(zip(("start", "end", "score"), f)) for f in found])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(counts, pa.int64()), pa.array(bad, pa.int64()), pa.array(spans, pa.list_(span))], names=["doc_id", "score", "sentences", "offending", "spans"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))

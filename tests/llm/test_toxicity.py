@@ -74,6 +74,13 @@ def test_one_class_and_no_rows(spark):
     assert [r.score for r in rows][:3] == [0.0] * 3 and len(rows) == 4
 
 
+def test_every_offending_sentence_is_located(spark):
+    text = "Fine one here. So bad here! " * 60
+    (r,) = score(spark.createDataFrame([(1, text, "en", None, None)], SCHEMA), Model(-3.0, {"bad": 4.0})).collect()
+    assert (r.sentences, r.offending, len(r.spans)) == (120, 60, 60)
+    assert all(text[s.start : s.end].strip() == "So bad here!" for s in r.spans) and len({s.start for s in r.spans}) == 60
+
+
 def test_query(spark):
     rows = op1_toxicity(spark, "/root/testdata/sf0.01").toPandas()
     import zlib
