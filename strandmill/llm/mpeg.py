@@ -229,7 +229,10 @@ def _start(kbps: int) -> bytes:
 
 
 def wrap(payload: bytes, note: bytes = b"") -> bytes:
-    """A stream that holds ``payload``: an ID3v2 tag with its length and CRC-32 and ``note``, a Xing frame, then frames."""
+    """A stream that holds ``payload``: an ID3v2 tag with its length and CRC-32 and ``note``, a Xing frame, then frames.
+
+    Where the frames would end like an ID3v1 tag, an empty tag of that kind follows them.
+    """
     private = OWNER + struct.pack(">QI", len(payload), zlib.crc32(payload)) + note
     tag = b"PRIV" + _safe(len(private)) + b"\0\0" + private
     big, kbps = _ROOM[-1]
@@ -244,7 +247,8 @@ def wrap(payload: bytes, note: bytes = b"") -> bytes:
     sizes = 3 * _ROOM[-1][1]
     toc = bytes(min(255, 256 * (first + min(len(body), sizes * (len(frames) * i // 100))) // total) for i in range(100))
     table = _start(64) + b"Xing" + struct.pack(">III", 7, len(frames), total) + toc
-    return b"ID3\x04\0\0" + _safe(len(tag)) + tag + table + bytes(first - len(table)) + body
+    closing = b"TAG" + bytes(125) if body[-128:-125] == b"TAG" else b""
+    return b"ID3\x04\0\0" + _safe(len(tag)) + tag + table + bytes(first - len(table)) + body + closing
 
 
 def unwrap(media: bytes, stream: Stream | None = None) -> tuple[bytes, bytes]:

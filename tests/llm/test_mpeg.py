@@ -51,6 +51,21 @@ def test_round_trip():
         assert s.duration_us == len(s.offsets) * 24_000
 
 
+def test_payload_that_looks_like_a_tag_before_the_end():
+    for n in (64 * 15, 64 * 44, 937, 2 * 937, 3 * 937 + 75, 3 * 937 + 40):
+        bare = len(wrap(bytes(n)))
+        hits = 0
+        for at in range(max(0, n - 1100), n - 2):
+            payload = bytearray(b"x" * n)
+            payload[at : at + 3] = b"TAG"
+            media = wrap(bytes(payload), b"note")
+            hits += media[bare + 4 - 128 :][:3] == b"TAG"
+            assert unwrap(media) == (bytes(payload), b"note"), (n, at)
+            s = parse(media)
+            assert s.skipped == s.resyncs == s.bad == 0 and s.vbr["frames"] == len(s.offsets)
+        assert hits == 1, n
+
+
 def test_false_headers_inside_the_payload_do_no_harm():
     payload = (b"\xff\xfa\xe4\xc0" * 700 + b"ID3\x04TAG")[: 64 * 43]
     assert unwrap(wrap(payload))[0] == payload
