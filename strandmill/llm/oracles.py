@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .substring import BASE, CLOSERS, LONGEST, MARKS, REACH, UNSPACED, WIDE_MARKS
+
 
 def _escaped(x: str) -> str:
     """Characters of ``x`` once escaped: one more for each backslash and control string."""
@@ -56,21 +58,32 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 from b join v on b.k = v.k"""
 
 
-#: Sentences by marking their ends; runs of three as lists of words; the smallest doc_id that holds a run keeps it.
-OP6_SUBSTRING = r"""
+_S = r"\x20\x09-\x0D"
+_U = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in UNSPACED)
+_TOKEN = f"(?:[{_U}]?[^{_S}{_U}]+|[{_U}])"
+#: Words with what follows them; hashes of words by Horner's rule; cuts at smallest hashes; runs of pieces as their words; the
+#: smallest doc_id that holds a run keeps it.
+OP6_SUBSTRING = rf"""
 with d as (select row_number() over () as k, doc_id, text from documents),
-p0 as (select k, unnest(range(len(s))) as i, unnest(s) as piece from (select k, string_split(regexp_replace(text, '([.!?][^\S\n]+|\n+)', '\1' || chr(1), 'g'), chr(1)) as s from d where text <> '')),
-p1 as (select * from p0 where piece <> ''),
-own as (select *, sum(case when regexp_matches(piece, '\S') then 1 else 0 end) over (partition by k order by i) as g from p1),
-p2 as (select k, g, string_agg(piece, '' order by i) as piece, any_value(piece) filter (regexp_matches(piece, '\S')) as main from own group by k, g),
-p3 as (select k, g, j, part from (select k, g, case when len(regexp_extract_all(coalesce(main, ''), '\S+')) <= 24 then [piece] else regexp_extract_all(piece, '^\s*(?:\S+\s*){1,24}|(?:\S+\s*){1,24}') end as parts, unnest(range(len(parts))) as j, unnest(parts) as part from p2)),
-s as (select k, row_number() over (partition by k order by g, j) as i, part, regexp_extract_all(part, '\S+') as w from p3),
-r as (select k, i, array_to_string(w, ' ') || chr(1) || array_to_string(lead(w, 1) over o, ' ') || chr(1) || array_to_string(lead(w, 2) over o, ' ') as run, len(w) + len(lead(w, 1) over o) + len(lead(w, 2) over o) as n, count(*) over (partition by k) as total from s window o as (partition by k order by i)),
-u as (select r.k, r.i, run, doc_id from r join d on d.k = r.k where i <= total - 2 and n >= 10),
+p0 as (select k, unnest(range(len(s))) as i, unnest(s) as part from (select k, regexp_extract_all(text, '^[{_S}]+{_TOKEN}[{_S}]*|{_TOKEN}[{_S}]*') as s from d)),
+p1 as (select k, i, part, regexp_extract(part, '{_TOKEN}') as w from p0),
+v as (select w, list_reduce(list_transform(string_split(w, ''), lambda c: cast(ord(c) as hugeint)), lambda h, c: (h * {BASE} + c) % 18446744073709551616) as rank from (select distinct w from p1)),
+p2 as (select k, i, part, w, rank, regexp_matches(w, '([{MARKS}]|[{WIDE_MARKS}][{CLOSERS}])$') or regexp_matches(part, '\n[{_S}]*$') as ends from p1 join v using (w)),
+p3 as (select *, coalesce(sum(ends::int) over (partition by k order by i rows between unbounded preceding and 1 preceding), 0) as sentence from p2),
+p4 as (select *, row_number() over s - 1 as place, count(*) over (partition by k, sentence) as size, min(rank) over (s rows between {REACH} preceding and 1 preceding) as before, min(rank) over (s rows between 1 following and {REACH} following) as behind from p3 window s as (partition by k, sentence order by i)),
+p5 as (select *, ends or (place >= {REACH} and size - 1 - place >= {REACH} and rank < before and rank < behind) as cut from p4),
+p6 as (select *, coalesce(sum(cut::int) over (partition by k order by i rows between unbounded preceding and 1 preceding), 0) as g from p5),
+p7 as (select *, (row_number() over (partition by k, g order by i) - 1) // {LONGEST} as j from p6),
+q as (select k, row_number() over (partition by k order by g, j) as n, count(*) as words, string_agg(part, '' order by i) as piece, string_agg(w, ' ' order by i) as said from p7 group by k, g, j),
+c as (select *, sum(words) over (partition by k order by n) as upto, count(*) over (partition by k) as total from q),
+r0 as (select a.k, a.n, greatest(a.n + 2, min(b.n)) as last, a.total from c a join c b on a.k = b.k and b.n >= a.n and b.n < a.n + 25 and b.upto - a.upto + a.words >= 25 group by a.k, a.n, a.total),
+r as (select r0.k, r0.n, last, string_agg(said, ' ' order by c.n) as run from r0 join c on c.k = r0.k and c.n between r0.n and r0.last where last <= r0.total group by r0.k, r0.n, last),
+u as (select r.*, doc_id from r join d on d.k = r.k),
 m as (select run, min(doc_id) as first from u group by run),
-x as (select u.k, u.i from u join m on m.run = u.run where u.doc_id > first or first is not null and u.doc_id is null union select k, i from u qualify row_number() over (partition by k, run order by i) > 1),
-gone as (select distinct k, i + t as i from x, range(3) y(t)),
-t as (select s.k, s.i, part, gone.i is not null as out, gone.i is not null and not coalesce(lag(gone.i is not null) over (partition by s.k order by s.i), false) as opens from s left join gone on gone.k = s.k and gone.i = s.i)
-select doc_id, case when any_value(text) is null then null else coalesce(string_agg(part, '' order by i) filter (not out), '') end as text, count(i) as n_sentences,
+x as (select u.k, u.n, last from u join m on m.run = u.run where u.doc_id > first or first is not null and u.doc_id is null
+  union all select k, n, last from (select k, n, last, row_number() over (partition by k, run order by n) as again from u) where again > 1),
+gone as (select distinct k, unnest(range(n, last + 1)) as n from x),
+t as (select c.k, c.n, piece, gone.n is not null as out, gone.n is not null and not coalesce(lag(gone.n is not null) over (partition by c.k order by c.n), false) as opens from c left join gone on gone.k = c.k and gone.n = c.n)
+select doc_id, case when count(t.n) = 0 then any_value(text) else coalesce(string_agg(piece, '' order by t.n) filter (not out), '') end as text, count(t.n) as n_sentences,
   coalesce(cast(sum(case when out then 1 else 0 end) as bigint), 0) as n_removed, coalesce(cast(sum(case when opens then 1 else 0 end) as bigint), 0) as n_removed_ranges
 from d left join t on t.k = d.k group by d.k, doc_id"""

@@ -1,65 +1,132 @@
 import random
+import re
 from collections import defaultdict
 
-from strandmill.llm.substring import GRAM, WINDOW, clean_documents, dedup, grams, op6_substring, op6_substring_whole, sentences
-
-SCHEMA = "doc_id long, text string, lang string, first string, h1 int, n_chars long"
+import numpy as np
+import pytest
 
+from strandmill.llm import substring
+from strandmill.llm.substring import BASE, LONGEST, REACH, clean_documents, cleaned, dedup, op6_substring, pieces, words
 
-def brute(rows, run=3, least=10):
-    """Every run of every document as a tuple of words."""
-    cut = [[(t[a:b], tuple(t[a:b].split())) for a, b, *_ in sentences(t)] if t else None for _, t in rows]
+SCHEMA = "doc_id long, text string, lang string, first string, h1 int, n_chars long"
+LETTERS = "".join(f"{chr(a)}-{chr(b)}" for a, b in substring.UNSPACED)
+TOKEN = re.compile(f"[{LETTERS}]?[^ \t-\r{LETTERS}]+|[{LETTERS}]")
+END = re.compile("([.!?。！？｡]|[。！？｡][」』”’）])$")
+
+
+def rank(word):
+    h = 0
+    for c in word:
+        h = (h * BASE + ord(c)) % 2**64
+    return h
+
+
+def plain(text):
+    """(words, text) of each piece, by loops."""
+    found = list(TOKEN.finditer(text))
+    sentences, now = [], []
+    for i, m in enumerate(found):
+        now.append(i)
+        behind = text[m.end() : found[i + 1].start() if i + 1 < len(found) else len(text)]
+        if END.search(m[0]) or "\n" in behind:
+            sentences.append(now)
+            now = []
+    sentences += [now] if now else []
+    cut = []
+    for s in sentences:
+        r = [rank(found[i][0]) for i in s]
+        piece = []
+        for j, i in enumerate(s):
+            piece.append(i)
+            around = r[max(0, j - REACH) : j] + r[j + 1 : j + 1 + REACH]
+            if j == len(s) - 1 or (j >= REACH and len(around) == 2 * REACH and r[j] < min(around)):
+                cut += [piece[k : k + LONGEST] for k in range(0, len(piece), LONGEST)]
+                piece = []
+    starts = [0, *(found[p[0]].start() for p in cut[1:]), len(text)]
+    return [(tuple(found[i][0] for i in p), text[a:b]) for p, a, b in zip(cut, starts, starts[1:])]
+
+
+def plain_runs(cut, run, least):
+    """(first piece, last, words) of every run."""
+    for i in range(len(cut)):
+        for j in range(i + run, len(cut) + 1):
+            said = tuple(w for p, _ in cut[i:j] for w in p)
+            if len(said) >= least:
+                yield i, j, said
+                break
+
+
+def brute(rows, run=3, least=25):
+    cut = [plain(t) if t else None for _, t in rows]
     order = lambda d: (d is None, d or 0)
-    holders = defaultdict(list)
-    for (d, _), pieces in zip(rows, cut):
-        for i in range(len(pieces or []) - run + 1):
-            key = tuple(w for _, w in pieces[i : i + run])
-            if sum(map(len, key)) >= least:
-                holders[key].append(order(d))
+    holders = {}
+    for (d, _), p in zip(rows, cut):
+        for *_, said in plain_runs(p or [], run, least):
+            holders[said] = min(holders.get(said, order(d)), order(d))
     out = []
-    for (d, text), pieces in zip(rows, cut):
-        if pieces is None:
-            out.append((d, text))
-            continue
+    for (d, text), p in zip(rows, cut):
         gone, seen = set(), set()
-        for i in range(len(pieces) - run + 1):
-            key = tuple(w for _, w in pieces[i : i + run])
-            if sum(map(len, key)) >= least:
-                if min(holders[key]) < order(d) or key in seen:
-                    gone.update(range(i, i + run))
-                seen.add(key)
-        out.append((d, "".join(p for i, (p, _) in enumerate(pieces) if i not in gone)))
+        for i, j, said in plain_runs(p or [], run, least):
+            if holders[said] < order(d) or said in seen:
+                gone.update(range(i, j))
+            seen.add(said)
+        out.append((d, "".join(t for i, (_, t) in enumerate(p) if i not in gone) if gone else text))
     return sorted(out, key=str)
 
 
-def words(rng, n):
+def some(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(n))
 
 
 def prose(rng, n):
-    return "".join(words(rng, rng.choice([1, 2, 5, 9, 14, 30, 60])) + rng.choice([". ", "! ", ".\n", "\n\n", ", ok\n", "?! "]) for _ in range(n))
+    return "".join(some(rng, rng.choice([1, 2, 5, 9, 14, 30, 60])) + rng.choice([". ", "! ", ".\n", "\n\n", ", ok\n", "?! "]) for _ in range(n))
 
 
-def test_sentences_tile_the_text():
-    rng = random.Random(0)
-    for text in ["", " ", "\n\n a", "One. Two!  Three?\nFour", "3.5 is a number. yes", "x " * 100, "a\n\n\n b.\n \n", *(prose(rng, 12) for _ in range(50))]:
-        cut = sentences(text)
-        assert "".join(text[a:b] for a, b, *_ in cut) == text
-        assert [w for a, b, n, _ in cut for w in text[a:b].split()] == text.split()
-        assert all(n == len(text[a:b].split()) <= 24 for a, b, n, _ in cut)
+def han(rng, n):
+    return "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n))
 
 
-def test_matches_brute_force(spark):
-    rng = random.Random(5)
-    passages = [prose(rng, 8) for _ in range(6)]
+def odd(rng, n):
+    return "".join(rng.choice(["a", "bb", "é", " ", " ", "²", "😀", "。", "」", "字", "ไ", "가", ".", "!", " ", "  ", "\t", "\n", "\r", "\x1c", "\x85", "𠀀"]) for _ in range(n))
+
+
+def tables(rng):
+    passages = [prose(rng, 8) for _ in range(5)] + [han(rng, 70), odd(rng, 200)]
     rows = []
     for i in range(120):
-        text = prose(rng, rng.randint(0, 12))
+        text = prose(rng, rng.randint(0, 8)) if i % 4 else odd(rng, rng.randint(0, 120)) + han(rng, 9)
         for _ in range(rng.randint(0, 2)):
-            text += "\n" + rng.choice(passages) + "\n" + prose(rng, 2)
+            text += rng.choice(["\n", " "]) + rng.choice(passages) + "\n" + prose(rng, 2)
         rows.append((i, text))
-    rows += [(500 + i, passages[0]) for i in range(80)] + [(3, rows[3][1]), (3, "other"), (None, passages[1]), (None, passages[1]), (900, None), (901, ""), (902, "a b c. " * 4000)]
+    rows += [(500 + i, passages[0]) for i in range(60)] + [(3, rows[3][1]), (3, "other"), (None, passages[1]), (None, passages[1]), (900, None), (901, ""), (902, "a b c. " * 1500), (903, " \n "), (904, "la " * 900)]
     rng.shuffle(rows)
+    return rows
+
+
+def test_pieces_are_those_of_loops_and_tile_the_text():
+    rng = random.Random(0)
+    texts = ["", " ", "\n\n a", "One. Two!  Three?\nFour", "3.5 is a number. yes", "x " * 100, "a\n\n\n b.\n \n", None, *(prose(rng, 12) for _ in range(40)), *(odd(rng, 150) for _ in range(60)), han(rng, 90)]
+    found = words(texts)
+    starts = pieces(found)
+    assert np.diff(starts).max() <= LONGEST
+    for i, text in enumerate(texts):
+        mine = [np.arange(a, b) for a, b in zip(starts, starts[1:]) if found.text[a] == i]
+        want = plain(text or "")
+        assert [[int(h) for h in found.hashes[m]] for m in mine] == [[rank(w) for w in p] for p, _ in want]
+        assert "".join(t for _, t in want) == (text if want else "")
+
+
+def test_blocks_change_nothing(monkeypatch):
+    rng = random.Random(1)
+    texts = [prose(rng, 300), "short. one", odd(rng, 9000), han(rng, 5000), "x" * 9000, prose(rng, 200).replace(" ", "\n"), ("a" * 50 + "\n") * 300]
+    whole = words(texts)
+    monkeypatch.setattr(substring, "BLOCK", 4500)
+    for a, b in zip(whole, words(texts)):
+        assert (a == b).all()
+
+
+def test_matches_brute_force(spark):
+    rows = tables(random.Random(5))
     docs = spark.createDataFrame([(d, t, "en", "x", 1, 0) for d, t in rows], SCHEMA).repartition(5)
     found = dedup(docs).collect()
     assert sorted(((r.doc_id, r.text) for r in found), key=str) == brute(rows)
@@ -67,94 +134,93 @@ def test_matches_brute_force(spark):
     for d, t in rows:
         old[d].add(t)
     for r in found:
+        assert (r._n_removed > 0) == bool(r._removed)
         if r._removed:
             assert any(t and "".join(t[a:b] for a, b in zip([0, *(x.end for x in r._removed)], [*(x.start for x in r._removed), len(t)])) == r.text for t in old[r.doc_id])
 
 
-def test_long_passages_go_and_clean_documents_stay(spark):
-    rng = random.Random(8)
-    for size in (1, 2, 3, 6):  # sentences that make up a passage of 54 words
-        passage = "".join(words(rng, 54 // size) + ". " for _ in range(size)).strip()
-        clean = [(i, prose(rng, 20)) for i in range(30)]
-        rows = [(d, t + ("\n" + passage + "\n" + prose(rng, 3) if d % 5 == 0 else "")) for d, t in clean]
-        found = dict((r.doc_id, r.text) for r in dedup(spark.createDataFrame([(d, t, "en", "x", 1, 0) for d, t in rows], SCHEMA)).collect())
-        for d, t in rows:
-            assert found[d] == (t if d % 5 or d == 0 else t.replace(passage + "\n", ""))
-
-
-def test_stage_and_empty_table(spark):
-    text = "one two three four. five six seven eight. nine ten eleven twelve."
-    docs = spark.createDataFrame([(1, text, "en", "x", 1, 7), (2, text, "en", "x", 1, 7), (3, "", "en", "x", 1, 0), (4, None, None, None, None, None), (5, text + " New words are here.", "en", "x", 1, 9)], SCHEMA)
-    out = clean_documents(docs)
-    assert out.columns == docs.columns
-    assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect() if r.text is not None) == [(1, text, 7), (3, "", 0), (5, "New words are here.", 19)]
-    assert dedup(spark.createDataFrame([], SCHEMA)).count() == 0
-
-
-def test_query_on_the_small_tables(spark):
+def test_sql_matches_brute_force():
     import duckdb
+    import pyarrow as pa
 
-    rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet'").fetchall()
-    found = op6_substring(spark, "/root/testdata/sf0.001").collect()
-    assert sorted(((r.doc_id, r.text) for r in found), key=str) == brute(rows)
+    from strandmill.llm.oracles import OP6_SUBSTRING
+
+    rows = tables(random.Random(6))
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": [t for _, t in rows]}))
+    assert sorted(((r[0], r[1]) for r in con.sql(OP6_SUBSTRING).fetchall()), key=str) == brute(rows)
 
 
-def test_passages_in_the_middle_of_a_sentence_go(spark):
-    rng = random.Random(11)
-    passage = words(rng, 50)
-    rows = [(d, f"{words(rng, 3 * d + 1)} {passage} {words(rng, 40 - d)}") for d in range(24)]
-    docs = spark.createDataFrame([(d, t, "en", "x", 1, 0) for d, t in rows], SCHEMA)
-    found = {r.doc_id: r for r in dedup(docs, whole=True).collect()}
-    assert found[0].text == rows[0][1]
-    for d, t in rows[1:]:
-        (gone,) = found[d]._removed
-        at = t.index(passage)
-        assert at <= gone.start and gone.end <= at + len(passage) + 1, d  # nothing else goes
-        assert len(t[gone.start : gone.end].split()) >= GRAM and found[d]._n_removed > 0
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(20,0)"])
+def test_other_types_of_id(spark, kind):
+    rng = random.Random(9)
+    text = prose(rng, 12) + some(rng, 60)
+    docs = spark.createDataFrame([(i, text) for i in range(11, 15)], "doc_id long, text string")
+    found = dedup(docs.selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")).collect()
+    assert [str(r.doc_id) for r in found if r.text == text] == ["11"]
 
 
-def test_equal_words_choose_equal_runs():
+def test_long_passages_go_wherever_they_stand(spark):
+    rng = random.Random(8)
+    for size in (1, 2, 3, 6, 18):  # sentences that make up a passage of 54 words
+        for inside in (False, True):
+            passage = "".join(some(rng, 54 // size) + ". " for _ in range(size)).strip()
+            clean = [(i, prose(rng, 20)) for i in range(40)]
+            put = lambda d, t: f"{t} {some(rng, d + 1)} {passage} {some(rng, 50 - d)}" if inside else f"{t}\n{passage}\n{prose(rng, 3)}"
+            rows = [(d, put(d, t) if d % 5 == 0 else t) for d, t in clean]
+            found = {r.doc_id: r for r in dedup(spark.createDataFrame([(d, t, "en", "x", 1, 0) for d, t in rows], SCHEMA)).collect()}
+            for d, t in rows:
+                if d % 5 or d == 0:
+                    assert found[d].text == t
+                elif not inside:
+                    assert found[d].text == t.replace(passage + "\n", "")
+                else:
+                    (gone,) = found[d]._removed
+                    at = t.index(passage)
+                    assert at <= gone.start and gone.end <= at + len(passage) + 1  # nothing else goes
+
+
+def test_equal_words_get_equal_cuts():
     rng = random.Random(12)
-    passage = words(rng, 120).split()
+    passage = some(rng, 120).split()
     inside = []
     for before in range(30):
-        text = words(rng, before).split() + passage + words(rng, 30 - before).split()
-        first, last = before + WINDOW - 1, before + len(passage) - GRAM - WINDOW + 1
-        chosen = [(i - before, h) for i, h in grams(text) if first <= i <= last]
-        steps = [i for i, _ in chosen]
-        assert all(b - a <= WINDOW for a, b in zip(steps, steps[1:]))
-        inside.append(chosen)
-    assert inside[0] and all(x == inside[0] for x in inside)
-    assert grams(passage[: GRAM - 1]) == [] and len(grams(["la"] * 200)) and len({h for _, h in grams(["la"] * 200)}) == 1
-
-
-def test_whole_query_removes_all_that_the_other_does(spark):
-    less = {r.doc_id: r for r in op6_substring(spark, "/root/testdata/sf0.001").collect()}
-    more = {r.doc_id: r for r in op6_substring_whole(spark, "/root/testdata/sf0.001").collect()}
-    assert less.keys() == more.keys()
-    assert all(more[d].n_sentences == r.n_sentences and more[d].n_removed >= r.n_removed and len(more[d].text or "") <= len(r.text or "") for d, r in less.items())
-    assert sum(r.n_removed for r in more.values()) > sum(r.n_removed for r in less.values())
+        found = words([" ".join(some(rng, before).split() + passage + some(rng, 30 - before).split())])
+        first, last = before + LONGEST + REACH, before + len(passage) - LONGEST - REACH
+        inside.append([int(i) - before for i in pieces(found) if first <= i <= last])
+    assert inside[0] and all(x[2:-2] == inside[0][2:-2] for x in inside)
 
 
 def test_passages_of_short_lines_and_without_spaces_go(spark):
     rng = random.Random(13)
-    lines = "".join(words(rng, 3) + "\n" for _ in range(20))
-    single = "".join(words(rng, 1) + "\n" for _ in range(12))
-    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n))
-    marked = "".join(han(12) + "。" for _ in range(5))
-    unmarked = han(60)
+    lines = "".join(some(rng, 3) + "\n" for _ in range(20))
+    single = "".join(some(rng, 1) + "\n" for _ in range(30))
+    marked = "".join(han(rng, 12) + "。" for _ in range(5))
+    unmarked = han(rng, 60)
     for passage, whole in ((lines, True), (single, True), (marked, True), (unmarked, False)):
-        rows = [(d, prose(rng, 4) + "\n" + (han(d + 1) + ("。" if whole else "") if passage in (marked, unmarked) else "") + passage + han(9) + "。\n" + prose(rng, 3)) for d in range(6)]
-        found = {r.doc_id: r.text for r in dedup(spark.createDataFrame([(d, t, "en", "x", 1, 0) for d, t in rows], SCHEMA), whole=True).collect()}
+        rows = [(d, prose(rng, 4) + "\n" + (han(rng, d + 1) + ("。" if whole else "") if passage in (marked, unmarked) else "") + passage + han(rng, 9) + "。\n" + prose(rng, 3)) for d in range(6)]
+        found = {r.doc_id: r.text for r in dedup(spark.createDataFrame([(d, t, "en", "x", 1, 0) for d, t in rows], SCHEMA)).collect()}
         assert found[0] == rows[0][1]
         for d, t in rows[1:]:
             if whole:
                 assert found[d] == t.replace(passage, "")
             else:
-                assert 32 <= len(t) - len(found[d]) <= len(passage) and passage not in found[d]
+                assert 25 <= len(t) - len(found[d]) <= len(passage) and passage not in found[d]
 
 
-def test_too_few_words_stay(spark):
-    text = "one two. three. four five. six seven eight."
-    rows = [(d, text, "en", "x", 1, 0) for d in (1, 2)]
-    assert [r.text for r in dedup(spark.createDataFrame(rows, SCHEMA), whole=True).collect()] == [text, text]
+def test_stage_and_empty_table(spark):
+    text = " ".join(f"w{i}{'.' if i % 9 == 8 else ''}" for i in range(36))
+    docs = spark.createDataFrame([(1, text, "en", "x", 1, 7), (2, text, "en", "x", 1, 7), (3, "", "en", "x", 1, 0), (4, None, None, None, None, None), (5, text + " New words are here.", "en", "x", 1, 9)], SCHEMA)
+    out = clean_documents(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect() if r.text is not None) == [(1, text, 7), (3, "", 0), (5, "New words are here.", 19)]
+    assert dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert cleaned([], [], 3, 25)[0] == [] and cleaned([None, ""], [None, None], 3, 25)[0] == [None, ""]
+
+
+def test_query_on_the_small_tables(spark):
+    import duckdb
+
+    rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    found = op6_substring(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == brute(rows)
