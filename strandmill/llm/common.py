@@ -2,7 +2,8 @@
 
 ``scratch_dir`` follows the session's ``spark.checkpoint.dir``: tables that cut
 lineage are written there, where driver and executors both see them, and read
-back. A local folder is chosen only where that setting is missing (tests).
+back. Where that setting is missing, a session in one process takes a local folder; on a
+cluster that is an error.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="strandmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -105,7 +108,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     """(doc_id, text, label) of at most ``limit`` labelled documents outside the held-out fifth.
 
     The sample is the ``limit`` smallest hashes of doc_id, so it is the same in
-    every run and spread over all sources. Texts above ``longest`` characters
+    every run and spread over all sources. Of several texts with one doc_id the one with
+    the smallest CRC-32 is taken. Texts above ``longest`` characters
     are left out of training (never of scoring), which bounds the driver's memory.
     """
     known = (
@@ -123,7 +127,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
         .join(F.broadcast(known), F.col("doc_id") == F.col("_id"))  # at most `limit` rows of 12 bytes
         .select("doc_id", "text", "_y")
     )
-    rows = {r[0]: tuple(r) for r in found.toLocalIterator()} if limit > 100_000 else {r[0]: tuple(r) for r in found.collect()}
+    rows: dict = {}
+    for r in found.toLocalIterator() if limit > 100_000 else found.collect():
+        text = r[1].encode()
+        old = rows.get(r[0])
+        if old is None or (zlib.crc32(text), text) < (zlib.crc32(old[1].encode()), old[1].encode()):
+            rows[r[0]] = tuple(r)
     return [rows[k] for k in sorted(rows)]
 
 
