@@ -2,7 +2,7 @@
 
 ``parse`` walks a stream of MPEG 1, 2 or 2.5 audio: it skips ID3v2 and ID3v1 tags, follows frame
 headers, looks for the next two matching headers where one is damaged, reads Xing, Info and
-VBRI tables, and verifies the CRC-16 of Layer III (and I) frames that carry one.
+VBRI tables, and verifies the CRC-16 of frames that carry one. Free-format frames aren't frames to it.
 ``wrap`` stores bytes losslessly in such a stream: silent Layer III frames whose
 space behind the side information, which decoders ignore, holds the bytes.
 """
@@ -95,6 +95,42 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def _rest(c: int, byte: int, bits: int) -> int:
+    """``c`` taken on by the first ``bits`` bits of a byte."""
+    for i in range(7, 7 - bits, -1):
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15 ^ byte >> i) & 1 else 0)
+    return c
+
+
+def _allocation(h: Header) -> list[int]:
+    """Bits of a Layer II frame's bit allocation by subband, as the standards' tables give them."""
+    each = h.kbps // h.channels
+    if h.version != 1:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    if each <= 48:
+        return [4] * 2 + [3] * (10 if h.rate == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (7 if each >= 96 and h.rate != 48000 else 4)
+
+
+def checksum(frame: bytes, h: Header) -> int:
+    """The CRC-16 that a protected frame should carry: over half its header and its side information, in Layer II over allocation and
+    scale factor selection.
+    """
+    if h.layer != 2:
+        return crc16(frame[2:4] + frame[6 : 6 + h.side])
+    bits, at, chosen = int.from_bytes(frame[6:], "big"), len(frame[6:]) * 8, 0
+    total = at
+    bound = 4 * ((frame[3] >> 4 & 3) + 1) if frame[3] >> 6 == 1 else 32
+    for band, width in enumerate(_allocation(h)):
+        for _ in range(h.channels if band < bound else 1):
+            at -= width
+            if bits >> at & (1 << width) - 1:
+                chosen += 1 if band < bound else h.channels
+    used = total - at + 2 * chosen
+    whole = frame[6 : 6 + used // 8]
+    return _rest(crc16(frame[2:4] + whole), frame[6 + used // 8], used % 8) if used % 8 else crc16(frame[2:4] + whole)
+
+
 def _safe(n: int) -> bytes:
     return bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
 
@@ -197,8 +233,8 @@ def parse(data: bytes | None) -> Stream:
             at = step if step >= 0 else end
             continue
         lost = False
-        if h.protected and h.side:
-            ok = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if h.protected:
+            ok = checksum(data[at : at + h.size], h) == int.from_bytes(data[at + 4 : at + 6], "big")
             out.good += ok
             out.bad += not ok
         if out.first is None:
@@ -272,18 +308,21 @@ def feature(s: Stream) -> str:
     return f"mpeg{s.first.version:g}-{s.first.layer};hz={s.first.rate};ch={s.first.channels};frames={n};samples={s.samples};us={s.duration_us};kbps={s.kbps // n if n else 0};crc={s.good}/{s.good + s.bad};resync={s.resyncs};vbr={table}"
 
 
-def describe(media: DataFrame, column: str = "media", every: int = 16) -> DataFrame:
+def describe(media: DataFrame, column: str = "media", every: int = 1) -> DataFrame:
     """Every column but ``column``, and what its streams hold: frames, samples, rate, duration_us, checksums, resyncs, skipped bytes, table, seek.
 
-    ``seek`` has the byte offset of every ``every``-th frame. Null and damaged streams get
-    what frames can be found, possibly none.
+    ``_seek`` has the byte offset of every ``every``-th frame. Null and damaged streams get
+    what frames can be found, possibly none. A column of ``media`` with the name of one of these is an error.
     """
     kept = [f for f in media.schema.fields if f.name != column]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     more = "_frames long, _samples long, _rate int, _duration_us long, _crc_good long, _crc_bad long, _resyncs long, _skipped long, _table string, _seek array<long>"
 
+    if clash := {f.name for f in kept} & {c.split()[0] for c in more.split(", ")}:
+        raise ValueError(f"columns of these names are there already: {sorted(clash)}")
+
     def run(batches):
-        for batch in arrow_batches(batches, 64):
+        for batch in arrow_batches(batches, 64, column):
             found = [parse(x) for x in batch.column(column).to_pylist()]
             columns = [
                 pa.array([len(s.offsets) for s in found], pa.int64()),
@@ -323,12 +362,12 @@ def digests(media: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seek"]
 
     def run(batches):
-        for batch in arrow_batches(batches, 64):
+        for batch in arrow_batches(batches, 64, "media"):
             rows = []
             for raw in batch.column("media").to_pylist():
                 s = parse(raw)
                 payload, note = unwrap(raw, s)
-                rows.append((struct.unpack(">Q", note)[0], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(s), s.offsets[::16]))
+                rows.append((struct.unpack(">Q", note)[0], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(s), s.offsets))
             columns = list(zip(*rows)) if rows else [()] * 8
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)

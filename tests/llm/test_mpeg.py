@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from strandmill.llm.mpeg import crc16, describe, digests, header, id3v2, op9_mpeg, parse, stored, unwrap, vbr_table, wrap
+from strandmill.llm.mpeg import checksum, crc16, describe, digests, header, id3v2, op9_mpeg, parse, stored, unwrap, vbr_table, wrap
 
 SCHEMA = "doc_id long, text string, lang string, media string, seek int"
 
@@ -110,10 +110,59 @@ def test_column_of_streams(spark):
     stream = b"".join(frame(b"\xff\xfa\x94\xc0", rng) for _ in range(40))
     rows = [(1, stream), (2, None), (3, b""), (4, b"no audio \xff\xfb at all"), (5, stream[:1000])]
     got = {r.id: r for r in describe(spark.createDataFrame(rows, "id long, media binary")).collect()}
-    assert got[1]._frames == 40 and got[1]._duration_us == 40 * 24_000 and len(got[1]._seek) == 3
+    assert got[1]._frames == 40 and got[1]._duration_us == 40 * 24_000 and got[1]._seek == [i * len(stream) // 40 for i in range(40)]
     assert [got[i]._frames for i in (2, 3, 4)] == [0, 0, 0] and got[5]._frames == 1000 // len(stream[: len(stream) // 40])
 
 
+def test_layer_two_checksums():
+    rng = random.Random(6)
+    heads = [b"\xff\xfc" + bytes((index << 4 | rate << 2, mode << 6 | ext << 4)) for index in range(1, 15) for rate in range(3) for mode, ext in ((0, 0), (1, 0), (1, 2), (3, 0))] + [b"\xff\xf4\x84\x00", b"\xff\xf4\x84\xc0"]
+    for head in heads:
+        h = header(head)
+        if h is None or h.size < 110:
+            continue
+        body = bytearray(rng.randrange(256) for _ in range(h.size - 6))
+        # By the definition, a bit at a time.
+        bits = "".join(f"{b:08b}" for b in body)
+        each, lsf = h.kbps // h.channels, h.version != 1
+        widths = [4] * 4 + [3] * 7 + [2] * 19 if lsf else [4, 4] + [3] * (10 if h.rate == 32000 else 6) if each <= 48 else [4] * 11 + [3] * 12 + [2] * (7 if each >= 96 and h.rate != 48000 else 4)
+        at, chosen = 0, 0
+        for band, width in enumerate(widths):
+            joint = head[3] >> 6 == 1 and band >= 4 * ((head[3] >> 4 & 3) + 1)
+            for _ in range(1 if joint else h.channels):
+                chosen += (h.channels if joint else 1) * (int(bits[at : at + width], 2) > 0)
+                at += width
+        c = 0xFFFF
+        for bit in "".join(f"{b:08b}" for b in head[2:4]) + bits[: at + 2 * chosen]:
+            c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ int(bit) else 0)
+        made = head + c.to_bytes(2, "big") + bytes(body)
+        assert checksum(made, h) == c
+        s = parse(made * 3)
+        assert (len(s.offsets), s.good, s.bad) == (3, 3, 0)
+        hurt = bytearray(made * 3)
+        hurt[len(made) + 6 + (at - 1) // 8] ^= 0x80 >> (at - 1) % 8
+        assert parse(bytes(hurt)).bad == 1
+
+
+def test_clashing_names_are_an_error(spark):
+    with pytest.raises(ValueError):
+        describe(spark.createDataFrame([(b"", 1)], "media binary, _frames int"))
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_texts_that_look_like_tags_and_frames_come_back(spark, kind):
+    rows = []
+    for sign in ("TAG", "ID3\x04\0\0\0\0\0\x10", "ÿúäÀ", "Xing", "VBRI", "TAG+"):
+        rows += [f"{'x' * at}{sign * 24}" for at in range(0, 140, 1 if sign == "TAG" else 9)]
+        rows += ["y" * (937 - 64 + at) + sign + "z" * 100 for at in range(-70, 70, 7)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    got = {int(r.doc_id): r for r in digests(stored(docs)).collect()}
+    for d, t in enumerate(rows):
+        data = t.encode()
+        payload = data + bytes(-len(data) % 64)
+        assert (got[d].n_bytes, got[d].payload_sha256, got[d].tail_crc32) == (len(data), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+
+
 def test_texts(spark):
     rows = [(1, "abc", "x", "y", 1), (1, "abc", "x", "y", 1), (2, None, None, None, None), (None, "", "x", "y", 1), (3, "é" * 100_000, "x", "y", 1), (4, "a" * 64, "x", "y", 1)]
     got = digests(stored(spark.createDataFrame(rows, SCHEMA))).collect()
