@@ -83,7 +83,21 @@ class Model:
         n, found = self.sentences(text)
         plain = float(np.log1p(-1 / (1 + np.exp(-self.bias))))
         missed = (n - len(found)) * plain + sum(np.log1p(-min(p, 1 - 1e-12)) for *_, p in found)
-        return float(-np.expm1(missed)), n, found
+        return float(-np.expm1(missed)) + 0.0, n, found  # never -0.0
+
+
+def gradient(w: np.ndarray, bias: float, word: np.ndarray, sentence: np.ndarray, document: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """(mean loss, its gradient by weights, by bias): the negative log likelihood of labels ``y`` under noisy-or.
+
+    ``word`` and ``sentence`` pair each feature with its sentence, ``document`` gives each sentence's document.
+    """
+    z = bias + np.bincount(sentence, w[word], len(document))
+    soft, p = np.logaddexp(0, z), 1 / (1 + np.exp(-z))
+    s = np.maximum(np.bincount(document, soft, len(y)), 1e-9)  # -log of no sentence being offensive
+    loss = np.where(y == 1, -np.log(-np.expm1(-s)), s).mean()
+    outer = np.where(y == 1, -1 / np.expm1(s), 1.0) / len(y)
+    g = outer[document] * p
+    return float(loss), np.bincount(word, g[sentence], len(w)), float(g.sum())
 
 
 def fit(texts: list[str], labels: list[int], least_documents: int = 4, common: float = 0.1, l1: float = 3e-5, rounds: int = 200, rate: float = 0.3) -> Model:
@@ -126,12 +140,7 @@ def fit(texts: list[str], labels: list[int], least_documents: int = 4, common: f
     w, bias = np.zeros(len(known)), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, rounds + 1):
-        z = bias + np.bincount(sentence, w[word], len(document))
-        soft, p = np.logaddexp(0, z), 1 / (1 + np.exp(-z))
-        s = np.bincount(document, soft, len(y))
-        outer = np.where(y == 1, -1 / np.expm1(np.maximum(s, 1e-9)), 1.0) / len(y)
-        g = outer[document] * p
-        gw, gb = np.bincount(word, g[sentence], len(w)), g.sum()
+        _, gw, gb = gradient(w, bias, word, sentence, document, y)
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         lr = rate * min(1.0, 2 - 2 * step / rounds)
@@ -147,7 +156,8 @@ def score(docs: DataFrame, model: Model, offensive: float = 0.25) -> DataFrame:
 
     ``offending`` counts the sentences that score at least ``offensive``; ``spans`` are the
     character ranges and scores of all of them, in order of position.
-    Null and empty texts score 0.
+    Null and empty texts score 0; rows that repeat or share a doc_id are scored each by its own text.
+    No other column is read, so extra ones may have any names.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
@@ -155,7 +165,7 @@ def score(docs: DataFrame, model: Model, offensive: float = 0.25) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for batch in arrow_batches(batches, 512, "text"):
+        for batch in arrow_batches(batches, 512, "text", 4 << 20):
             scores, counts, bad, spans = [], [], [], []
             for text in batch.column("text").to_pylist():
                 p, n, found = model.score(text)

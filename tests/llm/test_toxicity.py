@@ -1,9 +1,10 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
-from strandmill.llm.toxicity import ENDS, Model, features, fit, op1_toxicity, score
+from strandmill.llm.toxicity import ENDS, Model, features, fit, gradient, op1_toxicity, score
 
 SCHEMA = "doc_id long, text string, lang string, score string, predicted int"
 
@@ -93,3 +94,30 @@ def test_query(spark):
     both = rows.merge(labels, on="doc_id")
     held = both[both.held_out]
     assert (held.predicted == held.toxic).mean() > 0.9
+
+
+def test_gradient_by_finite_differences():
+    rng = np.random.default_rng(2)
+    document = np.array([0, 0, 1, 2, 2, 2, 3])
+    sentence, word = np.repeat(np.arange(7), 3), rng.integers(0, 6, 21)
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+    w, bias = rng.normal(size=6), -1.0
+    loss = lambda w, b: gradient(w, b, word, sentence, document, y)[0]
+    _, gw, gb = gradient(w, bias, word, sentence, document, y)
+    for i in range(6):
+        step = np.eye(6)[i] * 1e-6
+        assert abs(gw[i] - (loss(w + step, bias) - loss(w - step, bias)) / 2e-6) < 1e-6
+    assert abs(gb - (loss(w, bias + 1e-6) - loss(w, bias - 1e-6)) / 2e-6) < 1e-6
+
+
+def test_loss_is_that_of_a_plain_noisy_or():
+    w, bias, word, sentence, document, y = np.array([2.0, -1.0]), -0.5, np.array([0, 1, 0]), np.array([0, 0, 2]), np.array([0, 0, 1]), np.array([1.0, 0.0])
+    p = [1 / (1 + np.exp(-z)) for z in (0.5, -0.5, 1.5)]
+    want = (-np.log(1 - (1 - p[0]) * (1 - p[1])) - np.log(1 - p[2])) / 2
+    assert abs(gradient(w, bias, word, sentence, document, y)[0] - want) < 1e-12
+
+
+def test_empty_scores_are_plain_zero():
+    for text in (None, "", " "):
+        value = Model(-3.0, {"x": 1.0}).score(text)[0]
+        assert value == 0 and not np.signbit(value)
