@@ -86,6 +86,12 @@ def enclosed(docs: DataFrame, *known: str) -> tuple[DataFrame, Callable[[DataFra
     return docs.select(*own, extra.alias("_extra")), back
 
 
+def extra_key(df: DataFrame) -> Column:
+    """A hash of what ``enclosed`` put aside, to tell rows apart that agree in all known columns. It doesn't depend on the order of rows."""
+    kept = df.schema["_extra"].dataType.typeName() == "struct"
+    return F.xxhash64(F.to_json("_extra")) if kept else F.lit(0).cast("long")
+
+
 def arrow_batches(batches, rows: int = 256, text: str | None = None, limit: int = 8 << 20):
     """Slices of at most ``rows`` rows and, unless one row is longer, ``limit`` bytes of column ``text``."""
     for batch in batches:

@@ -26,32 +26,53 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, enclosed, materialize
+from .common import arrow_batches, enclosed, extra_key, materialize
 from .components import components
 
 LOW = 0x5555555555555555
 
 
+#: Bytes whose words are held at a time.
+BLOCK = 1 << 18
+_WHITE = [bytes([c]) for c in b" \t\n\x0b\x0c\r"]
+
+
+def _words(data: bytes):
+    """Words of a text, some at a time. Only a block that is one word is longer than ``BLOCK`` bytes."""
+    at = 0
+    while len(data) - at > BLOCK:
+        end = at + BLOCK
+        cut = max(data.rfind(c, at, end) for c in _WHITE)
+        if cut < 0:
+            cut = min((k for c in _WHITE if (k := data.find(c, end)) >= 0), default=len(data))
+        yield data[at:cut].split()
+        at = cut + 1
+    yield data[at:].split()
+
+
 def fingerprint(text: str | None, shingle: int = 3, lower: bool = True) -> int:
-    """64-bit SimHash over word shingles, repeats counted; 0 where there are no words."""
+    """64-bit SimHash over word shingles, repeats counted; 0 where there are no words. Long texts are hashed in blocks."""
     data = (text or "").encode()
-    words = (data.lower() if lower else data).split()  # bytes: only A-Z, only ASCII white space
-    if not words:
-        return 0
-    n = len(words)
-    if n <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
+    if lower:
+        data = data.lower()  # bytes: only A-Z, and only ASCII white space below
+    total, count = np.zeros(64, np.int64), 0
+    digest = xxhash.xxh64_intdigest
+    kept: list[bytes] = []  # the last words before a block: shingles run over its edge
+    for words in _words(data):
+        words = kept + words
+        n = len(words)
+        kept = words[-(shingle - 1) :] if shingle > 1 else []
+        if n < shingle:
+            continue
         flat = memoryview(b" ".join(words))
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
         starts = np.concatenate([[0], ends[: n - shingle] + 1]).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(flat[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
-        part = np.array(hashes[at : at + (1 << 16)], "<u8")
+        part = np.array([digest(flat[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
+        count += len(part)
+    if not count:
+        return digest(b" ".join(kept), 42) if kept else 0
+    return int(np.packbits(total * 2 > count, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, lower: bool = True) -> DataFrame:
@@ -63,7 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lower: bool = True) -> DataF
     names = ["doc_id", "text_key", "fp"]
 
     def run(batches):
-        for batch in arrow_batches(batches, rows=512):
+        for batch in arrow_batches(batches, 512, "text", 4 << 20):
             texts = batch.column("text").to_pylist()
             fps = np.array([fingerprint(t, shingle, lower) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps)], names=names)
@@ -144,7 +165,7 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     """``docs`` with one document of each component: the one whose id names it.
 
     Where several rows of a component carry that id, the one with the smallest text
-    hash stays; of equal rows, one. A component without any id keeps one row.
+    hash stays; of rows equal in both, the one whose other columns have the smallest hash. A component without any id keeps one row.
     """
     inner, back = enclosed(docs, "doc_id", "text")
     found = near_duplicates(inner, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -152,8 +173,10 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     keep = best.groupBy(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key")).agg(F.max("n").alias("_n"))
     joined = inner.join(keep, inner["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(inner["text"]) == F.col("_key")))
     single = joined.where("_n = 1")
-    several = joined.where("_n > 1").dropDuplicates(["_id", "_key"])
-    return back(single.unionByName(several))
+    known = [c for c in inner.columns if c != "_extra"]
+    least = F.min_by(F.struct(*known, "_extra"), extra_key(inner)).alias("r")  # combines before the shuffle
+    several = joined.where("_n > 1").groupBy("_id", "_key").agg(least).select("r.*")
+    return back(single.select(several.columns).unionByName(several))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

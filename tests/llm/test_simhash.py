@@ -1,9 +1,11 @@
 import random
 from itertools import combinations
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from strandmill.llm import simhash
 from strandmill.llm.components import components
 from strandmill.llm.simhash import fingerprint, grouped, keep_one, links, near_duplicates
 
@@ -49,6 +51,42 @@ def test_fingerprint_matches_the_definition():
     assert fingerprint("É b c") != fingerprint("é b c")
 
 
+def test_blocks_change_nothing(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "B", "cc", " ", " ", "\n", "\t", "é", " "]) for _ in range(rng.randint(0, 300))) for _ in range(300)] + ["x" * 500, "y" * 50 + " z", "one two", ""]
+    for size in (1, 7, 40):
+        monkeypatch.setattr(simhash, "BLOCK", size)
+        for t in texts:
+            assert fingerprint(t) == plain(t), (size, t)
+
+
+def test_memory_of_long_texts_is_bounded():
+    import tracemalloc
+
+    text = "some words " * 1_500_000
+    tracemalloc.start()
+    fingerprint(text)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 100 << 20  # two copies of the text are 33
+
+
+def test_rows_equal_in_id_and_text_keep_the_same_one(spark):
+    rows = [(d % 3, "same words in all of them" if d % 2 else "others are in these", "en", f"x{d}", d) for d in range(60)] + [(7, "no others here at all", "en", None, None)] * 3
+    found = []
+    for parts in (1, 3, 8):
+        docs = spark.createDataFrame(rows[::-1] if parts == 3 else rows, SCHEMA).repartition(parts)
+        found.append(sorted(map(tuple, keep_one(docs).collect())))
+        assert len(keep_one(docs.select("doc_id", "text")).collect()) == 3
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_other_types_of_id(spark, kind):
+    docs = spark.createDataFrame([(i, f"text of {i // 2}") for i in range(10, 20)], "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    assert sorted(int(r.doc_id) for r in keep_one(docs).collect()) == [10, 12, 14, 16, 18]
+
+
 def test_spark_hash_is_the_same_xxhash(spark):
     row = spark.sql("select xxhash64('one two three') h").first()
     assert row.h % (1 << 64) == xxhash.xxh64_intdigest(b"one two three", 42)
