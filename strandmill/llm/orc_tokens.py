@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, scratch_path
-from .tokens import default_path, encoder
+from .tokens import default_path, encoder, with_end
 
 NAMES = ["doc_id", "part", "part_start", "n_tokens", "ids"]
 
@@ -27,15 +27,13 @@ NAMES = ["doc_id", "part", "part_start", "n_tokens", "ids"]
 def encode(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
     """Rows of ``NAMES`` in the order of the input's partitions; null texts are empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches):
         enc, part, before = encoder(path), TaskContext.get().partitionId(), 0
-        for batch in arrow_batches(batches, 256, "text"):
-            raw = [enc.raw(t or "") + end for t in batch.column("text").to_pylist()]
-            n = np.array([len(r) // 4 for r in raw], np.int64)
+        for batch in arrow_batches(batches, 256, "text", 2 << 20):
+            flat, n = with_end(*enc.batch(batch.column("text").to_pylist()), end_id)
             edges = np.concatenate([[0], np.cumsum(n)])
-            ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+            ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.view(np.int32)))
             columns = [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before + edges[:-1]), pa.array(n), ids]
             before += int(edges[-1])
             yield pa.RecordBatch.from_arrays(columns, names=NAMES)

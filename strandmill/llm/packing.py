@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import PART_ROWS, arrow_batches, materialize, ranked
-from .tokens import default_path, encoder
+from .tokens import default_path, encoder, with_end
 
 
 def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
@@ -109,22 +109,23 @@ def tokenized(docs: DataFrame, path: str, end_id: int, window: int) -> DataFrame
     little-endian unsigned integers of 16 bits where the vocabulary allows, else 32.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = int(end_id).to_bytes(4, "little")
     names = ["key", "doc_id", "n_tokens", "part", "windows_before", "crcs", "ids"]
     size = 4 * window
 
     def run(batches):
         enc, part, row, before = encoder(path), TaskContext.get().partitionId(), 0, 0
         kind = "<u2" if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        for batch in arrow_batches(batches, 256, "text"):
-            n, crcs, kept, base = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                raw = enc.raw(text or "") + end
-                n.append(len(raw) // 4)
-                crcs.append([zlib.crc32(raw[a : a + size]) for a in range(0, len(raw), size)])
-                kept.append(np.frombuffer(raw, "<u4").astype(kind).tobytes())
-                base.append(before)
-                before += len(raw) // size
+        for batch in arrow_batches(batches, 256, "text", 2 << 20):
+            flat, n = with_end(*enc.batch(batch.column("text").to_pylist()), end_id)
+            raw, stored = memoryview(flat).cast("B"), flat.astype(kind)
+            crcs, kept, at = [], [], 0
+            for m in n.tolist():
+                crcs.append([zlib.crc32(raw[a : min(a + size, 4 * (at + m))]) for a in range(4 * at, 4 * (at + m), size)])
+                kept.append(stored[at : at + m].tobytes())
+                at += m
+            wholes = np.cumsum(n // window)
+            base = before + wholes - n // window
+            before += int(wholes[-1])
             rows = len(n)
             keys = np.arange(row, row + rows, dtype=np.int64) + (part << 36)
             row += rows
@@ -212,16 +213,34 @@ def encoder_is_wide(path: str, end_id: int) -> bool:
 
 
 def stream(rest: DataFrame, window: int, rows_per_part: int = PART_ROWS) -> DataFrame:
-    """Adds ``position``: ids of all pieces before this one, longest class first, by rank; sums over parts of a class."""
+    """Adds ``position``: ids of all pieces before this one, longest class first, by rank.
+
+    Sums run within parts of a class, over the parts of a group of parts, and over the groups, so the one window that isn't
+    partitioned has a row for ``rows_per_part ** 2`` pieces.
+    """
     dealt = rest.withColumn("_part", F.expr(f"rank div {rows_per_part}"))
-    sums = dealt.groupBy("class", "_part").agg(F.sum("length").alias("n"))
-    before = Window.orderBy(F.col("class").desc(), "_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for every `rows_per_part` pieces
-    bases = sums.select(F.col("class").alias("_c"), F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    sums = dealt.groupBy("class", "_part").agg(F.sum("length").alias("n")).withColumn("_group", F.expr(f"_part div {rows_per_part}"))
+    groups = sums.groupBy("class", "_group").agg(F.sum("n").alias("n"))
+    before = Window.orderBy(F.col("class").desc(), "_group").rowsBetween(Window.unboundedPreceding, -1)
+    tops = groups.select(F.col("class").alias("_gc"), F.col("_group").alias("_g"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_top"))
+    inside = Window.partitionBy("class", "_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.withColumn("_base", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(tops, (F.col("class") == F.col("_gc")) & (F.col("_group") == F.col("_g")))
+    bases = bases.select(F.col("class").alias("_c"), F.col("_part").alias("_p"), (F.col("_base") + F.col("_top")).alias("_base"))
     within = Window.partitionBy("class", "_part").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     local = dealt.withColumn("_local", F.coalesce(F.sum("length").over(within), F.lit(0)))
     return local.join(bases, (F.col("class") == F.col("_c")) & (F.col("_part") == F.col("_p"))).select("key", "doc_id", "n_tokens", "length", "crc", (F.col("_base") + F.col("_local")).cast("long").alias("position"))
 
 
+def numbered(pieces: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``pieces`` with ``copy`` in place of ``key``: 0, 1, ... for the rows of ``tokens`` that share a doc_id."""
+    rows = tokens.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    many = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("_id", "_of")
+    shared = rows.join(many, F.col("_id").eqNullSafe(F.col("_of"))).drop("_of")
+    copies = ranked(shared, ["_id"], [F.xxhash64("_key"), F.col("_key")], F.ceil(F.col("n") / PART_ROWS)).select("_key", "rank")
+    joined = pieces.join(copies, F.col("key") == F.col("_key"), "left")
+    return joined.select("doc_id", F.coalesce("rank", F.lit(0)).cast("long").alias("copy"), *(c for c in pieces.columns if c not in ("key", "doc_id")))
+
+
 def sequences(pieces: DataFrame, tokens: DataFrame, wide: bool = False, window: int = 2048, pad_id: int = 0) -> DataFrame:
     """(sequence_id, ids, n_ids): the packed sequences, padded to ``window`` unless their length is a power of two."""
     step = 4 if wide else 2

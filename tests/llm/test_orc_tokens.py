@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from strandmill.llm import tokens
 from strandmill.llm.orc_tokens import digests, scan, write
 from strandmill.llm.tokens import Encoder, default_path
 
@@ -29,6 +30,37 @@ def test_pieces_give_the_librarys_ids(library):
     texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(2000)]
     for t in texts:
         assert enc.ids(t).tolist() == plain(library, t), repr(t)
+    flat, counts = enc.batch([None, *texts])
+    assert counts.tolist() == [0] + [len(plain(library, t)) for t in texts]
+    assert flat.tolist() == [i for t in texts for i in plain(library, t)]
+
+
+def test_table_forgets_and_blocks_change_nothing(library, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefé'") for _ in range(rng.randint(1, 7)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 900))) + rng.choice(["", " 中 x", "\n\n  "]) for _ in range(40)] + ["y" * 3000, "日本 " * 900]
+    monkeypatch.setattr(tokens, "BLOCK", 1000)
+    enc = Encoder(default_path(), entries=300)
+    for _ in range(2):
+        for t in texts:
+            assert enc.ids(t).tolist() == plain(library, t)
+    assert enc.table.count < 2000
+
+
+def test_cuts_that_share_a_hash_keep_their_own_ids(library, monkeypatch):
+    monkeypatch.setattr(tokens, "_BASE", 1)  # words of the same letters now share one
+    texts = ["listen silent enlist tinsel inlets", "god dog", "silent listen", "odg gdo dgo god"]
+    enc = Encoder(default_path())
+    for _ in range(2):
+        for t in texts:
+            assert enc.ids(t).tolist() == plain(library, t)
+
+
+def test_without_a_byte_between_cuts(library):
+    enc = Encoder(default_path())
+    assert enc.edge is not None
+    enc.edge = None
+    assert enc.ids("one two, thrée 4's").tolist() == plain(library, "one two, thrée 4's")
 
 
 def test_round_trip_and_order(spark, tmp_path, library):
