@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -87,64 +88,75 @@ def tokens_of(spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray
 
 
 def encode(turns: list[tuple[str, str]], path: str, loss_role: str = "assistant") -> dict:
-    """One conversation: formatted, ids, starts, ends, and loss: token ranges of the turns of ``loss_role``."""
+    """One conversation: formatted, ids, starts, ends, and loss: token ranges (first, end) of the turns of ``loss_role``."""
     tokenizer, pattern = encoder(path)
     formatted, spans = render(turns, pattern)
     found = tokenizer.encode(formatted, add_special_tokens=False)
-    edges = np.array(found.offsets, np.int64).reshape(-1, 2)
+    edges = np.fromiter(chain.from_iterable(found.offsets), np.int32).reshape(-1, 2)
     wanted = [s for s, (role, _) in zip(spans, turns) if role == loss_role]
     loss = [r for r in tokens_of(wanted, edges[:, 0], edges[:, 1]) if r[0] < r[1]]
-    return {"formatted": formatted, "ids": found.ids, "starts": edges[:, 0].tolist(), "ends": edges[:, 1].tolist(), "loss": [{"first": a, "end": b} for a, b in loss], "n_turns": len(turns)}
+    return {"formatted": formatted, "ids": np.array(found.ids, np.int32), "starts": edges[:, 0], "ends": edges[:, 1], "loss": loss, "n_turns": len(turns)}
 
 
 FORMATTED = "formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<struct<first: int, end: int>>, n_turns long"
-_LOSS = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(arrays).astype(np.int32)))
+
+
+def _ranges(lists: list[list[tuple[int, int]]]) -> pa.ListArray:
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    first, end = np.array([r for x in lists for r in x], np.int32).reshape(-1, 2).T
+    return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(first), pa.array(end)], ["first", "end"]))
 
 
 def format_chats(rows: DataFrame, path: str | None = None, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, formatted, ids, starts, ends, loss, n_turns) of every conversation in (conv_id, turn, role, text) rows.
 
     Turns go by number, null first, ties by role and text, repeated rows included. Null
-    conv_id is one conversation. Conversations are dealt by id and sorted in Spark, which
-    spills; a task holds one conversation at a time, as it is encoded whole.
+    conv_id is one conversation; it may be of any type that can be compared. Conversations are dealt by id and
+    sorted in Spark, which spills; a task holds about 4 MB of rendered conversations at a time, and a longer one whole, as
+    it is one row of the result. Other columns are ignored, whatever their names.
     """
     path = path or default_path()
     kind = rows.schema["conv_id"].dataType.simpleString()
-    id_kind = pa.int64() if kind == "bigint" else None
     narrow = rows.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     order = ["conv_id", "turn", "role", "text"]
 
-    def out(done):
+    def out(done, id_kind):
         ids, chats = zip(*done)
-        columns = [pa.array(ids, id_kind), pa.array([c["formatted"] for c in chats])]
-        columns += [pa.array([c[k] for c in chats], pa.list_(pa.int32())) for k in ("ids", "starts", "ends")]
-        columns += [pa.array([c["loss"] for c in chats], _LOSS), pa.array([c["n_turns"] for c in chats], pa.int64())]
+        columns = [pa.array(ids, id_kind), pa.array([c["formatted"] for c in chats], pa.string())]
+        columns += [_lists([c[k] for c in chats]) for k in ("ids", "starts", "ends")]
+        columns += [_ranges([c["loss"] for c in chats]), pa.array([c["n_turns"] for c in chats], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["conv_id", "formatted", "ids", "starts", "ends", "loss", "n_turns"])
 
     def run(batches):
-        now, turns, done, size = None, [], [], 0
+        now, turns, done, size, id_kind = None, [], [], 0, None
         for batch in arrow_batches(batches, 1024, "text"):
+            id_kind = batch.column("conv_id").type
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
                 if turns and conv != now:
                     done.append((now, encode(turns, path, loss_role)))
                     size += len(done[-1][1]["formatted"])
                     turns = []
                     if size > 4 << 20:
-                        yield out(done)
+                        yield out(done, id_kind)
                         done, size = [], 0
                 now = conv
                 turns.append((role, text))
         if turns:
             done.append((now, encode(turns, path, loss_role)))
         if done:
-            yield out(done)
+            yield out(done, id_kind)
 
     return narrow.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(run, f"conv_id {kind}, {FORMATTED}")
 
 
-def loss_text(formatted: str, starts: list[int], ends: list[int], loss: list[dict]) -> str:
+def loss_text(formatted: str, starts, ends, loss: list[tuple[int, int]]) -> str:
     """All text under the loss mask, unescaped; characters of several tokens count once."""
-    return unescape("".join(formatted[starts[r["first"]] : ends[r["end"] - 1]] for r in loss))
+    return unescape("".join(formatted[starts[a] : ends[b - 1]] for a, b in loss))
 
 
 def digests(chats: DataFrame) -> DataFrame:
@@ -153,13 +165,17 @@ def digests(chats: DataFrame) -> DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens"]
 
     def run(batches):
-        for batch in arrow_batches(batches, 64):
+        for batch in arrow_batches(batches, 64, "formatted"):
+            edges = {k: batch.column(k).offsets.to_numpy().tolist() for k in ("ids", "starts", "ends", "loss")}
+            starts, ends = (batch.column(k).values.to_numpy() for k in ("starts", "ends"))
+            first, last = (batch.column("loss").values.field(k).to_numpy() for k in ("first", "end"))
             rows = []
-            for r in batch.to_pylist():
-                turns = parse(r["formatted"])
+            for i, formatted in enumerate(batch.column("formatted").to_pylist()):
+                turns = parse(formatted)
                 said = "".join(f"{role}\n{text}\n" for role, text in turns)
-                loss = loss_text(r["formatted"], r["starts"], r["ends"], r["loss"])
-                rows.append((len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(r["formatted"]), len(r["ids"]), sum(x["end"] - x["first"] for x in r["loss"])))
+                a, b = edges["loss"][i], edges["loss"][i + 1]
+                loss = loss_text(formatted, starts[edges["starts"][i] :], ends[edges["ends"][i] :], list(zip(first[a:b].tolist(), last[a:b].tolist())))
+                rows.append((len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted), edges["ids"][i + 1] - edges["ids"][i], int((last[a:b] - first[a:b]).sum())))
             columns = list(zip(*rows)) if rows else [()] * 7
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
@@ -170,6 +186,7 @@ def digests(chats: DataFrame) -> DataFrame:
 def op4_chat(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id int, turn int, role string, text string")
+    more = more.select(*(F.col(f.name).cast(f.dataType) for f in rows.schema.fields))
     found = digests(materialize(format_chats(rows.unionByName(more)), "chats"))
     return found.drop("n_tokens", "n_loss_tokens")

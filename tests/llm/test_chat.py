@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from strandmill.llm.chat import CONTROLS, digests, encode, encoder, escape, format_chats, loss_text, op4_chat, parse, render, tokens_of, unescape
@@ -32,8 +33,8 @@ def test_render_and_mask():
         c = encode(turns, default_path())
         assert parse(c["formatted"]) == [(r or "", t or "") for r, t in turns]
         assert loss_text(c["formatted"], c["starts"], c["ends"], c["loss"]) == "".join(t or "" for r, t in turns if r == "assistant")
-        assert not set(c["ids"]) & {50256} and c["ids"][0] == plain.get_vocab_size()
-        assert encoder(default_path())[0].decode(c["ids"], skip_special_tokens=False) == c["formatted"]
+        assert not set(c["ids"].tolist()) & {50256} and c["ids"][0] == plain.get_vocab_size()
+        assert encoder(default_path())[0].decode(c["ids"].tolist(), skip_special_tokens=False) == c["formatted"]
 
 
 def test_binary_search_meets_a_plain_scan():
@@ -72,6 +73,17 @@ def test_tables(spark):
     assert digests(format_chats(spark.createDataFrame([], SCHEMA))).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(10,0)"])
+def test_other_types_of_id(spark, tmp_path, kind):
+    rows = [(c, t, "assistant" if t else "user", f"said {c} {t}") for c in range(9) for t in range(3)]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr(f"cast(conv_id as {kind}) as conv_id", "cast(turn as int) as turn", "role", "text")
+    docs.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = op4_chat(spark, str(tmp_path))
+    assert got.schema["conv_id"].dataType == docs.schema["conv_id"].dataType
+    said = "</s>[INST] ok [/INST]"
+    assert {int(r.conv_id): (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in got.collect()} == wanted([*rows, (-7, 0, "user", said), (-7, 1, "assistant", said)])
+
+
 def test_query_on_the_small_tables(spark):
     import duckdb
 
