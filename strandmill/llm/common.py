@@ -142,8 +142,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     return [rows[k] for k in sorted(rows)]
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], parts: Column) -> DataFrame:
-    """Add ``rank``: 0, 1, ... within ``keys``, without bringing one key's rows together.
+def repeated(df: DataFrame, times: str, number: str, keys: list[str]) -> DataFrame:
+    """Each row ``times`` times, numbered 0, 1, ... in column ``number``. A row of many times is dealt over tasks in chunks of PART_ROWS, by ``keys`` and chunk."""
+    chunks = df.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (cast({times} as bigint) - 1) div {PART_ROWS})"))).repartition(*keys, "_chunk")
+    return chunks.withColumn(number, F.explode(F.expr(f"sequence(_chunk * {PART_ROWS}, least(cast({times} as bigint), (_chunk + 1) * {PART_ROWS}) - 1)"))).drop("_chunk")
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], parts: Column, weight: str | None = None) -> DataFrame:
+    """Add ``rank``: 0, 1, ... within ``keys``, without bringing one key's rows together. With ``weight``, a row counts as so many.
 
     Rows of a key are dealt into ``parts`` (a number that follows the key's rows) by a hash of
     ``order``; a window numbers the rows of each part, and prefix sums over the parts' counts
@@ -152,8 +158,9 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], parts: Column) -
     """
     dealt = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.greatest(parts, F.lit(1)).cast("long")))
     within = Window.partitionBy(*keys, "_part")
-    local = dealt.withColumn("_local", F.row_number().over(within.orderBy(*order)) - 1)
-    counts = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = within.orderBy(*order)
+    local = dealt.withColumn("_local", F.sum(weight).over(ahead.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight) if weight else F.row_number().over(ahead) - 1)
+    counts = dealt.groupBy(*keys, "_part").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     same = F.col("_part") == F.col("_p")

@@ -13,19 +13,25 @@ Sums run over integers and decimals, so their order doesn't matter and reruns ag
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PART_ROWS, WORD, drop_table, enclosed, materialize, ranked
+from .common import PART_ROWS, WORD, drop_table, enclosed, extra_key, materialize, ranked, repeated
 
 EXACT = "decimal(38,6)"
 
 
+KEYS = ["doc_id", "source", "text_key", "extra_key"]
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, text_key, size): words of every whole text, null texts 0."""
+    """(doc_id, source, text_key, extra_key, size): words of every whole text, null texts 0. extra_key is a hash of what ``enclosed`` put aside."""
     text = F.col("text").cast("string")
     count = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"), count.alias("size"))
+    extra = extra_key(docs) if "_extra" in docs.columns else F.lit(0).cast("long")
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"), extra.alias("extra_key"), count.alias("size"))
 
 
 def targets(cells: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -59,8 +65,12 @@ def _rate(lam: Column, size: Column, unit: Column, most: float) -> Column:
     return F.least(F.lit(float(most)), F.exp(F.least(lam * size / unit, F.lit(5.0))))
 
 
-def tilts(cells: DataFrame, wanted: DataFrame, most: float = 2.0, tolerance: float = 1e-7, steps: int = 60) -> DataFrame:
-    """(source, source_size, target, unit, lam, full): the dual's solution for every source.
+def tilts(cells: DataFrame, wanted: DataFrame, most: float = 2.0, tolerance: float = 1e-7) -> DataFrame:
+    """(source, source_size, target, unit, lam, full): the dual's solution for every source, within ``tolerance`` of its target or
+    a hundredth of a word.
+
+    Newton's steps stay in a bracket around the solution. Where they would leave it, and at every fourth step, the bracket is
+    bisected, so the loop ends; a bracket without a number between its ends is an error.
 
     ``unit`` is the source's largest size; ``full`` marks sources whose target needs every
     document at ``most`` (lambda would be infinite).
@@ -70,7 +80,7 @@ def tilts(cells: DataFrame, wanted: DataFrame, most: float = 2.0, tolerance: flo
     full = (F.col("target") > 0) & (F.col("target") >= F.col("source_size") * F.lit(float(most)) * (1 - 1e-9))
     state = state.withColumns({"full": full, "lam": F.lit(0.0), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "gap": F.lit(1.0)})
     state = materialize(state, "dual")
-    for _ in range(steps):
+    for step in count():
         part = cells.select(F.col("source").alias("_s"), "size", "n").join(state.where("not full"), F.col("_s").eqNullSafe(F.col("source")))
         rate = _rate(F.col("lam"), F.col("size"), F.col("unit"), most)
         words = F.col("n") * F.col("size")
@@ -81,25 +91,28 @@ def tilts(cells: DataFrame, wanted: DataFrame, most: float = 2.0, tolerance: flo
         low = F.when(f < F.col("target"), F.col("lam")).otherwise(F.col("low"))
         high = F.when(f >= F.col("target"), F.col("lam")).otherwise(F.col("high"))
         newton = F.col("lam") + (F.log(F.col("target")) - F.log(f)) * f / h  # Newton's step for the logarithm of the words
-        inside = (h > 0) & (F.col("low2").isNull() | (newton > F.col("low2"))) & (F.col("high2").isNull() | (newton < F.col("high2")))
+        inside = F.lit(step % 4 != 3) & (h > 0) & (F.col("low2").isNull() | (newton > F.col("low2"))) & (F.col("high2").isNull() | (newton < F.col("high2")))
         wide = F.when(F.col("low2").isNull(), F.least(F.col("high2") * 2, F.col("high2") - 1)).when(F.col("high2").isNull(), F.greatest(F.col("low2") * 2, F.col("low2") + 1)).otherwise((F.col("low2") + F.col("high2")) / 2)
         stay = F.col("full") | F.col("f").isNull() | (F.col("target") <= 0)
-        moved = joined.withColumns({"low2": low, "high2": high}).withColumn("gap", F.when(stay, F.lit(0.0)).otherwise(F.abs(f / F.col("target") - 1)))
+        moved = joined.withColumns({"low2": low, "high2": high}).withColumn("gap", F.when(stay, F.lit(0.0)).otherwise(F.greatest(F.abs(f - F.col("target")) - 0.01, F.lit(0.0)) / F.col("target")))
         moved = moved.withColumn("lam2", F.when(stay | (F.col("gap") <= tolerance), F.col("lam")).when(inside, newton).otherwise(wide))
         after = materialize(moved.select("source", "source_size", "target", "unit", "full", F.col("lam2").alias("lam"), F.col("low2").alias("low"), F.col("high2").alias("high"), "gap"), "dual")
         drop_table(state)
         state = after
-        if (state.agg(F.max("gap")).first()[0] or 0) <= tolerance:
+        gap, stuck = state.agg(F.max("gap"), F.max((F.col("gap") > tolerance) & ((F.col("lam") == F.col("low")) | (F.col("lam") == F.col("high"))))).first()
+        if (gap or 0) <= tolerance:
             break
+        if stuck:
+            raise ValueError(f"no rates bring every source within {tolerance} of its target")
     return state.drop("low", "high", "gap")
 
 
-def copies(cells: DataFrame, dual: DataFrame, most: float = 2.0, exchanges: int = 6) -> DataFrame:
+def copies(cells: DataFrame, dual: DataFrame, most: float = 2.0) -> DataFrame:
     """(source, size, n, total): whole copies for all documents of each source and size.
 
     Along rising sizes, each cell takes the difference of the rounded running sums of
-    rates (in millionths). Then, a few times, each source moves copies at the largest
-    size that doesn't overshoot what is missing (or is too much).
+    rates (in millionths). Then each source moves copies at the largest size that doesn't
+    overshoot what is missing (or is too much), until no size is left that brings it nearer its target.
     """
     part = cells.join(dual.select(F.col("source").alias("_s"), "target", "unit", "lam", "full"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.when(F.col("full"), F.lit(float(most))).otherwise(_rate(F.col("lam"), F.col("size"), F.col("unit"), most))
@@ -110,57 +123,70 @@ def copies(cells: DataFrame, dual: DataFrame, most: float = 2.0, exchanges: int
     room = (F.col("n") * F.lit(int(most))).cast("long")
     total = F.greatest(F.lit(0), F.least(room, rounded(after) - rounded(after - F.col("micro")))).cast("long")
     now = materialize(part.select("source", "size", "n", "target", total.alias("total")), "copies")
-    for _ in range(exchanges):
+    while True:
         taken = now.groupBy("source").agg(F.sum(F.col("total") * F.col("size")).alias("taken"), F.max("target").alias("t"))
-        short = taken.select(F.col("source").alias("_s"), F.round(F.col("t") - F.col("taken")).cast("long").alias("short"))
+        short = taken.select(F.col("source").alias("_s"), (F.col("t") - F.col("taken")).cast("long").alias("short"))
         able = now.where("size > 0").join(short, F.col("source").eqNullSafe(F.col("_s")))
         able = able.where(F.when(F.col("short") > 0, F.col("total") < room).otherwise(F.col("total") > 0) & (F.col("size") <= F.abs("short")))
         best = able.groupBy("_s").agg(F.max("size").alias("at"), F.max("short").alias("short"))
         joined = now.join(best, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("at")), "left")
         step = F.floor(F.abs("short") / F.col("size"))
         change = F.when(F.col("at").isNull(), F.lit(0)).when(F.col("short") > 0, F.least(step, room - F.col("total"))).otherwise(-F.least(step, F.col("total")))
-        after = materialize(joined.select("source", "size", "n", "target", (F.col("total") + change).cast("long").alias("total")), "copies")
+        after = materialize(joined.select("source", "size", "n", "target", (F.col("total") + change).cast("long").alias("total"), change.alias("change")), "copies")
         drop_table(now)
         now = after
-    return now.select("source", "size", "n", "total")
+        if not now.agg(F.max(F.col("change") != 0)).first()[0]:
+            return now.select("source", "size", "n", "total")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """(doc_id, text_key, size, source_size, target, copies) for every row of ``docs``.
+def shares(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """(KEYS, size, rows, source_size, target, each, more): one row for all rows that agree in ``KEYS``.
 
-    Null texts have size 0; null sources form one source, the last. Within a source and size
-    copies differ by one at most, and go first to the rows with the smallest hash of
-    (doc_id, text). Rows equal in doc_id, source and text are told apart only by number.
-    A source without words has target 0, and each of its documents goes in once. Extra columns are ignored.
+    All of them get ``each`` copies and ``more`` of them one more. So rows that repeat any number of times are one row here.
     """
-    narrow = materialize(sizes(docs), "sizes")
-    cells = materialize(narrow.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
+    alike = materialize(sizes(docs).groupBy(*KEYS, "size").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    cells = materialize(alike.groupBy("source", "size").agg(F.sum("rows").cast("long").alias("n")), "cells")
     dual = tilts(cells, targets(cells, weights, share, most), most)
     whole = copies(cells, dual, most)
     per_source = dual.select(F.col("source").alias("_s"), "source_size", "target")
     table = materialize(whole.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_source"), F.col("size").alias("_size"), "n", "total", "source_size", "target"), "mix")
-    joined = narrow.join(table, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+    joined = alike.join(table, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
     parts = F.ceil(F.col("n") / PART_ROWS)
-    joined = ranked(joined, ["source", "size"], [F.xxhash64("doc_id", "text_key"), F.col("doc_id"), F.col("text_key")], parts)
-    each = F.expr("total div n") + F.when(F.col("rank") < F.expr("total % n"), 1).otherwise(0)
-    return joined.select("doc_id", "source", "text_key", "size", "source_size", "target", each.cast("long").alias("copies"))
+    joined = ranked(joined, ["source", "size"], [F.xxhash64("doc_id", "text_key", "extra_key"), F.col("doc_id"), F.col("text_key"), F.col("extra_key")], parts, "rows")
+    more = F.greatest(F.lit(0), F.least(F.col("rows"), F.expr("total % n") - F.col("rank")))
+    done = materialize(joined.select(*KEYS, "size", "rows", "source_size", "target", F.expr("total div n").alias("each"), more.cast("long").alias("more")), "shares")
+    for scratch in (alike, cells, dual, whole, table):
+        drop_table(scratch)
+    return done
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """(doc_id, source, text_key, size, source_size, target, copies) for every row of ``docs``.
+
+    Null texts have size 0; null sources form one source, the last. Within a source and size
+    copies differ by one at most, and go first to the rows with the smallest hash of all columns.
+    Rows equal in all of them are counted as one and dealt out again in chunks.
+    A source without words has target 0, and each of its documents goes in once. Extra columns may have any names.
+    """
+    found = shares(enclosed(docs, "doc_id", "text", "source")[0], weights, share, most)
+    copies = (F.col("each") + F.when(F.col("_i") < F.col("more"), 1).otherwise(0)).cast("long").alias("copies")
+    columns = ["doc_id", "source", "text_key", "size", "source_size", "target", copies]
+    single = found.where("rows = 1").withColumn("_i", F.lit(0)).select(*columns)
+    return single.unionByName(repeated(found.where("rows > 1"), "rows", "_i", KEYS).select(*columns))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """``docs`` with every row repeated as often as the mix takes it."""
+    """``docs`` with every row repeated as often as the mix takes it. Rows that agree in all columns share their copies."""
     inner, back = enclosed(docs, "doc_id", "text", "source")
-    plan = mix(inner, weights, share, most)
-    taken = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key")).agg(F.sum("copies").alias("_n"), F.count(F.lit(1)).alias("_rows")).where("_n > 0")
-    same = inner["doc_id"].eqNullSafe(F.col("_id")) & inner["source"].cast("string").eqNullSafe(F.col("_source")) & (F.xxhash64(inner["text"]) == F.col("_key"))
-    joined = inner.join(taken, same)
-    # Equal rows share their copies: each carries the whole part, and the first of them the remainder.
-    one = joined.where("_rows = 1").withColumn("_each", F.col("_n"))
-    several = joined.where("_rows > 1")
-    if several.limit(1).count():
-        number = F.row_number().over(Window.partitionBy("_id", "_source", "_key").orderBy(F.lit(0)))
-        several = several.withColumn("_at", number).withColumn("_each", F.expr("_n div _rows") + F.when(F.col("_at") <= F.expr("_n % _rows"), 1).otherwise(0)).drop("_at")
-        one = one.unionByName(several.where("_each > 0"))
-    return back(one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))))
+    plan = shares(inner, weights, share, most)
+    taken = plan.select(*(F.col(k).alias(f"_{k}") for k in KEYS), "rows", (F.col("rows") * F.col("each") + F.col("more")).alias("_n")).where("_n > 0")
+    same = inner["doc_id"].eqNullSafe(F.col("_doc_id")) & inner["source"].cast("string").eqNullSafe(F.col("_source")) & (F.xxhash64(inner["text"]) == F.col("_text_key")) & (extra_key(inner) == F.col("_extra_key"))
+    keyed = [f"_{k}" for k in KEYS]
+    one = inner.join(taken.where("rows = 1"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*inner.columns)
+    if taken.where("rows > 1").limit(1).count():  # a table of few narrow columns
+        alike = inner.join(taken.where("rows > 1"), same).groupBy(*keyed).agg(F.any_value(F.struct(*inner.columns)).alias("r"), F.max("_n").alias("_n"))
+        one = one.unionByName(repeated(alike, "_n", "_copy", keyed).select("r.*"))
+    return back(one)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from strandmill.llm.mixing import mix, mixed_documents
+from strandmill.llm.mixing import mix, mixed_documents, op5_mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, size long, total int, n string, target string"
 
@@ -85,6 +85,46 @@ def test_reruns_agree_and_documents_repeat(spark):
     assert Counter(str(r.doc_id) for r in out.collect()) == +Counter(x for r in a for x in [str(r.doc_id)] * r.copies)
 
 
+def test_rows_that_repeat_often_and_rows_that_differ_elsewhere(spark):
+    rows = [(1, "a b c", "en", "s", 1, 1, "", "")] * 2000 + [(1, "a b c", "en", "s", k, 1, "", "") for k in range(2, 9)] + [(k, "w " * k, "en", "t", 1, 1, "", "") for k in range(60)]
+    found = []
+    for parts, table in ((1, rows), (5, rows[::-1])):
+        docs = spark.createDataFrame(table, SCHEMA).repartition(parts)
+        taken = sum(r.copies for r in mix(docs).collect() if r.source == "s")
+        out = Counter(map(tuple, mixed_documents(docs).collect()))
+        assert sum(n for r, n in out.items() if r[3] == "s") == taken
+        assert all(n <= 2 for r, n in out.items() if r[4] > 1)
+        found.append(out)
+    assert found[0] == found[1]
+    few = spark.createDataFrame([(1, "a b c", "s")] * 3, "doc_id long, text string, source string")
+    assert mixed_documents(few).count() == sum(r.copies for r in mix(few).collect())
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_other_types_of_id(spark, kind):
+    docs = spark.createDataFrame(table(5, 60), SCHEMA).selectExpr(f"cast(doc_id as {kind}) as doc_id", "text", "source")
+    assert mixed_documents(docs).count() == sum(r.copies for r in mix(docs).collect()) > 0
+
+
+def test_query_on_the_small_tables(spark):
+    import re
+
+    import duckdb
+
+    docs = {d: (s, len(re.findall("[^ \t-\r]+", t or ""))) for d, s, t in duckdb.sql("select doc_id, source, text from '/root/testdata/sf0.001/documents.parquet'").fetchall()}
+    found = op5_mixing(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in found) == sorted(docs)
+    sizes, taken = Counter(), Counter()
+    for s, n in docs.values():
+        sizes[s] += n
+    wanted = reshared(sizes)
+    for r in found:
+        s, n = docs[r.doc_id]
+        assert r.size == n and r.source_size == sizes[s] and r.target == pytest.approx(wanted[s]) and 0 <= r.taken <= 2 * n and r.taken == r.copies * n
+        taken[s] += r.taken
+    assert all(abs(taken[s] - t) <= max(4, 0.001 * t) for s, t in wanted.items())
+
+
 def test_empty_and_wordless(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [(r.size, r.source_size, r.target, r.copies) for r in mix(spark.createDataFrame([(1, None, None, None, 1, 1, "", "")], SCHEMA)).collect()] == [(0, 0, 0.0, 1)]
