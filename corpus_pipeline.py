@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm.common import materialize
+from strandmill.llm.common import drop_table, materialize
 from strandmill.llm.mixing import mixed_documents
-from strandmill.llm.packing import pack
+from strandmill.llm.packing import numbered, pack
 from strandmill.llm.quality import keep_good
 from strandmill.llm.simhash import keep_one
 from strandmill.llm.substring import clean_documents
@@ -37,9 +37,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in sequences of 2048 tokens."""
-    pieces, _ = pack(docs)
-    return pieces.drop("key")
+    """Where each piece of each copy of each document lies in sequences of 2048 tokens."""
+    return numbered(*pack(docs))
 
 
 STAGES = [
@@ -57,7 +56,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        found = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs = materialize(docs, f"stage{number}")
+            found = materialize(found, f"stage{number}")
+            if number:
+                drop_table(docs)
+        docs = found
     return docs
