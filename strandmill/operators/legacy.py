@@ -1,12 +1,18 @@
-"""Older codecs of quality strings as sizes and round trips: run lengths, Huffman, deltas, LZW."""
+"""Older codecs of quality strings: run lengths, Huffman, deltas, LZW. Sizes by column functions, and round trips through bytes."""
 
 from __future__ import annotations
 
+import re
+import time
+from array import array
+from collections.abc import Callable
+from typing import NamedTuple
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import runs
+from ..functions.packed import BitReader, BitWriter
 
 #: The Huffman code of 38 quality characters, from the histogram of 100 million scores.
 HUFFMAN = {
@@ -26,46 +32,58 @@ DELTA_BITS = (
     15, 17, 16, 18, 23, 23, 22, 22, 22, 22, 22, 22, 22, 22, 22, 22, 22, 4, 5, 6, 7, 7, 8, 8, 8, 9, 9, 9, 10, 10, 10, 10, 10, 10, 10, 11, 7,
 )
 
-#: Letters of the older codecs: ! to I, 41 of them.
-LETTERS = "".join(map(chr, range(33, 74)))
+#: Letters of quality strings, ! to ~. The older codecs knew the first 41 of them.
+LETTERS = "".join(map(chr, range(33, 127)))
+
+
+def _run_strings(qual: Column) -> Column:
+    return F.regexp_extract_all(qual, F.lit(r"(?s)((.)\2*)"), F.lit(1))
+
+
+def _sized(quals: DataFrame, name: str, of, more: int = 0) -> DataFrame:
+    """(read_id, name): the sum of ``of`` over a read's runs, and ``more``, inside the row. Null and empty qualities have no row."""
+    total = F.aggregate(_run_strings(F.col("qual")), F.lit(more).cast("long"), lambda t, s: t + of(s).cast("long"))
+    return quals.where(F.length("qual") > 0).select("read_id", total.alias(name))
 
 
 def naive_run_size(quals: DataFrame, longest: int = 127) -> DataFrame:
     """(read_id, bytes): a byte for the character and one for a count of at most ``longest``."""
-    r = runs(quals).groupBy("read_id").agg((2 * F.sum(F.ceil(F.col("n") / longest))).cast("long").alias("bytes"))
-    return r
+    return _sized(quals, "bytes", lambda s: 2 * F.ceil(F.length(s) / longest))
 
 
 def bit_run_size(quals: DataFrame, char_bits: int = 6, count_bits: int = 4) -> DataFrame:
     """(read_id, bits): character and count in few bits, and a stop code. Counts reach 2**count_bits - 1, so they always fit."""
     most = (1 << count_bits) - 1
-    return runs(quals).groupBy("read_id").agg((F.sum(F.ceil(F.col("n") / most)) * (char_bits + count_bits) + char_bits).cast("long").alias("bits"))
+    return _sized(quals, "bits", lambda s: F.ceil(F.length(s) / most) * (char_bits + count_bits), char_bits)
 
 
 def flagged_run_size(quals: DataFrame, char_bits: int = 6, count_bits: int = 7) -> DataFrame:
     """(read_id, bits): character, a flag, and a count - 2 where the flag is set; runs are cut so that counts fit."""
     most = (1 << count_bits) + 1
-    full, rest = F.floor(F.col("n") / most), F.col("n") % most
-    bits = full * (char_bits + 1 + count_bits) + F.when(rest == 0, 0).when(rest == 1, char_bits + 1).otherwise(char_bits + 1 + count_bits)
-    return runs(quals).groupBy("read_id").agg(F.sum(bits).cast("long").alias("bits"))
+
+    def bits(s):
+        n = F.length(s)
+        rest = n % most
+        return F.floor(n / most) * (char_bits + 1 + count_bits) + F.when(rest == 0, 0).when(rest == 1, char_bits + 1).otherwise(char_bits + 1 + count_bits)
+
+    return _sized(quals, "bits", bits)
 
 
 def huffman_size(quals: DataFrame, escape_bits: int = 22) -> DataFrame:
     """(read_id, bits, bytes): bits of the fixed code; characters without one would take an escape of ``escape_bits``."""
     bits = F.create_map(*(x for c, b in HUFFMAN.items() for x in (F.lit(c), F.lit(len(b)))))
-    sized = runs(quals).select("read_id", (F.col("n") * F.coalesce(F.element_at(bits, F.col("char")), F.lit(escape_bits))).alias("b"))
-    whole = sized.groupBy("read_id").agg(F.sum("b").cast("long").alias("bits"))
+    whole = _sized(quals, "bits", lambda s: F.length(s) * F.coalesce(F.element_at(bits, F.substr(s, F.lit(1), F.lit(1))), F.lit(escape_bits)))
     return whole.select("read_id", "bits", F.ceil(F.col("bits") / 8).cast("long").alias("bytes"))
 
 
-def delta_runs(quals: DataFrame, start: str = "H", middle: int = 45, base: int = 90, most: int = 20) -> DataFrame:
-    """(read_id, ord, symbol): steps between neighbours as middle + step; equal ones as base + count in stretches
+def delta_array(qual: Column, start: str = "H", middle: int = 45, base: int = 90, most: int = 20) -> Column:
+    """Steps between neighbours as middle + step; equal ones as base + count in stretches
     of at most ``most``. The first character is compared with ``start``; all characters count.
     """
-    r = F.regexp_extract_all(F.col("qual"), F.lit(r"(?s)((.)\2*)"), F.lit(1))
+    r = _run_strings(qual)
 
     def of(s, i):
-        prev = F.when(i == 0, F.lit(ord(start))).otherwise(F.ascii(F.element_at(F.col("r"), F.greatest(i, F.lit(1)))))
+        prev = F.when(i == 0, F.lit(ord(start))).otherwise(F.ascii(F.element_at(r, F.greatest(i, F.lit(1)))))
         step = F.ascii(s) - prev
         repeats = F.length(s) - F.when(step == 0, 0).otherwise(1)
         head = F.when(step == 0, F.array().cast("array<int>")).otherwise(F.array(step + middle))
@@ -73,14 +91,152 @@ def delta_runs(quals: DataFrame, start: str = "H", middle: int = 45, base: int =
         tail = F.when(repeats % most > 0, F.array((repeats % most + base).cast("int"))).otherwise(F.array().cast("array<int>"))
         return F.concat(head, full, tail)
 
-    return quals.select("read_id", r.alias("r")).select("read_id", F.posexplode(F.flatten(F.transform("r", of))).alias("ord", "symbol"))
+    return F.flatten(F.transform(r, of))
+
+
+def delta_runs(quals: DataFrame) -> DataFrame:
+    """(read_id, ord, symbol): the symbols of ``delta_array``."""
+    return quals.select("read_id", F.posexplode(delta_array(F.col("qual"))).alias("ord", "symbol"))
 
 
 def delta_run_size(quals: DataFrame) -> DataFrame:
     """(read_id, bits) under the fixed code, the end of the read included."""
     bits = F.array(*map(F.lit, DELTA_BITS))
-    sized = delta_runs(quals).groupBy("read_id").agg(F.sum(F.element_at(bits, F.col("symbol") + 1)).alias("b"))
-    return sized.select("read_id", (F.col("b") + DELTA_BITS[45]).cast("long").alias("bits"))
+    listed = quals.where(F.length("qual") > 0).select("read_id", delta_array(F.col("qual")).alias("d"))
+    total = F.aggregate("d", F.lit(DELTA_BITS[45]).cast("long"), lambda t, x: t + F.element_at(bits, x + 1).cast("long"))
+    return listed.select("read_id", total.alias("bits"))
+
+
+def _runs_of(text: str) -> list[tuple[str, int]]:
+    return [(m[1], len(m[0])) for m in re.finditer(r"(?s)(.)\1*", text)]
+
+
+def naive_encode(text: str, longest: int = 127) -> bytes:
+    return bytes(x for c, n in _runs_of(text) for k in range(0, n, longest) for x in (ord(c), min(longest, n - k)))
+
+
+def naive_decode(data: bytes) -> str:
+    return "".join(chr(c) * n for c, n in zip(data[::2], data[1::2]))
+
+
+def bit_run_encode(text: str, char_bits: int = 7, count_bits: int = 4) -> bytes:
+    """Character and count in few bits; all ones in place of a character stop. Seven bits hold all of ``LETTERS``, six the older 41."""
+    w, most = BitWriter(), (1 << count_bits) - 1
+    for c, n in _runs_of(text):
+        for k in range(0, n, most):
+            w.write(ord(c) - 33, char_bits)
+            w.write(min(most, n - k), count_bits)
+    w.write((1 << char_bits) - 1, char_bits)
+    return w.data
+
+
+def bit_run_decode(data: bytes, char_bits: int = 7, count_bits: int = 4) -> str:
+    r, out = BitReader(data), []
+    while (c := r.read(char_bits)) != (1 << char_bits) - 1:
+        out.append(chr(c + 33) * r.read(count_bits))
+    return "".join(out)
+
+
+def flagged_encode(text: str, char_bits: int = 7, count_bits: int = 7) -> bytes:
+    """Character, a flag, and a count - 2 where the flag is set; all ones in place of a character stop."""
+    w, most = BitWriter(), (1 << count_bits) + 1
+    for c, n in _runs_of(text):
+        for k in range(0, n, most):
+            part = min(most, n - k)
+            w.write(ord(c) - 33, char_bits)
+            w.write(int(part > 1), 1)
+            if part > 1:
+                w.write(part - 2, count_bits)
+    w.write((1 << char_bits) - 1, char_bits)
+    return w.data
+
+
+def flagged_decode(data: bytes, char_bits: int = 7, count_bits: int = 7) -> str:
+    r, out = BitReader(data), []
+    while (c := r.read(char_bits)) != (1 << char_bits) - 1:
+        out.append(chr(c + 33) * (r.read(count_bits) + 2 if r.read(1) else 1))
+    return "".join(out)
+
+
+def _spelled(bits: str) -> bytes:
+    """A byte with the number of filling bits, then the bits."""
+    fill = -len(bits) % 8
+    return bytes([fill]) + (int(bits + "0" * fill, 2).to_bytes((len(bits) + fill) // 8, "big") if bits else b"")
+
+
+def _bits_of(data: bytes) -> str:
+    text = f"{int.from_bytes(data[1:], 'big'):0{8 * len(data) - 8}b}" if len(data) > 1 else ""
+    return text[: len(text) - data[0]]
+
+
+def _prefixes(bits: str, letters: dict) -> list:
+    out, at, size = [], 0, 1
+    while at < len(bits):
+        while bits[at : at + size] not in letters:
+            if at + size > len(bits):
+                raise ValueError("the code ends inside a symbol")
+            size += 1
+        out.append(letters[bits[at : at + size]])
+        at, size = at + size, 1
+    return out
+
+
+_LETTER_OF = {b: c for c, b in HUFFMAN.items()}
+
+
+def huffman_encode(text: str) -> bytes:
+    """Code of a string; one with a character that has no code stays as it is, marked by 8."""
+    if any(c not in HUFFMAN for c in text):
+        return b"\x08" + text.encode()
+    return _spelled("".join(map(HUFFMAN.__getitem__, text)))
+
+
+def huffman_decode(data: bytes) -> str:
+    return data[1:].decode() if data[:1] == b"\x08" else "".join(_prefixes(_bits_of(data), _LETTER_OF))
+
+
+def _canonical(lengths) -> dict[int, str]:
+    """Prefix code with these lengths: shorter first, then by symbol."""
+    code, last, out = 0, 0, {}
+    for n, s in sorted((n, s) for s, n in enumerate(lengths)):
+        code <<= n - last
+        out[s], last = f"{code:0{n}b}", n
+        code += 1
+    if code > 1 << last:
+        raise ValueError("no prefix code has these lengths")
+    return out
+
+
+_DELTA_CODE = _canonical(DELTA_BITS)
+_DELTA_OF = {b: s for s, b in _DELTA_CODE.items()}
+
+
+def delta_encode(text: str, start: str = "H", middle: int = 45, base: int = 90, most: int = 20) -> bytes:
+    """The symbols of ``delta_array`` and the end, in a prefix code of the fixed lengths. A string with a step beyond the table stays as it is, marked by 8."""
+    found, last = [], ord(start)
+    for c, n in _runs_of(text):
+        step = ord(c) - last
+        if step:
+            found.append(middle + step)
+            n -= 1
+        found += [base + most] * (n // most) + ([base + n % most] if n % most else [])
+        last = ord(c)
+        if step and not 0 <= middle + step < base:
+            return b"\x08" + text.encode()
+    return _spelled("".join(map(_DELTA_CODE.__getitem__, [*found, middle])))
+
+
+def delta_decode(data: bytes, start: str = "H", middle: int = 45, base: int = 90) -> str:
+    if data[:1] == b"\x08":
+        return data[1:].decode()
+    out, last = [], ord(start)
+    for s in _prefixes(_bits_of(data), _DELTA_OF):
+        if s > base:
+            out.append(chr(last) * (s - base))
+        elif s != middle:
+            last += s - middle
+            out.append(chr(last))
+    return "".join(out)
 
 
 def lzw_encode(text: str, letters: str = LETTERS) -> tuple[list[int], int]:
@@ -134,3 +290,70 @@ def lzw_read(coded: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("read_id"), pa.array([lzw_decode(c) for c in b.column("codes").to_pylist()])], names=["read_id", "qual"])
 
     return coded.select("read_id", "codes").mapInArrow(run, "read_id long, qual string")
+
+
+def lzw_bytes(text: str) -> bytes:
+    """``lzw_encode`` as bytes: 16 bits a code, 32 where there are more than 65,535."""
+    codes, _ = lzw_encode(text)
+    wide = max(codes) > 0xFFFF
+    return bytes([wide]) + array("I" if wide else "H", codes).tobytes()
+
+
+class Codec(NamedTuple):
+    """What every codec of a quality string offers: its bytes, and the string again."""
+
+    encode: Callable[[str], bytes]
+    decode: Callable[[bytes], str]
+
+
+CODECS = {
+    "naive runs": Codec(naive_encode, naive_decode),
+    "bit runs": Codec(bit_run_encode, bit_run_decode),
+    "flagged runs": Codec(flagged_encode, flagged_decode),
+    "huffman": Codec(huffman_encode, huffman_decode),
+    "delta runs": Codec(delta_encode, delta_decode),
+    "lzw": Codec(lzw_bytes, lambda data: lzw_decode(list(array("I" if data[0] else "H", data[1:])))),
+}
+
+
+def coded(quals: DataFrame, codec: str) -> DataFrame:
+    """(read_id, data): each quality string under a codec of ``CODECS``, in its row. Null stays null."""
+
+    def run(batches):
+        encode = CODECS[codec].encode
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("read_id"), pa.array([None if q is None else encode(q) for q in b.column("qual").to_pylist()], pa.binary())], names=["read_id", "data"])
+
+    return quals.select("read_id", "qual").mapInArrow(run, "read_id long, data binary")
+
+
+def read(data: DataFrame, codec: str) -> DataFrame:
+    """(read_id, qual) from ``coded``."""
+
+    def run(batches):
+        decode = CODECS[codec].decode
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("read_id"), pa.array([None if x is None else decode(x) for x in b.column("data").to_pylist()], pa.string())], names=["read_id", "qual"])
+
+    return data.select("read_id", "data").mapInArrow(run, "read_id long, qual string")
+
+
+def benchmark(quals: DataFrame) -> DataFrame:
+    """(codec, bytes, percent, encode_seconds, decode_seconds) of all ``CODECS``; seconds are the tasks' own, added up."""
+
+    def run(batches):
+        for b in batches:
+            texts = [q for q in b.column("qual").to_pylist() if q]
+            for name, c in CODECS.items():
+                t0 = time.perf_counter()
+                data = [c.encode(q) for q in texts]
+                t1 = time.perf_counter()
+                same = [c.decode(x) for x in data] == texts
+                t2 = time.perf_counter()
+                if not same:
+                    raise ValueError(f"{name} doesn't give a string back")
+                yield pa.RecordBatch.from_pylist([{"codec": name, "plain": sum(map(len, texts)), "bytes": sum(map(len, data)), "encode": t1 - t0, "decode": t2 - t1}])
+
+    found = quals.select("qual").mapInArrow(run, "codec string, plain long, bytes long, encode double, decode double").groupBy("codec")
+    whole = found.agg(F.sum("plain").alias("plain"), F.sum("bytes").alias("bytes"), F.sum("encode").alias("encode_seconds"), F.sum("decode").alias("decode_seconds"))
+    return whole.select("codec", "bytes", F.round(F.lit(100.0) * F.col("bytes") / F.col("plain"), 4).alias("percent"), "encode_seconds", "decode_seconds")

@@ -7,7 +7,7 @@ repeats in stretches of up to 60 as symbols 128 to 187. Runs end with the read.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OFFSET, ALPHABET, STRETCH, SYMBOLS = 33, 128, 60, 189
@@ -19,9 +19,9 @@ def runs(quals: DataFrame, column: str = "qual") -> DataFrame:
     return quals.select("read_id", F.posexplode(found).alias("run", "s")).select("read_id", "run", F.substr("s", F.lit(1), F.lit(1)).alias("char"), F.length("s").cast("long").alias("n"))
 
 
-def symbols(quals: DataFrame) -> DataFrame:
-    """(read_id, ord, symbol): the symbols of each read in order."""
-    found = F.regexp_extract_all(F.col("qual"), F.lit(r"(?s)((.)\2*)"), F.lit(1))
+def symbol_array(qual: Column) -> Column:
+    """The symbols of a quality string in order, as an array in its row."""
+    found = F.regexp_extract_all(qual, F.lit(r"(?s)((.)\2*)"), F.lit(1))
 
     def of(s):
         rest = F.length(s) - 1
@@ -29,7 +29,12 @@ def symbols(quals: DataFrame) -> DataFrame:
         last = F.when(rest % STRETCH > 0, F.array((rest % STRETCH + ALPHABET - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
         return F.concat(F.array(F.ascii(s) - OFFSET), full, last)
 
-    return quals.select("read_id", F.posexplode(F.flatten(F.transform(found, of))).alias("ord", "symbol"))
+    return F.flatten(F.transform(found, of))
+
+
+def symbols(quals: DataFrame) -> DataFrame:
+    """(read_id, ord, symbol): the symbols of each read in order."""
+    return quals.select("read_id", F.posexplode(symbol_array(F.col("qual"))).alias("ord", "symbol"))
 
 
 def unsymbol(codes: DataFrame) -> DataFrame:
@@ -172,10 +177,11 @@ def smoothed(model: DataFrame) -> list[int]:
 
 
 def arithmetic_code(quals: DataFrame, cum: list[int] | None = None) -> DataFrame:
-    """(read_id, data): each read's symbols, arithmetic-coded. A read is a unit, so any task can decode it."""
-    codes = symbols(quals)
-    table = cum or smoothed(cumulative(codes))
-    listed = codes.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("ord", "symbol"))).alias("p")).select("read_id", F.transform("p", lambda p: p["symbol"]).alias("p"))
+    """(read_id, data): each read's symbols, arithmetic-coded; null and empty qualities have no row. A read is a unit, so any
+    task can decode it, and its symbols never leave its row.
+    """
+    table = cum or smoothed(cumulative(symbols(quals)))
+    listed = quals.where(F.length("qual") > 0).select("read_id", symbol_array(F.col("qual")).alias("p"))
 
     def run(batches):
         for b in batches:

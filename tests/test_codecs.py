@@ -62,7 +62,31 @@ def test_lzw():
         codes, bits = legacy.lzw_encode(text)
         assert legacy.lzw_decode(codes) == text and bits >= 6 * len(codes)
     with pytest.raises(ValueError):
-        legacy.lzw_encode("z")
+        legacy.lzw_encode("é")
+
+
+def test_every_codec_gives_strings_back(spark):
+    rng = random.Random(7)
+    texts = ["", "H", "#" * 500, "".join(map(chr, range(33, 127))), *("".join(rng.choice("HHHHGFI#!J~") * rng.randint(1, 90) for _ in range(rng.randint(1, 12))) for _ in range(80))]
+    for name, codec in legacy.CODECS.items():
+        for t in texts:
+            assert codec.decode(codec.encode(t)) == t, (name, t)
+    t = table(spark, texts)
+    found = {r.codec: r for r in legacy.benchmark(t).collect()}
+    assert found.keys() == legacy.CODECS.keys() and all(r.bytes > 0 and r.encode_seconds > 0 for r in found.values())
+    plain = [x for x in texts if x and all(c in legacy.HUFFMAN for c in x)]
+    sizes = {r.read_id: r for r in legacy.huffman_size(table(spark, plain)).collect()}
+    assert all(len(legacy.huffman_encode(x)) == 1 + sizes[i].bytes for i, x in enumerate(plain))
+    bits = {r.read_id: r.bits for r in legacy.delta_run_size(table(spark, plain)).collect()}
+    assert all(len(legacy.delta_encode(x)) == 1 + -(-bits[i] // 8) for i, x in enumerate(plain))
+    assert {r.read_id: r.bytes for r in legacy.naive_run_size(t).collect()} == {i: len(legacy.naive_encode(x)) for i, x in enumerate(texts) if x}
+
+
+def test_symbols_stay_in_their_rows(spark):
+    t = table(spark, QUALS)
+    cum = quality.smoothed(quality.cumulative(quality.symbols(t)))
+    for found in (quality.arithmetic_code(t, cum), legacy.naive_run_size(t), legacy.bit_run_size(t), legacy.flagged_run_size(t), legacy.huffman_size(t), legacy.delta_run_size(t)):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_huffman_code_is_prefix_free_and_compact(spark):
@@ -189,6 +213,15 @@ def test_reads_with_n_and_both_strands_come_back(spark):
         assert {r.read_id: r.seq for r in align.decoded(best, ref, compat).collect()} == {i: s or "" for i, s in enumerate(seqs)}
 
 
+def test_references_that_lack_bases(spark):
+    rng = random.Random(3)
+    for text in ("A" * 30, "ACAC" * 9, "A"):
+        ref = spark.createDataFrame([(text,)], "ref string")
+        seqs = ["", "C", "GT", "TTT", "ACGTA", "N", "GNT", *("".join(rng.choice("ACGTN") for _ in range(rng.randint(1, 20))) for _ in range(60))]
+        reads = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")
+        assert {r.read_id: r.seq for r in align.decoded(align.best_strand(reads, ref), ref).collect()} == dict(enumerate(seqs))
+
+
 def test_fasta(spark):
     lines = [(0, ">x acgt"), (1, "acgtNNNNN"), (2, "NNNNNNcc"), (3, "NNNNNNNNNN"), (4, "Rg")]
     assert index.normalise(spark.createDataFrame(lines, "line_no long, line string")).first().ref == "ACGT" + "CC" + "G" * 10 + "GG"
