@@ -3,7 +3,8 @@
 A read is matched from right to left, three bases at a time after the first length % 3. A match
 grows while it occurs in the reference; the triple that ends it is kept as a code, and
 matching starts anew. Each match gives a tuple: position, length, and the code of the triple in
-front (64: none). Runs of N are tuples of their own (code 65). Of several places, the one whose suffix
+front (64: none). Runs of N are tuples of their own (code 65), and so are one or two first bases that the reference doesn't hold
+(code 66, the bases in place of a position). Of several places, the one whose suffix
 sorts last is taken.
 
 The reference is bounded (below 2**32 bases) and shared with tasks as numpy arrays;
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import bases as fn
 from .index import FmIndex
 
-NONE, N_RUN = 64, 65
+NONE, N_RUN, LITERAL = 64, 65, 66
 TUPLE = "array<struct<pos: long, len: int, sym: int>>"
 _CODE = np.full(256, 4, np.int64)
 for _i, _b in enumerate(b"ACGT"):
@@ -62,9 +63,11 @@ def align_segments(index: FmIndex, segments: list[bytes]) -> list[list[tuple[int
         if len(m):
             lo, hi = index.step(grid[m, k - 1], low[m], high[m])
             low[m], high[m], match[m], at[m] = lo, hi, k, k
-    if (low >= high).any():
-        raise ValueError("the reference lacks a one- or two-base string")
-    for i in np.flatnonzero((lengths > 0) & (lengths < 3)):
+    for i in np.flatnonzero(low >= high):  # the reference lacks them: they are spelled out
+        r = int(lengths[i] % 3)
+        out[i].append((int(grid[i, 0] + (4 * grid[i, 1] if r == 2 else 0)), r, LITERAL))
+        low[i], high[i], match[i] = 0, index.n, 0
+    for i in np.flatnonzero((lengths > 0) & (lengths < 3) & (match > 0)):
         emit(i, high[i], lengths[i], NONE)
     live = np.flatnonzero(lengths >= 3)
     while len(live):
@@ -160,6 +163,8 @@ def decode_tuples(tuples: list[dict], text: str) -> str:
     for t in reversed(tuples):
         if t["sym"] == N_RUN:
             triples.append("N" * t["len"])
+        elif t["sym"] == LITERAL:
+            triples.append("".join("ACGT"[t["pos"] // 4**k % 4] for k in reversed(range(t["len"]))))
         else:
             c = t["sym"]
             head = "" if c == NONE else "ACGT"[c // 16] + "ACGT"[c // 4 % 4] + "ACGT"[c % 4]

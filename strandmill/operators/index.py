@@ -7,8 +7,10 @@ same index in numpy arrays for lookups inside a task.
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases as fn
@@ -42,17 +44,25 @@ def _ordered(rows: DataFrame, keys: list[str], into: str, part: Column) -> DataF
     return local.join(before, F.col("_p") == F.col("_q")).withColumn(into, (F.col("_b") + F.col("_r") - 1).cast("long")).drop("_p", "_r", "_q", "_b")
 
 
-def suffix_array(ref: DataFrame, start: int = 16, checkpoint: bool = True) -> DataFrame:
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """Let checkpoints go to ``spark.checkpoint.dir``. A session in one process without one takes a local folder; on a cluster that is an error."""
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="strandmill-"))
+
+
+def suffix_array(ref: DataFrame, start: int = 16) -> DataFrame:
     """(row, pos): suffixes in order. Ranks by ``start`` letters, doubled until they all differ."""
-    spark = ref.sparkSession
-    if checkpoint and not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        checkpoint = False
+    _checkpoint_folder(ref.sparkSession)
     text = F.concat("ref", F.lit("$"))
     grams = ref.select(F.posexplode(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(start)))).alias("pos", "gram"))
     ranks = _ordered(grams, ["gram"], "rank", F.substr("gram", F.lit(1), F.lit(5))).select(F.col("pos").cast("long").alias("pos"), "rank")
     k = start
     while True:
-        ranks = ranks.checkpoint() if checkpoint else ranks.cache()
+        ranks = ranks.checkpoint()
         n, top = ranks.agg(F.count(F.lit(1)), F.max("rank")).first()
         if n == 0 or top == n - 1:
             return ranks.select(F.col("rank").alias("row"), "pos")

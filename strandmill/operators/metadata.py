@@ -109,10 +109,12 @@ def frozen(kinds: DataFrame) -> DataFrame:
     return kinds.sparkSession.createDataFrame(kinds.collect(), kinds.schema)
 
 
-def dictionary(reads: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
-    """(field, value, code): codes of text fields in byte order of their values."""
+def dictionary(reads: DataFrame, kinds: DataFrame | None = None, used: bool = False) -> DataFrame:
+    """(field, value, code): codes of text fields in byte order of their values. With ``used``, only of fields that are mapped, whose
+    values are few; a field of free text has as many values as rows, and nothing needs their codes.
+    """
     kinds = schema(reads) if kinds is None else kinds
-    texts = kinds.where(F.col("type") == "ALPHA").select(F.col("field").alias("f"))
+    texts = kinds.where((F.col("type") == "ALPHA") & (F.col("mapped") | F.lit(not used))).select(F.col("field").alias("f"))
     distinct = token_table(reads).join(F.broadcast(texts), F.col("field") == F.col("f")).select("field", "value").distinct()  # one row a field
     return distinct.withColumn("code", F.row_number().over(Window.partitionBy("field").orderBy("value")) - 1)
 
@@ -133,7 +135,7 @@ def codes(reads: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """
     kinds = frozen(schema(reads)) if kinds is None else kinds
     coded = token_table(reads).join(F.broadcast(kinds.withColumnRenamed("field", "f")), F.col("field") == F.col("f"))  # one row a field
-    words = dictionary(reads, kinds).select(F.col("field").alias("df"), F.col("value").alias("dv"), "code")
+    words = dictionary(reads, kinds, used=True).select(F.col("field").alias("df"), F.col("value").alias("dv"), "code")
     joined = coded.join(words, (F.col("field") == F.col("df")) & (F.col("value") == F.col("dv")) & F.col("mapped"), "left")
     spelled = F.rpad(packed.unpack(F.encode("value", "UTF-8")), F.col("width").cast("int"), "0")
     bits = (
@@ -154,7 +156,7 @@ def row_codes(reads: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
 def decoded(reads: DataFrame) -> DataFrame:
     """(read_id, meta): headers put together again from their codes and separators."""
     kinds = frozen(schema(reads))
-    words = dictionary(reads, kinds).select(F.col("field").alias("df"), F.col("code").alias("dc"), F.col("value").alias("dv"))
+    words = dictionary(reads, kinds, used=True).select(F.col("field").alias("df"), F.col("code").alias("dc"), F.col("value").alias("dv"))
     c = codes(reads, kinds)
     number = fn.from_bits(F.col("bits"))
     c = c.withColumn("number", number).join(words, (F.col("field") == F.col("df")) & (F.col("number") == F.col("dc")) & F.col("mapped"), "left")
@@ -171,7 +173,7 @@ def decoded(reads: DataFrame) -> DataFrame:
 def stream_size(reads: DataFrame) -> DataFrame:
     """(n_fields, header_bits, descriptor_bits, body_bits, bytes) of the packed stream."""
     kinds = frozen(schema(reads))
-    words = dictionary(reads, kinds).groupBy(F.col("field").alias("f")).agg(F.sum(F.length("value") + 1).alias("chars"))
+    words = dictionary(reads, kinds, used=True).groupBy(F.col("field").alias("f")).agg(F.sum(F.length("value") + 1).alias("chars"))
     descriptor = (
         F.when(F.col("type") == "CONST", 4 + 12 + 8 * F.length("constant"))
         .when(F.col("type") == "AUTOINC", F.lit(4 + 28))
