@@ -16,19 +16,17 @@ from .operators import align, metadata, streams
 
 
 def compress(reads: DataFrame, ref: DataFrame, path: str) -> None:
-    """Write reads (read_id contiguous from 0, meta, seq, strand, repeated, qual) against a one-row reference."""
+    """Write reads (read_id unique, meta, seq, strand, repeated, qual) against a one-row reference."""
     put = lambda df, name: df.write.option("compression", "zstd").parquet(f"{path}/{name}")
     if "repeated" not in reads.columns:
         reads = reads.withColumn("repeated", F.lit(False))
     put(align.best_strand(reads, ref), "sequences")
-    put(reads.select("read_id", "strand", "repeated"), "marks")
+    put(reads.select("read_id", "strand", "repeated", F.col("qual").isNull().alias("bare")), "marks")
     common = metadata.separator_counts(reads).orderBy(F.desc("n"), "separators").select("separators").first()
     same = fn.separators(F.col("meta")).eqNullSafe(F.lit(common[0] if common else ""))
     alike = reads.where(same)
-    number = alike.agg(F.count(F.lit(1)), F.min("read_id"), F.max("read_id")).first()
-    contiguous = number[0] > 0 and number[1] == 0 and number[2] == number[0] - 1
-    put(streams.metadata_stream(alike) if contiguous else streams.metadata_stream(alike.limit(0)), "headers")
-    put((reads.where(~same) if contiguous else reads).select("read_id", "meta"), "others")
+    put(streams.metadata_stream(alike), "headers")
+    put(reads.where(~same).select("read_id", "meta"), "others")
     put(streams.quality_stream(reads.where(F.length("qual") > 0)), "qualities")
 
 
@@ -40,4 +38,4 @@ def decompress(spark: SparkSession, path: str, ref: DataFrame) -> DataFrame:
     quals = streams.quality_read(get("qualities")).withColumnRenamed("read_id", "q")
     joined = get("marks").join(seqs.withColumnRenamed("read_id", "s"), F.col("read_id") == F.col("s"))
     joined = joined.join(headers, F.col("read_id") == F.col("h")).join(quals, F.col("read_id") == F.col("q"), "left")
-    return joined.select("read_id", "meta", "seq", "strand", "repeated", F.coalesce("qual", F.lit("")).alias("qual"))
+    return joined.select("read_id", "meta", "seq", "strand", "repeated", F.when(~F.col("bare"), F.coalesce("qual", F.lit(""))).alias("qual"))

@@ -17,6 +17,7 @@ from . import metadata, quality
 
 MAGIC_META, MAGIC_QUAL = 0x18318525, 0x12345678
 CONST, ALPHA, NUMERIC, AUTOINC = range(4)
+PART = "first long, entries long, ids array<long>, data binary"
 
 
 def _describe(kinds: list, words: dict[int, list[str]], separators: str, entries: int) -> bytes:
@@ -58,8 +59,9 @@ def _described(data: bytes) -> tuple[list[dict], str, int]:
     return kinds, separators, entries
 
 
-def metadata_stream(reads: DataFrame, chunks: int = 16) -> DataFrame:
-    """(part, first, entries, data) of reads whose headers share their separators and whose read_id is contiguous from 0.
+def metadata_stream(reads: DataFrame, rows_per_part: int = 65_536) -> DataFrame:
+    """(part, first, entries, ids, data) of reads whose headers share their separators. A part holds the reads of ``rows_per_part``
+    numbers; ``ids`` lists their read_ids where some are missing. Part 0 has the smallest read_id as ``first``.
 
     The schema and its dictionaries (under a hundredth of the batch's rows) are collected, as
     they are what part 0 holds. Reads with other separators are an error: see ``separator_counts``.
@@ -72,38 +74,41 @@ def metadata_stream(reads: DataFrame, chunks: int = 16) -> DataFrame:
     kinds = table.orderBy("field").collect()
     mapped = [k.field for k in kinds if k.mapped]
     words: dict[int, list[str]] = {}
-    for r in metadata.dictionary(reads, table).where(F.col("field").isin(mapped)).orderBy("field", "code").collect() if mapped else []:
+    for r in metadata.dictionary(reads, table, used=True).where(F.col("field").isin(mapped)).orderBy("field", "code").collect() if mapped else []:
         words.setdefault(r.field, []).append(r.value)
-    entries = reads.count()
-    head = spark.createDataFrame([(0, 0, entries, bytearray(_describe(kinds, words, seps[0].separators if seps else "", entries)))], "part int, first long, entries long, data binary")
-    rows = metadata.row_codes(reads, table).select("read_id", "bits", (fn.chunk_of(F.col("read_id"), F.lit(max(1, entries)), chunks) + 1).alias("part"))
+    entries, least = reads.agg(F.count(F.lit(1)), F.coalesce(F.min("read_id"), F.lit(0))).first()
+    head = spark.createDataFrame([(0, least, entries, None, bytearray(_describe(kinds, words, seps[0].separators if seps else "", entries)))], f"part int, {PART}")
+    rows = metadata.row_codes(reads, table).select("read_id", "bits", (F.expr(f"read_id div {rows_per_part}") + 1).cast("int").alias("part"))
     dealt = rows.repartition("part").sortWithinPartitions("part", "read_id")
 
     def run(batches):
-        now, first, bits = None, 0, []
+        now, ids, bits = None, [], []
+        kind = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("entries", pa.int64()), ("ids", pa.list_(pa.int64())), ("data", pa.binary())])
 
         def out():
             w = BitWriter()
             w.bits("".join(bits))
-            return pa.RecordBatch.from_pylist([{"part": now, "first": first, "entries": len(bits), "data": w.data}], schema=pa.schema([("part", pa.int32()), ("first", pa.int64()), ("entries", pa.int64()), ("data", pa.binary())]))
+            return pa.RecordBatch.from_pylist([{"part": now, "first": ids[0], "entries": len(bits), "ids": None if ids[-1] - ids[0] == len(ids) - 1 else ids, "data": w.data}], schema=kind)
 
         for b in batches:
             for part, read, text in zip(b.column("part").to_pylist(), b.column("read_id").to_pylist(), b.column("bits").to_pylist()):
                 if part != now:
                     if bits:
                         yield out()
-                    now, first, bits = part, read, []
+                    now, ids, bits = part, [], []
+                ids.append(read)
                 bits.append(text)
         if bits:
             yield out()
 
-    return head.unionByName(dealt.mapInArrow(run, "part int, first long, entries long, data binary"))
+    return head.unionByName(dealt.mapInArrow(run, f"part int, {PART}"))
 
 
 def metadata_read(stream: DataFrame) -> DataFrame:
     """(read_id, meta) from nothing but a stream's rows."""
-    head = bytes(stream.where("part = 0").first().data)
-    kinds, separators, _ = _described(head)
+    top = stream.where("part = 0").select("data", F.col("first").alias("first_id")).first()
+    kinds, separators, _ = _described(bytes(top.data))
+    least = top.first_id
 
     def meta(r: BitReader, read: int) -> str:
         out = []
@@ -111,7 +116,7 @@ def metadata_read(stream: DataFrame) -> DataFrame:
             if k["kind"] == CONST:
                 value = k["listed"][0]
             elif k["kind"] == AUTOINC:
-                value = str(k["low"] + read)
+                value = str(k["low"] + read - least)
             elif k["kind"] == NUMERIC:
                 value = str(r.read(k["width"]))
             elif k["mapped"]:
@@ -123,9 +128,9 @@ def metadata_read(stream: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for first, n, data in zip(b.column("first").to_pylist(), b.column("entries").to_pylist(), b.column("data").to_pylist()):
+            for first, n, listed, data in zip(*(b.column(c).to_pylist() for c in ("first", "entries", "ids", "data"))):
                 r = BitReader(data)
-                ids = list(range(first, first + n))
+                ids = listed or list(range(first, first + n))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([meta(r, i) for i in ids], pa.string())], names=["read_id", "meta"])
 
     return stream.where("part > 0").mapInArrow(run, "read_id long, meta string")

@@ -35,11 +35,13 @@ def test_packed_columns(spark):
 def test_header_stream(spark):
     metas = [f"@run.{i + 5} {'' if i % 3 else 'xé'}:{i * 7}:00{i % 4}#{'abc'[i % 3]}.{2**31 + i}" for i in range(300)]
     reads = spark.createDataFrame(list(enumerate(metas)), "read_id long, meta string").repartition(5)
-    stream = streams.metadata_stream(reads)
-    assert {r.part for r in stream.collect()} == set(range(17))
+    stream = streams.metadata_stream(reads, rows_per_part=20)
+    assert {r.part for r in stream.collect()} == set(range(16)) and all(r.ids is None for r in stream.collect())
     assert {r.read_id: r.meta for r in streams.metadata_read(stream).collect()} == dict(enumerate(metas))
     few = streams.metadata_stream(reads.where("read_id < 3"))
     assert {r.read_id: r.meta for r in streams.metadata_read(few).collect()} == dict(enumerate(metas[:3]))
+    gaps = streams.metadata_stream(reads.where("read_id % 7 <> 3 and read_id > 30"), rows_per_part=50)
+    assert {r.read_id: r.meta for r in streams.metadata_read(gaps).collect()} == {i: m for i, m in enumerate(metas) if i % 7 != 3 and i > 30}
     with pytest.raises(ValueError):
         streams.metadata_stream(reads.unionByName(spark.createDataFrame([(300, "@a")], reads.schema)))
 
