@@ -162,7 +162,7 @@ def meta_roundtrip(spark, sf_dir) -> DataFrame:
 
 @query(
     with_tables("ref oreads", "+firsthalf as (select * from oreads where read_id < 500), " + _SCHEMA.format(src="firsthalf") + _WORDS)
-    + ", u as (select o.read_id, unnest(range(len(x))) as field, unnest(x) as value from (select read_id, regexp_split_to_array(substr(meta, 2), '[ #.:-]') as x from (select read_id, case when read_id % 97 = 0 then replace(meta, '#1', '#2') when read_id % 89 = 0 then replace(meta, ' O', ' Q') else meta end as meta from oreads where read_id >= 500)) o), "
+    + ", u as (select o.read_id, unnest(range(len(x))) as field, unnest(x) as value from (select read_id, regexp_split_to_array(substr(meta, 2), '[ #.:-]') as x from (select read_id, case when read_id < 500 then meta when read_id % 97 = 0 then replace(meta, '#1', '#2') when read_id % 89 = 0 then replace(meta, ' O', ' Q') else meta end as meta from oreads)) o), "
     "v as (select k.field, case when type = 'CONST' and u.value <> constant then 'constant' when type = 'NUMERIC' and not regexp_matches(u.value, '^(0|[1-9][0-9]{0,17})$') then 'not a number' when type = 'NUMERIC' and length(bin(try_cast(u.value as bigint))) > width then 'overflow' when type = 'ALPHA' and mapped and w.value is null then 'not in dictionary' when type = 'ALPHA' and not mapped and length(u.value) * 8 > width then 'overflow' end as reason "
     "from u join kinds k on u.field = k.field left join words w on w.field = k.field and w.value = u.value) select field, reason, count(*) as n from v where reason is not null group by all"
 )
@@ -170,9 +170,9 @@ def schema_violations(spark, sf_dir) -> DataFrame:
     reads = D.order_reads(spark, sf_dir).select("read_id", "meta")
     known = reads.where("read_id < 500")
     m = F.col("meta")
-    later = reads.where("read_id >= 500").withColumn("meta", F.when(F.col("read_id") % 97 == 0, F.replace(m, F.lit("#1"), F.lit("#2"))).when(F.col("read_id") % 89 == 0, F.replace(m, F.lit(" O"), F.lit(" Q"))).otherwise(m))
+    changed = reads.withColumn("meta", F.when(F.col("read_id") < 500, m).when(F.col("read_id") % 97 == 0, F.replace(m, F.lit("#1"), F.lit("#2"))).when(F.col("read_id") % 89 == 0, F.replace(m, F.lit(" O"), F.lit(" Q"))).otherwise(m))
     kinds = metadata.frozen(metadata.schema(known))
-    return metadata.violations(later, kinds, metadata.dictionary(known, kinds))
+    return metadata.violations(changed, kinds, metadata.dictionary(known, kinds))
 
 
 @query('select event_id, event_id // 512 as "group", user_id, user_id - coalesce(lag(user_id) over (partition by event_id // 512 order by event_id), 0) as delta from events')
@@ -250,31 +250,18 @@ def occ_checkpoints(spark, sf_dir) -> DataFrame:
     return index.checkpoints(_bwt(spark, sf_dir))
 
 
-@query(_BWT + ', q as (select "row", cast(("row" * 7) % 64 as integer) as code from b where "row" % 5 = 0) select q."row", q.code, (select count(*) from b where b.code = q.code and b."row" < q."row") as occ from q')
-def occ_lookup(spark, sf_dir) -> DataFrame:
-    codes = _bwt(spark, sf_dir)
-    return index.occurrences(codes, codes.where("row % 5 = 0").select("row", ((F.col("row") * 7) % 64).cast("int").alias("code")))
-
-
 @query(
     _BWT + ', q as (select "row", cast(("row" * 7) % 64 as integer) as code from b), u as (select "row", code, 1 as seen from b where code < 64 union all select "row", code, 0 from q), '
     'w as (select "row", code, seen, sum(seen) over (partition by code order by "row" range between unbounded preceding and 1 preceding) as n from u) select "row", code, cast(coalesce(n, 0) as bigint) as occ from w where seen = 0'
 )
-def occ_lookup_all(spark, sf_dir) -> DataFrame:
-    """As occ_lookup, whose SQL fixes its rows, for every row of the index."""
+def occ_lookup(spark, sf_dir) -> DataFrame:
     codes = _bwt(spark, sf_dir)
     return index.occurrences(codes, codes.select("row", ((F.col("row") * 7) % 64).cast("int").alias("code")))
 
 
-@query(with_tables("ref creads", "+t as (select read_id, substr(seq, 1, 3) as triple from creads) select read_id, triple, cast(case when triple not like '%N%' then 16 * (instr('ACGT', substr(triple, 1, 1)) - 1) + 4 * (instr('ACGT', substr(triple, 2, 1)) - 1) + instr('ACGT', substr(triple, 3, 1)) - 1 end as integer) as code from t"))
-def kmer_codes(spark, sf_dir) -> DataFrame:
-    t = F.substr("seq", F.lit(1), F.lit(3))
-    return D.customer_reads(spark, sf_dir).select("read_id", t.alias("triple"), bases.triple_code(t).alias("code"))
-
-
 @query(with_tables("ref creads", "+p as (select read_id, seq, unnest(range(1, length(seq) - 1)) as position from creads), t as (select read_id, cast(position as integer) as position, substr(seq, position, 3) as triple from p) select read_id, position, triple, cast(case when triple not like '%N%' then 16 * (instr('ACGT', substr(triple, 1, 1)) - 1) + 4 * (instr('ACGT', substr(triple, 2, 1)) - 1) + instr('ACGT', substr(triple, 3, 1)) - 1 end as integer) as code from t"))
-def kmer_codes_all(spark, sf_dir) -> DataFrame:
-    """As kmer_codes, whose SQL fixes the first triple, for the triples at every position (from 1) of each read."""
+def kmer_codes(spark, sf_dir) -> DataFrame:
+    """The triples at every position (from 1) of each read."""
     reads = D.customer_reads(spark, sf_dir).where(F.length("seq") >= 3)
     t = reads.select("read_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - 2)).alias("position"))
     t = t.select("read_id", "position", F.substr("seq", F.col("position"), F.lit(3)).alias("triple"))
@@ -520,6 +507,16 @@ def lzw_roundtrip(spark, sf_dir) -> DataFrame:
     return legacy.lzw_read(legacy.lzw(D.order_quals(spark, sf_dir)))
 
 
+@query(with_tables("quals", "select read_id, codec, qual from quals, (values " + ", ".join(f"('{c}')" for c in legacy.CODECS) + ") c(codec)"))
+def codecs_roundtrip(spark, sf_dir) -> DataFrame:
+    quals = D.order_quals(spark, sf_dir)
+    whole = None
+    for name in legacy.CODECS:
+        one = legacy.read(legacy.coded(quals, name), name).select("read_id", F.lit(name).alias("codec"), "qual")
+        whole = one if whole is None else whole.unionByName(one)
+    return whole
+
+
 # -- streams -------------------------------------------------------------
 
 
@@ -555,11 +552,12 @@ def bit_packing(spark, sf_dir) -> DataFrame:
     return rows.select("read_id", F.hex("b").alias("packed"), "bytes", packed.unpack(F.col("b")).alias("bits"))
 
 
-@query("with m as (" + _PAGES + ") select read_id, regexp_split_to_array(meta, '[@. :#/]')[2] as first_field, cast(len(regexp_split_to_array(meta, '[@. :#/]')) - 1 as integer) as n_fields from m")
+@query("with m as (" + _PAGES + "), p as (select read_id, regexp_split_to_array(meta, '[@. :#/]') as p from m) select read_id, cast(i - 1 as integer) as field, p[i + 1] as value, regexp_matches(p[i + 1], '^[0-9]+$') as numeric from (select read_id, p, unnest(range(1, len(p))) as i from p)")
 def meta_tokens_prototype(spark, sf_dir) -> DataFrame:
-    """The older set of separators, which has the slash and no dash."""
+    """Every field under the older set of separators, which has the slash and no dash, and whether it is a number."""
     parts = F.split("meta", "[@. :#/]", -1)
-    return _pages(spark, sf_dir).select("read_id", parts.alias("p")).select("read_id", F.element_at("p", 2).alias("first_field"), (F.size("p") - 1).alias("n_fields"))
+    fields = _pages(spark, sf_dir).select("read_id", F.posexplode(F.slice(parts, 2, F.size(parts))).alias("field", "value"))
+    return fields.select("read_id", "field", "value", F.col("value").rlike("^[0-9]+$").alias("numeric"))
 
 
 @query(

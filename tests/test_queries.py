@@ -40,7 +40,7 @@ def test_every_row_of_the_index_is_asked(spark):
 
     ref = D.reference(spark, SF)
     codes = [r.code for r in index.bwt(ref, index.suffix_array(ref)).orderBy("row").collect()]
-    got = {r.row: (r.code, r.occ) for r in QUERIES["occ_lookup_all"](spark, SF).collect()}
+    got = {r.row: (r.code, r.occ) for r in QUERIES["occ_lookup"](spark, SF).collect()}
     assert got == {i: (7 * i % 64, codes[:i].count(7 * i % 64)) for i in range(len(codes))}
 
 
@@ -57,6 +57,6 @@ def test_every_triple_of_a_read_is_coded(spark):
     from strandmill.sources import derived as D
 
     seqs = {r.read_id: r.seq for r in D.customer_reads(spark, SF).collect()}
-    got = sorted(map(tuple, QUERIES["kmer_codes_all"](spark, SF).select("read_id", "position", "triple", "code").collect()))
+    got = sorted(map(tuple, QUERIES["kmer_codes"](spark, SF).select("read_id", "position", "triple", "code").collect()))
     code = lambda t: None if "N" in t else sum("ACGT".index(b) << 4 - 2 * k for k, b in enumerate(t))
     assert got == sorted((d, i + 1, s[i : i + 3], code(s[i : i + 3])) for d, s in seqs.items() for i in range(len(s) - 2))
