@@ -23,7 +23,8 @@ def main(args: list[str], spark=None) -> int:
         fasta.build_index(index.normalise(spark.read.format("fasta").load(args[1])), args[2])
     elif args[0] == "compress":
         reads = fastq.numbered(spark.read.format("fastq").load(args[1]))
-        archive.compress(reads, fasta.load_index(spark, args[2])["ref"], args[3])
+        stored = fasta.load_index(spark, args[2])
+        archive.compress(reads, stored["ref"], args[3], stored["sa"])
     else:
         fastq.write(archive.decompress(spark, args[1], fasta.load_index(spark, args[2])["ref"]), args[3])
     return 0

@@ -15,12 +15,12 @@ from .functions import fields as fn
 from .operators import align, metadata, streams
 
 
-def compress(reads: DataFrame, ref: DataFrame, path: str) -> None:
-    """Write reads (read_id unique, meta, seq, strand, repeated, qual) against a one-row reference."""
+def compress(reads: DataFrame, ref: DataFrame, path: str, sa: DataFrame | None = None) -> None:
+    """Write reads (read_id unique, meta, seq, strand, repeated, qual) against a one-row reference and, if given, its stored suffix array."""
     put = lambda df, name: df.write.option("compression", "zstd").parquet(f"{path}/{name}")
     if "repeated" not in reads.columns:
         reads = reads.withColumn("repeated", F.lit(False))
-    put(align.best_strand(reads, ref), "sequences")
+    put(align.best_strand(reads, ref, sa=sa), "sequences")
     put(reads.select("read_id", "strand", "repeated", F.col("qual").isNull().alias("bare")), "marks")
     common = metadata.separator_counts(reads).orderBy(F.desc("n"), "separators").select("separators").first()
     same = fn.separators(F.col("meta")).eqNullSafe(F.lit(common[0] if common else ""))

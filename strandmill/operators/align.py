@@ -7,8 +7,9 @@ front (64: none). Runs of N are tuples of their own (code 65), and so are one or
 (code 66, the bases in place of a position). Of several places, the one whose suffix
 sorts last is taken.
 
-The reference is bounded (below 2**32 bases) and shared with tasks as numpy arrays;
-reads of a batch take each step together.
+The reference is shared with tasks as numpy arrays (six bytes a base), so its size is checked
+against ``MOST_BASES`` first; reads of a batch take each step together. The suffix array comes from
+a stored index where one is given, and is sorted on the driver otherwise.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases as fn
+from ..shared import before
 from .index import FmIndex
 
 NONE, N_RUN, LITERAL = 64, 65, 66
@@ -28,18 +30,49 @@ TUPLE = "array<struct<pos: long, len: int, sym: int>>"
 _CODE = np.full(256, 4, np.int64)
 for _i, _b in enumerate(b"ACGT"):
     _CODE[_b] = _i
+#: Bases of the largest reference that is sent to tasks. A larger one is an error before any of it is read.
+MOST_BASES = 1 << 28
 _SHARED: dict = {}
 
 
-def shared_index(ref: DataFrame):
-    """The index of a one-row reference, broadcast once a session and text."""
+def _text(ref: DataFrame, most: int) -> str:
+    c = F.col(ref.columns[0])
+    n, text = ref.select(F.length(c), F.when(F.length(c) <= most, c)).first()
+    if (n or 0) > most:
+        raise ValueError(f"the reference has {n} bases; at most {most} are sent to tasks")
+    return text or ""
+
+
+def _share(kind: str, key: tuple, make, context):
+    """One broadcast of each kind is kept: the last."""
+    if _SHARED.get(kind, (None,))[0] != key:
+        _SHARED[kind] = key, context.broadcast(make())
+    return _SHARED[kind][1]
+
+
+def _stored(sa: DataFrame, n: int) -> np.ndarray:
+    """Positions in the order of rows of a stored (row, pos) table that must have ``n`` rows."""
+    found = sa.count()
+    if found != n:
+        raise ValueError(f"the stored suffix array has {found} rows, its reference {n}")
+    rows = sa.select(F.col("row").cast("long").alias("row"), F.col("pos").cast("long").alias("pos")).toArrow()  # as many as bases, which are bounded
+    out = np.zeros(n, np.uint32)
+    out[rows.column("row").to_numpy()] = rows.column("pos").to_numpy()
+    return out
+
+
+def shared_index(ref: DataFrame, sa: DataFrame | None = None, most: int = MOST_BASES):
+    """The index of a one-row reference, broadcast once a session and text. ``sa`` is its stored suffix array."""
+    context = ref.sparkSession.sparkContext
+    text = _text(ref, most)
+    return _share("index", (context.applicationId, text, sa is not None), lambda: FmIndex(text, _stored(sa, len(text) + 1) if sa is not None else None), context)
+
+
+def shared_text(ref: DataFrame, most: int = MOST_BASES):
+    """The text alone, which is all that decoding needs."""
     context = ref.sparkSession.sparkContext
-    text = ref.first()[0] or ""
-    key = (context.applicationId, text)
-    if key not in _SHARED:
-        _SHARED.clear()
-        _SHARED[key] = context.broadcast(FmIndex(text))
-    return _SHARED[key]
+    text = _text(ref, most)
+    return _share("text", (context.applicationId, text), lambda: text, context)
 
 
 def align_segments(index: FmIndex, segments: list[bytes]) -> list[list[tuple[int, int, int]]]:
@@ -103,9 +136,9 @@ def align_reads(index: FmIndex, seqs: list[str]) -> list[list[tuple[int, int, in
     return out
 
 
-def aligned(reads: DataFrame, ref: DataFrame, seq: str = "seq") -> DataFrame:
+def aligned(reads: DataFrame, ref: DataFrame, seq: str = "seq", sa: DataFrame | None = None) -> DataFrame:
     """(read_id, tuples) of column ``seq``; null reads have none."""
-    shared = shared_index(ref)
+    shared = shared_index(ref, sa)
     kind = pa.list_(pa.struct([("pos", pa.int64()), ("len", pa.int32()), ("sym", pa.int32())]))
 
     def run(batches):
@@ -117,11 +150,11 @@ def aligned(reads: DataFrame, ref: DataFrame, seq: str = "seq") -> DataFrame:
     return reads.select("read_id", F.col(seq).alias("s")).mapInArrow(run, f"read_id long, tuples {TUPLE}")
 
 
-def best_strand(reads: DataFrame, ref: DataFrame, compat: bool = False) -> DataFrame:
+def best_strand(reads: DataFrame, ref: DataFrame, compat: bool = False, sa: DataFrame | None = None) -> DataFrame:
     """(read_id, orn, tuples): the strand with fewer tuples; the other one is tried only where the first has
     over one tuple and the read no N, and must be better to win (orn 1).
     """
-    shared = shared_index(ref)
+    shared = shared_index(ref, sa)
     kind = pa.list_(pa.struct([("pos", pa.int64()), ("len", pa.int32()), ("sym", pa.int32())]))
 
     def run(batches):
@@ -149,11 +182,10 @@ def tuple_rows(alignments: DataFrame) -> DataFrame:
 def tuple_columns(alignments: DataFrame) -> DataFrame:
     """(read_id, cnt, orn, tuple_no, pos, len, sym, offset): flattened lists; offset numbers all tuples in read order."""
     counts = alignments.select("read_id", F.size("tuples").alias("cnt"))
-    part = F.floor(F.col("read_id") / 4096)
+    spans = counts.groupBy(F.floor(F.col("read_id") / 4096).alias("part")).agg(F.sum("cnt").alias("n"))
+    base = before(spans, "part", "n", "base").select(F.col("part").alias("q"), "base")
     inside = Window.partitionBy("part").orderBy("read_id").rowsBetween(Window.unboundedPreceding, -1)
-    local = counts.withColumn("part", part).withColumn("a", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
-    sums = local.groupBy("part").agg(F.sum("cnt").alias("n"))
-    base = sums.select(F.col("part").alias("q"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for 4096 reads
+    local = counts.withColumn("part", F.floor(F.col("read_id") / 4096)).withColumn("a", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
     offsets = local.join(base, F.col("part") == F.col("q")).select(F.col("read_id").alias("r"), "cnt", (F.col("a") + F.col("base")).alias("first"))
     return tuple_rows(alignments).join(offsets, F.col("read_id") == F.col("r")).select("read_id", "cnt", "orn", "tuple_no", "pos", "len", "sym", (F.col("first") + F.col("tuple_no")).cast("long").alias("offset"))
 
@@ -174,11 +206,11 @@ def decode_tuples(tuples: list[dict], text: str) -> str:
 
 def decoded(alignments: DataFrame, ref: DataFrame, compat: bool = False) -> DataFrame:
     """(read_id, seq) from (read_id, orn, tuples)."""
-    shared = shared_index(ref)
+    shared = shared_text(ref)
 
     def run(batches):
         for b in batches:
-            text = shared.value.text
+            text = shared.value
             yield pa.RecordBatch.from_arrays([b.column("read_id"), b.column("orn"), pa.array([decode_tuples(t, text) for t in b.column("tuples").to_pylist()])], names=["read_id", "orn", "seq"])
 
     plain = alignments.select("read_id", "orn", "tuples").mapInArrow(run, "read_id long, orn int, seq string")

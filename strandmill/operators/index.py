@@ -7,23 +7,26 @@ same index in numpy arrays for lookups inside a task.
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import bases as fn
 
 BUCKET = 288
 
 
-def normalise(lines: DataFrame) -> DataFrame:
+def normalise(lines: DataFrame, compat: bool = False) -> DataFrame:
     """(ref): FASTA lines (line_no, line) as one text: headers dropped, letters upper-cased,
     runs of over ten N deleted (also over line ends), other N and ambiguity letters turned to G.
+
+    ``compat`` upper-cases by bits as older builders do, which turns other printable characters into letters (a dot to N).
     """
+    marks = [chr(c) for c in range(33, 127)]
+    upper = F.translate("line", "".join(marks), "".join(chr(ord(c) & 31 | 64) for c in marks)) if compat else F.upper("line")
     kept = lines.where(~F.col("line").startswith(">")).orderBy("line_no")
-    whole = kept.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.upper("line").alias("s")))), lambda x: x["s"]), "").alias("t"))
+    whole = kept.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", upper.alias("s")))), lambda x: x["s"]), "").alias("t"))
     return whole.select(F.regexp_replace(F.regexp_replace("t", "N{11,}", ""), "[^ACGT]", "G").alias("ref"))
 
 
@@ -44,19 +47,9 @@ def _ordered(rows: DataFrame, keys: list[str], into: str, part: Column) -> DataF
     return local.join(before, F.col("_p") == F.col("_q")).withColumn(into, (F.col("_b") + F.col("_r") - 1).cast("long")).drop("_p", "_r", "_q", "_b")
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
-    """Let checkpoints go to ``spark.checkpoint.dir``. A session in one process without one takes a local folder; on a cluster that is an error."""
-    context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    if not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="strandmill-"))
-
-
 def suffix_array(ref: DataFrame, start: int = 16) -> DataFrame:
     """(row, pos): suffixes in order. Ranks by ``start`` letters, doubled until they all differ."""
-    _checkpoint_folder(ref.sparkSession)
+    shared.checkpoints(ref.sparkSession)
     text = F.concat("ref", F.lit("$"))
     grams = ref.select(F.posexplode(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(start)))).alias("pos", "gram"))
     ranks = _ordered(grams, ["gram"], "rank", F.substr("gram", F.lit(1), F.lit(5))).select(F.col("pos").cast("long").alias("pos"), "rank")
@@ -123,10 +116,28 @@ def occurrences(codes: DataFrame, asked: DataFrame, bucket: int = BUCKET) -> Dat
     return joined.groupBy("row", "code").agg((F.coalesce(F.max("before"), F.lit(0)) + F.count("ir")).cast("long").alias("occ"))
 
 
+def _suffixes(t: np.ndarray) -> np.ndarray:
+    """Positions in the order of their suffixes, by prefix doubling."""
+    n, rank, k = len(t), t, 1
+    while True:
+        second = np.zeros(n, np.int64)
+        second[:-k] = rank[k:] + 1
+        key = rank * (n + 2) + second
+        sa = np.argsort(key, kind="stable")
+        new = np.zeros(n, np.int64)
+        new[sa] = np.cumsum(np.concatenate([[0], np.diff(key[sa]) != 0]))
+        rank, k = new, 2 * k
+        if rank.max() == n - 1:
+            return sa
+
+
 class FmIndex:
-    """A reference of bounded length as numpy arrays: suffix array, base counts and bit vectors for ranks."""
+    """A reference of bounded length as numpy arrays: suffix array, base counts and bit vectors for ranks.
+
+    With ``sa``, positions in the order of their suffixes, no suffix is sorted here.
+    """
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, sa: np.ndarray | None = None):
         self.text = text
         codes = np.frombuffer(text.encode() + b"$", np.uint8)
         order = np.zeros(256, np.int8)
@@ -134,18 +145,10 @@ class FmIndex:
             order[b] = i
         t = order[codes].astype(np.int64)
         n = len(t)
-        rank, k = t, 1
-        while True:  # prefix doubling
-            second = np.zeros(n, np.int64)
-            second[:-k] = rank[k:] + 1
-            key = rank * (n + 2) + second
-            sa = np.argsort(key, kind="stable")
-            new = np.zeros(n, np.int64)
-            new[sa] = np.cumsum(np.concatenate([[0], np.diff(key[sa]) != 0]))
-            rank, k = new, 2 * k
-            if rank.max() == n - 1:
-                break
-        self.n, self.sa = n, sa
+        sa = _suffixes(t) if sa is None else sa.astype(np.int64)
+        if len(sa) != n or not np.array_equal(np.bincount(sa, minlength=n), np.ones(n)):
+            raise ValueError("the suffix array isn't one of this reference")
+        self.n, self.sa = n, sa.astype(np.uint32)
         last = t[sa - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=5))])[:5]
         words = -(-(n + 1) // 64)

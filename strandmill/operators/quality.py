@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import before
+
 OFFSET, ALPHABET, STRETCH, SYMBOLS = 33, 128, 60, 189
 
 
@@ -81,7 +83,7 @@ def interval_lookup(scaled: DataFrame, model: DataFrame) -> DataFrame:
 def batch_totals(quals: DataFrame, batch_rows: int) -> DataFrame:
     """(batch, reads, scores, total_reads): running totals over batches of consecutive reads."""
     per = quals.groupBy(F.floor(F.col("read_id") / batch_rows).cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("reads"), F.sum(F.length("qual")).cast("long").alias("scores"))
-    return per.withColumn("total_reads", F.sum("reads").over(Window.orderBy("batch")))  # one row a batch
+    return before(per, "batch", "reads", "ahead").select("batch", "reads", "scores", (F.col("ahead") + F.col("reads")).alias("total_reads"))
 
 
 def refreeze(quals: DataFrame, batch_rows: int, threshold: int = 40, compat: bool = False) -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import archive, shared
 from ..functions import bases, fields
 from ..operators import align, index, legacy, metadata, quality
 from ..sources import derived as D
+from ..sources import fasta
 from ..sources.derived import with_tables
 
 QUERIES: dict = {}
@@ -357,6 +359,32 @@ def seq_decode(spark, sf_dir) -> DataFrame:
     return align.decoded(_best(spark, sf_dir), D.reference(spark, sf_dir))
 
 
+def _stored(spark, sf_dir):
+    """The tables of an index that was written and loaded again."""
+    path = shared.path(spark, "index")
+    fasta.build_index(D.reference(spark, sf_dir), path)
+    return fasta.load_index(spark, path)
+
+
+@query(_aligned("fwd", _BEST + " select read_id, tuple_no, pos, len, sym from best", _BOTH))
+def stored_index_align(spark, sf_dir) -> DataFrame:
+    tables = _stored(spark, sf_dir)
+    return align.tuple_rows(align.best_strand(D.customer_reads(spark, sf_dir), tables["ref"], sa=tables["sa"])).select("read_id", "tuple_no", "pos", "len", "sym")
+
+
+@query(_BWT + ', s as (select "row", pos from sa) select s."row", s.pos, b.code from s join b on s."row" = b."row"')
+def stored_index_rows(spark, sf_dir) -> DataFrame:
+    tables = _stored(spark, sf_dir)
+    return tables["sa"].join(tables["bwt"].select("row", "code"), "row").select("row", "pos", "code")
+
+
+@query(with_tables("ref oreads", "select read_id, meta, seq, strand, read_id % 3 = 0 as repeated, qual from oreads"))
+def archive_roundtrip(spark, sf_dir) -> DataFrame:
+    tables, path = _stored(spark, sf_dir), shared.path(spark, "archive")
+    archive.compress(D.order_reads(spark, sf_dir).withColumn("repeated", F.col("read_id") % 3 == 0), tables["ref"], path, tables["sa"])
+    return archive.decompress(spark, path, tables["ref"])
+
+
 @query(with_tables("ref oreads", "select count(*) as reads, count(*) as equal, cast(sum(length(meta) + length(seq) + length(qual)) as bigint) as chars from oreads"))
 def read_roundtrip(spark, sf_dir) -> DataFrame:
     reads, ref = D.order_reads(spark, sf_dir), D.reference(spark, sf_dir)

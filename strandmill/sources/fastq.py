@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..shared import before
+
 SCHEMA = "file string, offset long, meta string, seq string, strand string, repeated boolean, qual string"
 
 
@@ -58,8 +60,8 @@ def numbered(reads: DataFrame, block: int = 1 << 20) -> DataFrame:
     dealt = reads.withColumn("_p", F.floor(F.col("offset") / block))
     local = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("file", "_p").orderBy("offset")) - 1)
     counts = reads.groupBy(F.col("file").alias("_f"), F.floor(F.col("offset") / block).alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_f", "_q", F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a block
-    joined = local.join(before, (F.col("file") == F.col("_f")) & (F.col("_p") == F.col("_q")))
+    ahead = before(counts, "_q", "_n", "_b", group="_f").select("_f", "_q", "_b")
+    joined = local.join(ahead, (F.col("file") == F.col("_f")) & (F.col("_p") == F.col("_q")))
     return joined.withColumn("read_id", F.col("_r") + F.col("_b")).drop("_p", "_r", "_f", "_q", "_b")
 
 

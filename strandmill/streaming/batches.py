@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..operators import metadata, quality
 
 
@@ -21,7 +22,7 @@ def totals_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(sf_dir) if not _is_dir(spark, f"{sf_dir}/{glob}") else spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/{glob}")
     totals = stream.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"), F.sum(F.length("props")).cast("long").alias("chars"))
     name = f"totals_{uuid.uuid4().hex}"
-    run = totals.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run = totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", shared.path(spark, "stream")).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
 
