@@ -5,6 +5,8 @@ All inputs have read_id (0-based and contiguous where chunks are wanted) and met
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from ..functions import packed
 
 #: Bits of a stream's header: mark, number of fields, entries, number of separators; then 3 a separator.
 HEADER_BITS = 32 + 8 + 24 + 8
+#: Values of all dictionaries of a schema up to which they are sent to every task; beyond that Spark chooses the join.
+FEW = 100_000
 
 
 def token_table(reads: DataFrame) -> DataFrame:
@@ -127,47 +131,77 @@ def dictionary_rule(values: DataFrame, columns: list[str], rule: int = 100) -> D
     return whole.select("column", "ndv", "n", (F.col("ndv") * rule < F.col("n")).alias("mapped"))
 
 
-def codes(reads: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
-    """(read_id, field, type, width, bits, low, constant): each field's code as a string of binary digits.
+def _words(reads: DataFrame, kinds: DataFrame, listed: list) -> Callable[[int, str, str], DataFrame]:
+    """The dictionary of one field as two named columns. Up to FEW values in all it is made once and sent to every task."""
+    words = dictionary(reads, kinds, used=True)
+    few = sum(k.ndv for k in listed if k.mapped) <= FEW
+    if few and any(k.mapped for k in listed):
+        words = frozen(words)
 
-    Constant and counting fields take no bits; text without a dictionary is spelled in UTF-8, 8 bits
-    a byte, padded with zeros.
+    def of(field: int, value: str, code: str) -> DataFrame:
+        one = words.where(F.col("field") == field).select(F.col("value").alias(value), F.col("code").alias(code))
+        return F.broadcast(one) if few else one
+
+    return of
+
+
+def _field_bits(reads: DataFrame, listed: list, words) -> tuple[DataFrame, list[Column]]:
+    """Rows of headers, and a column for each field with its bits, null where a header lacks the field. Fields stay in their row:
+    only dictionaries are joined.
     """
-    kinds = frozen(schema(reads)) if kinds is None else kinds
-    coded = token_table(reads).join(F.broadcast(kinds.withColumnRenamed("field", "f")), F.col("field") == F.col("f"))  # one row a field
-    words = dictionary(reads, kinds, used=True).select(F.col("field").alias("df"), F.col("value").alias("dv"), "code")
-    joined = coded.join(words, (F.col("field") == F.col("df")) & (F.col("value") == F.col("dv")) & F.col("mapped"), "left")
-    spelled = F.rpad(packed.unpack(F.encode("value", "UTF-8")), F.col("width").cast("int"), "0")
-    bits = (
-        F.when(F.col("type").isin("CONST", "AUTOINC"), F.lit(""))
-        .when(F.col("type") == "NUMERIC", fn.bits(F.expr("try_cast(value as bigint)"), F.col("width").cast("int")))
-        .when(F.col("mapped"), fn.bits(F.col("code"), F.col("width").cast("int")))
-        .otherwise(spelled)
-    )
-    return joined.select("read_id", "field", "type", "mapped", "width", bits.alias("bits"), "low", "constant")
+    rows = reads.where("meta is not null").select("read_id", "meta", fn.tokens(F.col("meta")).alias("_tokens"))
+    out = []
+    for k in listed:
+        value, width = F.get("_tokens", F.lit(k.field)), F.lit(int(k.width or 0))
+        if k.type in ("CONST", "AUTOINC"):
+            bits = F.lit("")
+        elif k.type == "NUMERIC":
+            bits = fn.bits(value.try_cast("bigint"), width)
+        elif k.mapped:
+            rows = rows.join(words(k.field, f"_word{k.field}", f"_code{k.field}"), value == F.col(f"_word{k.field}"), "left")
+            bits = fn.bits(F.col(f"_code{k.field}"), width)
+        else:
+            bits = F.rpad(packed.unpack(F.encode(value, "UTF-8")), width, "0")
+        out.append(F.when(value.isNotNull(), bits))
+    return rows, out
 
 
 def row_codes(reads: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
-    """(read_id, bits): a header's fields in order."""
-    parts = F.array_sort(F.collect_list(F.struct("field", "bits")))
-    return codes(reads, kinds).groupBy("read_id").agg(F.array_join(F.transform(parts, lambda p: p["bits"]), "").alias("bits"))
+    """(read_id, bits): a header's fields in order, each as a string of binary digits. Null headers have no row.
+
+    Constant and counting fields take no bits; text without a dictionary is spelled in UTF-8, 8 bits
+    a byte, padded with zeros.
+    """
+    kinds = frozen(schema(reads)) if kinds is None else kinds
+    listed = kinds.orderBy("field").collect()  # a row a field
+    rows, bits = _field_bits(reads, listed, _words(reads, kinds, listed))
+    return rows.select("read_id", F.concat_ws("", *bits).alias("bits"))
 
 
 def decoded(reads: DataFrame) -> DataFrame:
-    """(read_id, meta): headers put together again from their codes and separators."""
+    """(read_id, meta): headers put together again from their codes and separators, inside their rows."""
     kinds = frozen(schema(reads))
-    words = dictionary(reads, kinds, used=True).select(F.col("field").alias("df"), F.col("code").alias("dc"), F.col("value").alias("dv"))
-    c = codes(reads, kinds)
-    number = fn.from_bits(F.col("bits"))
-    c = c.withColumn("number", number).join(words, (F.col("field") == F.col("df")) & (F.col("number") == F.col("dc")) & F.col("mapped"), "left")
-    first = reads.agg(F.min("read_id").alias("least"))
-    plain = F.replace(F.decode(packed.pack(F.col("bits")), "UTF-8"), F.chr(F.lit(0)), F.lit(""))
-    counted = (F.col("low") + F.col("read_id") - F.col("least")).cast("string")
-    value = F.when(F.col("type") == "CONST", F.col("constant")).when(F.col("type") == "AUTOINC", counted).when(F.col("type") == "NUMERIC", F.col("number").cast("string")).when(F.col("mapped"), F.col("dv")).otherwise(plain)
-    parts = c.join(F.broadcast(first)).select("read_id", "field", value.alias("value")).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("p"))
-    seps = reads.select(F.col("read_id").alias("r"), F.concat(F.lit("@"), fn.separators(F.col("meta"))).alias("s"))
-    text = F.array_join(F.transform("p", lambda p: F.concat(F.substr(F.col("s"), p["field"] + 1, F.lit(1)), p["value"])), "")
-    return parts.join(seps, F.col("read_id") == F.col("r")).select("read_id", text.alias("meta"))
+    listed = kinds.orderBy("field").collect()  # a row a field
+    words = _words(reads, kinds, listed)
+    rows, bits = _field_bits(reads, listed, words)
+    first = reads.agg(F.min("read_id").alias("_least"))
+    coded = rows.select("read_id", F.concat(F.lit("@"), fn.separators(F.col("meta"))).alias("_marks"), *(b.alias(f"_bits{k.field}") for k, b in zip(listed, bits))).join(F.broadcast(first))  # one row
+    parts = []
+    for k in listed:
+        code = F.col(f"_bits{k.field}")
+        if k.type == "CONST":
+            value = F.lit(k.constant)
+        elif k.type == "AUTOINC":
+            value = (F.lit(k.low) + F.col("read_id") - F.col("_least")).cast("string")
+        elif k.type == "NUMERIC":
+            value = fn.from_bits(code).cast("string")
+        elif k.mapped:
+            coded = coded.join(words(k.field, f"_word{k.field}", f"_code{k.field}"), fn.from_bits(code) == F.col(f"_code{k.field}"), "left")
+            value = F.col(f"_word{k.field}")
+        else:
+            value = F.replace(F.decode(packed.pack(code), "UTF-8"), F.chr(F.lit(0)), F.lit(""))
+        parts.append(F.when(code.isNotNull(), F.concat(F.substr(F.col("_marks"), F.lit(k.field + 1), F.lit(1)), value)))
+    return coded.select("read_id", F.concat_ws("", *parts).alias("meta"))
 
 
 def stream_size(reads: DataFrame) -> DataFrame:
