@@ -28,6 +28,15 @@ def unpack(data: Column) -> Column:
     return F.when(F.length(hexed) > 0, F.array_join(parts, "")).otherwise(F.lit(""))
 
 
+def entry(data: Column, at: Column, width: int) -> Column:
+    """Number ``at`` (from 0) of BINARY that holds numbers of ``width`` bits each; only its own bytes are unpacked. Null past the end."""
+    first = at.cast("long") * width
+    byte = F.floor(first / 8)
+    own = F.substring(data, (byte + 1).cast("int"), F.lit(width // 8 + 2))
+    text = F.substr(unpack(own), (first - byte * 8 + 1).cast("int"), F.lit(width))
+    return F.when((at >= 0) & (first + width <= F.octet_length(data) * 8), F.conv(text, 2, 10).cast("long"))
+
+
 def size(bits: Column) -> Column:
     """Bytes that so many bits take."""
     return F.ceil(bits / 8).cast("long")
@@ -48,6 +57,10 @@ class BitWriter:
     def bits(self, text: str) -> None:
         self.parts.append(text)
 
+    def pad(self, to: int = 8) -> None:
+        """Zeros up to a multiple of ``to`` bits."""
+        self.parts.append("0" * (-sum(map(len, self.parts)) % to))
+
     @property
     def data(self) -> bytes:
         text = "".join(self.parts)
@@ -67,6 +80,12 @@ class BitReader:
         self.at += width
         return int(self.text[self.at - width : self.at], 2) if width else 0
 
+    def seek(self, bit: int) -> None:
+        """Go to a bit counted from the start."""
+        if not 0 <= bit <= len(self.text):
+            raise EOFError("no such bit")
+        self.at = bit
+
     def align(self) -> None:
         self.at += -self.at % 8
 
