@@ -6,7 +6,8 @@ relative entropy are min(most, exp(lambda * size)), one lambda a source: the sol
 of a convex dual, found by Newton steps over the table of (source, size, documents),
 which is counted once. A bracket around each lambda keeps steps safe where rates hit
 the bound. Rates become whole copies by systematic rounding along sizes, so a source's
-error stays below one document, and a few exchanges of single copies close most of it.
+error stays below one document, and exchanges of single copies, also between pairs of
+sizes, go on until none brings a source nearer its target.
 
 Sums run over integers and decimals, so their order doesn't matter and reruns agree.
 """
@@ -111,8 +112,8 @@ def copies(cells: DataFrame, dual: DataFrame, most: float = 2.0) -> DataFrame:
     """(source, size, n, total): whole copies for all documents of each source and size.
 
     Along rising sizes, each cell takes the difference of the rounded running sums of
-    rates (in millionths). Then each source moves copies at the largest size that doesn't
-    overshoot what is missing (or is too much), until no size is left that brings it nearer its target.
+    rates (in millionths). Sources that miss (or have too many) words for their longest document move copies
+    at the largest size they can, and at last ``exchanged`` moves single copies.
     """
     part = cells.join(dual.select(F.col("source").alias("_s"), "target", "unit", "lam", "full"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rate = F.when(F.col("full"), F.lit(float(most))).otherwise(_rate(F.col("lam"), F.col("size"), F.col("unit"), most))
@@ -124,8 +125,8 @@ def copies(cells: DataFrame, dual: DataFrame, most: float = 2.0) -> DataFrame:
     total = F.greatest(F.lit(0), F.least(room, rounded(after) - rounded(after - F.col("micro")))).cast("long")
     now = materialize(part.select("source", "size", "n", "target", total.alias("total")), "copies")
     while True:
-        taken = now.groupBy("source").agg(F.sum(F.col("total") * F.col("size")).alias("taken"), F.max("target").alias("t"))
-        short = taken.select(F.col("source").alias("_s"), (F.col("t") - F.col("taken")).cast("long").alias("short"))
+        taken = now.groupBy("source").agg(F.sum(F.col("total") * F.col("size")).alias("taken"), F.max("target").alias("t"), F.max("size").alias("most"))
+        short = taken.select(F.col("source").alias("_s"), (F.col("t") - F.col("taken")).cast("long").alias("short"), "most").where(F.abs("short") >= F.col("most"))
         able = now.where("size > 0").join(short, F.col("source").eqNullSafe(F.col("_s")))
         able = able.where(F.when(F.col("short") > 0, F.col("total") < room).otherwise(F.col("total") > 0) & (F.col("size") <= F.abs("short")))
         best = able.groupBy("_s").agg(F.max("size").alias("at"), F.max("short").alias("short"))
@@ -136,7 +137,61 @@ def copies(cells: DataFrame, dual: DataFrame, most: float = 2.0) -> DataFrame:
         drop_table(now)
         now = after
         if not now.agg(F.max(F.col("change") != 0)).first()[0]:
+            return exchanged(now.drop("change"), most)
+
+
+def _nearest(options: DataFrame, asked: DataFrame) -> DataFrame:
+    """(_s, gap, first, second): for each move of ``asked`` the options next below and above what it leaves of its source's gap.
+
+    Both tables are (_s, gap, move), a move being (change in words, size to add, size to take away, 0 for none). One
+    window over both in order of words finds neighbours, so no pairs of moves are made.
+    """
+    none = F.lit(None).cast("struct<words: double, add: long, take: long>")
+    line = Window.partitionBy("_s").orderBy("v", "option", "first")
+    both = options.select("_s", "gap", F.col("move.words").alias("v"), F.col("move").alias("option"), none.alias("first")).unionByName(asked.select("_s", "gap", (F.col("gap") - F.col("move.words")).alias("v"), none.alias("option"), F.col("move").alias("first")))
+    sides = [F.last("option", True).over(line.rowsBetween(Window.unboundedPreceding, 0)), F.first("option", True).over(line.rowsBetween(0, Window.unboundedFollowing))]
+    near = both.withColumn("both", F.array(*sides)).where("first is not null")
+    return near.select("_s", "gap", "first", F.explode("both").alias("second")).where("second is not null")
+
+
+def _move(words: Column, add: Column, take: Column) -> Column:
+    return F.struct(words.cast("double").alias("words"), add.cast("long").alias("add"), take.cast("long").alias("take")).alias("move")
+
+
+def exchanged(now: DataFrame, most: float = 2.0, sizes: int = 40) -> DataFrame:
+    """(source, size, n, total) from (source, size, n, target, total): each source adds a copy at one size and takes one away at another
+    (either may be none) until no such pair of sizes brings it nearer its target.
+
+    Then a source still half a word off tries two pairs at once, among ``sizes`` of its sizes (by their hashes), as
+    sources of few documents need that, until none moves.
+    """
+    zero, deep = F.lit(0), False
+    while True:
+        gaps = now.groupBy(F.col("source").alias("_s")).agg((F.max("target") - F.sum(F.col("total") * F.col("size"))).alias("gap")).where(F.abs("gap") > 0.5)
+        rows = now.where("size > 0").join(gaps, F.col("source").eqNullSafe(F.col("_s"))).select("_s", "gap", "size", "n", "total")
+        if deep:
+            rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("_s").orderBy(F.xxhash64("size")))).where(F.col("at") <= sizes)
+        idle = gaps.select("_s", "gap", _move(zero, zero, zero))
+        adds = rows.where(F.col("total") < F.col("n") * F.lit(int(most))).select("_s", "gap", _move(F.col("size"), F.col("size"), zero)).unionByName(idle)
+        takes = rows.where("total > 0").select("_s", "gap", _move(-F.col("size"), zero, F.col("size"))).unionByName(idle)
+        if deep:
+            moves = adds.join(takes.select(F.col("_s").alias("_t"), F.col("move").alias("other")), F.col("_s").eqNullSafe(F.col("_t")))  # at most (sizes + 1)**2 a source
+            moves = moves.select("_s", "gap", _move(F.col("move.words") + F.col("other.words"), F.col("move.add"), F.col("other.take")))
+            adds = takes = moves
+        pairs = _nearest(adds, takes)
+        apart = [(F.col(f"first.{k}") == 0) | (F.col(f"first.{k}") != F.col(f"second.{k}")) for k in ("add", "take")]
+        found = pairs.where(apart[0] & apart[1]).groupBy("_s").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("first.words") - F.col("second.words")).alias("left"), "first", "second")).alias("b"), F.max("gap").alias("gap"))
+        best = found.where(F.col("b.left") + 0.001 < F.abs("gap")).select("_s", "b.first", "b.second")
+        joined = now.join(best, F.col("source").eqNullSafe(F.col("_s")), "left")
+        change = sum(((F.col("size") == F.col(f"{m}.{k}")).cast("long") * way for m in ("first", "second") for k, way in (("add", 1), ("take", -1))), zero)
+        change = F.when(F.col("size") > 0, F.coalesce(change, zero)).otherwise(zero)
+        after = materialize(joined.select("source", "size", "n", "target", (F.col("total") + change).cast("long").alias("total"), change.alias("change")), "copies")
+        drop_table(now)
+        moved = after.agg(F.max(F.col("change") != 0)).first()[0]
+        now = after.drop("change")
+        if not moved and deep:
             return now.select("source", "size", "n", "total")
+        deep = deep or not moved
 
 
 def shares(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:

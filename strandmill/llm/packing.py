@@ -27,17 +27,19 @@ from .common import PART_ROWS, arrow_batches, materialize, ranked
 from .tokens import default_path, encoder, with_end
 
 
-def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
-    """Lawson-Hanson active-set solution of min |a x - b|, x >= 0."""
+def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9, most: int = 30) -> np.ndarray:
+    """Lawson-Hanson active-set solution of min |a x - b|, x >= 0. It ends where the optimality conditions hold; ``most`` steps
+    a row or column without reaching that are an error.
+    """
     n = a.shape[1]
     x, active = np.zeros(n), np.zeros(n, bool)
     gradient = a.T @ b
     limit = tolerance * max(1.0, np.abs(gradient).max(initial=0.0))
-    for _ in range(3 * max(a.shape)):
+    for _ in range(most * max(a.shape)):
         free = np.where(active, -np.inf, gradient)
         j = int(np.argmax(free)) if n else 0
         if not n or free[j] <= limit:
-            break
+            return x
         active[j] = True
         while True:
             on = np.flatnonzero(active)
@@ -56,7 +58,7 @@ def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
         if len(on):
             x[on] = s
         gradient = a.T @ (b - a @ x)
-    return x
+    raise ValueError(f"non-negative least squares of {a.shape} didn't reach its optimum in {most * max(a.shape)} steps")
 
 
 def combinations_filling(classes: int) -> np.ndarray:
