@@ -9,6 +9,7 @@ from .mpeg import op9_mpeg
 from .oracles import OP4_CHAT, OP6_SUBSTRING, OP7_LINE_RULES
 from .orc_tokens import op2_orc_tokens
 from .packing import op8_packing
+from .prefix_bpe import op11_prefix_bpe
 from .quality import op3_quality
 from .simhash import op10_simhash
 from .substring import op6_substring
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op2_orc_tokens": op2_orc_tokens,
     "op10_simhash": op10_simhash,
+    "op11_prefix_bpe": op11_prefix_bpe,
 }
 
 ORACLES: dict[str, str] = {
