@@ -87,3 +87,51 @@ t as (select c.k, c.n, piece, gone.n is not null as out, gone.n is not null and
 select doc_id, case when count(t.n) = 0 then any_value(text) else coalesce(string_agg(piece, '' order by t.n) filter (not out), '') end as text, count(t.n) as n_sentences,
   coalesce(cast(sum(case when out then 1 else 0 end) as bigint), 0) as n_removed, coalesce(cast(sum(case when opens then 1 else 0 end) as bigint), 0) as n_removed_ranges
 from d left join t on t.k = d.k group by d.k, doc_id"""
+
+
+def _op13(levels: int = 6, top: int = 3) -> str:
+    """Trees of degree 16 level by level: ``levels`` for sources, ``top`` for the tree over them."""
+
+    def tree(name: str, start: str, by: str, count: int) -> str:
+        out = [start]
+        over = f"partition by {by}, pos // 16 order by pos rows between"
+        for k in range(count):
+            out.append(f"""{name}s{k} as (select *, coalesce(string_agg(node, '') over ({over} unbounded preceding and 1 preceding), '') as l,
+  coalesce(string_agg(node, '') over ({over} 1 following and unbounded following), '') as r from {name}{k})""")
+            out.append(f"""{name}{k + 1} as (select {by}, pos // 16 as pos, (any_value(total) + 15) // 16 as total,
+  case when any_value(total) > 1 then sha256(string_agg(node, '' order by pos)) else any_value(node) end as node from {name}{k} group by {by}, pos // 16)""")
+        return ",\n".join(out)
+
+    def climb(name: str, by: str, key: str, start: str, count: int, columns: str) -> str:
+        out = []
+        for k in range(count):
+            before = start if k == 0 else f"{name}p{k - 1}"
+            fold = "case when s.total > 1 then sha256(s.l || x.folded || s.r) else x.folded end as folded"
+            proof = "case when s.total > 1 then x.proof || s.l || s.r else x.proof end as proof"
+            out.append(f"{name}p{k} as (select {columns}, {key} // 16 as at, {fold}, {proof} from {before} x join {name}s{k} s on {by} and s.pos = {key})")
+        return ",\n".join(out)
+
+    field = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+    head = " || ".join(field(c) for c in ("cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)"))
+    bit = "list_reduce(list_prepend(xor(c, x), range(8)), lambda y, z: case when y % 2 = 1 then xor(y // 2, 3988292384) else y // 2 end)"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda q: cast(ord(q) as bigint))), lambda c, x: {bit}), 4294967295)"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    first = f"""d as (select *, {head} as head, coalesce({crc} % 5 = 0, false) as hit from documents),
+h as (select doc_id, source, sha256(head || {field("text")}) as leaf, sha256(head || case when hit then {field(lowered)} else {field("text")} end) as tampered from d),
+n as (select *, row_number() over (partition by source order by doc_id nulls first, leaf, tampered) - 1 as pos, count(*) over (partition by source) as total from h)"""
+    columns = "x.doc_id, x.source, x.leaf"
+    parts = [
+        first,
+        tree("a", "a0 as (select source, pos, total, leaf as node from n)", "source", levels),
+        f"subs as (select source, node, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as total from a{levels})",
+        tree("b", "b0 as (select 0 as one, pos, total, node from subs)", "one", top),
+        "start as (select doc_id, source, leaf, pos as at, tampered as folded, '' as proof from n)",
+        climb("a", "s.source is not distinct from x.source", "x.at", "start", levels, columns),
+        f"middle as (select {columns}, subs.node as subroot, subs.pos as at, folded, proof from ap{levels - 1} x join subs on subs.source is not distinct from x.source)",
+        climb("b", "true", "x.at", "middle", top, columns + ", x.subroot"),
+    ]
+    last = f"select doc_id, leaf, subroot, b{top}.node as root, sha256(proof) as proof_sha256, folded as folded_root, folded = b{top}.node as verified from bp{top - 1}, b{top}"
+    return "with " + ",\n".join(parts) + "\n" + last
+
+
+OP13_MERKLE = _op13()

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from .chat import op4_chat
 from .line_rules import op7_line_rules
+from .merkle import op13_merkle
 from .mixing import op5_mixing
 from .mpeg import op9_mpeg
-from .oracles import OP4_CHAT, OP6_SUBSTRING, OP7_LINE_RULES
+from .oracles import OP4_CHAT, OP6_SUBSTRING, OP7_LINE_RULES, OP13_MERKLE
 from .orc_tokens import op2_orc_tokens
 from .packing import op8_packing
 from .prefix_bpe import op11_prefix_bpe
@@ -27,10 +28,12 @@ QUERIES = {
     "op2_orc_tokens": op2_orc_tokens,
     "op10_simhash": op10_simhash,
     "op11_prefix_bpe": op11_prefix_bpe,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
     "op4_chat": OP4_CHAT,
     "op6_substring": OP6_SUBSTRING,
     "op7_line_rules": OP7_LINE_RULES,
+    "op13_merkle": OP13_MERKLE,
 }
