@@ -135,3 +135,16 @@ n as (select *, row_number() over (partition by source order by doc_id nulls fir
 
 
 OP13_MERKLE = _op13()
+
+#: All scores of anchors with all other rows; missing components of shorter vectors count as 0.
+OP12_NEGATIVES = """
+with e as (select row_number() over () as k, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+  list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select a.k as ak, b.k as bk, a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same,
+  cast(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 0) as bigint) as score from e a join e b on a.k <> b.k where a.vec_id % 100 = 0),
+p as (select ak, bk, anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by ak order by score desc, other nulls last, bk) <= 5),
+n as (select p.anchor_id, positive_id, other as negative_id, positive_score, score as negative_score,
+  row_number() over (partition by p.ak, p.bk order by score desc, other nulls last, s.bk) as rank
+  from p join s on s.ak = p.ak and not same and 80 * positive_score <= 100 * score and score <= positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 5"""

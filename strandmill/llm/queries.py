@@ -7,7 +7,8 @@ from .line_rules import op7_line_rules
 from .merkle import op13_merkle
 from .mixing import op5_mixing
 from .mpeg import op9_mpeg
-from .oracles import OP4_CHAT, OP6_SUBSTRING, OP7_LINE_RULES, OP13_MERKLE
+from .negatives import op12_negatives
+from .oracles import OP4_CHAT, OP6_SUBSTRING, OP7_LINE_RULES, OP12_NEGATIVES, OP13_MERKLE
 from .orc_tokens import op2_orc_tokens
 from .packing import op8_packing
 from .prefix_bpe import op11_prefix_bpe
@@ -28,6 +29,7 @@ QUERIES = {
     "op2_orc_tokens": op2_orc_tokens,
     "op10_simhash": op10_simhash,
     "op11_prefix_bpe": op11_prefix_bpe,
+    "op12_negatives": op12_negatives,
     "op13_merkle": op13_merkle,
 }
 
@@ -35,5 +37,6 @@ ORACLES: dict[str, str] = {
     "op4_chat": OP4_CHAT,
     "op6_substring": OP6_SUBSTRING,
     "op7_line_rules": OP7_LINE_RULES,
+    "op12_negatives": OP12_NEGATIVES,
     "op13_merkle": OP13_MERKLE,
 }
