@@ -80,9 +80,8 @@ def delta_array(qual: Column, start: str = "H", middle: int = 45, base: int = 90
     """Steps between neighbours as middle + step; equal ones as base + count in stretches
     of at most ``most``. The first character is compared with ``start``; all characters count.
     """
-    r = _run_strings(qual)
 
-    def of(s, i):
+    def of(r, s, i):
         prev = F.when(i == 0, F.lit(ord(start))).otherwise(F.ascii(F.element_at(r, F.greatest(i, F.lit(1)))))
         step = F.ascii(s) - prev
         repeats = F.length(s) - F.when(step == 0, 0).otherwise(1)
@@ -91,7 +90,8 @@ def delta_array(qual: Column, start: str = "H", middle: int = 45, base: int = 90
         tail = F.when(repeats % most > 0, F.array((repeats % most + base).cast("int"))).otherwise(F.array().cast("array<int>"))
         return F.concat(head, full, tail)
 
-    return F.flatten(F.transform(r, of))
+    # The runs are bound once, as the only element of an array; named by their expression they would be found again for each run.
+    return F.element_at(F.transform(F.array(_run_strings(qual)), lambda r: F.flatten(F.transform(r, lambda s, i: of(r, s, i)))), 1)
 
 
 def delta_runs(quals: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import archive, shared
 from ..functions import bases, fields
-from ..operators import align, index, legacy, metadata, quality
+from ..operators import align, blocked, index, legacy, metadata, quality
 from ..sources import derived as D
 from ..sources import fasta
 from ..sources.derived import with_tables
@@ -190,6 +190,15 @@ def ref_normalise(spark, sf_dir) -> DataFrame:
     return index.normalise(D.fasta_lines(spark, sf_dir))
 
 
+_TEXT = "select regexp_replace(regexp_replace(string_agg(upper(line), '' order by line_no), 'N{11,}', '', 'g'), '[^ACGT]', 'G', 'g') as ref from fasta where line not like '>%'"
+
+
+@query(with_tables("fasta", f"+x as ({_TEXT}), b as (select ref, unnest(range((length(ref) + {blocked.SIZE - 1}) // {blocked.SIZE})) as block from x) select block, substr(ref, cast(block * {blocked.SIZE} + 1 as integer), {blocked.SIZE}) as bases from b"))
+def ref_blocks(spark, sf_dir) -> DataFrame:
+    """The normalised text by a segmented scan, in blocks."""
+    return blocked.normalised(D.fasta_lines(spark, sf_dir))
+
+
 _SA = with_tables("ref", "+x as (select ref || '$' as s, length(ref) + 1 as n from ref), p as (select unnest(range(n)) as pos, s, n from x), sa as (select cast(row_number() over (order by substr(s, pos + 1)) - 1 as bigint) as \"row\", pos, s, n from p) ")
 _BWT = _SA + (
     ", b0 as (select *, substr(s, (pos - 1 + n) % n + 1, 1) as b1, substr(s, (pos - 2 + n) % n + 1, 1) as b2, substr(s, (pos - 3 + n) % n + 1, 1) as b3 from sa), "
@@ -207,6 +216,12 @@ def _bwt(spark, sf_dir):
     return index.bwt(ref, index.suffix_array(ref))
 
 
+@query(_SA + 'select "row", pos from sa')
+def suffix_rows_blocked(spark, sf_dir) -> DataFrame:
+    """The suffix array by a difference cover over blocks; ``local`` is small so that the recursion runs at these sizes too."""
+    return blocked.suffix_rows(blocked.normalised(D.reference_lines(spark, sf_dir)), local=1024)
+
+
 @query(_BWT + " select * from b")
 def bwt_codes(spark, sf_dir) -> DataFrame:
     return _bwt(spark, sf_dir)
@@ -270,9 +285,10 @@ def kmer_codes(spark, sf_dir) -> DataFrame:
     return t.select("read_id", "position", "triple", bases.triple_code(F.col("triple")).alias("code"))
 
 
-@query("select i as code, substr('ACGT', cast(i // 16 + 1 as integer), 1) || substr('ACGT', cast(i // 4 % 4 + 1 as integer), 1) || substr('ACGT', cast(i % 4 + 1 as integer), 1) as triple from range(64) t(i)")
+@query(with_tables("ref creads", "+p as (select read_id, seq, unnest(range(1, length(seq) - 1)) as position from creads), t as (select read_id, cast(position as integer) as position, substr(seq, position, 3) as triple from p) select read_id, position, cast(16 * (instr('ACGT', substr(triple, 1, 1)) - 1) + 4 * (instr('ACGT', substr(triple, 2, 1)) - 1) + instr('ACGT', substr(triple, 3, 1)) - 1 as integer) as code, triple from t where triple not like '%N%'"))
 def kmer_decode(spark, sf_dir) -> DataFrame:
-    return spark.range(64).select(F.col("id").alias("code"), bases.triple_of(F.col("id")).alias("triple"))
+    """The letters of every triple's code. Triples with N have no code."""
+    return kmer_codes(spark, sf_dir).where("code is not null").select("read_id", "position", "code", bases.triple_of(F.col("code")).alias("triple"))
 
 
 @query(with_tables("ref creads", "select read_id, reverse(translate(seq, 'ACGT', 'TGCA')) as rc, case when length(seq) % 2 = 1 then substr(reverse(translate(seq, 'ACGT', 'TGCA')), 1, length(seq) // 2) || substr(seq, length(seq) // 2 + 1, 1) || substr(reverse(translate(seq, 'ACGT', 'TGCA')), length(seq) // 2 + 2) else reverse(translate(seq, 'ACGT', 'TGCA')) end as rc_compat from creads"))
@@ -378,6 +394,25 @@ def stored_index_rows(spark, sf_dir) -> DataFrame:
     return tables["sa"].join(tables["bwt"].select("row", "code"), "row").select("row", "pos", "code")
 
 
+def _blocked(spark, sf_dir) -> blocked.BlockedIndex:
+    """A stored index of blocks and buckets, which no task or driver holds."""
+    path = shared.path(spark, "blocked")
+    blocked.build(blocked.normalised(D.reference_lines(spark, sf_dir)), path, every=8)
+    return blocked.BlockedIndex.load(spark, path, every=8)
+
+
+@query(_aligned("fwd", _BEST + " select read_id, orn, tuple_no, pos, len, sym from best", _BOTH))
+def align_blocked(spark, sf_dir) -> DataFrame:
+    """Reads aligned by joins with packed buckets, positions from the sampled suffix array."""
+    return align.tuple_rows(blocked.best_strand(D.customer_reads(spark, sf_dir), _blocked(spark, sf_dir)))
+
+
+@query(with_tables("ref creads", "select read_id, seq from creads"))
+def decode_blocked(spark, sf_dir) -> DataFrame:
+    found = _blocked(spark, sf_dir)
+    return blocked.decoded(shared.materialize(blocked.best_strand(D.customer_reads(spark, sf_dir), found), "best"), found)
+
+
 @query(with_tables("ref oreads", "select read_id, meta, seq, strand, read_id % 3 = 0 as repeated, qual from oreads"))
 def archive_roundtrip(spark, sf_dir) -> DataFrame:
     tables, path = _stored(spark, sf_dir), shared.path(spark, "archive")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +52,39 @@ def before(counts: DataFrame, key: str, n: str, into: str, group: str | None = N
         same &= F.col(group).eqNullSafe(F.col("_g"))
     local = cut.withColumn("_in", F.coalesce(F.sum(n).over(ahead), F.lit(0)))
     return local.join(bases, same).withColumn(into, (F.col("_in") + F.col("_base")).cast("long")).drop("_span", "_in", "_s", "_g", "_base")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return a scan of the written table."""
+    at = path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def ordered(rows: DataFrame, keys: list[str], into: str, flag: str | None = None, flagged: str | None = None) -> DataFrame:
+    """``rows`` with ``into``: the number of rows before each in the order of ``keys``, which differ in all rows; and with ``flagged``, the
+    sum of ``flag`` (0 or 1) over these.
+
+    A range sort deals the rows, each task counts its own in order, and a window over one row a task adds up the tasks.
+    """
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    names = rows.columns
+
+    def run(batches):
+        part, at, ones = TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            n = b.num_rows
+            set_ = b.column(flag).to_numpy().astype(np.int64) if flag else np.zeros(n, np.int64)
+            upto = ones + np.cumsum(set_)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, part, np.int32)), pa.array(at + np.arange(n)), pa.array(upto - set_)], names=[*names, "_part", "_at", "_ones"])
+            at += n
+            ones = int(upto[-1]) if n else ones
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    stored = materialize(dealt.mapInArrow(run, f"{kinds}, _part int, _at long, _ones long"), "ordered")
+    totals = stored.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"), (F.sum(flag) if flag else F.lit(0)).alias("_m"))
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    bases = totals.select("_p", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).cast("long").alias(f"{c}_base") for c in ("_n", "_m")))
+    joined = stored.join(bases, F.col("_part") == F.col("_p"))
+    more = [(F.col("_ones") + F.col("_m_base")).alias(flagged)] if flagged else []
+    return joined.select(*names, (F.col("_at") + F.col("_n_base")).alias(into), *more)

@@ -22,6 +22,11 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"select listagg(translate(md5(cast(s_suppkey as string)), '{HEX}', '{ACGT}'), '') within group (order by s_suppkey) as ref from {{t}}", t=table(spark, sf_dir, "supplier"))
 
 
+def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line_no, line): the same bases as FASTA lines, one a supplier."""
+    return table(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as bigint) as line_no", f"translate(md5(cast(s_suppkey as string)), '{HEX}', '{ACGT}') as line")
+
+
 _CUSTOMER = """
 with a as (select c_custkey as k, 30 + c_custkey % 31 as l, {ref} as ref from {customer}),
 b as (select k, l, substr(ref, cast(1 + (k * 37) % (length(ref) - 61) as int), cast(l as int)) as s from a),
