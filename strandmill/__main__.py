@@ -12,21 +12,25 @@ def main(args: list[str], spark=None) -> int:
         return 2
     from pyspark.sql import SparkSession
 
-    from . import archive
-    from .operators import index
+    from . import archive, shared
+    from .operators import align, blocked, index
     from .sources import fasta, fastq
 
     spark = spark or SparkSession.builder.appName("strandmill").getOrCreate()
     spark.dataSource.register(fastq.FastqSource)
     spark.dataSource.register(fasta.FastaSource)
     if args[0] == "index":
-        fasta.build_index(index.normalise(spark.read.format("fasta").load(args[1])), args[2])
+        text = shared.materialize(blocked.normalised(spark.read.format("fasta").load(args[1])), "text")
+        if blocked.length(text) > align.MOST_BASES:  # too large to send to tasks
+            blocked.build(text, args[2])
+        else:
+            fasta.build_index(index.joined(text), args[2])
     elif args[0] == "compress":
         reads = fastq.numbered(spark.read.format("fastq").load(args[1]))
-        stored = fasta.load_index(spark, args[2])
-        archive.compress(reads, stored["ref"], args[3], stored["sa"])
+        ref, sa = fasta.stored(spark, args[2])
+        archive.compress(reads, ref, args[3], sa)
     else:
-        fastq.write(archive.decompress(spark, args[1], fasta.load_index(spark, args[2])["ref"]), args[3])
+        fastq.write(archive.decompress(spark, args[1], fasta.stored(spark, args[2])[0]), args[3])
     return 0
 
 

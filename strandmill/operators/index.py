@@ -30,6 +30,11 @@ def normalise(lines: DataFrame, compat: bool = False) -> DataFrame:
     return whole.select(F.regexp_replace(F.regexp_replace("t", "N{11,}", ""), "[^ACGT]", "G").alias("ref"))
 
 
+def joined(blocks: DataFrame) -> DataFrame:
+    """(ref): the text of (block, bases) in one value, for references that are small enough to be sent to tasks."""
+    return blocks.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "bases"))), lambda x: x["bases"]), "").alias("ref"))
+
+
 def positions(ref: DataFrame) -> DataFrame:
     """(pos, base) of the text with its ``$``, positions from 0."""
     text = F.concat("ref", F.lit("$"))

@@ -6,6 +6,7 @@ repeats in stretches of up to 60 as symbols 128 to 187. Runs end with the read.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,73 +109,205 @@ def refreeze(quals: DataFrame, batch_rows: int, threshold: int = 40, compat: boo
 # The arithmetic coder: 32-bit order-0 ranges with a fixed model.
 TOP, HALF, QUARTER = (1 << 32) - 1, 1 << 31, 1 << 30
 END = SYMBOLS - 1
+#: Reads that are coded in step.
+LANES = 1024
+
+
+class Fixed:
+    """One table of cumulative counts for all lanes."""
+
+    def __init__(self, cum: list[int]):
+        self.cum, self.total = np.array(cum, np.int64), int(cum[-1])
+
+    def bounds(self, lanes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        return self.cum[codes], self.cum[codes + 1], self.total
+
+    def find(self, lanes: np.ndarray, span: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cum, ((offset + 1) * self.total - 1) // span, side="right") - 1
+
+    def seen(self, lanes: np.ndarray, codes: np.ndarray) -> None:
+        """Nothing changes."""
+
+
+def _length(x: np.ndarray) -> np.ndarray:
+    """Bits of each number."""
+    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+
+
+def _settled(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many first bits of both bounds agree, how many behind them wait (01.. beneath 10..), and the bounds without these."""
+    sure = 32 - _length(low ^ high)
+    low, high = (low << sure) & TOP, ((high << sure) & TOP) | ((1 << sure) - 1)
+    waits = 31 - _length(~(low & ~high) & (HALF - 1))
+    return sure, waits, (low << waits) & (HALF - 1), ((high << waits) & (HALF - 1)) | ((1 << waits) - 1) | HALF
+
+
+def encode_lanes(rows: list[np.ndarray], model, end: int = END) -> list[bytes]:
+    """Each row of symbols, and an end symbol, as bytes of its own. All rows take each step together: a lane a row, with bounds and waiting bits
+    of its own.
+    """
+    count = len(rows)
+    if not count:
+        return []
+    sizes = np.fromiter(map(len, rows), np.int64, count) + 1
+    grid = np.full((count, int(sizes.max())), end, np.int64)
+    grid[np.arange(grid.shape[1]) < (sizes - 1)[:, None]] = np.concatenate([np.asarray(r, np.int64) for r in rows])
+    low, high, waiting = np.zeros(count, np.int64), np.full(count, TOP, np.int64), np.zeros(count, np.int64)
+    said = []  # lane, settled bits, their number, and how many opposites of the first come behind it
+    live = np.arange(count)
+    for k in range(grid.shape[1]):
+        live = live[sizes[live] > k]
+        codes = grid[live, k]
+        lower, upper, total = model.bounds(live, codes)
+        a, span = low[live], high[live] - low[live] + 1
+        a, b = a + span * lower // total, a + span * upper // total - 1
+        model.seen(live, codes)
+        sure, waits, low[live], high[live] = _settled(a, b)
+        out = np.flatnonzero(sure)
+        lanes = live[out]
+        said.append((lanes, a[out] >> (32 - sure[out]), sure[out], waiting[lanes]))
+        waiting[lanes] = 0
+        waiting[live] += waits
+    said.append((np.arange(count), (low >= QUARTER).astype(np.int64), np.ones(count, np.int64), waiting + 1))
+    lane, value, sure, more = (np.concatenate(x) for x in zip(*said))
+    order = np.argsort(lane, kind="stable")
+    lane, value, sure, more = lane[order], value[order], sure[order], more[order]
+    width = sure + more
+    lengths = np.bincount(lane, width, count).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum((lengths + 7) // 8)])  # in bytes
+    before_lane = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    each = np.repeat(np.arange(len(lane)), width)
+    j = np.arange(len(each)) - np.repeat(np.cumsum(width) - width, width)  # place in an event: its first bit, opposites, other bits
+    first, more, sure, value = value >> (sure - 1), more[each], sure[each], value[each]
+    bit = np.where(j == 0, first[each], np.where(j <= more, 1 - first[each], (value >> np.maximum(sure - 1 - (j - more), 0)) & 1))
+    bits = np.zeros(8 * starts[-1], np.uint8)
+    bits[np.arange(len(each)) - before_lane[lane[each]] + 8 * starts[lane[each]]] = bit
+    data = np.packbits(bits).tobytes()
+    return [data[x:y] for x, y in zip(starts.tolist(), starts[1:].tolist())]
+
+
+def _fetched(raw: np.ndarray, lanes: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The next ``n`` bits (31 at most) of each lane from bit ``at``; zeros behind the end."""
+    byte = np.minimum(at >> 3, raw.shape[1] - 8)
+    window = np.zeros(len(lanes), np.int64)
+    for i in range(5):  # 7 + 31 bits at most
+        window = window << 8 | raw[lanes, byte + i]
+    return (window >> (40 - (at & 7) - n)) & ((1 << n) - 1)
+
+
+def decode_lanes(rows: list[bytes], model, end: int = END) -> list[list[int]]:
+    """The symbols of each row before its end symbol, all rows in step."""
+    count = len(rows)
+    if not count:
+        return []
+    sizes = np.fromiter(map(len, rows), np.int64, count)
+    raw = np.zeros((count, int(sizes.max()) + 16), np.uint8)
+    raw[np.arange(raw.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(rows), np.uint8)
+    low, high, at = np.zeros(count, np.int64), np.full(count, TOP, np.int64), np.full(count, 32)
+    value = raw[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
+    live, who, what = np.arange(count), [], []
+    while len(live):
+        a, span = low[live], high[live] - low[live] + 1
+        codes = model.find(live, span, value[live] - a)
+        lower, upper, total = model.bounds(live, codes)
+        model.seen(live, codes)
+        sure, waits, low[live], high[live] = _settled(a + span * lower // total, a + span * upper // total - 1)
+        now = ((value[live] << sure) & TOP) | _fetched(raw, live, at[live], sure)
+        at[live] += sure
+        value[live] = (now & HALF) | ((now << waits) & (HALF - 1)) | _fetched(raw, live, at[live], waits)
+        at[live] += waits
+        if (at[live] > 8 * sizes[live] + 64).any():
+            raise ValueError("a row without an end")
+        on = codes != end
+        live = live[on]
+        who.append(live)
+        what.append(codes[on])
+    lane = np.concatenate(who)
+    flat = np.concatenate(what)[np.argsort(lane, kind="stable")].tolist()
+    ends = np.cumsum(np.bincount(lane, minlength=count)).tolist()
+    return [flat[x:y] for x, y in zip([0, *ends], ends)]
+
+
+class Adaptive:
+    """Counts of each lane that start at one and grow with what the lane codes, as Fenwick trees: coder and decoder change them alike.
+
+    A count grows by ``step``; where a lane's sum passes ``most``, its counts are halved.
+    """
+
+    def __init__(self, lanes: int, symbols: int = SYMBOLS, step: int = 32, most: int = 1 << 16):
+        self.size = 1 << (symbols - 1).bit_length()
+        self.symbols, self.step, self.most = symbols, step, most
+        self.counts = np.zeros((lanes, self.size), np.int64)
+        self.counts[:, :symbols] = 1
+        self.total = np.full(lanes, symbols, np.int64)
+        self.tree = np.zeros((lanes, self.size + 1), np.int64)
+        self._grow(np.arange(lanes))
+
+    def _grow(self, lanes: np.ndarray) -> None:
+        """Trees from counts: entry i sums the lowbit(i) counts up to i."""
+        upto = np.concatenate([np.zeros((len(lanes), 1), np.int64), np.cumsum(self.counts[lanes], axis=1)], axis=1)
+        i = np.arange(1, self.size + 1)
+        self.tree[lanes, 1:] = upto[:, i] - upto[:, i - (i & -i)]
+
+    def _before(self, lanes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        i, out = codes.copy(), np.zeros(len(codes), np.int64)
+        while i.any():
+            out += self.tree[lanes, i]  # entry 0 is 0
+            i &= i - 1
+        return out
+
+    def bounds(self, lanes: np.ndarray, codes: np.ndarray):
+        lower = self._before(lanes, codes)
+        return lower, lower + self.counts[lanes, codes], self.total[lanes]
+
+    def find(self, lanes: np.ndarray, span: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """The symbol of each lane's target, down its tree."""
+        left, at, step = ((offset + 1) * self.total[lanes] - 1) // span, np.zeros(len(lanes), np.int64), self.size
+        while step:
+            to = at + step
+            fits = to <= self.size
+            part = self.tree[lanes, np.minimum(to, self.size)]
+            fits &= part <= left
+            at, left = np.where(fits, to, at), np.where(fits, left - part, left)
+            step >>= 1
+        return at
+
+    def seen(self, lanes: np.ndarray, codes: np.ndarray) -> None:
+        self.counts[lanes, codes] += self.step
+        self.total[lanes] += self.step
+        i = codes + 1
+        while (on := i <= self.size).any():
+            self.tree[lanes[on], i[on]] += self.step
+            i = np.where(on, i + (i & -i), i)
+        if (full := lanes[self.total[lanes] > self.most]).size:
+            self.counts[full] = (self.counts[full] + 1) >> 1
+            self.total[full] = self.counts[full].sum(axis=1)
+            self._grow(full)
 
 
 def arithmetic_encode(codes: list[int], cum: list[int]) -> bytes:
     """``codes`` then an end symbol under cumulative counts ``cum`` (189 + 1 entries, all rising)."""
-    low, high, pending, total = 0, TOP, 0, cum[-1]
-    out: list[str] = []
-    for c in (*codes, END):
-        span = high - low + 1
-        high = low + span * cum[c + 1] // total - 1
-        low = low + span * cum[c] // total
-        while True:
-            if high < HALF:
-                out.append("0" + "1" * pending)
-                pending = 0
-            elif low >= HALF:
-                out.append("1" + "0" * pending)
-                pending = 0
-                low -= HALF
-                high -= HALF
-            elif low >= QUARTER and high < HALF + QUARTER:
-                pending += 1
-                low -= QUARTER
-                high -= QUARTER
-            else:
-                break
-            low, high = low * 2, high * 2 + 1
-    out.append(("0" + "1" * (pending + 1)) if low < QUARTER else ("1" + "0" * (pending + 1)))
-    text = "".join(out)
-    text += "0" * (-len(text) % 8)
-    return int(text, 2).to_bytes(len(text) // 8, "big")
+    return encode_lanes([np.asarray(codes, np.int64)], Fixed(cum))[0]
 
 
 def arithmetic_decode(data: bytes, cum: list[int]) -> list[int]:
     """The symbols before the end symbol."""
-    from bisect import bisect_right
-
-    bits = f"{int.from_bytes(data, 'big'):0{len(data) * 8}b}"
-    low, high, at, total = 0, TOP, 32, cum[-1]
-    value = int(bits[:32].ljust(32, "0"), 2)
-    out = []
-    while True:
-        span = high - low + 1
-        c = bisect_right(cum, ((value - low + 1) * total - 1) // span) - 1
-        if c == END:
-            return out
-        out.append(c)
-        high = low + span * cum[c + 1] // total - 1
-        low = low + span * cum[c] // total
-        while True:
-            if high < HALF:
-                move = 0
-            elif low >= HALF:
-                move = HALF
-            elif low >= QUARTER and high < HALF + QUARTER:
-                move = QUARTER
-            else:
-                break
-            low, high, value = (low - move) * 2, (high - move) * 2 + 1, (value - move) * 2
-            value += at < len(bits) and bits[at] == "1"
-            at += 1
-
-
-def smoothed(model: DataFrame) -> list[int]:
-    """190 rising cumulative counts of a model, each frequency raised by one."""
+    return decode_lanes([data], Fixed(cum))[0]
+
+
+#: The largest sum of frequencies a coder takes; ranges never get smaller than 2**30, so each symbol keeps a part of them.
+MOST = 1 << 28
+
+
+def smoothed(model: DataFrame, most: int = MOST) -> list[int]:
+    """190 rising cumulative counts of a model, each frequency raised by one. Larger sums than ``most`` are scaled down to it."""
+    freq = [r.freq + 1 for r in model.orderBy("symbol").collect()]  # 189 rows
+    total = sum(freq)
+    if total > most:
+        freq = [max(1, f * (most - len(freq)) // total) for f in freq]
     cum = [0]
-    for r in model.orderBy("symbol").collect():  # 189 rows
-        cum.append(cum[-1] + r.freq + 1)
+    for f in freq:
+        cum.append(cum[-1] + f)
     return cum
 
 
@@ -187,7 +320,12 @@ def arithmetic_code(quals: DataFrame, cum: list[int] | None = None) -> DataFrame
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("read_id"), pa.array([arithmetic_encode(x, table) for x in b.column("p").to_pylist()], pa.binary())], names=["read_id", "data"])
+            for at in range(0, b.num_rows, LANES):
+                part = b.slice(at, LANES)
+                lists = part.column("p")
+                flat = lists.flatten().to_numpy().astype(np.int64)
+                coded = encode_lanes(np.split(flat, np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1]), Fixed(table))
+                yield pa.RecordBatch.from_arrays([part.column("read_id"), pa.array(coded, pa.binary())], names=["read_id", "data"])
 
     return listed.mapInArrow(run, "read_id long, data binary")
 
@@ -195,14 +333,65 @@ def arithmetic_code(quals: DataFrame, cum: list[int] | None = None) -> DataFrame
 def arithmetic_read(coded: DataFrame, cum: list[int]) -> DataFrame:
     """(read_id, qual) from ``arithmetic_code``."""
 
-    def text(data):
+    def text(codes):
         out = []
-        for c in arithmetic_decode(data, cum):
+        for c in codes:
             out.append(chr(c + OFFSET) if c < ALPHABET else out[-1][-1] * (c - ALPHABET + 1))
         return "".join(out)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("read_id"), pa.array([text(x) for x in b.column("data").to_pylist()])], names=["read_id", "qual"])
+            for at in range(0, b.num_rows, LANES):
+                part = b.slice(at, LANES)
+                found = decode_lanes(part.column("data").to_pylist(), Fixed(cum))
+                yield pa.RecordBatch.from_arrays([part.column("read_id"), pa.array([text(x) for x in found], pa.string())], names=["read_id", "qual"])
+
+    return coded.mapInArrow(run, "read_id long, qual string")
+
+
+def adaptive_code(quals: DataFrame, rows_per_part: int = 64, parts_per_lane_set: int = 256) -> DataFrame:
+    """(part, entries, ids, data): reads of ``rows_per_part`` numbers coded in one piece by counts that follow what was coded.
+
+    Nothing is counted before, and no model is stored. Reads of a part end by a symbol each; parts decode on their own. Null and
+    empty qualities have no entry.
+    """
+    part = F.floor(F.col("read_id") / rows_per_part).cast("long")
+    listed = quals.where(F.length("qual") > 0).select("read_id", part.alias("part"), symbol_array(F.col("qual")).alias("p"))
+    whole = listed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("read_id", "p"))).alias("r"))  # at most rows_per_part reads
+    stop = SYMBOLS  # the end of the part, behind the ends of its reads
+    flat = whole.select("part", F.col("r.read_id").alias("ids"), F.flatten(F.transform("r", lambda x: F.concat(x["p"], F.array(F.lit(END))))).alias("codes"))
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, parts_per_lane_set):
+                some = b.slice(at, parts_per_lane_set)
+                lists = some.column("codes")
+                rows = np.split(lists.flatten().to_numpy().astype(np.int64), np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1])
+                data = encode_lanes(rows, Adaptive(len(rows), SYMBOLS + 1), stop)
+                sizes = pa.array([len(x) for x in some.column("ids").to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column("part"), sizes, some.column("ids"), pa.array(data, pa.binary())], names=["part", "entries", "ids", "data"])
+
+    return flat.mapInArrow(run, "part long, entries long, ids array<long>, data binary")
+
+
+def adaptive_read(coded: DataFrame, parts_per_lane_set: int = 256) -> DataFrame:
+    """(read_id, qual) from ``adaptive_code``."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, parts_per_lane_set):
+                some = b.slice(at, parts_per_lane_set)
+                ids, quals = [], []
+                found = decode_lanes(some.column("data").to_pylist(), Adaptive(some.num_rows, SYMBOLS + 1), SYMBOLS)
+                for mine, codes in zip(some.column("ids").to_pylist(), found):
+                    text = []
+                    for c in codes:
+                        if c == END:
+                            quals.append("".join(text))
+                            text = []
+                        else:
+                            text.append(chr(c + OFFSET) if c < ALPHABET else text[-1][-1] * (c - ALPHABET + 1))
+                    ids += mine
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(quals, pa.string())], names=["read_id", "qual"])
 
     return coded.mapInArrow(run, "read_id long, qual string")

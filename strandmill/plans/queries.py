@@ -558,21 +558,32 @@ def delta_run_size(spark, sf_dir) -> DataFrame:
     return legacy.delta_run_size(D.order_quals(spark, sf_dir))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """A table of one small file as rows in all tasks, for coders whose work is far more than the reading."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "read_id")
+
+
+@query(with_tables("quals", "select read_id, qual from quals where length(qual) > 0"))
+def adaptive_roundtrip(spark, sf_dir) -> DataFrame:
+    """Counts that coder and decoder learn as they go, in parts of 64 read numbers."""
+    return quality.adaptive_read(quality.adaptive_code(D.order_quals(spark, sf_dir)))
+
+
 @query(with_tables("quals", "select read_id, qual from quals where length(qual) > 0"))
 def arith_roundtrip(spark, sf_dir) -> DataFrame:
-    quals = D.order_quals(spark, sf_dir)
+    quals = _spread(D.order_quals(spark, sf_dir))
     cum = quality.smoothed(quality.cumulative(quality.symbols(quals)))
     return quality.arithmetic_read(quality.arithmetic_code(quals, cum), cum)
 
 
 @query(with_tables("quals", "select read_id, qual from quals"))
 def lzw_roundtrip(spark, sf_dir) -> DataFrame:
-    return legacy.lzw_read(legacy.lzw(D.order_quals(spark, sf_dir)))
+    return legacy.lzw_read(legacy.lzw(_spread(D.order_quals(spark, sf_dir))))
 
 
 @query(with_tables("quals", "select read_id, codec, qual from quals, (values " + ", ".join(f"('{c}')" for c in legacy.CODECS) + ") c(codec)"))
 def codecs_roundtrip(spark, sf_dir) -> DataFrame:
-    quals = D.order_quals(spark, sf_dir)
+    quals = _spread(D.order_quals(spark, sf_dir))
     whole = None
     for name in legacy.CODECS:
         one = legacy.read(legacy.coded(quals, name), name).select("read_id", F.lit(name).alias("codec"), "qual")
@@ -604,7 +615,7 @@ def meta_stream_roundtrip(spark, sf_dir) -> DataFrame:
 def qual_stream_roundtrip(spark, sf_dir) -> DataFrame:
     from ..operators import streams
 
-    return streams.quality_read(streams.quality_stream(D.order_quals(spark, sf_dir)))
+    return streams.quality_read(streams.quality_stream(_spread(D.order_quals(spark, sf_dir))))
 
 
 @query(_CODES + ", rowbits as (select read_id, string_agg(bits, '' order by field) as bits from c group by read_id), p as (select read_id, rpad(bits, cast((length(bits) + 7) // 8 * 8 as integer), '0') as bits from rowbits) select read_id, array_to_string([substr('0123456789ABCDEF', 8 * cast(substr(bits, 4 * i - 3, 1) as integer) + 4 * cast(substr(bits, 4 * i - 2, 1) as integer) + 2 * cast(substr(bits, 4 * i - 1, 1) as integer) + cast(substr(bits, 4 * i, 1) as integer) + 1, 1) for i in range(1, length(bits) // 4 + 1)], '') as packed, length(bits) // 8 as bytes, bits from p")

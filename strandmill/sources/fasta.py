@@ -1,7 +1,7 @@
 """FASTA: lines by offset, and the stored index of a reference.
 
-A reference is bounded (below 2**32 bases); its lines are read in parallel and put
-together once, when an index is built.
+Lines are read in parallel. References that can be sent to tasks are stored as one text with the tables below, larger ones as
+blocks (``operators.blocked``).
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource
 
-from ..operators import index
+from ..operators import blocked, index
 from .fastq import FastqReader
 
 TABLES = ("ref", "sa", "bwt", "grams_1", "grams_2", "grams_3", "intervals_1", "intervals_2", "checkpoints")
@@ -73,3 +73,12 @@ def build_index(ref: DataFrame, path: str) -> None:
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables that ``build_index`` wrote, by name; scans are lazy."""
     return {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+
+
+def stored(spark: SparkSession, path: str) -> tuple[DataFrame | blocked.BlockedIndex, DataFrame | None]:
+    """What alignment takes from an index at ``path``: its text and suffix array, or its blocks."""
+    buckets = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/buckets")
+    if buckets.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(buckets):
+        return blocked.BlockedIndex.load(spark, path), None
+    tables = load_index(spark, path)
+    return tables["ref"], tables["sa"]

@@ -225,3 +225,70 @@ def test_references_that_lack_bases(spark):
 def test_fasta(spark):
     lines = [(0, ">x acgt"), (1, "acgtNNNNN"), (2, "NNNNNNcc"), (3, "NNNNNNNNNN"), (4, "Rg")]
     assert index.normalise(spark.createDataFrame(lines, "line_no long, line string")).first().ref == "ACGT" + "CC" + "G" * 10 + "GG"
+
+
+def plain_coder(codes, cum, end):
+    """The arithmetic coder bit by bit, over whole numbers."""
+    low, high, pending, out = 0, 2**32 - 1, 0, []
+    for c in (*codes, end):
+        span = high - low + 1
+        low, high = low + span * cum[c] // cum[-1], low + span * cum[c + 1] // cum[-1] - 1
+        while True:
+            if high < 2**31 or low >= 2**31:
+                bit = int(low >= 2**31)
+                out += [bit] + [1 - bit] * pending
+                pending, move = 0, bit * 2**31
+            elif low >= 2**30 and high < 3 * 2**30:
+                pending, move = pending + 1, 2**30
+            else:
+                break
+            low, high = 2 * (low - move), 2 * (high - move) + 1
+    bit = int(low >= 2**30)
+    out += [bit] + [1 - bit] * (pending + 1)
+    out += [0] * (-len(out) % 8)
+    return bytes(int("".join(map(str, out[i : i + 8])), 2) for i in range(0, len(out), 8))
+
+
+@pytest.mark.parametrize("kind", ["even", "skewed", "large"])
+def test_lanes_give_the_bytes_of_the_plain_coder(kind):
+    import numpy as np
+
+    rng = random.Random(kind)
+    freq = [{"even": 1, "skewed": rng.choice([1, 1, 1, 50_000]), "large": rng.randint(1, 2**20)}[kind] for _ in range(189)]
+    cum = [0]
+    for f in freq:
+        cum.append(cum[-1] + f)
+    rows = [rng.choices(range(188), freq[:188], k=rng.randint(0, 90)) for _ in range(60)] + [[], [3] * 300, [187] * 40]
+    coded = quality.encode_lanes([np.array(r, np.int64) for r in rows], quality.Fixed(cum))
+    assert coded == [plain_coder(r, cum, 188) for r in rows]
+    assert quality.decode_lanes(coded, quality.Fixed(cum)) == rows
+    with pytest.raises(ValueError):
+        quality.decode_lanes([b"\x00\x01"], quality.Fixed([0, *range(10**6, 10**6 + 189)]))
+    learnt = quality.encode_lanes([np.array(r, np.int64) for r in rows], quality.Adaptive(len(rows), most=2000))
+    assert quality.decode_lanes(learnt, quality.Adaptive(len(rows), most=2000)) == rows
+
+
+def test_adaptive_trees_sum_their_counts():
+    import numpy as np
+
+    model, rng = quality.Adaptive(3, 20, 5, 200), random.Random(8)
+    for _ in range(150):
+        codes = np.array([rng.randrange(20) for _ in range(3)])
+        model.seen(np.arange(3), codes)
+        asked = np.array([rng.randrange(20) for _ in range(3)])
+        lower, upper, total = model.bounds(np.arange(3), asked)
+        assert lower.tolist() == [int(model.counts[i, :c].sum()) for i, c in enumerate(asked)] and (upper - lower == model.counts[np.arange(3), asked]).all()
+        assert (total == model.counts.sum(axis=1)).all() and (total <= 200).all()
+
+
+def test_adaptive_code_learns(spark):
+    quals = ["HHHHGGGF" * 6, "", None, "#"] + ["HHHHHHGGGG" * k for k in range(1, 40)]
+    coded = quality.adaptive_code(table(spark, quals), rows_per_part=16)
+    assert {r.read_id: r.qual for r in quality.adaptive_read(coded).collect()} == {i: q for i, q in enumerate(quals) if q}
+    assert coded.count() == 3 and quality.adaptive_read(coded.limit(0)).count() == 0
+
+
+def test_models_of_huge_counts_are_scaled(spark):
+    model = spark.createDataFrame([(i, 10**12 if i == 7 else i % 3) for i in range(189)], "symbol int, freq long")
+    cum = quality.smoothed(model)
+    assert cum[-1] <= quality.MOST and all(b > a for a, b in zip(cum, cum[1:])) and cum[8] - cum[7] > 0.99 * cum[-1]
