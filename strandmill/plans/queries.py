@@ -291,6 +291,18 @@ def kmer_decode(spark, sf_dir) -> DataFrame:
     return kmer_codes(spark, sf_dir).where("code is not null").select("read_id", "position", "code", bases.triple_of(F.col("code")).alias("triple"))
 
 
+@query(with_tables("ref creads", "+p as (select read_id, seq, unnest(range(1, length(seq) - 1)) as position from creads), t as (select read_id, cast(position as integer) as position, substr(seq, position, 3) as triple from p) select read_id, position, cast(case when triple like '%N%' then 64 else 16 * (instr('ACGT', substr(triple, 1, 1)) - 1) + 4 * (instr('ACGT', substr(triple, 2, 1)) - 1) + instr('ACGT', substr(triple, 3, 1)) - 1 end as bigint) as entry from t"))
+def packed_entries(spark, sf_dir) -> DataFrame:
+    """Each read's triple codes (64 for those with N) packed at seven bits, and every entry read back by its number."""
+    from ..functions import packed
+
+    digits = F.lpad(F.bin(F.coalesce("code", F.lit(64)).cast("long")), 7, "0")
+    rows = kmer_codes(spark, sf_dir).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("position", digits.alias("bits")))).alias("x"))  # a read's own triples
+    held = rows.select("read_id", F.size("x").alias("n"), packed.pack(F.array_join(F.transform("x", lambda e: e["bits"]), "")).alias("data"))
+    each = held.select("read_id", "data", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("position"))
+    return each.select("read_id", "position", packed.entry(F.col("data"), F.col("position") - 1, 7).alias("entry"))
+
+
 @query(with_tables("ref creads", "select read_id, reverse(translate(seq, 'ACGT', 'TGCA')) as rc, case when length(seq) % 2 = 1 then substr(reverse(translate(seq, 'ACGT', 'TGCA')), 1, length(seq) // 2) || substr(seq, length(seq) // 2 + 1, 1) || substr(reverse(translate(seq, 'ACGT', 'TGCA')), length(seq) // 2 + 2) else reverse(translate(seq, 'ACGT', 'TGCA')) end as rc_compat from creads"))
 def revcomp(spark, sf_dir) -> DataFrame:
     r = D.customer_reads(spark, sf_dir)
@@ -439,6 +451,24 @@ def fastq_emit(spark, sf_dir) -> DataFrame:
     return records(reads)
 
 
+@query(with_tables("ref oreads", "select meta, seq, strand, read_id % 3 = 0 as repeated, qual from oreads"))
+def fastq_stream(spark, sf_dir) -> DataFrame:
+    """Reads written as FASTQ files and taken up again as a stream."""
+    from ..sources.fastq import SCHEMA, write
+    from ..streaming.fastq_stream import FastqStream
+
+    files, sink = shared.path(spark, "fastq"), shared.path(spark, "reads")
+    write(D.order_reads(spark, sf_dir).withColumn("repeated", F.col("read_id") % 3 == 0), files)
+    spark.dataSource.register(FastqStream)
+    stream = spark.readStream.format("fastq_stream").option("splitBytes", 4 << 20).load(files)
+    run = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", shared.path(spark, "stream")).start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return spark.read.schema(SCHEMA).parquet(sink).select("meta", "seq", "strand", "repeated", "qual")
+
+
 # -- qualities -----------------------------------------------------------
 
 _RUNS = (
