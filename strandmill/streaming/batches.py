@@ -1,7 +1,7 @@
 """Micro-batches: totals over an event stream, and read batches with state carried between them.
 
-State is small whatever the stream: the header schema and dictionary of the first batch
-and 189 symbol frequencies. Both are replaced when a batch no longer fits them.
+State is the header schema and dictionary of a batch and 189 symbol frequencies. Both are
+replaced when a batch no longer fits them, and are kept in a shared folder.
 """
 
 from __future__ import annotations
@@ -27,11 +27,19 @@ def totals_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _is_dir(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
+LOG = "batch long, reads long, total_reads long, kept boolean, same boolean, cost long, schema_batch long, model array<long>"
+
+
 class ReadBatches:
     """Encodes batches of reads (read_id, meta, qual) in order, for ``foreachBatch`` or a loop.
 
@@ -39,22 +47,46 @@ class ReadBatches:
     kept, whether the quality model was kept, and the cost under the model in tenths of bits
     a score. A batch with a header that the schema can't encode brings a new schema; one whose
     cost is above ``threshold`` brings a new model.
+
+    With ``path``, a folder that driver and executors share, state outlives the driver: schema and dictionary are tables of the batch
+    that brought them (a dictionary never comes to the driver), and the log's row, with the model's 190 counts, is
+    written last and commits the batch. A new object on the same path goes on behind the last committed batch; a batch that was
+    cut off is done again from its start.
     """
 
-    def __init__(self, threshold: int = 40):
+    def __init__(self, threshold: int = 40, path: str | None = None, spark: SparkSession | None = None):
         self.threshold, self.total, self.log = threshold, 0, []
         self.kinds: DataFrame | None = None
         self.words: DataFrame | None = None
         self.model: list[int] | None = None
-        self._last = -1
-
-    def _learn_schema(self, reads: DataFrame) -> None:
+        self._last, self._schema_batch, self._path = -1, -1, path
+        spark = spark or SparkSession.getActiveSession()
+        if path and spark is not None:
+            self._resume(spark)
+
+    def _resume(self, spark: SparkSession) -> None:
+        """Take up what the last committed batch left."""
+        if not _exists(spark, f"{self._path}/log"):
+            return
+        rows = spark.read.schema(LOG).parquet(f"{self._path}/log").orderBy("batch").collect()  # a row a batch
+        self.log = [tuple(r)[:6] for r in rows]
+        if rows:
+            self._last, self.total, self._schema_batch, self.model = rows[-1].batch, rows[-1].total_reads, rows[-1].schema_batch, rows[-1].model
+            self._read_schema(spark)
+
+    def _read_schema(self, spark: SparkSession) -> None:
+        if self._schema_batch >= 0:
+            self.kinds = metadata.frozen(spark.read.parquet(f"{self._path}/kinds/{self._schema_batch}"))  # a row a field
+            self.words = spark.read.parquet(f"{self._path}/words/{self._schema_batch}")
+
+    def _learn_schema(self, reads: DataFrame, batch: int) -> None:
         spark = reads.sparkSession
-        self.kinds = metadata.frozen(metadata.schema(reads))
-        words = metadata.dictionary(reads, self.kinds)
-        mapped = self.kinds.where("mapped").select(F.col("field").alias("f"))
-        small = words.join(mapped, F.col("field") == F.col("f")).drop("f")  # under a hundredth of the batch's rows
-        self.words = spark.createDataFrame(small.collect(), small.schema)
+        self._path = self._path or shared.path(spark, "batches")
+        kinds = metadata.frozen(metadata.schema(reads))
+        kinds.write.mode("overwrite").parquet(f"{self._path}/kinds/{batch}")
+        metadata.dictionary(reads, kinds, used=True).write.mode("overwrite").parquet(f"{self._path}/words/{batch}")
+        self._schema_batch = batch
+        self._read_schema(spark)
 
     def cost(self, quals: DataFrame) -> int:
         """Ten times the bits a score that the model spends on ``quals``."""
@@ -73,12 +105,15 @@ class ReadBatches:
             n = reads.count()
             kept = self.kinds is not None and metadata.violations(reads, self.kinds, self.words).limit(1).count() == 0
             if not kept and n:
-                self._learn_schema(reads)
+                self._learn_schema(reads, batch)
             same = self.model is not None and self.cost(reads) <= self.threshold
             if not same and n:
                 self.model = quality.smoothed(quality.cumulative(quality.symbols(reads)))
+            row = (batch, n, self.total + n, kept, same, self.cost(reads) if n else 0)
+            if self._path:
+                reads.sparkSession.createDataFrame([(*row, self._schema_batch, self.model)], LOG).coalesce(1).write.mode("append").parquet(f"{self._path}/log")
             self.total += n
-            self.log.append((batch, n, self.total, kept, same, self.cost(reads) if n else 0))
+            self.log.append(row)
             self._last = batch
         finally:
             reads.unpersist()

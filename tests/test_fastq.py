@@ -64,3 +64,33 @@ def test_stream_of_files(spark, tmp_path):
     run = stream.writeStream.foreachBatch(b).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert [x[1] for x in b.log] == [50, 50, 50] and [x[3] for x in b.log] == [False, True, True]
+
+
+def test_batches_go_on_after_a_restart(spark, tmp_path):
+    def batch(n, mark="F", qual="H" * 30):
+        return spark.createDataFrame([(i, f"@r.{i + 1} {mark}{'abc'[i % 3]}:{i}#1", qual) for i in range(n)], "read_id long, meta string, qual string")
+
+    given = [batch(400), batch(300), batch(350, mark="2"), batch(200, qual="!I" * 15, mark="2"), batch(0), batch(100, mark="2")]
+    whole = ReadBatches(path=str(tmp_path / "whole"))
+    for i, b in enumerate(given):
+        whole(b, i)
+    parts = str(tmp_path / "parts")
+    for i, b in enumerate(given):
+        one = ReadBatches(path=parts)  # a new driver for each batch
+        if i:
+            one(given[i - 1], i - 1)  # delivered again
+        one(b, i)
+    resumed = ReadBatches(path=parts)
+    assert resumed.log == whole.log and [x[3] for x in whole.log] == [False, True, False, True, True, True]
+    assert resumed.model == whole.model and resumed.total == 1350
+    assert sorted(map(tuple, resumed.words.collect())) == sorted(map(tuple, whole.words.collect()))
+
+
+def test_a_batch_that_was_cut_off_is_done_again(spark, tmp_path):
+    reads = spark.createDataFrame([(i, f"@r.{i + 1} F:{i}#1", "H" * 20) for i in range(300)], "read_id long, meta string, qual string")
+    one = ReadBatches(path=str(tmp_path / "s"))
+    one._learn_schema(reads.limit(5), 0)  # tables of a batch that wasn't committed
+    again = ReadBatches(path=str(tmp_path / "s"))
+    assert again.log == [] and again.kinds is None
+    again(reads, 0)
+    assert [x[:4] for x in ReadBatches(path=str(tmp_path / "s")).log] == [(0, 300, 300, False)]
