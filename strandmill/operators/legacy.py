@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import time
-from array import array
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -292,11 +291,25 @@ def lzw_read(coded: DataFrame) -> DataFrame:
     return coded.select("read_id", "codes").mapInArrow(run, "read_id long, qual string")
 
 
+def _code_bits(number: int) -> int:
+    """Bits of a read's code ``number``, from 0: each code but the first follows a new entry, so both sides know the table's size."""
+    return (len(LETTERS) + number).bit_length()
+
+
 def lzw_bytes(text: str) -> bytes:
-    """``lzw_encode`` as bytes: 16 bits a code, 32 where there are more than 65,535."""
-    codes, _ = lzw_encode(text)
-    wide = max(codes) > 0xFFFF
-    return bytes([wide]) + array("I" if wide else "H", codes).tobytes()
+    """``lzw_encode`` as bytes, each code in the bits that the table's size needs."""
+    w = BitWriter()
+    for number, code in enumerate(lzw_encode(text)[0]):
+        w.write(code, _code_bits(number))
+    return w.data
+
+
+def lzw_text(data: bytes) -> str:
+    """The text of ``lzw_bytes``."""
+    r, codes = BitReader(data), []
+    while code := r.read(_code_bits(len(codes))):
+        codes.append(code)
+    return lzw_decode(codes)
 
 
 class Codec(NamedTuple):
@@ -312,7 +325,7 @@ CODECS = {
     "flagged runs": Codec(flagged_encode, flagged_decode),
     "huffman": Codec(huffman_encode, huffman_decode),
     "delta runs": Codec(delta_encode, delta_decode),
-    "lzw": Codec(lzw_bytes, lambda data: lzw_decode(list(array("I" if data[0] else "H", data[1:])))),
+    "lzw": Codec(lzw_bytes, lzw_text),
 }
 
 

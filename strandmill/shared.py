@@ -55,10 +55,13 @@ def before(counts: DataFrame, key: str, n: str, into: str, group: str | None = N
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of the written table."""
-    at = path(df.sparkSession, name)
+    """Write ``df`` to the shared folder and return a scan of the written table, which is deleted when the driver ends."""
+    spark = df.sparkSession
+    at = path(spark, name)
     df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    folder_ = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    folder_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder_)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def ordered(rows: DataFrame, keys: list[str], into: str, flag: str | None = None, flagged: str | None = None) -> DataFrame:

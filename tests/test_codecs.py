@@ -292,3 +292,11 @@ def test_models_of_huge_counts_are_scaled(spark):
     model = spark.createDataFrame([(i, 10**12 if i == 7 else i % 3) for i in range(189)], "symbol int, freq long")
     cum = quality.smoothed(model)
     assert cum[-1] <= quality.MOST and all(b > a for a, b in zip(cum, cum[1:])) and cum[8] - cum[7] > 0.99 * cum[-1]
+
+
+def test_lzw_bytes_take_the_bits_of_their_codes():
+    rng = random.Random(4)
+    for text in ("", "H", "HH" * 400, "".join(rng.choice("HGF#") for _ in range(3000))):
+        data = legacy.lzw_bytes(text)
+        assert legacy.lzw_text(data) == text
+        assert abs(len(data) * 8 - legacy.lzw_encode(text)[1]) <= 8

@@ -66,3 +66,18 @@ def test_header_codes_stay_in_their_rows(spark, few, monkeypatch):
     if few:
         plan = metadata.row_codes(reads)._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_ordered_rows_and_flags(spark):
+    import random
+
+    from strandmill import shared
+
+    rng = random.Random(2)
+    rows = [(k, f"w{rng.randint(0, 9)}", k % 3 == 0) for k in rng.sample(range(10_000), 500)]
+    table = spark.createDataFrame([(k, w, int(f)) for k, w, f in rows], "k long, w string, f int").repartition(7)
+    found = shared.ordered(table, ["w", "k"], "at", flag="f", flagged="ones").orderBy("at").collect()
+    wanted = sorted((w, k, int(f)) for k, w, f in rows)
+    assert [(r.w, r.k, r.f, r["at"]) for r in found] == [(*x, i) for i, x in enumerate(wanted)]
+    assert [r.ones for r in found] == [sum(x[2] for x in wanted[:i]) for i in range(len(wanted))]
+    assert shared.ordered(table.limit(0), ["w", "k"], "at").count() == 0
