@@ -140,22 +140,27 @@ def copies(cells: DataFrame, dual: DataFrame, most: float = 2.0) -> DataFrame:
             return exchanged(now.drop("change"), most)
 
 
-def _nearest(options: DataFrame, asked: DataFrame) -> DataFrame:
-    """(_s, gap, first, second): for each move of ``asked`` the options next below and above what it leaves of its source's gap.
+_MOVE = "struct<words: bigint, add: bigint, take: bigint>"
 
-    Both tables are (_s, gap, move), a move being (change in words, size to add, size to take away, 0 for none). One
-    window over both in order of words finds neighbours, so no pairs of moves are made.
-    """
-    none = F.lit(None).cast("struct<words: double, add: long, take: long>")
-    line = Window.partitionBy("_s").orderBy("v", "option", "first")
-    both = options.select("_s", "gap", F.col("move.words").alias("v"), F.col("move").alias("option"), none.alias("first")).unionByName(asked.select("_s", "gap", (F.col("gap") - F.col("move.words")).alias("v"), none.alias("option"), F.col("move").alias("first")))
-    sides = [F.last("option", True).over(line.rowsBetween(Window.unboundedPreceding, 0)), F.first("option", True).over(line.rowsBetween(0, Window.unboundedFollowing))]
-    near = both.withColumn("both", F.array(*sides)).where("first is not null")
-    return near.select("_s", "gap", "first", F.explode("both").alias("second")).where("second is not null")
 
+def _moves(deep: bool, room: Column, sizes: int) -> tuple[Column, Column]:
+    """The moves a row offers, and those it asks a partner for: (change in words, size to add, size to take away, 0 for none).
 
-def _move(words: Column, add: Column, take: Column) -> Column:
-    return F.struct(words.cast("double").alias("words"), add.cast("long").alias("add"), take.cast("long").alias("take")).alias("move")
+    Each size offers a copy more and asks with a copy less. ``deep``: the first row of a source offers and asks with all pairs
+    of ``sizes`` of its sizes. The first row also brings the move that changes nothing.
+    """
+    move = lambda add, take: F.struct((add - take).cast("long").alias("words"), add.cast("long").alias("add"), take.cast("long").alias("take"))
+    zero, none = F.lit(0), F.array().cast(f"array<{_MOVE}>")
+    first = F.col("_first") == 1
+    idle = F.when(first, F.array(move(zero, zero))).otherwise(none)
+    able, full = (F.col("size") > 0) & (F.col("total") < room), (F.col("size") > 0) & (F.col("total") > 0)
+    if not deep:
+        return F.concat(idle, F.when(able, F.array(move(F.col("size"), zero))).otherwise(none)), F.concat(idle, F.when(full, F.array(move(zero, F.col("size")))).otherwise(none))
+    whole = Window.partitionBy("source")
+    some = F.col("_first") <= sizes
+    adds, takes = (F.concat(F.array(zero.cast("long")), F.collect_list(F.when(some & ok, F.col("size"))).over(whole)) for ok in (able, full))
+    pairs = F.when(first, F.flatten(F.transform(adds, lambda x: F.transform(takes, lambda y: move(x, y))))).otherwise(none)
+    return pairs, pairs
 
 
 def exchanged(now: DataFrame, most: float = 2.0, sizes: int = 40) -> DataFrame:
@@ -164,32 +169,44 @@ def exchanged(now: DataFrame, most: float = 2.0, sizes: int = 40) -> DataFrame:
 
     Then a source still half a word off tries two pairs at once, among ``sizes`` of its sizes (by their hashes), as
     sources of few documents need that, until none moves.
+
+    A round deals the sizes by source once. In one order of words, an offered move stands at its words and an asking one at what it leaves of
+    the source's gap, so the best partner is a neighbour and no pairs of moves are made.
     """
-    zero, deep = F.lit(0), False
+    whole = Window.partitionBy("source")
+    line = whole.orderBy("_v", "_kind", "_move")
+    columns, deep = ["source", "size", "n", "target", "total"], False
+    room = F.col("n") * F.lit(int(most))
     while True:
-        gaps = now.groupBy(F.col("source").alias("_s")).agg((F.max("target") - F.sum(F.col("total") * F.col("size"))).alias("gap")).where(F.abs("gap") > 0.5)
-        rows = now.where("size > 0").join(gaps, F.col("source").eqNullSafe(F.col("_s"))).select("_s", "gap", "size", "n", "total")
-        if deep:
-            rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("_s").orderBy(F.xxhash64("size")))).where(F.col("at") <= sizes)
-        idle = gaps.select("_s", "gap", _move(zero, zero, zero))
-        adds = rows.where(F.col("total") < F.col("n") * F.lit(int(most))).select("_s", "gap", _move(F.col("size"), F.col("size"), zero)).unionByName(idle)
-        takes = rows.where("total > 0").select("_s", "gap", _move(-F.col("size"), zero, F.col("size"))).unionByName(idle)
-        if deep:
-            moves = adds.join(takes.select(F.col("_s").alias("_t"), F.col("move").alias("other")), F.col("_s").eqNullSafe(F.col("_t")))  # at most (sizes + 1)**2 a source
-            moves = moves.select("_s", "gap", _move(F.col("move.words") + F.col("other.words"), F.col("move.add"), F.col("other.take")))
-            adds = takes = moves
-        pairs = _nearest(adds, takes)
-        apart = [(F.col(f"first.{k}") == 0) | (F.col(f"first.{k}") != F.col(f"second.{k}")) for k in ("add", "take")]
-        found = pairs.where(apart[0] & apart[1]).groupBy("_s").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("first.words") - F.col("second.words")).alias("left"), "first", "second")).alias("b"), F.max("gap").alias("gap"))
-        best = found.where(F.col("b.left") + 0.001 < F.abs("gap")).select("_s", "b.first", "b.second")
-        joined = now.join(best, F.col("source").eqNullSafe(F.col("_s")), "left")
-        change = sum(((F.col("size") == F.col(f"{m}.{k}")).cast("long") * way for m in ("first", "second") for k, way in (("add", 1), ("take", -1))), zero)
-        change = F.when(F.col("size") > 0, F.coalesce(change, zero)).otherwise(zero)
-        after = materialize(joined.select("source", "size", "n", "target", (F.col("total") + change).cast("long").alias("total"), change.alias("change")), "copies")
+        rows = now.withColumns({"_gap": F.max("target").over(whole) - F.sum(F.col("total") * F.col("size")).over(whole), "_first": F.row_number().over(whole.orderBy(F.xxhash64("size"), "size"))})
+        offered, asked = _moves(deep, room, sizes)
+        rows = rows.withColumns({"_offered": offered, "_asked": asked})
+        open_ = F.abs("_gap") > 0.5
+        kinds = F.concat(  # the row itself, what it offers, and what it asks with
+            F.array(F.struct(F.lit(0).alias("kind"), F.lit(None).cast("double").alias("v"), F.lit(None).cast(_MOVE).alias("move"))),
+            F.transform(F.when(open_, F.col("_offered")).otherwise(F.array().cast(f"array<{_MOVE}>")), lambda m: F.struct(F.lit(1).alias("kind"), m["words"].cast("double").alias("v"), m.alias("move"))),
+            F.transform(F.when(open_, F.col("_asked")).otherwise(F.array().cast(f"array<{_MOVE}>")), lambda m: F.struct(F.lit(2).alias("kind"), (F.col("_gap") - m["words"]).alias("v"), m.alias("move"))),
+        )
+        each = rows.select(*columns, "_gap", F.explode(kinds).alias("_x")).select(*columns, "_gap", F.col("_x.kind").alias("_kind"), F.col("_x.v").alias("_v"), F.col("_x.move").alias("_move"))
+        option = F.when(F.col("_kind") == 1, F.col("_move"))
+        near = each.withColumns({"_below": F.last(option, True).over(line.rowsBetween(Window.unboundedPreceding, 0)), "_above": F.first(option, True).over(line.rowsBetween(0, Window.unboundedFollowing))})
+
+        def with_(other: str) -> Column:
+            apart = [(F.col(f"_move.{k}") == 0) | (F.col(f"_move.{k}") != F.col(f"{other}.{k}")) for k in ("add", "take")]
+            left = F.abs(F.col("_gap") - F.col("_move.words") - F.col(f"{other}.words"))
+            return F.when((F.col("_kind") == 2) & F.col(other).isNotNull() & apart[0] & apart[1], F.struct(left.alias("left"), F.col("_move").alias("one"), F.col(other).alias("two")))
+
+        best = F.min(F.least(with_("_below"), with_("_above"))).over(whole)
+        done = near.withColumn("_best", best).where("_kind = 0")
+        better = F.coalesce(F.col("_best.left") + 0.001 < F.abs("_gap"), F.lit(False))
+        change = sum(((F.col("size") == F.col(f"_best.{m}.{k}")).cast("long") * way for m in ("one", "two") for k, way in (("add", 1), ("take", -1))), F.lit(0))
+        change = F.when(better & (F.col("size") > 0), change).otherwise(F.lit(0)).cast("long")
+        left = F.when(better, F.col("_best.left")).otherwise(F.abs("_gap"))
+        after = materialize(done.select("source", "size", "n", "target", (F.col("total") + change).alias("total"), change.alias("change"), left.alias("left")), "copies")
         drop_table(now)
-        moved = after.agg(F.max(F.col("change") != 0)).first()[0]
-        now = after.drop("change")
-        if not moved and deep:
+        moved, left = after.agg(F.max(F.col("change") != 0), F.max("left")).first()
+        now = after.select(*columns)
+        if (left or 0) <= 0.5 or (not moved and deep):
             return now.select("source", "size", "n", "total")
         deep = deep or not moved
 

@@ -110,3 +110,26 @@ def test_empty_table(spark, tmp_path):
     out = str(tmp_path / "orc")
     write(spark.createDataFrame([], SCHEMA), out, default_path())
     assert digests(scan(spark, out)).count() == 0
+
+
+def test_query_on_the_small_tables(spark, library):
+    from strandmill.llm.common import table
+    from strandmill.llm.orc_tokens import op2_orc_tokens
+
+    rows = sorted((r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").collect())
+    found = {r.doc_id: tuple(r)[1:] for r in op2_orc_tokens(spark, "/root/testdata/sf0.001").collect()}
+    assert len(found) == len(rows) == len({d for d, _ in rows})
+    at = 0
+    for doc_id, text in rows:
+        ids = plain(library, text) + [0]
+        assert found[doc_id] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_other_types_of_id_and_rows_of_one_id(spark, tmp_path, kind):
+    docs = spark.createDataFrame([(7, "a b")] * 900 + [(7, "c")] * 2 + [(8, None)], "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    out = str(tmp_path / "orc")
+    write(docs.repartition(4), out, default_path(), end_id=0)
+    rows = digests(scan(spark, out, "int" if kind == "int" else "string")).orderBy("start").collect()
+    assert len(rows) == 903 and all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:])) and {str(r.doc_id) for r in rows[:902]} == {"7"}

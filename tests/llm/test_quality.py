@@ -147,6 +147,7 @@ def test_query(spark):
     held = rows.merge(labels, on="doc_id")
     held = held[held.held_out]
     assert (held.predicted == held.quality).mean() > 0.9
+    assert held.predicted[held.quality == 1].mean() > 0.95 and held.predicted[held.quality == 0].mean() < 0.35  # both classes, not the common one alone
     weights, bias = q.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
     texts = dict(duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet' where length(text) < 1500 order by doc_id limit 60").fetchall())
     for d, score in zip(rows.doc_id, rows.score):

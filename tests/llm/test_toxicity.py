@@ -94,6 +94,7 @@ def test_query(spark):
     both = rows.merge(labels, on="doc_id")
     held = both[both.held_out]
     assert (held.predicted == held.toxic).mean() > 0.9
+    assert held.predicted[held.toxic == 1].mean() > 0.8 and held.predicted[held.toxic == 0].mean() < 0.05  # both classes, not the common one alone
 
 
 def test_gradient_by_finite_differences():
