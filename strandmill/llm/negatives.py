@@ -288,7 +288,7 @@ def mined(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int =
     mine = F.min(F.when((F.col("id") == F.col("anchor_id")) & (F.col("score") == F.col("_own")), F.col("place"))).over(Window.partitionBy("aid"))
     others = listed.withColumn("_mine", F.coalesce(mine, F.lit(positives + 1))).where((F.col("place") != F.col("_mine")) & (F.col("place") - (F.col("place") > F.col("_mine")).cast("int") <= positives))
     pairs = materialize(others.select("aid", "anchor_id", "copies", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
-    least = F.expr(f"-(-({low} * positive_score) div 100) + if(positive_score * {low} % 100 > 0, 1, 0)")
+    least = F.expr(f"{low} * (positive_score div 100) + ({low} * (positive_score % 100) + 99) div 100")  # rounded up, without overflow
     windows = pairs.where("positive_score >= 0").select("aid", least.cast("long").alias("low"), F.col("positive_score").alias("high")).distinct()
     found = nearest(trees, anchors, materialize(windows, "windows"), negatives, False, slots, block_rows)
     told = found.select(F.col("aid").alias("_aid"), "high", F.col("score").alias("negative_score"), F.col("id").alias("_negative"), "place")
