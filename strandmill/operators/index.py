@@ -1,7 +1,8 @@
 """Suffix arrays and the counts of an FM index over a reference text.
 
-The text is ACGT followed by ``$``, which sorts before every base. ``suffix_array`` doubles
-prefixes with joins and sorts, so no task needs the whole text; ``FmIndex`` holds the
+The text is ACGT followed by ``$``, which sorts before every base. Where a function takes ``ref``, that is one row (ref), or blocks
+(block, bases) of ``SIZE`` bases as ``blocked`` has them. A row is cut into blocks once, and all windows of letters are cut from blocks, so time goes with the
+text's length. ``suffix_array`` doubles prefixes with joins and sorts, so no task needs the whole text; ``FmIndex`` holds the
 same index in numpy arrays for lookups inside a task.
 """
 
@@ -15,6 +16,8 @@ from .. import shared
 from ..functions import bases as fn
 
 BUCKET = 288
+#: Bases of a block. Blocks are joined with the letters behind them, so this also is the longest window.
+SIZE = 1024
 
 
 def normalise(lines: DataFrame, compat: bool = False) -> DataFrame:
@@ -35,10 +38,27 @@ def joined(blocks: DataFrame) -> DataFrame:
     return blocks.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "bases"))), lambda x: x["bases"]), "").alias("ref"))
 
 
-def positions(ref: DataFrame) -> DataFrame:
-    """(pos, base) of the text with its ``$``, positions from 0."""
-    text = F.concat("ref", F.lit("$"))
-    return ref.select(F.posexplode(F.split(text, "")).alias("pos", "base")).where(F.length("base") == 1).select(F.col("pos").cast("long").alias("pos"), "base")
+def behind(blocks: DataFrame, column: str, k: int, join: str = "left") -> DataFrame:
+    """Each block with ``more``: the first ``k`` entries of ``column`` in the next block."""
+    first = F.slice(column, 1, k) if blocks.schema[column].dataType.typeName() == "array" else F.substr(column, F.lit(1), F.lit(k))
+    after = blocks.select((F.col("block") - 1).alias("_b"), first.alias("more"))
+    return blocks.join(after, F.col("block") == F.col("_b"), join).drop("_b")
+
+
+def _ended(ref: DataFrame) -> DataFrame:
+    """(block, bases) of the text with its ``$``."""
+    if "bases" not in ref.columns:
+        pieces = F.regexp_extract_all(F.concat(ref.columns[0], F.lit("$")), F.lit(f"(?s).{{1,{SIZE}}}"), F.lit(0))
+        return ref.select(F.posexplode(pieces).alias("block", "bases")).select(F.col("block").cast("long").alias("block"), "bases")
+    last = ref.agg(F.max("block").alias("last"))
+    return ref.join(F.broadcast(last)).select("block", F.when(F.col("block") == F.col("last"), F.concat("bases", F.lit("$"))).otherwise(F.col("bases")).alias("bases"))  # one row
+
+
+def _grams(blocks: DataFrame, k: int) -> DataFrame:
+    """(pos, gram): the ``k`` letters from every place on, fewer at the end of the text."""
+    wide = behind(blocks, "bases", k - 1).select("block", F.length("bases").alias("n"), F.concat("bases", F.coalesce("more", F.lit(""))).alias("s"))
+    each = wide.select("block", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.substr("s", i, F.lit(k)))).alias("i", "gram"))
+    return each.select((F.col("block") * SIZE + F.col("i")).cast("long").alias("pos"), "gram")
 
 
 def _ordered(rows: DataFrame, keys: list[str], into: str, part: Column) -> DataFrame:
@@ -55,9 +75,7 @@ def _ordered(rows: DataFrame, keys: list[str], into: str, part: Column) -> DataF
 def suffix_array(ref: DataFrame, start: int = 16) -> DataFrame:
     """(row, pos): suffixes in order. Ranks by ``start`` letters, doubled until they all differ."""
     shared.checkpoints(ref.sparkSession)
-    text = F.concat("ref", F.lit("$"))
-    grams = ref.select(F.posexplode(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(start)))).alias("pos", "gram"))
-    ranks = _ordered(grams, ["gram"], "rank", F.substr("gram", F.lit(1), F.lit(5))).select(F.col("pos").cast("long").alias("pos"), "rank")
+    ranks = _ordered(_grams(_ended(ref), start), ["gram"], "rank", F.substr("gram", F.lit(1), F.lit(5))).select("pos", "rank")
     k = start
     while True:
         ranks = ranks.checkpoint()
@@ -72,21 +90,27 @@ def suffix_array(ref: DataFrame, start: int = 16) -> DataFrame:
 
 def bwt(ref: DataFrame, sa: DataFrame) -> DataFrame:
     """(row, b1, b2, b3, code): the letters 1, 2 and 3 places before each suffix, round the end; code 64 where one is ``$``."""
-    at = positions(ref)
-    n = ref.select((F.length("ref") + 1).alias("n"))
-    here = sa.join(F.broadcast(n))  # one row
-    for k in (1, 2, 3):
-        side = at.select(F.col("pos").alias(f"p{k}"), F.col("base").alias(f"b{k}"))
-        here = here.join(side, F.pmod(F.col("pos") - k, F.col("n")) == F.col(f"p{k}"))
-    code = F.coalesce(fn.triple_code(F.concat("b3", "b2", "b1")), F.lit(64))
-    return here.select("row", "b1", "b2", "b3", code.alias("code"))
+    blocks = _ended(ref)
+    last = blocks.agg(F.max("block").alias("last"))
+    ends = blocks.join(F.broadcast(last)).where("block >= last - 1")  # two blocks, as the last may be short
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "bases"))), lambda x: x["bases"]), "")
+    tail = ends.agg(F.right(F.repeat(text, F.lit(3)), F.lit(3)).alias("tail"))
+    ahead = blocks.select((F.col("block") + 1).alias("_b"), F.right("bases", F.lit(3)).alias("ahead"))
+    wide = blocks.join(ahead, F.col("block") == F.col("_b"), "left").join(F.broadcast(tail))  # one row
+    wide = wide.select("block", F.length("bases").alias("n"), F.concat(F.coalesce("ahead", "tail"), "bases").alias("s"))
+    each = wide.select("block", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.substr("s", i, F.lit(3)))).alias("i", "t"))
+    here = sa.join(each.select((F.col("block") * SIZE + F.col("i")).alias("p"), "t"), F.col("pos") == F.col("p"))
+    letters = (F.substr("t", F.lit(4 - k), F.lit(1)).alias(f"b{k}") for k in (1, 2, 3))
+    return here.select("row", *letters, F.coalesce(fn.triple_code(F.col("t")), F.lit(64)).alias("code"))
 
 
 def gram_counts(ref: DataFrame, k: int) -> DataFrame:
     """(gram, n, before): circular k-grams without ``$``, and how many grams, ``$`` ones included, sort before each."""
-    text = F.concat("ref", F.lit("$"))
-    ring = F.concat(text, F.substr(text, F.lit(1), F.lit(k - 1))) if k > 1 else text
-    grams = ref.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(ring, i, F.lit(k)))).alias("gram"))
+    blocks = _ended(ref)
+    head = blocks.where("block = 0").select(F.substr("bases", F.lit(1), F.lit(k - 1)).alias("head"))
+    wide = behind(blocks, "bases", k - 1).join(F.broadcast(head))  # one row
+    ring = wide.select(F.length("bases").alias("n"), F.concat("bases", F.substr(F.concat(F.coalesce("more", F.lit("")), "head"), F.lit(1), F.lit(k - 1))).alias("s"))
+    grams = ring.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.substr("s", i, F.lit(k)))).alias("gram"))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.orderBy("gram").rowsBetween(Window.unboundedPreceding, -1))  # at most 5**k rows
     return counts.select("gram", "n", F.coalesce(before, F.lit(0)).cast("long").alias("before")).where(~F.contains("gram", F.lit("$")))
@@ -94,17 +118,18 @@ def gram_counts(ref: DataFrame, k: int) -> DataFrame:
 
 def intervals(ref: DataFrame, sa: DataFrame, k: int) -> DataFrame:
     """(gram, low, high): the rows of suffixes that start with each k-gram of bases."""
-    text = F.concat("ref", F.lit("$"))
-    grams = ref.select(F.posexplode(F.transform(F.sequence(F.lit(1), F.length("ref")), lambda i: F.substr(text, i, F.lit(k)))).alias("p", "gram"))
-    rows = sa.join(grams, F.col("pos") == F.col("p"))
-    return rows.groupBy("gram").agg(F.min("row").alias("low"), F.max("row").alias("high")).where((F.length("gram") == k) & ~F.contains("gram", F.lit("$")))
+    grams = _grams(_ended(ref), k).where((F.length("gram") == k) & ~F.contains("gram", F.lit("$")))
+    rows = sa.join(grams.withColumnRenamed("pos", "p"), F.col("pos") == F.col("p"))
+    return rows.groupBy("gram").agg(F.min("row").alias("low"), F.max("row").alias("high"))
 
 
 def checkpoints(codes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(bucket, code, before): how often each code occurs in the rows before each bucket. Buckets count first, then add up."""
-    per = codes.where("code < 64").groupBy(F.floor(F.col("row") / bucket).cast("long").alias("b"), "code").agg(F.count(F.lit(1)).alias("n"))
-    last = codes.agg(F.floor(F.max("row") / bucket).cast("long").alias("last"))
-    seen = codes.where("code < 64").select("code").distinct()
+    counted = codes.groupBy(F.floor(F.col("row") / bucket).cast("long").alias("b"), "code").agg(F.count(F.lit(1)).alias("n"))
+    counted = shared.materialize(counted, "counts")
+    per = counted.where("code < 64")
+    last = counted.agg(F.max("b").alias("last"))
+    seen = per.select("code").distinct()
     grid = seen.join(F.broadcast(last)).select("code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("bucket"))
     full = grid.join(per.withColumnRenamed("code", "c"), (F.col("bucket") == F.col("b")) & (F.col("code") == F.col("c")), "left")
     before = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("code").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))

@@ -55,7 +55,7 @@ def fastq_boundaries(spark, sf_dir) -> DataFrame:
 
 @query("select o_orderkey // 1000 as batch, cast(bit_or(case when o_orderkey % 4 = 0 then 0 else 1 end | case when o_orderkey % 3 = 0 then 0 else 2 end) as integer) as flags from orders group by 1")
 def strand_flags(spark, sf_dir) -> DataFrame:
-    r = D.order_reads(spark, sf_dir)
+    r = D.order_reads(spark, sf_dir, seq=False)
     plus = F.when(F.col("strand") == "+", 1).otherwise(0)
     bare = F.when(F.col("read_id") % 3 == 0, 0).otherwise(2)
     return r.groupBy(F.floor(F.col("read_id") / 1000).cast("long").alias("batch")).agg(F.bit_or(plus.bitwiseOR(bare)).alias("flags"))
@@ -102,12 +102,12 @@ _PROFILE = with_tables(
 
 @query(_PROFILE + "select * from q")
 def field_profile_chunked(spark, sf_dir) -> DataFrame:
-    return metadata.profile(D.order_reads(spark, sf_dir), compat=True)
+    return metadata.profile(D.order_reads(spark, sf_dir, seq=False), compat=True)
 
 
 @query(_PROFILE + ", k as (select *, case when ndv = 1 then case when numeric then 1 else 2 end when numeric and high - low + 1 = n then 0 when numeric then 1 else 2 end as k from q) select field, case when max(ndv) = 1 and min(first) = max(last) then 'CONST' when max(k) = 0 then 'AUTOINC' when max(k) = 1 then 'NUMERIC' else 'ALPHA' end as type from k group by field")
 def field_types_compat(spark, sf_dir) -> DataFrame:
-    return metadata.types_compat(D.order_reads(spark, sf_dir))
+    return metadata.types_compat(D.order_reads(spark, sf_dir, seq=False))
 
 
 _SCHEMA = (
@@ -122,7 +122,7 @@ _KINDS = with_tables("ref oreads", "+" + _SCHEMA.format(src="oreads") + " ")
 
 @query(_KINDS + "select * from kinds")
 def field_types(spark, sf_dir) -> DataFrame:
-    return metadata.schema(D.order_reads(spark, sf_dir))
+    return metadata.schema(D.order_reads(spark, sf_dir, seq=False))
 
 
 _WORDS = ", words as (select field, value, cast(row_number() over (partition by field order by value) - 1 as integer) as code from (select distinct cast(t.field as integer) as field, value from t join kinds on t.field = kinds.field and type = 'ALPHA'))"
@@ -130,7 +130,7 @@ _WORDS = ", words as (select field, value, cast(row_number() over (partition by
 
 @query(_KINDS + _WORDS + " select * from words")
 def field_dictionary(spark, sf_dir) -> DataFrame:
-    return metadata.dictionary(D.order_reads(spark, sf_dir))
+    return metadata.dictionary(D.order_reads(spark, sf_dir, seq=False))
 
 
 @query(" union all ".join(f"select '{c}' as \"column\", count(distinct {c}) as ndv, count({c}) as n, count(distinct {c}) * 100 < count({c}) as mapped from part" for c in ("p_name", "p_brand", "p_type", "p_size")))
@@ -146,7 +146,7 @@ _CODES = _KINDS + _WORDS + (
 
 @query(_CODES + " select read_id, string_agg(bits, '' order by field) as bits from c group by read_id")
 def meta_codes(spark, sf_dir) -> DataFrame:
-    return metadata.row_codes(D.order_reads(spark, sf_dir))
+    return metadata.row_codes(D.order_reads(spark, sf_dir, seq=False))
 
 
 @query(
@@ -154,12 +154,12 @@ def meta_codes(spark, sf_dir) -> DataFrame:
     "a as (select count(*) as n_fields, cast(sum(d) as bigint) as descriptor_bits, cast(sum(width * n) as bigint) as body_bits from s) select n_fields, cast(72 + 3 * (n_fields - 1) as bigint) as header_bits, descriptor_bits, body_bits, (72 + 3 * (n_fields - 1) + descriptor_bits + body_bits + 7) // 8 as bytes from a"
 )
 def meta_stream_size(spark, sf_dir) -> DataFrame:
-    return metadata.stream_size(D.order_reads(spark, sf_dir))
+    return metadata.stream_size(D.order_reads(spark, sf_dir, seq=False))
 
 
 @query(with_tables("ref oreads", "select read_id, meta from oreads"))
 def meta_roundtrip(spark, sf_dir) -> DataFrame:
-    return metadata.decoded(D.order_reads(spark, sf_dir))
+    return metadata.decoded(D.order_reads(spark, sf_dir, seq=False))
 
 
 @query(
@@ -169,7 +169,7 @@ def meta_roundtrip(spark, sf_dir) -> DataFrame:
     "from u join kinds k on u.field = k.field left join words w on w.field = k.field and w.value = u.value) select field, reason, count(*) as n from v where reason is not null group by all"
 )
 def schema_violations(spark, sf_dir) -> DataFrame:
-    reads = D.order_reads(spark, sf_dir).select("read_id", "meta")
+    reads = D.order_reads(spark, sf_dir, seq=False).select("read_id", "meta")
     known = reads.where("read_id < 500")
     m = F.col("meta")
     changed = reads.withColumn("meta", F.when(F.col("read_id") < 500, m).when(F.col("read_id") % 97 == 0, F.replace(m, F.lit("#1"), F.lit("#2"))).when(F.col("read_id") % 89 == 0, F.replace(m, F.lit(" O"), F.lit(" Q"))).otherwise(m))
@@ -208,12 +208,12 @@ _BWT = _SA + (
 
 @query(_SA + 'select "row", pos from sa')
 def suffix_array(spark, sf_dir) -> DataFrame:
-    return index.suffix_array(D.reference(spark, sf_dir))
+    return index.suffix_array(D.reference_blocks(spark, sf_dir))
 
 
 def _bwt(spark, sf_dir):
-    ref = D.reference(spark, sf_dir)
-    return index.bwt(ref, index.suffix_array(ref))
+    ref = D.reference_blocks(spark, sf_dir)
+    return shared.materialize(index.bwt(ref, index.suffix_array(ref)), "bwt")
 
 
 @query(_SA + 'select "row", pos from sa')
@@ -233,17 +233,17 @@ def _grams(k: int) -> str:
 
 @query(_grams(1))
 def c_array_1(spark, sf_dir) -> DataFrame:
-    return index.gram_counts(D.reference(spark, sf_dir), 1)
+    return index.gram_counts(D.reference_blocks(spark, sf_dir), 1)
 
 
 @query(_grams(2))
 def c_array_2(spark, sf_dir) -> DataFrame:
-    return index.gram_counts(D.reference(spark, sf_dir), 2)
+    return index.gram_counts(D.reference_blocks(spark, sf_dir), 2)
 
 
 @query(_grams(3))
 def c_array_3(spark, sf_dir) -> DataFrame:
-    return index.gram_counts(D.reference(spark, sf_dir), 3)
+    return index.gram_counts(D.reference_blocks(spark, sf_dir), 3)
 
 
 def _interval(k: int) -> str:
@@ -252,13 +252,13 @@ def _interval(k: int) -> str:
 
 @query(_interval(1))
 def sa_intervals_1(spark, sf_dir) -> DataFrame:
-    ref = D.reference(spark, sf_dir)
+    ref = D.reference_blocks(spark, sf_dir)
     return index.intervals(ref, index.suffix_array(ref), 1)
 
 
 @query(_interval(2))
 def sa_intervals_2(spark, sf_dir) -> DataFrame:
-    ref = D.reference(spark, sf_dir)
+    ref = D.reference_blocks(spark, sf_dir)
     return index.intervals(ref, index.suffix_array(ref), 2)
 
 
@@ -428,13 +428,14 @@ def decode_blocked(spark, sf_dir) -> DataFrame:
 @query(with_tables("ref oreads", "select read_id, meta, seq, strand, read_id % 3 = 0 as repeated, qual from oreads"))
 def archive_roundtrip(spark, sf_dir) -> DataFrame:
     tables, path = _stored(spark, sf_dir), shared.path(spark, "archive")
-    archive.compress(D.order_reads(spark, sf_dir).withColumn("repeated", F.col("read_id") % 3 == 0), tables["ref"], path, tables["sa"])
+    reads = shared.materialize(D.order_reads(spark, sf_dir).withColumn("repeated", F.col("read_id") % 3 == 0), "reads")  # every stream is made from them
+    archive.compress(reads, tables["ref"], path, tables["sa"])
     return archive.decompress(spark, path, tables["ref"])
 
 
 @query(with_tables("ref oreads", "select count(*) as reads, count(*) as equal, cast(sum(length(meta) + length(seq) + length(qual)) as bigint) as chars from oreads"))
 def read_roundtrip(spark, sf_dir) -> DataFrame:
-    reads, ref = D.order_reads(spark, sf_dir), D.reference(spark, sf_dir)
+    reads, ref = shared.materialize(D.order_reads(spark, sf_dir), "reads"), D.reference(spark, sf_dir)
     seq = align.decoded(align.best_strand(reads, ref), ref).withColumnRenamed("read_id", "i")
     meta = metadata.decoded(reads).withColumnRenamed("read_id", "j").withColumnRenamed("meta", "m")
     qual = quality.unsymbol(quality.symbols(reads)).withColumnRenamed("read_id", "k").withColumnRenamed("qual", "q")
@@ -638,7 +639,7 @@ def stream_batches(spark, sf_dir) -> DataFrame:
 def meta_stream_roundtrip(spark, sf_dir) -> DataFrame:
     from ..operators import streams
 
-    return streams.metadata_read(streams.metadata_stream(D.order_reads(spark, sf_dir)))
+    return streams.metadata_read(streams.metadata_stream(D.order_reads(spark, sf_dir, seq=False)))
 
 
 @query(with_tables("quals", "select read_id, qual from quals where length(qual) > 0"))
@@ -652,7 +653,7 @@ def qual_stream_roundtrip(spark, sf_dir) -> DataFrame:
 def bit_packing(spark, sf_dir) -> DataFrame:
     from ..functions import packed
 
-    rows = metadata.row_codes(D.order_reads(spark, sf_dir)).select("read_id", packed.pack(F.col("bits")).alias("b"), packed.size(F.length("bits")).alias("bytes"))
+    rows = metadata.row_codes(D.order_reads(spark, sf_dir, seq=False)).select("read_id", packed.pack(F.col("bits")).alias("b"), packed.size(F.length("bits")).alias("bytes"))
     return rows.select("read_id", F.hex("b").alias("packed"), "bytes", packed.unpack(F.col("b")).alias("bits"))
 
 
