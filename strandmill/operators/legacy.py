@@ -33,6 +33,7 @@ DELTA_BITS = (
 
 #: Letters of quality strings, ! to ~. The older codecs knew the first 41 of them.
 LETTERS = "".join(map(chr, range(33, 127)))
+_FIRST = {c: i + 1 for i, c in enumerate(LETTERS)}
 
 
 def _run_strings(qual: Column) -> Column:
@@ -240,31 +241,33 @@ def delta_decode(data: bytes, start: str = "H", middle: int = 45, base: int = 90
 
 def lzw_encode(text: str, letters: str = LETTERS) -> tuple[list[int], int]:
     """(codes, bits): code 0 stops; codes take as many bits as the table's size needs when they are written."""
-    table = {c: i + 1 for i, c in enumerate(letters)}
-    codes, bits, at = [], 0, 0
-    while at < len(text):
-        n = 1
-        if text[at] not in table:
-            raise ValueError(f"{text[at]!r} is no letter of this codec")
-        while at + n < len(text) and text[at : at + n + 1] in table:
-            n += 1
-        codes.append(table[text[at : at + n]])
-        bits += len(table).bit_length()
-        if at + n < len(text):
-            table[text[at : at + n + 1]] = len(table) + 1
-        at += n
-    return [*codes, 0], bits + len(table).bit_length()
+    table = dict(_FIRST) if letters is LETTERS else {c: i + 1 for i, c in enumerate(letters)}
+    codes, bits, match, size = [], 0, "", len(table)
+    for c in text:
+        longer = match + c
+        if longer in table:
+            match = longer
+            continue
+        if c not in table:
+            raise ValueError(f"{c!r} is no letter of this codec")
+        codes.append(table[match])
+        bits += size.bit_length()
+        size += 1
+        table[longer], match = size, c
+    if match:
+        codes.append(table[match])
+        bits += size.bit_length()
+    return [*codes, 0], bits + size.bit_length()
 
 
 def lzw_decode(codes: list[int], letters: str = LETTERS) -> str:
-    table = {i + 1: c for i, c in enumerate(letters)}
-    out, last = [], ""
+    table, out, last = ["", *letters], [], ""
     for code in codes:
         if code == 0:
             break
-        entry = table.get(code) or last + last[0]
+        entry = table[code] if code < len(table) else last + last[0]
         if last:
-            table[len(table) + 1] = last + entry[0]
+            table.append(last + entry[0])
         out.append(entry)
         last = entry
     return "".join(out)

@@ -590,8 +590,8 @@ def delta_run_size(spark, sf_dir) -> DataFrame:
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """A table of one small file as rows in all tasks, for coders whose work is far more than the reading."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "read_id")
+    """A table of one small file as rows in all tasks, four a core, for coders whose work is far more than the reading."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "read_id")
 
 
 @query(with_tables("quals", "select read_id, qual from quals where length(qual) > 0"))
