@@ -33,8 +33,12 @@ def entry(data: Column, at: Column, width: int) -> Column:
     first = at.cast("long") * width
     byte = F.floor(first / 8)
     own = F.substring(data, (byte + 1).cast("int"), F.lit(width // 8 + 2))
-    text = F.substr(unpack(own), (first - byte * 8 + 1).cast("int"), F.lit(width))
-    return F.when((at >= 0) & (first + width <= F.octet_length(data) * 8), F.conv(text, 2, 10).cast("long"))
+    if width <= 40:  # its bytes are one number, of 56 bits at most
+        behind = F.octet_length(own) * 8 - (first - byte * 8) - width
+        found = F.call_function("shiftright", F.conv(F.hex(own), 16, 10).cast("long"), behind.cast("int")).bitwiseAND((1 << width) - 1)
+    else:
+        found = F.conv(F.substr(unpack(own), (first - byte * 8 + 1).cast("int"), F.lit(width)), 2, 10).cast("long")
+    return F.when((at >= 0) & (first + width <= F.octet_length(data) * 8), found)
 
 
 def size(bits: Column) -> Column:

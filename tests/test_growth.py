@@ -43,3 +43,22 @@ def test_grams_of_a_long_text_take_time_in_proportion(spark):
 def test_no_row_of_reads_holds_the_reference(spark, reads):
     plan = reads(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "listagg" not in plan.lower()
+
+
+def test_an_entry_is_one_number_of_its_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from strandmill.functions import packed
+
+    for width in (1, 7, 8, 13, 40, 41):
+        values = [random.Random(width + i).getrandbits(width) for i in range(30)]
+        data = spark.createDataFrame([("".join(f"{v:0{width}b}" for v in values),)], "bits string").select(packed.pack(F.col("bits")).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("i"))
+        assert [r.v for r in data.select("i", packed.entry(F.col("d"), F.col("i"), width).alias("v")).orderBy("i").collect()] == values
+    plan = data.select(packed.entry(F.col("d"), F.col("i"), 7))._jdf.queryExecution().analyzed().toString()
+    assert "transform" not in plan.split("Project")[1]  # no letters of single bits
+
+
+def test_coders_get_four_tasks_a_core(spark):
+    from strandmill.plans import queries
+
+    assert queries._spread(D.order_quals(spark, SF)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
