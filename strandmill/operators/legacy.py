@@ -7,10 +7,12 @@ import time
 from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import runs as fn
 from ..functions.packed import BitReader, BitWriter
 
 #: The Huffman code of 38 quality characters, from the histogram of 100 million scores.
@@ -36,75 +38,87 @@ LETTERS = "".join(map(chr, range(33, 127)))
 _FIRST = {c: i + 1 for i, c in enumerate(LETTERS)}
 
 
-def _run_strings(qual: Column) -> Column:
-    return F.regexp_extract_all(qual, F.lit(r"(?s)((.)\2*)"), F.lit(1))
+def _sized(quals: DataFrame, name: str, of, more: int = 0) -> DataFrame:
+    """(read_id, name): the sum of ``of``, given characters and lengths of runs, over a read's runs, and ``more``. Null and empty qualities have no row."""
 
+    def run(batches):
+        for b in batches:
+            chars, n, ends = fn.runs(b.column("qual"))
+            upto = np.concatenate([[0], np.cumsum(of(chars, n), dtype=np.int64)])
+            yield pa.RecordBatch.from_arrays([b.column("read_id"), pa.array(upto[ends[1:]] - upto[ends[:-1]] + more)], names=["read_id", name])
 
-def _sized(quals: DataFrame, name: str, of, more: int = 0) -> DataFrame:
-    """(read_id, name): the sum of ``of`` over a read's runs, and ``more``, inside the row. Null and empty qualities have no row."""
-    total = F.aggregate(_run_strings(F.col("qual")), F.lit(more).cast("long"), lambda t, s: t + of(s).cast("long"))
-    return quals.where(F.length("qual") > 0).select("read_id", total.alias(name))
+    return quals.where(F.length("qual") > 0).select("read_id", "qual").mapInArrow(run, f"read_id {quals.schema['read_id'].dataType.simpleString()}, {name} long")
 
 
 def naive_run_size(quals: DataFrame, longest: int = 127) -> DataFrame:
     """(read_id, bytes): a byte for the character and one for a count of at most ``longest``."""
-    return _sized(quals, "bytes", lambda s: 2 * F.ceil(F.length(s) / longest))
+    return _sized(quals, "bytes", lambda c, n: 2 * -(-n // longest))
 
 
 def bit_run_size(quals: DataFrame, char_bits: int = 6, count_bits: int = 4) -> DataFrame:
     """(read_id, bits): character and count in few bits, and a stop code. Counts reach 2**count_bits - 1, so they always fit."""
     most = (1 << count_bits) - 1
-    return _sized(quals, "bits", lambda s: F.ceil(F.length(s) / most) * (char_bits + count_bits), char_bits)
+    return _sized(quals, "bits", lambda c, n: -(-n // most) * (char_bits + count_bits), char_bits)
 
 
 def flagged_run_size(quals: DataFrame, char_bits: int = 6, count_bits: int = 7) -> DataFrame:
     """(read_id, bits): character, a flag, and a count - 2 where the flag is set; runs are cut so that counts fit."""
     most = (1 << count_bits) + 1
 
-    def bits(s):
-        n = F.length(s)
+    def bits(c, n):
         rest = n % most
-        return F.floor(n / most) * (char_bits + 1 + count_bits) + F.when(rest == 0, 0).when(rest == 1, char_bits + 1).otherwise(char_bits + 1 + count_bits)
+        return n // most * (char_bits + 1 + count_bits) + np.where(rest == 0, 0, char_bits + 1 + np.where(rest == 1, 0, count_bits))
 
     return _sized(quals, "bits", bits)
 
 
 def huffman_size(quals: DataFrame, escape_bits: int = 22) -> DataFrame:
     """(read_id, bits, bytes): bits of the fixed code; characters without one would take an escape of ``escape_bits``."""
-    bits = F.create_map(*(x for c, b in HUFFMAN.items() for x in (F.lit(c), F.lit(len(b)))))
-    whole = _sized(quals, "bits", lambda s: F.length(s) * F.coalesce(F.element_at(bits, F.substr(s, F.lit(1), F.lit(1))), F.lit(escape_bits)))
+    bits = np.full(129, escape_bits)
+    for c, code in HUFFMAN.items():
+        bits[ord(c)] = len(code)
+    whole = _sized(quals, "bits", lambda c, n: n * bits[np.minimum(c, 128)])
     return whole.select("read_id", "bits", F.ceil(F.col("bits") / 8).cast("long").alias("bytes"))
 
 
-def delta_array(qual: Column, start: str = "H", middle: int = 45, base: int = 90, most: int = 20) -> Column:
+def delta_symbols(text: pa.Array, start: str = "H", middle: int = 45, base: int = 90, most: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Steps between neighbours as middle + step; equal ones as base + count in stretches
-    of at most ``most``. The first character is compared with ``start``; all characters count.
+    of at most ``most``. The first character is compared with ``start``; all characters count. Row i of a batch has the symbols between entries i and i + 1
+    of the second array.
     """
+    chars, n, ends = fn.runs(text)
+    prev = np.empty_like(chars)
+    prev[1:] = chars[:-1]
+    prev[ends[:-1][ends[:-1] < len(chars)]] = ord(start)
+    steps = chars != prev
+    return fn.stretched(chars - prev + middle, steps, n - steps, base, most, ends)
 
-    def of(r, s, i):
-        prev = F.when(i == 0, F.lit(ord(start))).otherwise(F.ascii(F.element_at(r, F.greatest(i, F.lit(1)))))
-        step = F.ascii(s) - prev
-        repeats = F.length(s) - F.when(step == 0, 0).otherwise(1)
-        head = F.when(step == 0, F.array().cast("array<int>")).otherwise(F.array(step + middle))
-        full = F.array_repeat(F.lit(base + most), F.floor(repeats / most).cast("int"))
-        tail = F.when(repeats % most > 0, F.array((repeats % most + base).cast("int"))).otherwise(F.array().cast("array<int>"))
-        return F.concat(head, full, tail)
 
-    # The runs are bound once, as the only element of an array; named by their expression they would be found again for each run.
-    return F.element_at(F.transform(F.array(_run_strings(qual)), lambda r: F.flatten(F.transform(r, lambda s, i: of(r, s, i)))), 1)
+def delta_runs(quals: DataFrame) -> DataFrame:
+    """(read_id, ord, symbol): the symbols of ``delta_symbols``."""
 
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("read_id"), fn.lists(*delta_symbols(b.column("qual")))], names=["read_id", "p"])
 
-def delta_runs(quals: DataFrame) -> DataFrame:
-    """(read_id, ord, symbol): the symbols of ``delta_array``."""
-    return quals.select("read_id", F.posexplode(delta_array(F.col("qual"))).alias("ord", "symbol"))
+    listed = quals.select("read_id", "qual").mapInArrow(run, f"read_id {quals.schema['read_id'].dataType.simpleString()}, p array<int>")
+    return listed.select("read_id", F.posexplode("p").alias("ord", "symbol"))
 
 
 def delta_run_size(quals: DataFrame) -> DataFrame:
     """(read_id, bits) under the fixed code, the end of the read included."""
-    bits = F.array(*map(F.lit, DELTA_BITS))
-    listed = quals.where(F.length("qual") > 0).select("read_id", delta_array(F.col("qual")).alias("d"))
-    total = F.aggregate("d", F.lit(DELTA_BITS[45]).cast("long"), lambda t, x: t + F.element_at(bits, x + 1).cast("long"))
-    return listed.select("read_id", total.alias("bits"))
+    bits, count = np.array(DELTA_BITS), len(DELTA_BITS)
+
+    def run(batches):
+        for b in batches:
+            found, at = delta_symbols(b.column("qual"))
+            place = found + (found < 0)  # symbols below -1 count from the end, as the SQL's list does
+            if ((found == -1) | (place < -count) | (place >= count)).any():
+                raise ValueError("a step beyond the fixed code")
+            upto = np.concatenate([[0], np.cumsum(bits[place])])[at]
+            yield pa.RecordBatch.from_arrays([b.column("read_id"), pa.array(np.diff(upto) + DELTA_BITS[45])], names=["read_id", "bits"])
+
+    return quals.where(F.length("qual") > 0).select("read_id", "qual").mapInArrow(run, f"read_id {quals.schema['read_id'].dataType.simpleString()}, bits long")
 
 
 def _runs_of(text: str) -> list[tuple[str, int]]:
@@ -212,7 +226,7 @@ _DELTA_OF = {b: s for s, b in _DELTA_CODE.items()}
 
 
 def delta_encode(text: str, start: str = "H", middle: int = 45, base: int = 90, most: int = 20) -> bytes:
-    """The symbols of ``delta_array`` and the end, in a prefix code of the fixed lengths. A string with a step beyond the table stays as it is, marked by 8."""
+    """The symbols of ``delta_symbols`` and the end, in a prefix code of the fixed lengths. A string with a step beyond the table stays as it is, marked by 8."""
     found, last = [], ord(start)
     for c, n in _runs_of(text):
         step = ord(c) - last

@@ -62,3 +62,51 @@ def test_coders_get_four_tasks_a_core(spark):
     from strandmill.plans import queries
 
     assert queries._spread(D.order_quals(spark, SF)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def _plain_runs(text):
+    import itertools
+
+    return [(c, len(list(g))) for c, g in itertools.groupby(text)]
+
+
+ODD = ["", None, "H", "HHHH", "IIH#" + "G" * 61, "é" * 130 + "zz", "\n\n~!", "H" * 300 + "G" * 41, "", "!I!I"]
+
+
+def test_sizes_of_runs_come_without_a_regular_expression(spark):
+    from strandmill.operators import legacy
+
+    quals = spark.createDataFrame(list(enumerate(ODD)), "read_id long, qual string").coalesce(1)
+    sizes = {
+        "naive": (legacy.naive_run_size(quals), "bytes", lambda q: sum(2 * -(-n // 127) for _, n in _plain_runs(q))),
+        "bits": (legacy.bit_run_size(quals), "bits", lambda q: 6 + sum(10 * -(-n // 15) for _, n in _plain_runs(q))),
+        "flags": (legacy.flagged_run_size(quals), "bits", lambda q: sum(n // 129 * 14 + (0, 7, 14)[min(n % 129, 2)] for _, n in _plain_runs(q))),
+        "huffman": (legacy.huffman_size(quals), "bits", lambda q: sum(n * len(legacy.HUFFMAN.get(c, " " * 22)) for c, n in _plain_runs(q))),
+    }
+    for rows, column, plain in sizes.values():
+        assert {r.read_id: r[column] for r in rows.collect()} == {i: plain(q) for i, q in enumerate(ODD) if q}
+        assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_delta_symbols_come_without_a_regular_expression(spark):
+    from strandmill.operators import legacy
+
+    quals = spark.createDataFrame(list(enumerate(ODD)), "read_id long, qual string").coalesce(1)
+    plain = {}
+    for i, q in enumerate(ODD):
+        last, out = "H", []
+        for c, n in _plain_runs(q or ""):
+            out += [45 + ord(c) - ord(last)] * (c != last)
+            n -= c != last
+            out += [110] * (n // 20) + [90 + n % 20] * (n % 20 > 0)
+            last = c
+        plain[i] = out
+    rows = legacy.delta_runs(quals)
+    found = {i: [] for i in plain}
+    for r in rows.orderBy("read_id", "ord").collect():
+        found[r.read_id].append(r.symbol)
+    assert found == plain
+    sized = legacy.delta_run_size(quals.where("read_id not in (5, 6)"))
+    assert {r.read_id: r.bits for r in sized.collect()} == {i: sum(legacy.DELTA_BITS[x] for x in p) + legacy.DELTA_BITS[45] for i, p in plain.items() if p and i not in (5, 6)}
+    for df in (rows, sized):
+        assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
