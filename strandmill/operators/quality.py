@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import runs as fn
 from ..shared import before
 
 OFFSET, ALPHABET, STRETCH, SYMBOLS = 33, 128, 60, 189
@@ -22,22 +23,21 @@ def runs(quals: DataFrame, column: str = "qual") -> DataFrame:
     return quals.select("read_id", F.posexplode(found).alias("run", "s")).select("read_id", "run", F.substr("s", F.lit(1), F.lit(1)).alias("char"), F.length("s").cast("long").alias("n"))
 
 
-def symbol_array(qual: Column) -> Column:
-    """The symbols of a quality string in order, as an array in its row."""
-    found = F.regexp_extract_all(qual, F.lit(r"(?s)((.)\2*)"), F.lit(1))
-
-    def of(s):
-        rest = F.length(s) - 1
-        full = F.array_repeat(F.lit(ALPHABET + STRETCH - 1), F.floor(rest / STRETCH).cast("int"))
-        last = F.when(rest % STRETCH > 0, F.array((rest % STRETCH + ALPHABET - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-        return F.concat(F.array(F.ascii(s) - OFFSET), full, last)
-
-    return F.flatten(F.transform(found, of))
+def symbol_lists(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a batch of quality strings; row i has those between entries i and i + 1 of the second array."""
+    chars, n, ends = fn.runs(text)
+    return fn.stretched(chars - OFFSET, np.ones(len(chars), bool), n - 1, ALPHABET - 1, STRETCH, ends)
 
 
 def symbols(quals: DataFrame) -> DataFrame:
     """(read_id, ord, symbol): the symbols of each read in order."""
-    return quals.select("read_id", F.posexplode(symbol_array(F.col("qual"))).alias("ord", "symbol"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("read_id"), fn.lists(*symbol_lists(b.column("qual")))], names=["read_id", "p"])
+
+    listed = quals.select("read_id", "qual").mapInArrow(run, f"read_id {quals.schema['read_id'].dataType.simpleString()}, p array<int>")
+    return listed.select("read_id", F.posexplode("p").alias("ord", "symbol"))
 
 
 def unsymbol(codes: DataFrame) -> DataFrame:
@@ -196,10 +196,16 @@ def _fetched(raw: np.ndarray, lanes: np.ndarray, at: np.ndarray, n: np.ndarray)
 
 
 def decode_lanes(rows: list[bytes], model, end: int = END) -> list[list[int]]:
-    """The symbols of each row before its end symbol, all rows in step."""
+    """The symbols of each row before its end symbol."""
+    flat, ends = decode_flat(rows, model, end)
+    return [x.tolist() for x in np.split(flat, ends[1:-1])] if rows else []
+
+
+def decode_flat(rows: list[bytes], model, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of each row before its end symbol, all rows in step; row i has those between entries i and i + 1 of the second array."""
     count = len(rows)
     if not count:
-        return []
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
     sizes = np.fromiter(map(len, rows), np.int64, count)
     raw = np.zeros((count, int(sizes.max()) + 16), np.uint8)
     raw[np.arange(raw.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(rows), np.uint8)
@@ -223,66 +229,67 @@ def decode_lanes(rows: list[bytes], model, end: int = END) -> list[list[int]]:
         who.append(live)
         what.append(codes[on])
     lane = np.concatenate(who)
-    flat = np.concatenate(what)[np.argsort(lane, kind="stable")].tolist()
-    ends = np.cumsum(np.bincount(lane, minlength=count)).tolist()
-    return [flat[x:y] for x, y in zip([0, *ends], ends)]
+    return np.concatenate(what)[np.argsort(lane, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(lane, minlength=count))])
+
+
+def _text(codes: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The strings of rows of symbols. Ends of reads among the symbols give no letter."""
+    letter = codes < ALPHABET
+    last = np.maximum.accumulate(np.where(letter, np.arange(len(codes)), 0))
+    times = np.where(letter, 1, np.where(codes == END, 0, codes - ALPHABET + 1))
+    return fn.text_of(np.repeat(codes[last] + OFFSET, times), np.concatenate([[0], np.cumsum(times)])[ends])
 
 
 class Adaptive:
-    """Counts of each lane that start at one and grow with what the lane codes, as Fenwick trees: coder and decoder change them alike.
+    """Counts of each lane that start at one and grow with what the lane codes: coder and decoder change them alike.
 
-    A count grows by ``step``; where a lane's sum passes ``most``, its counts are halved.
+    Symbols stand in groups of 16. A lane keeps the sums before its groups and, in each group, those before its symbols, so a symbol is found or
+    counted by one look at the groups and one into a group. A count grows by ``step``; where a lane's sum passes ``most``, its counts are halved.
     """
 
+    GROUP = 16
+
     def __init__(self, lanes: int, symbols: int = SYMBOLS, step: int = 32, most: int = 1 << 16):
-        self.size = 1 << (symbols - 1).bit_length()
+        self.groups = -(-symbols // self.GROUP)
         self.symbols, self.step, self.most = symbols, step, most
-        self.counts = np.zeros((lanes, self.size), np.int64)
+        self.counts = np.zeros((lanes, self.groups * self.GROUP), np.int64)
         self.counts[:, :symbols] = 1
         self.total = np.full(lanes, symbols, np.int64)
-        self.tree = np.zeros((lanes, self.size + 1), np.int64)
-        self._grow(np.arange(lanes))
-
-    def _grow(self, lanes: np.ndarray) -> None:
-        """Trees from counts: entry i sums the lowbit(i) counts up to i."""
-        upto = np.concatenate([np.zeros((len(lanes), 1), np.int64), np.cumsum(self.counts[lanes], axis=1)], axis=1)
-        i = np.arange(1, self.size + 1)
-        self.tree[lanes, 1:] = upto[:, i] - upto[:, i - (i & -i)]
-
-    def _before(self, lanes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        i, out = codes.copy(), np.zeros(len(codes), np.int64)
-        while i.any():
-            out += self.tree[lanes, i]  # entry 0 is 0
-            i &= i - 1
-        return out
+        self.outer = np.zeros((lanes, self.groups), np.int64)
+        self.inner = np.zeros((lanes * self.groups, self.GROUP), np.int64)
+        self._sum(np.arange(lanes))
+        self._from = np.arange(max(self.groups, self.GROUP))
+
+    def _sum(self, lanes: np.ndarray) -> None:
+        """Sums before groups and symbols, from counts."""
+        held = self.counts[lanes].reshape(len(lanes), self.groups, self.GROUP)
+        whole = held.sum(axis=2)
+        self.outer[lanes] = np.cumsum(whole, axis=1) - whole
+        self.inner[(lanes[:, None] * self.groups + np.arange(self.groups)).ravel()] = (np.cumsum(held, axis=2) - held).reshape(-1, self.GROUP)
 
     def bounds(self, lanes: np.ndarray, codes: np.ndarray):
-        lower = self._before(lanes, codes)
+        group = codes // self.GROUP
+        lower = self.outer[lanes, group] + self.inner[lanes * self.groups + group, codes % self.GROUP]
         return lower, lower + self.counts[lanes, codes], self.total[lanes]
 
     def find(self, lanes: np.ndarray, span: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """The symbol of each lane's target, down its tree."""
-        left, at, step = ((offset + 1) * self.total[lanes] - 1) // span, np.zeros(len(lanes), np.int64), self.size
-        while step:
-            to = at + step
-            fits = to <= self.size
-            part = self.tree[lanes, np.minimum(to, self.size)]
-            fits &= part <= left
-            at, left = np.where(fits, to, at), np.where(fits, left - part, left)
-            step >>= 1
-        return at
+        """The symbol of each lane's target: the last one whose sum before it isn't above."""
+        left = ((offset + 1) * self.total[lanes] - 1) // span
+        group = (self.outer[lanes] <= left[:, None]).sum(axis=1) - 1
+        left = left - self.outer[lanes, group]
+        at = group * self.GROUP + (self.inner[lanes * self.groups + group] <= left[:, None]).sum(axis=1) - 1
+        return np.minimum(at, self.symbols - 1)
 
     def seen(self, lanes: np.ndarray, codes: np.ndarray) -> None:
+        group, place = codes // self.GROUP, codes % self.GROUP
         self.counts[lanes, codes] += self.step
         self.total[lanes] += self.step
-        i = codes + 1
-        while (on := i <= self.size).any():
-            self.tree[lanes[on], i[on]] += self.step
-            i = np.where(on, i + (i & -i), i)
+        self.outer[lanes] += self.step * (self._from[: self.groups] > group[:, None])
+        self.inner[lanes * self.groups + group] += self.step * (self._from[: self.GROUP] > place[:, None])
         if (full := lanes[self.total[lanes] > self.most]).size:
             self.counts[full] = (self.counts[full] + 1) >> 1
             self.total[full] = self.counts[full].sum(axis=1)
-            self._grow(full)
+            self._sum(full)
 
 
 def arithmetic_encode(codes: list[int], cum: list[int]) -> bytes:
@@ -316,15 +323,14 @@ def arithmetic_code(quals: DataFrame, cum: list[int] | None = None) -> DataFrame
     task can decode it, and its symbols never leave its row.
     """
     table = cum or smoothed(cumulative(symbols(quals)))
-    listed = quals.where(F.length("qual") > 0).select("read_id", symbol_array(F.col("qual")).alias("p"))
+    listed = quals.where(F.length("qual") > 0).select("read_id", "qual")
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, LANES):
                 part = b.slice(at, LANES)
-                lists = part.column("p")
-                flat = lists.flatten().to_numpy().astype(np.int64)
-                coded = encode_lanes(np.split(flat, np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1]), Fixed(table))
+                flat, ends = symbol_lists(part.column("qual"))
+                coded = encode_lanes(np.split(flat, ends[1:-1]), Fixed(table))
                 yield pa.RecordBatch.from_arrays([part.column("read_id"), pa.array(coded, pa.binary())], names=["read_id", "data"])
 
     return listed.mapInArrow(run, "read_id long, data binary")
@@ -333,18 +339,12 @@ def arithmetic_code(quals: DataFrame, cum: list[int] | None = None) -> DataFrame
 def arithmetic_read(coded: DataFrame, cum: list[int]) -> DataFrame:
     """(read_id, qual) from ``arithmetic_code``."""
 
-    def text(codes):
-        out = []
-        for c in codes:
-            out.append(chr(c + OFFSET) if c < ALPHABET else out[-1][-1] * (c - ALPHABET + 1))
-        return "".join(out)
-
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, LANES):
                 part = b.slice(at, LANES)
-                found = decode_lanes(part.column("data").to_pylist(), Fixed(cum))
-                yield pa.RecordBatch.from_arrays([part.column("read_id"), pa.array([text(x) for x in found], pa.string())], names=["read_id", "qual"])
+                found, ends = decode_flat(part.column("data").to_pylist(), Fixed(cum))
+                yield pa.RecordBatch.from_arrays([part.column("read_id"), _text(found, ends)], names=["read_id", "qual"])
 
     return coded.mapInArrow(run, "read_id long, qual string")
 
@@ -356,22 +356,24 @@ def adaptive_code(quals: DataFrame, rows_per_part: int = 64, parts_per_lane_set:
     empty qualities have no entry.
     """
     part = F.floor(F.col("read_id") / rows_per_part).cast("long")
-    listed = quals.where(F.length("qual") > 0).select("read_id", part.alias("part"), symbol_array(F.col("qual")).alias("p"))
-    whole = listed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("read_id", "p"))).alias("r"))  # at most rows_per_part reads
+    listed = quals.where(F.length("qual") > 0).select("read_id", part.alias("part"), "qual")
+    whole = listed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("read_id", "qual"))).alias("r"))  # at most rows_per_part reads
     stop = SYMBOLS  # the end of the part, behind the ends of its reads
-    flat = whole.select("part", F.col("r.read_id").alias("ids"), F.flatten(F.transform("r", lambda x: F.concat(x["p"], F.array(F.lit(END))))).alias("codes"))
+    held = whole.select("part", F.col("r.read_id").alias("ids"), F.col("r.qual").alias("quals"))
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, parts_per_lane_set):
                 some = b.slice(at, parts_per_lane_set)
-                lists = some.column("codes")
-                rows = np.split(lists.flatten().to_numpy().astype(np.int64), np.cumsum(np.diff(lists.offsets.to_numpy()))[:-1])
+                lists = some.column("quals")
+                flat, ends = symbol_lists(lists.flatten())
+                flat, ends = np.insert(flat, ends[1:], END), ends + np.arange(len(ends))
+                sizes = np.diff(lists.offsets.to_numpy())
+                rows = np.split(flat, ends[np.cumsum(sizes)][:-1])
                 data = encode_lanes(rows, Adaptive(len(rows), SYMBOLS + 1), stop)
-                sizes = pa.array([len(x) for x in some.column("ids").to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([some.column("part"), sizes, some.column("ids"), pa.array(data, pa.binary())], names=["part", "entries", "ids", "data"])
+                yield pa.RecordBatch.from_arrays([some.column("part"), pa.array(sizes.astype(np.int64)), some.column("ids"), pa.array(data, pa.binary())], names=["part", "entries", "ids", "data"])
 
-    return flat.mapInArrow(run, "part long, entries long, ids array<long>, data binary")
+    return held.mapInArrow(run, "part long, entries long, ids array<long>, data binary")
 
 
 def adaptive_read(coded: DataFrame, parts_per_lane_set: int = 256) -> DataFrame:
@@ -381,17 +383,8 @@ def adaptive_read(coded: DataFrame, parts_per_lane_set: int = 256) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, parts_per_lane_set):
                 some = b.slice(at, parts_per_lane_set)
-                ids, quals = [], []
-                found = decode_lanes(some.column("data").to_pylist(), Adaptive(some.num_rows, SYMBOLS + 1), SYMBOLS)
-                for mine, codes in zip(some.column("ids").to_pylist(), found):
-                    text = []
-                    for c in codes:
-                        if c == END:
-                            quals.append("".join(text))
-                            text = []
-                        else:
-                            text.append(chr(c + OFFSET) if c < ALPHABET else text[-1][-1] * (c - ALPHABET + 1))
-                    ids += mine
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(quals, pa.string())], names=["read_id", "qual"])
+                codes, _ = decode_flat(some.column("data").to_pylist(), Adaptive(some.num_rows, SYMBOLS + 1), SYMBOLS)
+                ends = np.concatenate([[0], np.flatnonzero(codes == END) + 1])  # a read each, in the order of parts
+                yield pa.RecordBatch.from_arrays([some.column("ids").flatten(), _text(codes, ends)], names=["read_id", "qual"])
 
     return coded.mapInArrow(run, "read_id long, qual string")

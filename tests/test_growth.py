@@ -110,3 +110,30 @@ def test_delta_symbols_come_without_a_regular_expression(spark):
     assert {r.read_id: r.bits for r in sized.collect()} == {i: sum(legacy.DELTA_BITS[x] for x in p) + legacy.DELTA_BITS[45] for i, p in plain.items() if p and i not in (5, 6)}
     for df in (rows, sized):
         assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_adaptive_codes_come_without_a_regular_expression(spark):
+    from strandmill.operators import quality
+
+    given = [q if q is None else q.replace("é", "~").replace("\n", "!") for q in ODD]  # letters of a quality string
+    quals = spark.createDataFrame(list(enumerate(given)), "read_id long, qual string")
+    coded = quality.adaptive_code(quals, rows_per_part=4)
+    assert {r.read_id: r.qual for r in quality.adaptive_read(coded).collect()} == {i: q for i, q in enumerate(given) if q}
+    for df in (coded, quality.arithmetic_code(quals, list(range(190))), quality.symbols(quals)):
+        assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_adaptive_symbols_are_found_in_two_looks():
+    import numpy as np
+
+    from strandmill.operators import quality
+
+    rng, lanes = random.Random(3), np.arange(5)
+    model = quality.Adaptive(5, quality.SYMBOLS + 1, most=3000)
+    for _ in range(200):
+        model.seen(lanes, np.array([rng.randrange(190) for _ in lanes]))
+        codes = np.array([rng.randrange(190) for _ in lanes])
+        lower, upper, total = model.bounds(lanes, codes)
+        assert lower.tolist() == [int(model.counts[i, :c].sum()) for i, c in enumerate(codes)]
+        for offset in (lower, upper - 1):  # a span as long as the total: an offset is a place among the counts
+            assert (model.find(lanes, total, offset) == codes).all()
