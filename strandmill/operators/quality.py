@@ -59,8 +59,23 @@ def char_histogram(quals: DataFrame) -> DataFrame:
 
 def cumulative(codes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, symbol, freq, cum_lo, cum_hi) for all 189 symbols: cum_lo counts the smaller ones."""
-    counts = codes.groupBy(*keys, "symbol").agg(F.count(F.lit(1)).alias("freq"))
-    groups = counts.select(*keys).distinct() if keys else codes.sparkSession.range(1).select()
+    return _cumulative(codes.groupBy(*keys, "symbol").agg(F.count(F.lit(1)).alias("freq")), keys)
+
+
+def model(quals: DataFrame) -> DataFrame:
+    """``cumulative`` of all ``symbols``, which are counted in their batches: a batch gives at most 189 rows."""
+
+    def run(batches):
+        for b in batches:
+            found, n = np.unique(symbol_lists(b.column("qual"))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n, pa.int64())], names=["symbol", "n"])
+
+    each = quals.select("qual").mapInArrow(run, "symbol int, n long")
+    return _cumulative(each.groupBy("symbol").agg(F.sum("n").alias("freq")))
+
+
+def _cumulative(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    groups = counts.select(*keys).distinct() if keys else counts.sparkSession.range(1).select()
     every = groups.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(SYMBOLS - 1))).alias("symbol"))
     full = every.join(counts, [*keys, "symbol"], "left").withColumn("freq", F.coalesce("freq", F.lit(0)).cast("long"))
     up = F.sum("freq").over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("symbol"))  # 189 rows a model
@@ -322,7 +337,7 @@ def arithmetic_code(quals: DataFrame, cum: list[int] | None = None) -> DataFrame
     """(read_id, data): each read's symbols, arithmetic-coded; null and empty qualities have no row. A read is a unit, so any
     task can decode it, and its symbols never leave its row.
     """
-    table = cum or smoothed(cumulative(symbols(quals)))
+    table = cum or smoothed(model(quals))
     listed = quals.where(F.length("qual") > 0).select("read_id", "qual")
 
     def run(batches):

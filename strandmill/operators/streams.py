@@ -7,16 +7,21 @@ parallel; on disk Parquet keeps them.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields as fn
+from ..functions import runs
 from ..functions.packed import BitReader, BitWriter
 from . import metadata, quality
 
 MAGIC_META, MAGIC_QUAL = 0x18318525, 0x12345678
 CONST, ALPHA, NUMERIC, AUTOINC = range(4)
+#: Parts of headers a task has at most on average, and reads of a part that are decoded at once (a multiple of 8, so that they begin with a byte).
+PARTS, SOME = 16, 8192
 PART = "first long, entries long, ids array<long>, data binary"
 
 
@@ -76,29 +81,34 @@ def metadata_stream(reads: DataFrame, rows_per_part: int = 65_536) -> DataFrame:
     words: dict[int, list[str]] = {}
     for r in metadata.dictionary(reads, table, used=True).where(F.col("field").isin(mapped)).orderBy("field", "code").collect() if mapped else []:
         words.setdefault(r.field, []).append(r.value)
-    entries, least = reads.agg(F.count(F.lit(1)), F.coalesce(F.min("read_id"), F.lit(0))).first()
-    head = spark.createDataFrame([(0, least, entries, None, bytearray(_describe(kinds, words, seps[0].separators if seps else "", entries)))], f"part int, {PART}")
+    entries, least, most = reads.agg(F.count(F.lit(1)), *(F.coalesce(f("read_id"), F.lit(0)) for f in (F.min, F.max))).first()
+    head = spark.createDataFrame([(0, least, entries, None, bytearray(_describe(kinds, words, seps[0].separators if seps else "", entries)))], f"part int, {PART}").coalesce(1)  # the first task of all, so that a look at part 0 runs no other
     rows = metadata.row_codes(reads, table).select("read_id", "bits", (F.expr(f"read_id div {rows_per_part}") + 1).cast("int").alias("part"))
-    dealt = rows.repartition("part").sortWithinPartitions("part", "read_id")
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-(most - least) // (rows_per_part * PARTS)))
+    dealt = rows.repartition(tasks, "part").sortWithinPartitions("part", "read_id")
+    kind = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("entries", pa.int64()), ("ids", pa.list_(pa.int64())), ("data", pa.binary())])
 
     def run(batches):
         now, ids, bits = None, [], []
-        kind = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("entries", pa.int64()), ("ids", pa.list_(pa.int64())), ("data", pa.binary())])
 
         def out():
-            w = BitWriter()
-            w.bits("".join(bits))
-            return pa.RecordBatch.from_pylist([{"part": now, "first": ids[0], "entries": len(bits), "ids": None if ids[-1] - ids[0] == len(ids) - 1 else ids, "data": w.data}], schema=kind)
+            i = np.concatenate(ids)
+            listed = None if i[-1] - i[0] == len(i) - 1 else i
+            return pa.RecordBatch.from_pylist([{"part": now, "first": int(i[0]), "entries": len(i), "ids": listed, "data": np.packbits(np.concatenate(bits)).tobytes()}], schema=kind)
 
         for b in batches:
-            for part, read, text in zip(b.column("part").to_pylist(), b.column("read_id").to_pylist(), b.column("bits").to_pylist()):
-                if part != now:
-                    if bits:
+            part, read = b.column("part").to_numpy(), b.column("read_id").to_numpy()
+            digits, at = runs.points(b.column("bits"))
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for x, y in zip(cuts, cuts[1:]):
+                if y > x and part[x] != now:
+                    if ids:
                         yield out()
-                    now, ids, bits = part, [], []
-                ids.append(read)
-                bits.append(text)
-        if bits:
+                    now, ids, bits = int(part[x]), [], []
+                if y > x:
+                    ids.append(read[x:y].astype(np.int64))
+                    bits.append((digits[at[x] : at[y]] & 1).astype(np.uint8))
+        if ids:
             yield out()
 
     return head.unionByName(dealt.mapInArrow(run, f"part int, {PART}"))
@@ -110,28 +120,45 @@ def metadata_read(stream: DataFrame) -> DataFrame:
     kinds, separators, _ = _described(bytes(top.data))
     least = top.first_id
 
-    def meta(r: BitReader, read: int) -> str:
-        out = []
+    width = sum(k["width"] for k in kinds if k["kind"] in (NUMERIC, ALPHA))
+
+    def metas(ids: np.ndarray, bits: np.ndarray) -> pa.Array:
+        out, at = [], 0
         for i, k in enumerate(kinds):
+            own = bits[:, at : at + k["width"]] if k["kind"] in (NUMERIC, ALPHA) else bits[:, :0]
+            at += own.shape[1]
+            number = np.zeros(len(ids), np.int64)
+            if k["kind"] == NUMERIC or k["mapped"]:
+                for j in range(own.shape[1]):
+                    number = number << 1 | own[:, j]
             if k["kind"] == CONST:
                 value = k["listed"][0]
             elif k["kind"] == AUTOINC:
-                value = str(k["low"] + read - least)
+                value = pa.array(k["low"] + ids - least).cast(pa.string())
             elif k["kind"] == NUMERIC:
-                value = str(r.read(k["width"]))
+                value = pa.array(number).cast(pa.string())
             elif k["mapped"]:
-                value = k["listed"][r.read(k["width"])]
+                value = pa.array(k["listed"], pa.string()).take(pa.array(number))
             else:
-                value = bytes(r.read(8) for _ in range(k["width"] // 8)).rstrip(b"\0").decode()
-            out.append(("@" if i == 0 else separators[i - 1]) + value)
-        return "".join(out)
+                letters = np.packbits(own, axis=1)
+                ends = np.where(letters.any(axis=1), letters.shape[1] - np.argmax(letters[:, ::-1] != 0, axis=1), 0) if letters.shape[1] else np.zeros(len(ids), np.int64)
+                held = letters[np.arange(letters.shape[1]) < ends[:, None]]
+                value = pa.StringArray.from_buffers(len(ids), pa.py_buffer(np.concatenate([[0], np.cumsum(ends)]).astype(np.int32).tobytes()), pa.py_buffer(held.tobytes()))
+            out += ["@" if i == 0 else separators[i - 1], value]
+        return pc.binary_join_element_wise(pa.array([""] * len(ids)), *out, "")  # the first one gives the length
 
     def run(batches):
         for b in batches:
-            for first, n, listed, data in zip(*(b.column(c).to_pylist() for c in ("first", "entries", "ids", "data"))):
-                r = BitReader(data)
-                ids = listed or list(range(first, first + n))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([meta(r, i) for i in ids], pa.string())], names=["read_id", "meta"])
+            for row in range(b.num_rows):  # a part at a time, a few thousand reads of it at once
+                first, n, listed = b.column("first")[row].as_py(), b.column("entries")[row].as_py(), b.column("ids")[row]
+                ids = listed.values.to_numpy() if listed.is_valid and len(listed) else np.arange(first, first + n)
+                data = np.frombuffer(b.column("data")[row].as_buffer(), np.uint8)
+                if len(data) * 8 < n * width:
+                    raise EOFError("no more bits")
+                for at in range(0, n, SOME):
+                    some = ids[at : at + SOME]
+                    bits = np.unpackbits(data[at * width // 8 : -(-(at + len(some)) * width // 8)], count=len(some) * width).reshape(len(some), width)
+                    yield pa.RecordBatch.from_arrays([pa.array(some), metas(some, bits)], names=["read_id", "meta"])
 
     return stream.where("part > 0").mapInArrow(run, "read_id long, meta string")
 
@@ -139,17 +166,18 @@ def metadata_read(stream: DataFrame) -> DataFrame:
 def quality_stream(quals: DataFrame, rows_per_part: int = 512) -> DataFrame:
     """(part, first, entries, data): part 0 holds the mark and 190 cumulative counts; others, reads with their coded lengths."""
     spark = quals.sparkSession
-    cum = quality.smoothed(quality.cumulative(quality.symbols(quals)))
+    cum = quality.smoothed(quality.model(quals))
     w = BitWriter()
     for value, width in ((MAGIC_QUAL, 32), *((c, 64) for c in cum)):
         w.write(value, width)
-    head = spark.createDataFrame([(0, 0, 0, bytearray(w.data))], "part int, first long, entries long, data binary")
+    head = spark.createDataFrame([(0, 0, 0, bytearray(w.data))], "part int, first long, entries long, data binary").coalesce(1)
     listed = quality.arithmetic_code(quals, cum).select("read_id", "data", (F.floor(F.col("read_id") / rows_per_part) + 1).cast("int").alias("part"))
     parts = listed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("read_id", "data"))).alias("r"))  # at most rows_per_part reads
 
     def run(batches):
         for b in batches:
-            for part, rows in zip(b.column("part").to_pylist(), b.column("r").to_pylist()):
+            for part, listed in zip(b.column("part").to_pylist(), b.column("r")):
+                rows = listed.as_py()  # one part's
                 data = b"".join(x["read_id"].to_bytes(8, "big") + len(x["data"]).to_bytes(4, "big") + x["data"] for x in rows)
                 yield pa.RecordBatch.from_pylist([{"part": part, "first": rows[0]["read_id"], "entries": len(rows), "data": data}], schema=pa.schema([("part", pa.int32()), ("first", pa.int64()), ("entries", pa.int64()), ("data", pa.binary())]))
 
@@ -165,8 +193,8 @@ def quality_read(stream: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for data in b.column("data").to_pylist():
-                ids, coded, at = [], [], 0
+            for held in b.column("data"):
+                data, ids, coded, at = held.as_py(), [], [], 0
                 while at < len(data):
                     n = int.from_bytes(data[at + 8 : at + 12], "big")
                     ids.append(int.from_bytes(data[at : at + 8], "big"))

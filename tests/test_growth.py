@@ -137,3 +137,29 @@ def test_adaptive_symbols_are_found_in_two_looks():
         assert lower.tolist() == [int(model.counts[i, :c].sum()) for i, c in enumerate(codes)]
         for offset in (lower, upper - 1):  # a span as long as the total: an offset is a place among the counts
             assert (model.find(lanes, total, offset) == codes).all()
+
+
+def test_a_header_stream_is_read_a_few_reads_at_once(spark):
+    from strandmill.operators import streams
+
+    n = streams.SOME + 77
+    metas = [(2 * i + 5, f"@{('ab', 'cdé', '')[i % 3]}{i} {i % 7}:w{i % 3}#{i * i % 1013}") for i in range(n)]
+    reads = spark.createDataFrame(metas, "read_id long, meta string")
+    stream = streams.metadata_stream(reads, rows_per_part=5 * streams.SOME)  # parts with gaps, one of more reads than are decoded at once
+    assert stream.where("part > 0").selectExpr("max(entries)").first()[0] > streams.SOME
+    assert sorted(map(tuple, streams.metadata_read(stream).collect())) == metas
+
+
+def test_tasks_of_a_header_stream_grow_with_its_parts(spark):
+    from strandmill.operators import streams
+
+    reads = spark.range(0, 4000).selectExpr("id as read_id", "concat('@a', id % 5, ':', id) as meta")
+    few, many = (streams.metadata_stream(reads, rows_per_part=k).rdd.getNumPartitions() for k in (4000, 1))
+    assert many >= 4000 // streams.PARTS > few
+
+
+def test_a_model_counts_symbols_in_batches(spark):
+    from strandmill.operators import quality
+
+    quals = spark.createDataFrame([(i, q) for i, q in enumerate(["HHH#", None, "", "G" * 130, "~I"] * 9)], "read_id long, qual string")
+    assert sorted(quality.model(quals).collect()) == sorted(quality.cumulative(quality.symbols(quals)).collect())
