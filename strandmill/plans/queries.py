@@ -428,14 +428,14 @@ def decode_blocked(spark, sf_dir) -> DataFrame:
 @query(with_tables("ref oreads", "select read_id, meta, seq, strand, read_id % 3 = 0 as repeated, qual from oreads"))
 def archive_roundtrip(spark, sf_dir) -> DataFrame:
     tables, path = _stored(spark, sf_dir), shared.path(spark, "archive")
-    reads = shared.materialize(D.order_reads(spark, sf_dir).withColumn("repeated", F.col("read_id") % 3 == 0), "reads")  # every stream is made from them
+    reads = shared.materialize(_spread(D.order_reads(spark, sf_dir)).withColumn("repeated", F.col("read_id") % 3 == 0), "reads")  # every stream is made from them
     archive.compress(reads, tables["ref"], path, tables["sa"])
     return archive.decompress(spark, path, tables["ref"])
 
 
 @query(with_tables("ref oreads", "select count(*) as reads, count(*) as equal, cast(sum(length(meta) + length(seq) + length(qual)) as bigint) as chars from oreads"))
 def read_roundtrip(spark, sf_dir) -> DataFrame:
-    reads, ref = shared.materialize(D.order_reads(spark, sf_dir), "reads"), D.reference(spark, sf_dir)
+    reads, ref = shared.materialize(_spread(D.order_reads(spark, sf_dir)), "reads"), D.reference(spark, sf_dir)
     seq = align.decoded(align.best_strand(reads, ref), ref).withColumnRenamed("read_id", "i")
     meta = metadata.decoded(reads).withColumnRenamed("read_id", "j").withColumnRenamed("meta", "m")
     qual = quality.unsymbol(quality.symbols(reads)).withColumnRenamed("read_id", "k").withColumnRenamed("qual", "q")
@@ -603,7 +603,7 @@ def adaptive_roundtrip(spark, sf_dir) -> DataFrame:
 @query(with_tables("quals", "select read_id, qual from quals where length(qual) > 0"))
 def arith_roundtrip(spark, sf_dir) -> DataFrame:
     quals = _spread(D.order_quals(spark, sf_dir))
-    cum = quality.smoothed(quality.cumulative(quality.symbols(quals)))
+    cum = quality.smoothed(quality.model(quals))
     return quality.arithmetic_read(quality.arithmetic_code(quals, cum), cum)
 
 

@@ -163,3 +163,20 @@ def test_a_model_counts_symbols_in_batches(spark):
 
     quals = spark.createDataFrame([(i, q) for i, q in enumerate(["HHH#", None, "", "G" * 130, "~I"] * 9)], "read_id long, qual string")
     assert sorted(quality.model(quals).collect()) == sorted(quality.cumulative(quality.symbols(quals)).collect())
+
+
+@pytest.mark.parametrize("name", ["archive_roundtrip", "read_roundtrip"])
+def test_reads_of_round_trips_are_coded_by_all_cores(spark, monkeypatch, name):
+    from strandmill.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    def seen(rows, label):
+        raise Seen(rows.rdd.getNumPartitions())
+
+    monkeypatch.setattr(queries, "_stored", lambda *a: {})
+    monkeypatch.setattr(queries.shared, "materialize", seen)
+    with pytest.raises(Seen) as found:
+        queries.QUERIES[name](spark, SF)
+    assert found.value.args[0] == 4 * spark.sparkContext.defaultParallelism
