@@ -415,7 +415,7 @@ def _blocked(spark, sf_dir) -> blocked.BlockedIndex:
 
 @query(_aligned("fwd", _BEST + " select read_id, orn, tuple_no, pos, len, sym from best", _BOTH))
 def align_blocked(spark, sf_dir) -> DataFrame:
-    """Reads aligned by joins with packed buckets, positions from the sampled suffix array."""
+    """Reads sorted among the windows of a stored text, a match a round."""
     return align.tuple_rows(blocked.best_strand(D.customer_reads(spark, sf_dir), _blocked(spark, sf_dir)))
 
 
