@@ -200,3 +200,14 @@ def test_rounds_of_alignment_go_with_matches(spark, tmp_path, monkeypatch):
     assert got == sorted(map(str, align.aligned(table, spark.createDataFrame([(text,)], "ref string")).collect()))
     assert got == sorted(map(str, blocked.aligned(table, found, rounds=5, widest=50).collect()))  # longer ones by single triples
     assert {"state", "walk"} <= set(names)
+
+
+def test_letters_of_a_text_become_rows_in_all_tasks(spark):
+    from pyspark.sql import functions as F
+
+    text = "".join(random.Random(5).choices("ACGT", k=200 * index.SIZE))
+    whole, blocks = _both(spark, text)
+    for ref in (whole, blocks.coalesce(1)):  # a text's blocks are so few bytes that they come as one task
+        seen = index._grams(index._ended(ref), 3).groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert sum(r.n for r in seen) == len(text) + 1 and len(seen) > spark.sparkContext.defaultParallelism
+        assert max(r.n for r in seen) < len(text) / 4
