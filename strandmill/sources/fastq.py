@@ -32,10 +32,13 @@ def fold_lines(lines: DataFrame) -> DataFrame:
 
 
 def boundaries(lines: DataFrame) -> DataFrame:
-    """(line_no, is_quality) of lines that start with ``@``; looks at the next line only, by a join on its number."""
-    ahead = lines.select((F.col("line_no") - 1).alias("at"), F.substr("line", F.lit(1), F.lit(1)).alias("then"))
-    marked = lines.where(F.startswith("line", F.lit("@"))).join(ahead, F.col("line_no") == F.col("at"), "left")
-    return marked.select("line_no", (F.coalesce("then", F.lit("@")) == "@").alias("is_quality"))
+    """(line_no, is_quality) of lines that start with ``@``; looks at the next line only.
+
+    A line with ``@`` reports to its own number, any other to the one before, so lines are read once and shuffled by that number, without a join.
+    """
+    marked = F.startswith("line", F.lit("@"))
+    told = lines.where("line is not null").select((F.col("line_no") - F.when(marked, 0).otherwise(1)).alias("line_no"), marked.alias("marked"))
+    return told.groupBy("line_no").agg(F.bool_or("marked").alias("_at"), F.bool_and("marked").alias("is_quality")).where("_at").select("line_no", "is_quality")
 
 
 def records(reads: DataFrame) -> DataFrame:

@@ -211,3 +211,16 @@ def test_letters_of_a_text_become_rows_in_all_tasks(spark):
         seen = index._grams(index._ended(ref), 3).groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
         assert sum(r.n for r in seen) == len(text) + 1 and len(seen) > spark.sparkContext.defaultParallelism
         assert max(r.n for r in seen) < len(text) / 4
+
+
+def test_lines_are_read_once_for_their_boundaries(spark):
+    from strandmill.sources.fastq import boundaries, to_lines
+
+    lines = ["@a", "AC", "+", "@I", "@b", "", "@", "@@", "", "@c", None, "@d", "II", None, "@e"]
+    for order in (range(len(lines)), [0, 1, 2, 4, 6, 9, 11, 14], [14]):  # whole, with gaps, one
+        given = {i: lines[i] for i in order}
+        table = spark.createDataFrame(list(given.items()), "line_no long, line string")
+        wanted = sorted((i, (given.get(i + 1) or ("@" if given.get(i + 1) is None else "")).startswith("@")) for i, s in given.items() if s and s[0] == "@")
+        assert sorted(map(tuple, boundaries(table).collect())) == wanted
+    plan = boundaries(to_lines(D.order_reads(spark, SF)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("o_custkey") and sum("Relation" in x and "o_orderkey" in x for x in plan.splitlines()) == 1
