@@ -30,8 +30,7 @@ class FastaReader(FastqReader):
     def read(self, partition):
         import io
 
-        system, _ = self._files()
-        with system.open_input_file(partition.path) as f:
+        with self._system()[0].open_input_file(partition.path) as f:
             for at, line in split_lines(io.BufferedReader(f, 1 << 20), partition.start, partition.end):
                 yield partition.path, at, line
 

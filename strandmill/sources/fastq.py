@@ -7,6 +7,7 @@ with ``@`` is a quality line if the next one starts with ``@`` too or there is n
 
 from __future__ import annotations
 
+import io
 import os
 
 from pyspark.sql import Column, DataFrame, Window
@@ -105,10 +106,16 @@ class FastqReader(DataSourceReader):
         self.path = options["path"]
         self.size = int(options.get("splitBytes", 64 << 20))
 
+    def _system(self):
+        """The file system and the path in it; lists nothing, as every task asks."""
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path if "://" in self.path else os.path.abspath(self.path))
+
     def _files(self):
         from pyarrow import fs
 
-        system, path = fs.FileSystem.from_uri(self.path if "://" in self.path else os.path.abspath(self.path))
+        system, path = self._system()
         info = system.get_file_info(path)
         if info.type == fs.FileType.File:
             return system, [info]
@@ -119,10 +126,7 @@ class FastqReader(DataSourceReader):
         return [Split(i.path, a, min(a + self.size, i.size)) for i in self._files()[1] for a in range(0, i.size, self.size)]
 
     def read(self, partition):
-        system, _ = self._files()
-        with system.open_input_file(partition.path) as f:
-            import io
-
+        with self._system()[0].open_input_file(partition.path) as f:
             for row in split_records(io.BufferedReader(f, 1 << 20), partition.start, partition.end):
                 yield (partition.path, *row)
 

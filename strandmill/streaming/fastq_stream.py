@@ -7,11 +7,9 @@ checkpoint's offsets decide what a restarted query reads, so nothing is lost or
 
 from __future__ import annotations
 
-import io
-
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader
 
-from ..sources.fastq import SCHEMA, FastqReader, Split, split_records
+from ..sources.fastq import SCHEMA, FastqReader, Split
 
 
 def advanced(start: dict[str, int], sizes: dict[str, int], most: int | None) -> dict[str, int]:
@@ -58,12 +56,6 @@ class FastqStreamReader(FastqReader, DataSourceStreamReader):
             self.reached = dict(end["files"])
         return spans(start["files"], end["files"], self.size)
 
-    def read(self, partition):
-        system, _ = FastqReader._files(self)
-        with system.open_input_file(partition.path) as f:
-            for row in split_records(io.BufferedReader(f, 1 << 20), partition.start, partition.end):
-                yield (partition.path, *row)
-
     def commit(self, end: dict) -> None:
         """Nothing is kept here; the checkpoint holds the offsets."""
 

@@ -224,3 +224,24 @@ def test_lines_are_read_once_for_their_boundaries(spark):
         assert sorted(map(tuple, boundaries(table).collect())) == wanted
     plan = boundaries(to_lines(D.order_reads(spark, SF)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("o_custkey") and sum("Relation" in x and "o_orderkey" in x for x in plan.splitlines()) == 1
+
+
+def test_a_split_is_read_without_a_list_of_files(tmp_path, monkeypatch):
+    import itertools
+
+    from strandmill.sources.fasta import FastaReader
+    from strandmill.sources.fastq import FastqReader, Split
+    from strandmill.streaming.fastq_stream import FastqStreamReader
+
+    n, path = 100, str(tmp_path / "a.fastq")
+    records = [f"@r{i} é\nACG\n{'+-'[i % 2]}{'x' * (i % 3)}\nHH{i}\n" for i in range(n)]
+    body, starts = "".join(records), [0, *itertools.accumulate(map(len, records))]
+    with open(path, "w", encoding="latin-1") as f:
+        f.write(body)
+    monkeypatch.setattr(FastqReader, "_files", None)  # every task asked for all files, so time went with tasks times files
+    for kind in (FastqReader, FastqStreamReader):
+        reader = kind({"path": str(tmp_path)})
+        rows = [r for a in (0, 999) for r in reader.read(Split(path, a, 999 if not a else len(body)))]
+        assert rows == [(path, starts[i], f"@r{i} é", "ACG", "+-"[i % 2], i % 3 > 0, f"HH{i}") for i in range(n)]
+        assert list(reader.read(Split(path, len(body), len(body)))) == []
+    assert sum(1 for _ in FastaReader({"path": path}).read(Split(path, 0, len(body)))) == 4 * n
