@@ -1,10 +1,12 @@
-"""Bit strings as bytes: packing and unpacking of columns, and a cursor for Python code.
+"""Bit strings as bytes: packing and unpacking of columns, of batches by numpy, and a cursor for Python code.
 
 Bits go from the highest of each byte to the lowest; the last byte is filled with zeros.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,46 @@ def size(bits: Column) -> Column:
     return F.ceil(bits / 8).cast("long")
 
 
+def rows_of(values: np.ndarray, widths: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """Numbers of given widths (32 bits at most) as bytes; row i has those between entries i and i + 1
+    of ``ends``. Each row begins with a byte of its own and is filled with zeros.
+    """
+    upto = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
+    bits = upto[ends]
+    starts = np.concatenate([[0], np.cumsum((np.diff(bits) + 7) >> 3)])
+    place = upto[:-1] + np.repeat(8 * starts[:-1] - bits[:-1], np.diff(ends))
+    word, placed = place >> 5, values.astype(np.uint64) << (64 - widths - (place & 31)).astype(np.uint64)
+    count = (int(starts[-1]) >> 2) + 2
+    words = np.bincount(word, (placed >> np.uint64(32)).astype(np.float64), count)  # no bit is set twice, so sums are exact
+    words[1:] += np.bincount(word, (placed & np.uint64(0xFFFFFFFF)).astype(np.float64), count)[:-1]
+    return binary(words.astype(">u4").view(np.uint8)[: starts[-1]], starts)
+
+
+def binary(data: np.ndarray, starts: np.ndarray) -> pa.BinaryArray:
+    """BINARY values of ``data``, bytes one behind the other; value i has those from starts[i] to starts[i + 1] - 1."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+class Windows:
+    """The bytes of a batch of BINARY without nulls, read at many bits at once. Value i has those from starts[i] to starts[i + 1] - 1."""
+
+    def __init__(self, data: pa.BinaryArray):
+        at = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+        held = data.buffers()[2]
+        self.bytes = np.frombuffer(held, np.uint8)[at[0] : at[-1]] if held is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+        self.starts = at - at[0]
+        more = np.concatenate([self.bytes, np.zeros(16, np.uint8)])
+        self.words = np.ndarray((len(more) - 7,), ">u8", more, strides=(1,)).astype(np.uint64)  # the eight bytes from each one on
+
+    def at(self, bits: np.ndarray) -> np.ndarray:
+        """What stands from each bit on, in the highest 57 bits of a number of 64."""
+        return self.words[bits >> 3] << (bits & 7).astype(np.uint64)
+
+    def numbers(self, bits: np.ndarray, widths: np.ndarray | int) -> np.ndarray:
+        """The number of each width, up to 57 bits, that begins at each bit."""
+        return (self.at(bits) >> np.asarray(64 - widths).astype(np.uint64)).astype(np.int64)
+
+
 class BitWriter:
     """Collects numbers of given widths; ``data`` is the bytes so far, filled with zeros."""
 

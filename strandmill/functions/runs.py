@@ -40,6 +40,21 @@ def stretched(head: np.ndarray, given: np.ndarray, repeats: np.ndarray, base: in
     return out, upto[ends]
 
 
+def pieces(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, sizes, upto): runs cut into pieces of at most ``most``, the last one shorter. Pieces of run i are upto[i] to upto[i + 1] - 1."""
+    count = -(-n // most)
+    upto = np.concatenate([[0], np.cumsum(count)])
+    sizes = np.full(int(upto[-1]), most, np.int64)
+    sizes[upto[1:] - 1] = n - (count - 1) * most
+    return np.repeat(np.arange(len(n)), count), sizes, upto
+
+
+def stretch(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places from each start on, as many as its size, one stretch behind the other."""
+    upto = np.cumsum(sizes)
+    return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts - (upto - sizes), sizes)
+
+
 def text_of(flat: np.ndarray, at: np.ndarray) -> pa.Array:
     """Strings of code points; row i has those from at[i] to at[i + 1] - 1."""
     if not len(flat) or flat.max() < 128:

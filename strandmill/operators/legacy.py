@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import re
+import functools
 import time
 from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import packed
 from ..functions import runs as fn
-from ..functions.packed import BitReader, BitWriter
 
 #: The Huffman code of 38 quality characters, from the histogram of 100 million scores.
 HUFFMAN = {
@@ -86,12 +87,17 @@ def delta_symbols(text: pa.Array, start: str = "H", middle: int = 45, base: int
     of at most ``most``. The first character is compared with ``start``; all characters count. Row i of a batch has the symbols between entries i and i + 1
     of the second array.
     """
+    moves, n, ends = _moves(text, start)
+    return fn.stretched(moves + middle, moves != 0, n - (moves != 0), base, most, ends)
+
+
+def _moves(text: pa.Array, start: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``fn.runs`` with each character's distance from the one before it, the first one's from ``start``."""
     chars, n, ends = fn.runs(text)
     prev = np.empty_like(chars)
     prev[1:] = chars[:-1]
     prev[ends[:-1][ends[:-1] < len(chars)]] = ord(start)
-    steps = chars != prev
-    return fn.stretched(chars - prev + middle, steps, n - steps, base, most, ends)
+    return chars - prev, n, ends
 
 
 def delta_runs(quals: DataFrame) -> DataFrame:
@@ -121,92 +127,255 @@ def delta_run_size(quals: DataFrame) -> DataFrame:
     return quals.where(F.length("qual") > 0).select("read_id", "qual").mapInArrow(run, f"read_id {quals.schema['read_id'].dataType.simpleString()}, bits long")
 
 
-def _runs_of(text: str) -> list[tuple[str, int]]:
-    return [(m[1], len(m[0])) for m in re.finditer(r"(?s)(.)\1*", text)]
+#: Bytes of a batch that are coded at once, and of how few rows each takes its steps by itself.
+SOME, FEW = 1 << 19, 64
+
+
+def _cuts(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """(first, count) of rows whose sizes add up to ``most`` or, with a longer row, somewhat above."""
+    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    return [(x, y - x) for x, y in zip(edges, edges[1:]) if y > x]
+
+
+def _batched(kind: pa.DataType):
+    """For a function over all values of an array, of which none is null: it gets some ``SOME`` bytes at once, and null stays null."""
+
+    def over(code):
+        @functools.wraps(code)
+        def whole(given: pa.Array, *args, **named) -> pa.Array:
+            full = given.drop_null()
+            parts = [code(full.slice(*cut), *args, **named) for cut in _cuts(pc.binary_length(full).to_numpy(zero_copy_only=False), SOME)]
+            found = pa.concat_arrays([pa.array([], kind), *parts])
+            if not given.null_count:
+                return found
+            there = given.is_valid().to_numpy(zero_copy_only=False)
+            return found.take(pa.array(np.cumsum(there) - 1, mask=~there))
+
+        return whole
+
+    return over
+
 
+def _one(whole):
+    """The same for one string or its bytes."""
+    return lambda x, *args, **named: whole(pa.array([x]), *args, **named)[0].as_py()
 
-def naive_encode(text: str, longest: int = 127) -> bytes:
-    return bytes(x for c, n in _runs_of(text) for k in range(0, n, longest) for x in (ord(c), min(longest, n - k)))
 
+def _repeated(chars: np.ndarray, times: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Strings of runs; row i has those from ends[i] to ends[i + 1] - 1."""
+    narrow = chars.astype(np.uint8 if not len(chars) or chars.max() < 128 else np.uint32)
+    return fn.text_of(np.repeat(narrow, times), np.concatenate([[0], np.cumsum(times, dtype=np.int64)])[ends])
 
-def naive_decode(data: bytes) -> str:
-    return "".join(chr(c) * n for c, n in zip(data[::2], data[1::2]))
 
+def _letters(chars: np.ndarray, bits: int) -> np.ndarray:
+    """Characters as numbers from 0; all ones are no character."""
+    if len(chars) and not 33 <= chars.min() <= chars.max() < 33 + (1 << bits) - 1:
+        raise ValueError(f"a character that doesn't fit in {bits} bits")
+    return chars - 33
 
-def bit_run_encode(text: str, char_bits: int = 7, count_bits: int = 4) -> bytes:
+
+def _stopped(values: np.ndarray, widths: np.ndarray, ends: np.ndarray, bits: int) -> pa.Array:
+    """Rows of numbers as bytes, behind each row all ones in place of a character."""
+    return packed.rows_of(np.insert(values, ends[1:], (1 << bits) - 1), np.insert(widths, ends[1:], bits), ends + np.arange(len(ends)))
+
+
+def _before(stops: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, ends) of a row's entries before its first stop."""
+    at = np.append(np.flatnonzero(stops), len(stops))
+    first = at[np.searchsorted(at, ends[:-1])]
+    if (first >= ends[1:]).any():
+        raise ValueError("a row without an end")
+    sizes = first - ends[:-1]
+    return fn.stretch(ends[:-1], sizes), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _walked(data: packed.Windows, places: np.ndarray, stops: np.ndarray, look) -> tuple[np.ndarray, np.ndarray]:
+    """(found, ends): what ``look`` finds in each row from bit ``places`` to bit ``stops``, one symbol behind the other.
+
+    ``look`` gives symbols and their widths in bits for windows; width 0 ends a row. All rows take each step together; in the last few rows
+    every bit is looked at first.
+    """
+    count, live, step = len(places), np.flatnonzero(places < stops), 0
+    places, stop = places[live], stops[live]
+    who, what, when = [], [], []
+    while len(live) >= FEW:
+        found, widths = look(data.at(places))
+        who.append(live)
+        what.append(found)
+        when.append(np.full(len(live), step))
+        places, step = places + widths, step + 1
+        on = (widths > 0) & (places < stop)
+        if not on.all():
+            if (places > stop).any():
+                raise ValueError("the code ends inside a symbol")
+            live, places, stop = live[on], places[on], stop[on]
+    for lane, place, end in zip(live.tolist(), places.tolist(), stop.tolist()):
+        found = _followed(data, place, end, look)
+        who.append(np.full(len(found), lane))
+        what.append(found)
+        when.append(step + np.arange(len(found)))
+    if not who:
+        return np.zeros(0, np.int64), np.zeros(count + 1, np.int64)
+    lane = np.concatenate(who)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(lane, minlength=count))])
+    out = np.empty(len(lane), np.int64)
+    out[ends[lane] + np.concatenate(when)] = np.concatenate(what)
+    return out, ends
+
+
+def _followed(data: packed.Windows, place: int, stop: int, look) -> np.ndarray:
+    """``_walked`` in one row."""
+    places, width = [], 1
+    while width and place < stop:
+        base = place
+        widths = look(data.at(np.arange(base, min(base + SOME, stop))))[1].tolist()
+        while width and place - base < len(widths):
+            places.append(place)
+            width = widths[place - base]
+            place += width
+    if place > stop:
+        raise ValueError("the code ends inside a symbol")
+    return look(data.at(np.array(places, np.int64)))[0]
+
+
+@_batched(pa.binary())
+def naive_packed(text: pa.Array, longest: int = 127) -> pa.Array:
+    chars, n, ends = fn.runs(text)
+    run, sizes, upto = fn.pieces(n, longest)
+    if len(chars) and max(chars.max(), longest) > 255:
+        raise ValueError("a character or a count that doesn't fit in a byte")
+    return packed.binary(np.stack([chars[run], sizes], axis=1).astype(np.uint8).ravel(), 2 * upto[ends])
+
+
+@_batched(pa.string())
+def naive_unpacked(data: pa.Array) -> pa.Array:
+    w = packed.Windows(data)
+    if (w.starts & 1).any():
+        raise ValueError("half a run")
+    return _repeated(w.bytes[::2], w.bytes[1::2], w.starts >> 1)
+
+
+@_batched(pa.binary())
+def bit_run_packed(text: pa.Array, char_bits: int = 7, count_bits: int = 4) -> pa.Array:
     """Character and count in few bits; all ones in place of a character stop. Seven bits hold all of ``LETTERS``, six the older 41."""
-    w, most = BitWriter(), (1 << count_bits) - 1
-    for c, n in _runs_of(text):
-        for k in range(0, n, most):
-            w.write(ord(c) - 33, char_bits)
-            w.write(min(most, n - k), count_bits)
-    w.write((1 << char_bits) - 1, char_bits)
-    return w.data
-
-
-def bit_run_decode(data: bytes, char_bits: int = 7, count_bits: int = 4) -> str:
-    r, out = BitReader(data), []
-    while (c := r.read(char_bits)) != (1 << char_bits) - 1:
-        out.append(chr(c + 33) * r.read(count_bits))
-    return "".join(out)
+    chars, n, ends = fn.runs(text)
+    run, sizes, upto = fn.pieces(n, (1 << count_bits) - 1)
+    return _stopped(_letters(chars, char_bits)[run] << count_bits | sizes, np.full(len(run), char_bits + count_bits), upto[ends], char_bits)
+
 
+@_batched(pa.string())
+def bit_run_unpacked(data: pa.Array, char_bits: int = 7, count_bits: int = 4) -> pa.Array:
+    w, width = packed.Windows(data), char_bits + count_bits
+    most = (8 * np.diff(w.starts) - char_bits) // width + 1  # with the stop
+    ends = np.concatenate([[0], np.cumsum(most)])
+    found = w.numbers(np.repeat(8 * w.starts[:-1], most) + width * fn.stretch(np.zeros(len(most), np.int64), most), width)
+    places, ends = _before(found >> count_bits == (1 << char_bits) - 1, ends)
+    return _repeated((found[places] >> count_bits) + 33, found[places] & ((1 << count_bits) - 1), ends)
 
-def flagged_encode(text: str, char_bits: int = 7, count_bits: int = 7) -> bytes:
+
+@_batched(pa.binary())
+def flagged_packed(text: pa.Array, char_bits: int = 7, count_bits: int = 7) -> pa.Array:
     """Character, a flag, and a count - 2 where the flag is set; all ones in place of a character stop."""
-    w, most = BitWriter(), (1 << count_bits) + 1
-    for c, n in _runs_of(text):
-        for k in range(0, n, most):
-            part = min(most, n - k)
-            w.write(ord(c) - 33, char_bits)
-            w.write(int(part > 1), 1)
-            if part > 1:
-                w.write(part - 2, count_bits)
-    w.write((1 << char_bits) - 1, char_bits)
-    return w.data
-
-
-def flagged_decode(data: bytes, char_bits: int = 7, count_bits: int = 7) -> str:
-    r, out = BitReader(data), []
-    while (c := r.read(char_bits)) != (1 << char_bits) - 1:
-        out.append(chr(c + 33) * (r.read(count_bits) + 2 if r.read(1) else 1))
-    return "".join(out)
+    chars, n, ends = fn.runs(text)
+    run, sizes, upto = fn.pieces(n, (1 << count_bits) + 1)
+    letter, flag = _letters(chars, char_bits)[run], sizes > 1
+    return _stopped(np.where(flag, (2 * letter + 1 << count_bits) + sizes - 2, 2 * letter), char_bits + 1 + count_bits * flag, upto[ends], char_bits)
 
 
-def _spelled(bits: str) -> bytes:
-    """A byte with the number of filling bits, then the bits."""
-    fill = -len(bits) % 8
-    return bytes([fill]) + (int(bits + "0" * fill, 2).to_bytes((len(bits) + fill) // 8, "big") if bits else b"")
+@_batched(pa.string())
+def flagged_unpacked(data: pa.Array, char_bits: int = 7, count_bits: int = 7) -> pa.Array:
+    w, stop = packed.Windows(data), (1 << char_bits) - 1
 
+    def look(windows):
+        found = (windows >> np.uint64(63 - char_bits - count_bits)).astype(np.int64)
+        return found, np.where(found >> count_bits + 1 == stop, 0, char_bits + 1 + count_bits * (found >> count_bits & 1))
 
-def _bits_of(data: bytes) -> str:
-    text = f"{int.from_bytes(data[1:], 'big'):0{8 * len(data) - 8}b}" if len(data) > 1 else ""
-    return text[: len(text) - data[0]]
+    found, ends = _walked(w, 8 * w.starts[:-1], 8 * w.starts[1:], look)
+    places, ends = _before(found >> count_bits + 1 == stop, ends)
+    found = found[places]
+    return _repeated((found >> count_bits + 1) + 33, np.where(found >> count_bits & 1, (found & ((1 << count_bits) - 1)) + 2, 1), ends)
 
 
-def _prefixes(bits: str, letters: dict) -> list:
-    out, at, size = [], 0, 1
-    while at < len(bits):
-        while bits[at : at + size] not in letters:
-            if at + size > len(bits):
-                raise ValueError("the code ends inside a symbol")
-            size += 1
-        out.append(letters[bits[at : at + size]])
-        at, size = at + size, 1
-    return out
+class Prefixes:
+    """A prefix code: bits by symbol. A row is a byte with the number of filling bits, then the bits."""
+
+    def __init__(self, codes: dict[int, str]):
+        self.value, self.width = np.zeros((2, max(codes) + 2), np.int64)  # a symbol without a code has width 0
+        spans = []  # the first 64 bits of what a code begins; gaps between codes are no symbol
+        upto = 0
+        for s, bits in sorted(codes.items(), key=lambda x: x[1]):
+            self.value[s], self.width[s] = int(bits, 2), len(bits)
+            low = int(bits, 2) << 64 - len(bits)
+            spans += [(upto, -1, 0)] * (upto < low) + [(low, s, len(bits))]
+            upto = low + (1 << 64 - len(bits))
+        spans += [(upto, -1, 0)] * (upto < 1 << 64)
+        self.lows, self.symbols, self.widths = np.array([x[0] for x in spans], np.uint64), np.array([x[1] for x in spans]), np.array([x[2] for x in spans])
+
+    def packed(self, symbols: np.ndarray, ends: np.ndarray) -> pa.Array:
+        widths = self.width[symbols]
+        fill = -np.diff(np.concatenate([[0], np.cumsum(widths)])[ends]) % 8
+        return packed.rows_of(np.insert(self.value[symbols], ends[:-1], fill), np.insert(widths, ends[:-1], 8), ends + np.arange(len(ends)))
+
+    def look(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.lows, windows, side="right") - 1
+        return self.symbols[at], self.widths[at]
+
+    def unpacked(self, data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, ends)."""
+        w = packed.Windows(data)
+        found, ends = _walked(w, 8 * w.starts[:-1] + 8, 8 * w.starts[1:] - w.bytes[w.starts[:-1]], self.look)
+        if len(found) and found.min() < 0:
+            raise ValueError("bits that no symbol has")
+        return found, ends
+
+
+#: Before a string that stays as it is.
+_MARK = pa.scalar(b"\x08", pa.binary())
 
 
-_LETTER_OF = {b: c for c, b in HUFFMAN.items()}
+def _unless(odd: np.ndarray, given: pa.Array, as_is, others) -> pa.Array:
+    """``as_is`` of the odd rows, ``others`` of the others."""
+    rest = given.filter(pa.array(~odd))
+    if not odd.any():
+        return others(rest)
+    parts = [as_is(given.filter(pa.array(odd)))] + ([others(rest)] if len(rest) else [])
+    return pa.concat_arrays(parts).take(pa.array(np.where(odd, np.cumsum(odd) - 1, odd.sum() + np.cumsum(~odd) - 1)))
 
 
-def huffman_encode(text: str) -> bytes:
-    """Code of a string; one with a character that has no code stays as it is, marked by 8."""
-    if any(c not in HUFFMAN for c in text):
-        return b"\x08" + text.encode()
-    return _spelled("".join(map(HUFFMAN.__getitem__, text)))
+def _kept(text: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(_MARK, text.cast(pa.binary()), pa.scalar(b"", pa.binary()))
 
 
-def huffman_decode(data: bytes) -> str:
-    return data[1:].decode() if data[:1] == b"\x08" else "".join(_prefixes(_bits_of(data), _LETTER_OF))
+def _unmarked(data: pa.Array, others) -> pa.Array:
+    """Strings that stayed as they are, and ``others`` of the other rows."""
+    w = packed.Windows(data)
+    if (np.diff(w.starts) == 0).any():
+        raise ValueError("a row without a first byte")
+
+    def as_is(some):
+        w = packed.Windows(some)
+        sizes = np.diff(w.starts) - 1
+        return packed.binary(w.bytes[fn.stretch(w.starts[:-1] + 1, sizes)], np.concatenate([[0], np.cumsum(sizes)])).cast(pa.string())
+
+    return _unless(w.bytes[w.starts[:-1]] == 8, data, as_is, others)
+
+
+_HUFFMAN_CODE = Prefixes({ord(c): b for c, b in HUFFMAN.items()})
+
+
+@_batched(pa.binary())
+def huffman_packed(text: pa.Array) -> pa.Array:
+    """The fixed code; a string with a character that has no code stays as it is, marked by 8."""
+    last = len(_HUFFMAN_CODE.width) - 1  # has no code
+    chars, at = fn.points(text)
+    none = np.concatenate([[0], np.cumsum(_HUFFMAN_CODE.width[np.minimum(chars, last)] == 0)])
+    return _unless(np.diff(none[at]) > 0, text, _kept, lambda x: _HUFFMAN_CODE.packed(*fn.points(x)))
+
+
+@_batched(pa.string())
+def huffman_unpacked(data: pa.Array) -> pa.Array:
+    return _unmarked(data, lambda x: fn.text_of(*_HUFFMAN_CODE.unpacked(x)))
 
 
 def _canonical(lengths) -> dict[int, str]:
@@ -221,36 +390,31 @@ def _canonical(lengths) -> dict[int, str]:
     return out
 
 
-_DELTA_CODE = _canonical(DELTA_BITS)
-_DELTA_OF = {b: s for s, b in _DELTA_CODE.items()}
+_DELTA_CODE = Prefixes(_canonical(DELTA_BITS))
 
 
-def delta_encode(text: str, start: str = "H", middle: int = 45, base: int = 90, most: int = 20) -> bytes:
+@_batched(pa.binary())
+def delta_packed(text: pa.Array, start: str = "H", middle: int = 45, base: int = 90, most: int = 20) -> pa.Array:
     """The symbols of ``delta_symbols`` and the end, in a prefix code of the fixed lengths. A string with a step beyond the table stays as it is, marked by 8."""
-    found, last = [], ord(start)
-    for c, n in _runs_of(text):
-        step = ord(c) - last
-        if step:
-            found.append(middle + step)
-            n -= 1
-        found += [base + most] * (n // most) + ([base + n % most] if n % most else [])
-        last = ord(c)
-        if step and not 0 <= middle + step < base:
-            return b"\x08" + text.encode()
-    return _spelled("".join(map(_DELTA_CODE.__getitem__, [*found, middle])))
-
-
-def delta_decode(data: bytes, start: str = "H", middle: int = 45, base: int = 90) -> str:
-    if data[:1] == b"\x08":
-        return data[1:].decode()
-    out, last = [], ord(start)
-    for s in _prefixes(_bits_of(data), _DELTA_OF):
-        if s > base:
-            out.append(chr(last) * (s - base))
-        elif s != middle:
-            last += s - middle
-            out.append(chr(last))
-    return "".join(out)
+    moves, _, ends = _moves(text, start)
+    beyond = np.concatenate([[0], np.cumsum((moves < -middle) | (moves >= base - middle))])
+
+    def others(some):
+        found, at = delta_symbols(some, start, middle, base, most)
+        return _DELTA_CODE.packed(np.insert(found, at[1:], middle), at + np.arange(len(at)))
+
+    return _unless(np.diff(beyond[ends]) > 0, text, _kept, others)
+
+
+@_batched(pa.string())
+def delta_unpacked(data: pa.Array, start: str = "H", middle: int = 45, base: int = 90) -> pa.Array:
+    def others(some):
+        found, ends = _DELTA_CODE.unpacked(some)
+        upto = np.concatenate([[0], np.cumsum(np.where(found > base, 0, found - middle))])
+        chars = ord(start) + upto[1:] - np.repeat(upto[ends[:-1]], np.diff(ends))
+        return _repeated(chars, np.where(found > base, found - base, found != middle), ends)
+
+    return _unmarked(data, others)
 
 
 def lzw_encode(text: str, letters: str = LETTERS) -> tuple[list[int], int]:
@@ -287,13 +451,109 @@ def lzw_decode(codes: list[int], letters: str = LETTERS) -> str:
     return "".join(out)
 
 
+def _code_widths(most: int) -> np.ndarray:
+    """Bits of a read's codes, from its first: each code but the first follows a new entry, so both sides know the table's size."""
+    return np.frexp(len(LETTERS) + np.arange(most))[1].astype(np.int64)
+
+
+def lzw_codes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, ends): those of ``lzw_encode`` for each string.
+
+    All strings take each letter together, the longest first. A string's entries, by match and letter, are in an open hash table of its own with room for
+    twice its letters. The last few strings are coded one by one.
+    """
+    flat, at = fn.points(text)
+    if len(flat) and not 33 <= flat.min() <= flat.max() <= 126:
+        raise ValueError("a character that is no letter of this codec")
+    letters, sizes = flat.astype(np.int64) - 32, np.diff(at)
+    rows = np.argsort(-sizes, kind="stable")
+    place, length = at[rows], sizes[rows]
+    room = place + rows  # a string has no more codes than letters, and a stop
+    codes, ahead, match = np.zeros(len(flat) + len(rows), np.int64), room.copy(), np.zeros(len(rows), np.int64)
+    live, step = len(rows), 0
+    if live >= FEW:
+        slots = 1 << np.frexp(length)[1].astype(np.int64) + 1
+        first, masks, number = np.cumsum(slots) - slots, slots - 1, len(LETTERS) + 1 - room
+        table = np.zeros(int(slots.sum()), np.int64)  # an entry's key before its number, of 32 bits
+    while True:
+        while live and length[live - 1] <= step:
+            live -= 1
+        if live < FEW:
+            break
+        letter = letters[place[:live] + step]
+        step += 1
+        if step == 1:
+            match[:live] = letter
+            continue
+        key = (match[:live] << 7) + letter
+        begin, mask = first[:live], masks[:live]
+        slot = begin + (key * 0x9E3779B1 >> 15 & mask)
+        held = table[slot]
+        far = np.flatnonzero((held >> 32 != key) & (held != 0))
+        while len(far):
+            slot[far] = begin[far] + (slot[far] - begin[far] + 1 & mask[far])
+            held[far] = table[slot[far]]
+            far = far[(held[far] >> 32 != key[far]) & (held[far] != 0)]
+        none = held == 0
+        new = np.flatnonzero(none)
+        to = ahead[new]
+        codes[to] = match[new]
+        ahead[new] = to + 1
+        table[slot[new]] = (key[new] << 32) + number[new] + to
+        match[:live] = np.where(none, letter, held & 0xFFFFFFFF)
+    for i in range(live):
+        found = lzw_encode(text[int(rows[i])].as_py())[0]
+        codes[room[i] : room[i] + len(found)], ahead[i] = found, room[i] + len(found)
+    rest = live + np.flatnonzero(length[live:])
+    codes[ahead[rest]] = match[rest]
+    ahead[rest] += 1
+    ahead[live:] += 1
+    n = np.empty(len(rows), np.int64)
+    n[rows] = ahead - room
+    return codes[fn.stretch(at[:-1] + np.arange(len(rows)), n)], np.concatenate([[0], np.cumsum(n)])
+
+
+def lzw_strings(codes: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The string of each row of codes, without stops.
+
+    The entry made behind code t is code t's text and the letter behind it, so each code of an entry copies what the row has said before, from the
+    text of code t on. Lengths and letters are followed back to single letters by doubled steps, so rounds go with the logarithm of a row's codes.
+    """
+    first = np.repeat(ends[:-1], np.diff(ends))
+    entry = codes > len(LETTERS)
+    made = np.where(entry, first + codes - len(LETTERS) - 1, np.arange(len(codes)))
+    if (codes < 1).any() or (made >= np.arange(len(codes)))[entry].any():
+        raise ValueError("a code before its entry")
+    sizes, back = entry.astype(np.int64), made
+    while entry[back].any():
+        sizes, back = sizes + sizes[back], back[back]
+    upto = np.concatenate([[0], np.cumsum(sizes + 1)])
+    parts = []
+    for row, n in _cuts(np.diff(upto[ends]), 4 * SOME):
+        some, shift = slice(ends[row], ends[row + n]), upto[ends[row]]
+        place = fn.stretch(np.where(entry[some], upto[made[some]] - shift, upto[some] - shift), sizes[some] + 1)
+        while True:
+            further = place[place]
+            if (further == place).all():
+                break
+            place = further
+        letters = np.repeat(codes[some], sizes[some] + 1)[place]
+        parts.append(fn.text_of(letters + 32, upto[ends[row : row + n + 1]] - shift))
+    return pa.concat_arrays([pa.array([], pa.string()), *parts])
+
+
 def lzw(quals: DataFrame) -> DataFrame:
     """(read_id, codes, bits)."""
 
     def run(batches):
         for b in batches:
-            found = [lzw_encode(q or "") for q in b.column("qual").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("read_id"), pa.array([c for c, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int64())], names=["read_id", "codes", "bits"])
+            text = pc.fill_null(b.column("qual"), "")
+            for cut in _cuts(pc.binary_length(text).to_numpy(), SOME):
+                codes, ends = lzw_codes(text.slice(*cut))
+                n = np.diff(ends)
+                widths = _code_widths(int(n.max()))
+                bits = np.concatenate([[0], np.cumsum(widths)])[n - 1] + widths[np.maximum(n - 2, 0)]  # a stop makes no entry
+                yield pa.RecordBatch.from_arrays([b.column("read_id").slice(*cut), fn.lists(codes, ends), pa.array(bits)], names=["read_id", "codes", "bits"])
 
     return quals.select("read_id", "qual").mapInArrow(run, "read_id long, codes array<int>, bits long")
 
@@ -303,46 +563,62 @@ def lzw_read(coded: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("read_id"), pa.array([lzw_decode(c) for c in b.column("codes").to_pylist()])], names=["read_id", "qual"])
+            for cut in _cuts(pc.list_value_length(b.column("codes")).to_numpy(), SOME):
+                lists = b.column("codes").slice(*cut)
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)])
+                codes = lists.flatten().to_numpy().astype(np.int64)
+                places, ends = _before(codes == 0, ends)
+                yield pa.RecordBatch.from_arrays([b.column("read_id").slice(*cut), lzw_strings(codes[places], ends)], names=["read_id", "qual"])
 
     return coded.select("read_id", "codes").mapInArrow(run, "read_id long, qual string")
 
 
-def _code_bits(number: int) -> int:
-    """Bits of a read's code ``number``, from 0: each code but the first follows a new entry, so both sides know the table's size."""
-    return (len(LETTERS) + number).bit_length()
+@_batched(pa.binary())
+def lzw_packed(text: pa.Array) -> pa.Array:
+    """``lzw_codes`` as bytes, each code in the bits that the table's size needs."""
+    codes, ends = lzw_codes(text)
+    n = np.diff(ends)
+    return packed.rows_of(codes, _code_widths(int(n.max()))[fn.stretch(np.zeros(len(n), np.int64), n)], ends)
 
 
-def lzw_bytes(text: str) -> bytes:
-    """``lzw_encode`` as bytes, each code in the bits that the table's size needs."""
-    w = BitWriter()
-    for number, code in enumerate(lzw_encode(text)[0]):
-        w.write(code, _code_bits(number))
-    return w.data
+@_batched(pa.string())
+def lzw_unpacked(data: pa.Array) -> pa.Array:
+    """The strings of ``lzw_packed``. Widths go with a code's number alone, so all are read at once."""
+    w = packed.Windows(data)
+    bits = 8 * np.diff(w.starts)
+    widths = _code_widths(int(bits.max()) // 7 + 1)
+    upto = np.concatenate([[0], np.cumsum(widths)])
+    most = np.searchsorted(upto, bits, side="right") - 1
+    number = fn.stretch(np.zeros(len(most), np.int64), most)
+    codes = w.numbers(np.repeat(8 * w.starts[:-1], most) + upto[number], widths[number])
+    places, ends = _before(codes == 0, np.concatenate([[0], np.cumsum(most)]))
+    return lzw_strings(codes[places], ends)
 
 
-def lzw_text(data: bytes) -> str:
-    """The text of ``lzw_bytes``."""
-    r, codes = BitReader(data), []
-    while code := r.read(_code_bits(len(codes))):
-        codes.append(code)
-    return lzw_decode(codes)
+naive_encode, naive_decode = _one(naive_packed), _one(naive_unpacked)
+bit_run_encode, bit_run_decode = _one(bit_run_packed), _one(bit_run_unpacked)
+flagged_encode, flagged_decode = _one(flagged_packed), _one(flagged_unpacked)
+huffman_encode, huffman_decode = _one(huffman_packed), _one(huffman_unpacked)
+delta_encode, delta_decode = _one(delta_packed), _one(delta_unpacked)
+lzw_bytes, lzw_text = _one(lzw_packed), _one(lzw_unpacked)
 
 
 class Codec(NamedTuple):
-    """What every codec of a quality string offers: its bytes, and the string again."""
+    """What every codec of a quality string offers: its bytes, and the string again; the same for arrays of them."""
 
     encode: Callable[[str], bytes]
     decode: Callable[[bytes], str]
+    packed: Callable[[pa.Array], pa.Array]
+    unpacked: Callable[[pa.Array], pa.Array]
 
 
 CODECS = {
-    "naive runs": Codec(naive_encode, naive_decode),
-    "bit runs": Codec(bit_run_encode, bit_run_decode),
-    "flagged runs": Codec(flagged_encode, flagged_decode),
-    "huffman": Codec(huffman_encode, huffman_decode),
-    "delta runs": Codec(delta_encode, delta_decode),
-    "lzw": Codec(lzw_bytes, lzw_text),
+    "naive runs": Codec(naive_encode, naive_decode, naive_packed, naive_unpacked),
+    "bit runs": Codec(bit_run_encode, bit_run_decode, bit_run_packed, bit_run_unpacked),
+    "flagged runs": Codec(flagged_encode, flagged_decode, flagged_packed, flagged_unpacked),
+    "huffman": Codec(huffman_encode, huffman_decode, huffman_packed, huffman_unpacked),
+    "delta runs": Codec(delta_encode, delta_decode, delta_packed, delta_unpacked),
+    "lzw": Codec(lzw_bytes, lzw_text, lzw_packed, lzw_unpacked),
 }
 
 
@@ -350,9 +626,8 @@ def coded(quals: DataFrame, codec: str) -> DataFrame:
     """(read_id, data): each quality string under a codec of ``CODECS``, in its row. Null stays null."""
 
     def run(batches):
-        encode = CODECS[codec].encode
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("read_id"), pa.array([None if q is None else encode(q) for q in b.column("qual").to_pylist()], pa.binary())], names=["read_id", "data"])
+            yield pa.RecordBatch.from_arrays([b.column("read_id"), CODECS[codec].packed(b.column("qual"))], names=["read_id", "data"])
 
     return quals.select("read_id", "qual").mapInArrow(run, "read_id long, data binary")
 
@@ -361,28 +636,51 @@ def read(data: DataFrame, codec: str) -> DataFrame:
     """(read_id, qual) from ``coded``."""
 
     def run(batches):
-        decode = CODECS[codec].decode
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("read_id"), pa.array([None if x is None else decode(x) for x in b.column("data").to_pylist()], pa.string())], names=["read_id", "qual"])
+            yield pa.RecordBatch.from_arrays([b.column("read_id"), CODECS[codec].unpacked(b.column("data"))], names=["read_id", "qual"])
 
     return data.select("read_id", "data").mapInArrow(run, "read_id long, qual string")
 
 
+def coded_each(quals: DataFrame) -> DataFrame:
+    """(read_id, codec, data): ``coded`` under each of ``CODECS``."""
+
+    def run(batches):
+        for b in batches:
+            for name, c in CODECS.items():
+                yield pa.RecordBatch.from_arrays([b.column("read_id"), pa.repeat(name, b.num_rows), c.packed(b.column("qual"))], names=["read_id", "codec", "data"])
+
+    return quals.select("read_id", "qual").mapInArrow(run, "read_id long, codec string, data binary")
+
+
+def read_each(data: DataFrame) -> DataFrame:
+    """(read_id, codec, qual) from ``coded_each``."""
+
+    def run(batches):
+        for b in batches:
+            for name in b.column("codec").unique().to_pylist():
+                some = b.filter(pc.equal(b.column("codec"), name))
+                yield pa.RecordBatch.from_arrays([some.column("read_id"), some.column("codec"), CODECS[name].unpacked(some.column("data"))], names=["read_id", "codec", "qual"])
+
+    return data.select("read_id", "codec", "data").mapInArrow(run, "read_id long, codec string, qual string")
+
+
 def benchmark(quals: DataFrame) -> DataFrame:
     """(codec, bytes, percent, encode_seconds, decode_seconds) of all ``CODECS``; seconds are the tasks' own, added up."""
 
     def run(batches):
         for b in batches:
-            texts = [q for q in b.column("qual").to_pylist() if q]
+            texts = b.column("qual").filter(pc.greater(pc.binary_length(b.column("qual")), 0))
+            plain = pc.sum(pc.utf8_length(texts)).as_py() or 0
             for name, c in CODECS.items():
                 t0 = time.perf_counter()
-                data = [c.encode(q) for q in texts]
+                data = c.packed(texts)
                 t1 = time.perf_counter()
-                same = [c.decode(x) for x in data] == texts
+                same = c.unpacked(data).equals(texts)
                 t2 = time.perf_counter()
                 if not same:
                     raise ValueError(f"{name} doesn't give a string back")
-                yield pa.RecordBatch.from_pylist([{"codec": name, "plain": sum(map(len, texts)), "bytes": sum(map(len, data)), "encode": t1 - t0, "decode": t2 - t1}])
+                yield pa.RecordBatch.from_pylist([{"codec": name, "plain": plain, "bytes": pc.sum(pc.binary_length(data)).as_py() or 0, "encode": t1 - t0, "decode": t2 - t1}])
 
     found = quals.select("qual").mapInArrow(run, "codec string, plain long, bytes long, encode double, decode double").groupBy("codec")
     whole = found.agg(F.sum("plain").alias("plain"), F.sum("bytes").alias("bytes"), F.sum("encode").alias("encode_seconds"), F.sum("decode").alias("decode_seconds"))

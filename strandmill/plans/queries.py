@@ -614,12 +614,8 @@ def lzw_roundtrip(spark, sf_dir) -> DataFrame:
 
 @query(with_tables("quals", "select read_id, codec, qual from quals, (values " + ", ".join(f"('{c}')" for c in legacy.CODECS) + ") c(codec)"))
 def codecs_roundtrip(spark, sf_dir) -> DataFrame:
-    quals = _spread(D.order_quals(spark, sf_dir))
-    whole = None
-    for name in legacy.CODECS:
-        one = legacy.read(legacy.coded(quals, name), name).select("read_id", F.lit(name).alias("codec"), "qual")
-        whole = one if whole is None else whole.unionByName(one)
-    return whole
+    """Every string is read once and goes through all codecs in its task; its bytes are a table between coder and decoder."""
+    return legacy.read_each(legacy.coded_each(_spread(D.order_quals(spark, sf_dir))))
 
 
 # -- streams -------------------------------------------------------------

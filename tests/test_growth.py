@@ -245,3 +245,95 @@ def test_a_split_is_read_without_a_list_of_files(tmp_path, monkeypatch):
         assert rows == [(path, starts[i], f"@r{i} é", "ACG", "+-"[i % 2], i % 3 > 0, f"HH{i}") for i in range(n)]
         assert list(reader.read(Split(path, len(body), len(body)))) == []
     assert sum(1 for _ in FastaReader({"path": path}).read(Split(path, 0, len(body)))) == 4 * n
+
+
+QUALITY = [q if q is None else q.replace("é", "~").replace("\n", "!") for q in ODD] + ["".join(random.Random(i).choices("HHHHGGF#E" + "J~" * (i % 5 == 0), k=i * 7 % 230)) for i in range(240)]
+
+
+class _Rows:
+    """A table of one batch, whose tasks run in this process."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def select(self, *names):
+        return _Rows(*(b.select([n for n in names if isinstance(n, str)]) for b in self.batches))
+
+    def mapInArrow(self, run, schema):
+        return _Rows(*run(iter(self.batches)))
+
+
+def _calls(work):
+    import sys
+
+    seen = []
+    sys.setprofile(lambda frame, event, arg: seen.append(1) if event in ("call", "c_call") else None)
+    try:
+        work()
+    finally:
+        sys.setprofile(None)
+    return len(seen)
+
+
+@pytest.mark.parametrize("name", ["naive runs", "bit runs", "flagged runs", "huffman", "delta runs", "lzw"])
+def test_a_codec_takes_a_batch_and_not_a_read_a_time(name):
+    import pyarrow as pa
+
+    from strandmill.operators import legacy
+
+    def calls(times):
+        texts = QUALITY * times
+        table = _Rows(pa.RecordBatch.from_pydict({"read_id": list(range(len(texts))), "qual": texts}))
+        return _calls(lambda: legacy.read(legacy.coded(table, name), name))
+
+    calls(1)  # what is made once
+    assert calls(10) < 2 * calls(1)
+
+
+#: Of the bytes that the codecs of single strings gave, by codec.
+BYTES = {"naive runs": "ae8f066aa4d2369b", "bit runs": "e3a68a626cf16c9c", "flagged runs": "e8a3c5f7ac23f0cd", "huffman": "565ce02d62a26b67", "delta runs": "8bcf7c2539de4738", "lzw": "8787db4599474ed3"}
+
+
+@pytest.mark.parametrize("some, few", [(1 << 19, 16), (400, 3), (1 << 19, 1000)])
+def test_codecs_of_a_batch_give_the_bytes_of_single_strings(monkeypatch, some, few):
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from strandmill.operators import legacy
+
+    monkeypatch.setattr(legacy, "SOME", some)
+    monkeypatch.setattr(legacy, "FEW", few)
+    text = pa.array(["", *QUALITY, None])
+    for name, codec in legacy.CODECS.items():
+        data = codec.packed(text.slice(1))
+        assert hashlib.sha256(repr(data.to_pylist()).encode()).hexdigest()[:16] == BYTES[name]
+        assert codec.unpacked(data).equals(text.slice(1)) and codec.unpacked(data.slice(3, 50)).equals(text.slice(4, 50))
+    codes, ends = legacy.lzw_codes(text.fill_null(""))
+    assert [codes[a:b].tolist() for a, b in zip(ends, ends[1:])] == [legacy.lzw_encode(t or "")[0] for t in text.to_pylist()]
+    for name in ("flagged runs", "delta runs", "lzw"):
+        with pytest.raises(ValueError):  # without their ends
+            legacy.CODECS[name].unpacked(pa.array([x[: len(x) // 2] for x in legacy.CODECS[name].packed(pa.array(["HGGGF#" * 40] * 30)).to_pylist()]))
+    with pytest.raises(ValueError):
+        legacy.lzw_strings(np.array([41, 97]), np.array([0, 2]))
+
+
+def test_lzw_columns(spark):
+    from strandmill.operators import legacy
+
+    quals = spark.createDataFrame(list(enumerate(QUALITY)), "read_id long, qual string")
+    assert {r.read_id: (r.codes, r.bits) for r in legacy.lzw(quals).collect()} == {i: legacy.lzw_encode(q or "") for i, q in enumerate(QUALITY)}
+    assert {r.read_id: r.qual for r in legacy.lzw_read(legacy.lzw(quals)).collect()} == {i: q or "" for i, q in enumerate(QUALITY)}
+
+
+def test_all_codecs_read_a_string_once(spark):
+    from strandmill.operators import legacy
+
+    quals = spark.createDataFrame(list(enumerate(QUALITY)), "read_id long, qual string")
+    found = legacy.read_each(legacy.coded_each(quals))
+    assert {(r.read_id, r.codec): r.qual for r in found.collect()} == {(i, c): q for i, q in enumerate(QUALITY) for c in legacy.CODECS}
+    from strandmill.plans import queries
+
+    plan = queries.codecs_roundtrip(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in x for x in plan.splitlines()) == 1
